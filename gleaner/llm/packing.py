@@ -16,6 +16,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,13 @@ from .common import stage, worker_cache
 
 CAPACITY = 2048
 #: Word forms whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 #: White space as the tokenizer's own pattern sees it.  No match of that pattern
-#: goes on from another character into white space, so texts may be cut there.
+#: goes on from another character into white space, or from a letter into what is
+#: no letter, digit or mark of a word, so texts may be cut there.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+WORD = re.compile(f"[{SPACE}]*[{LETTER}]+(?![^\\W_])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
 class CapacityTree:
@@ -120,7 +123,7 @@ def _encoder(file: str):
                 words.clear()
                 new = list(set(parts))
             for part, got in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                words[part] = np.array(got.ids, dtype="<u4").tobytes()
+                words[part] = pack_ids("<%dI" % len(got.ids), *got.ids)
             yield b"".join(map(words.__getitem__, parts))
 
     return encode

@@ -10,6 +10,7 @@ _ALL = [
     ("op1_packing", "packing", None),
     ("op3_sharding", "sharding", None),
     ("op7_warc", "warc", "OP7_SQL"),
+    ("op8_order_minhash", "order_minhash", None),
 ]
 
 

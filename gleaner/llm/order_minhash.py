@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from .common import stage
 
-K, BINS, KEEP = 2, 64, 2
+K, BINS, KEEP = 2, 32, 2
 #: A numbered k-mer is one long: hash bits above, word position below.
 POSITION_BITS = 24
 HASH_BITS = 39
@@ -120,9 +120,10 @@ def edited(docs: DataFrame) -> DataFrame:
     """Each row with its edited text: the second half of its code points gives way
     to the first as many of the next document."""
     rows = with_next(docs)
-    heads = rows.select(F.col("_previous").alias("_row"), F.expr("substring(text, 1, cast(_previous_chars div 2 as int))").alias("_head"))
+    # Both sides read the same columns of ``rows``, so its exchange of texts is made once.
+    heads = rows.select(F.col("_previous").alias("_row"), F.col("doc_id").alias("next_doc_id"), F.expr("substring(text, 1, cast(_previous_chars div 2 as int))").alias("_head"))
     joined = rows.join(heads, "_row")
-    return joined.select("_row", "_next", "doc_id", "text", F.col("_chars").alias("n_chars"), F.concat(F.expr("substring(text, 1, cast(_chars - _chars div 2 as int))"), F.col("_head")).alias("edited"))
+    return joined.select("_row", "_next", "doc_id", "next_doc_id", "text", F.col("_chars").alias("n_chars"), F.concat(F.expr("substring(text, 1, cast(_chars - _chars div 2 as int))"), F.col("_head")).alias("edited"))
 
 
 def fingerprint_documents(docs: DataFrame, k: int = K, bins: int = BINS, keep: int = KEEP) -> DataFrame:
@@ -139,7 +140,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K, bins: int = BINS, keep: i
     following = done.select(F.col("_row").alias("_next"), F.col("_ts").alias("_ns"))
     return done.join(following, "_next").select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_ts")).alias("fingerprint"), fingerprint(F.col("_es")).alias("edited_fingerprint"),
-        likeness(F.col("_ts"), F.col("_es")).alias("near_edited"), likeness(F.col("_ts"), F.col("_ns")).alias("near_next"))
+        likeness(F.col("_ts"), F.col("_es")).alias("near_edited"), likeness(F.col("_ts"), F.col("_ns")).alias("near_next"), "next_doc_id")
 
 
 def op8_order_minhash(spark, sf_dir):

@@ -23,37 +23,43 @@ BUCKET_ROWS = 2048
 BROADCAST_PARTITIONS = 100_000
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _hypergeometric(total: Column, good: Column, n: Column, u: Column) -> Column:
     """How many of ``n`` rows drawn without replacement from ``total`` are among
     the ``good``.  Inverse of the distribution function, walked over the support
     within 12 standard deviations of the mode (the rest is below 1e-30); weights
     come from the ratio of neighbours, so no factorials are needed."""
     d = lambda c: c.cast("double")
+    none = F.array().cast("array<bigint>")
     low = F.greatest(F.lit(0).cast("long"), n - (total - good))
-    high = F.least(n, good)
-    mode = F.floor((d(n) + 1) * (d(good) + 1) / (d(total) + 2)).cast("long")
-    mode = F.least(F.greatest(mode, low), high)
-    spread = F.sqrt(d(n) * d(good) / F.greatest(d(total), F.lit(1.0)) * (1 - d(good) / F.greatest(d(total), F.lit(1.0))))
-    reach = F.ceil(spread * 12 + 12).cast("long")
-    first, last = F.greatest(low, mode - reach), F.least(high, mode + reach)
+    mode = F.least(F.greatest(F.floor((d(n) + 1) * (d(good) + 1) / (d(total) + 2)).cast("long"), low), F.least(n, good))
+    share = d(good) / d(total)
+    reach = F.ceil(F.sqrt(d(n) * share * (1 - share)) * 12 + 12).cast("long")
+    around = F.struct(F.greatest(low, mode - reach).alias("first"), mode.alias("mode"), F.least(n, good, mode + reach).alias("last"))
 
     def up(k: Column) -> Column:  # weight(k) / weight(k - 1)
         return d(good - k + 1) * d(n - k + 1) / (d(k) * d(total - good - n + k))
 
-    zero = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"))
-    step = lambda ratio: lambda a, k: F.struct((a["w"] * ratio(k)).alias("w"), (a["sum"] + a["w"] * ratio(k)).alias("sum"))
-    none = F.array().cast("array<bigint>")
-    above = F.aggregate(F.when(last > mode, F.sequence(mode + 1, last)).otherwise(none), zero, step(up))["sum"] - 1.0
-    down = F.aggregate(F.when(first < mode, F.sequence(mode, first + 1, F.lit(-1).cast("long"))).otherwise(none), zero, step(lambda k: 1.0 / up(k)))
-    # w of the lowest k, from which the walk up starts
-    want = u * (above + down["sum"])
-    seen = F.struct(down["w"].alias("w"), down["w"].alias("sum"), first.alias("k"))
+    def weigh(ks: Column, ratio) -> Column:  # the last weight and the sum, from 1 at the mode
+        return F.aggregate(ks, F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum")), lambda a, k: _let(a["w"] * ratio(k), lambda w: F.struct(w.alias("w"), (a["sum"] + w).alias("sum"))))
+
+    def invert(x: Column) -> Column:
+        down = weigh(F.when(x["first"] < x["mode"], F.sequence(x["mode"], x["first"] + 1, F.lit(-1).cast("long"))).otherwise(none), lambda k: 1.0 / up(k))
+        above = weigh(F.when(x["last"] > x["mode"], F.sequence(x["mode"] + 1, x["last"])).otherwise(none), up)["sum"] - 1.0
+        bounds = _let(down, lambda y: F.struct(y["w"].alias("w"), (u * (y["sum"] + above)).alias("want")))
+
+        def walk(y: Column) -> Column:  # up from the first k until the sum passes what is wanted
+            start = F.struct(y["w"].alias("w"), y["w"].alias("sum"), x["first"].alias("k"))
+            ks = F.when(x["last"] > x["first"], F.sequence(x["first"] + 1, x["last"])).otherwise(none)
+            return F.aggregate(ks, start, lambda a, k: _let(a["w"] * up(k), lambda w: F.struct(w.alias("w"), (a["sum"] + w).alias("sum"), F.when(a["sum"] <= y["want"], k).otherwise(a["k"]).alias("k"))))["k"]
 
-    def walk(a: Column, k: Column) -> Column:
-        w = a["w"] * up(k)
-        return F.struct(w.alias("w"), (a["sum"] + w).alias("sum"), F.when(a["sum"] <= want, k).otherwise(a["k"]).alias("k"))
+        return _let(bounds, walk)
 
-    return F.aggregate(F.when(last > first, F.sequence(first + 1, last)).otherwise(none), seen, walk)["k"]
+    return _let(around, invert)
 
 
 def _deal(caps: Column, n: Column, shards: int, seed: int, level: str, key: Column) -> Column:
@@ -65,8 +71,7 @@ def _deal(caps: Column, n: Column, shards: int, seed: int, level: str, key: Colu
         good = F.element_at(caps, s + 1)
         k = F.when(a["n"] <= 0, F.lit(0).cast("long")).when(a["total"] <= good, a["n"]).otherwise(
             _hypergeometric(a["total"], good, a["n"], uniform(F.lit(seed), F.lit(level), key, s)))
-        # the draw is used three times: a one-element array holds it
-        return F.transform(F.array(k), lambda x: F.struct((a["total"] - good).alias("total"), (a["n"] - x).alias("n"), F.concat(a["out"], F.array(x)).alias("out")))[0]
+        return _let(k, lambda x: F.struct((a["total"] - good).alias("total"), (a["n"] - x).alias("n"), F.concat(a["out"], F.array(x)).alias("out")))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(shards - 1)), start, one)["out"]
 
@@ -76,9 +81,9 @@ def _fold(items: Column, caps: Column, shards: int, seed: int, level: str) -> Co
     start = F.struct(caps.alias("caps"), F.array().cast("array<struct<id:bigint,n:bigint,deal:array<bigint>>>").alias("rows"))
 
     def one(a: Column, x: Column) -> Column:
-        return F.transform(F.array(_deal(a["caps"], x["n"], shards, seed, level, x["id"])), lambda d: F.struct(
+        return _let(_deal(a["caps"], x["n"], shards, seed, level, x["id"]), lambda d: F.struct(
             F.zip_with(a["caps"], d, lambda c, y: c - y).alias("caps"),
-            F.concat(a["rows"], F.array(F.struct(x["id"].alias("id"), x["n"].alias("n"), d.alias("deal")))).alias("rows")))[0]
+            F.concat(a["rows"], F.array(F.struct(x["id"].alias("id"), x["n"].alias("n"), d.alias("deal")))).alias("rows")))
 
     return F.aggregate(items, start, one)["rows"]
 

@@ -8,9 +8,15 @@ from collections.abc import Callable
 #: (query, module, SQL constant or None)
 _ALL = [
     ("op1_packing", "packing", None),
+    ("op2_decontamination", "decontaminate", None),
     ("op3_sharding", "sharding", None),
+    ("op4_quality", "quality", None),
+    ("op5_chat", "chat", None),
+    ("op6_maxent", "maxent", None),
     ("op7_warc", "warc", "OP7_SQL"),
     ("op8_order_minhash", "order_minhash", None),
+    ("op9_toxicity", "toxicity", None),
+    ("op10_jaccard", "jaccard", "OP10_SQL"),
 ]
 
 

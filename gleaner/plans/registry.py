@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, entries, extract, learn, memory, metrics, pack, projects, retrieve
+from ..operators import corpus, entries, evidence, extract, learn, memory, metrics, pack, projects, retrieve
 from ..sources import derived as D
 from ..sources.derived import with_tables
 
@@ -587,3 +587,178 @@ def _(s, d):
 def _(s, d):
     roots = s.read.parquet(f"{d}/nation.parquet").where("n_nationkey < 2").select(F.expr("if(n_nationkey = 0, 'fr', 'en/src1')").alias("allowed"))
     return projects.allowed(D.files(s, d).select("path"), roots)
+
+
+# Requests, lookups and rollups -----------------------------------------------------
+_RAW = ", raw AS (SELECT event_id AS request_id, CASE WHEN candidates % 3 = 0 THEN ' ' WHEN candidates % 3 = 1 THEN operation END AS prompt, CASE WHEN candidates % 2 = 0 THEN route END AS task, CASE WHEN candidates % 5 = 0 THEN 'LEAN' WHEN candidates % 5 = 1 THEN 'odd' END AS profile FROM event_log) "
+
+
+def _raw(s, d):
+    return D.event_log(s, d).selectExpr("event_id as request_id", "case when candidates % 3 = 0 then ' ' when candidates % 3 = 1 then operation end as prompt", "case when candidates % 2 = 0 then route end as task", "case when candidates % 5 = 0 then 'LEAN' when candidates % 5 = 1 then 'odd' end as profile")
+
+
+@add("s14_request_checks", with_tables("event_log", query=_RAW + "SELECT request_id, coalesce(nullif(trim(prompt), ''), nullif(trim(task), '')) AS prompt, lower(profile) AS profile, CASE WHEN coalesce(nullif(trim(prompt), ''), nullif(trim(task), '')) IS NULL THEN 'missing_prompt' WHEN lower(profile) NOT IN ('lean', 'minimal', 'compact', 'normal', 'verbose') THEN 'unknown_profile' END AS reason FROM raw").replace(") , raw", "), raw"))
+def _(s, d):
+    return evidence.checked_requests(_raw(s, d))
+
+
+@add("s15_profile", with_tables("event_log", query="SELECT event_id, coalesce(CASE WHEN candidates % 4 = 0 THEN 'lean' END, CASE route WHEN 'test' THEN 'minimal' WHEN 'debug' THEN 'normal' END, 'compact') AS profile FROM event_log"))
+def _(s, d):
+    client = F.expr("case route when 'test' then 'terminal' when 'debug' then 'editor' end")
+    return D.event_log(s, d).select("event_id", evidence.effective_profile(F.expr("if(candidates % 4 = 0, 'lean', null)"), client).alias("profile"))
+
+
+@add("p04_safe_paths", with_tables("files", query=", p AS (SELECT doc_id, string_split((['', '../', 'a/../../', 'a/../'])[doc_id % 4 + 1] || path, '/') AS g FROM files), e AS (SELECT doc_id, unnest(g) AS x, unnest(range(len(g))) AS i FROM p), r AS (SELECT doc_id, sum(CASE WHEN x = '..' THEN -1 WHEN x IN ('', '.') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS depth FROM e) SELECT doc_id, min(depth) >= 0 AS safe FROM r GROUP BY 1").replace(") , p AS", "), p AS"))
+def _(s, d):
+    path = F.concat(F.expr("element_at(array('', '../', 'a/../../', 'a/../'), cast(doc_id % 4 + 1 as int))"), "path")
+    return D.files(s, d).select("doc_id", corpus.is_safe(path).alias("safe"))
+
+
+_SIGNALS = "WITH g AS (SELECT conv_id, unnest([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in T.INJECTIONS.items()) + "]) AS c FROM conversations) "
+
+
+def _signals(s, d):
+    return s.read.parquet(f"{d}/conversations.parquet").select("conv_id", T.injection_signals(F.col("text")).alias("categories"))
+
+
+@add("t06_merged_categories", _SIGNALS + "SELECT conv_id, count(c) > 0 AS redacted, count(c) AS count, coalesce(string_agg(DISTINCT c, ',' ORDER BY c), '') AS categories FROM g GROUP BY 1")
+def _(s, d):
+    return evidence.merged_categories(_signals(s, d), "conv_id")
+
+
+@add("c13_signal_counts", _SIGNALS + "SELECT conv_id, c AS category, count(*) AS n FROM g WHERE c IS NOT NULL GROUP BY ALL")
+def _(s, d):
+    return evidence.signal_counts(_signals(s, d), "conv_id")
+
+
+@add("t13_path_like", "SELECT page_id, CASE WHEN contains(q, '/') OR contains(q, '\\') OR regexp_matches(q, '\\.[A-Za-z0-9_]{1,12}$') THEN regexp_replace(replace(trim(q), '\\', '/'), '^(\\./)+', '') ELSE '' END AS path FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN './' || url ELSE 'page ' || page_id END AS q FROM pages)")
+def _(s, d):
+    q = F.expr("if(page_id % 2 = 0, './' || url, 'page ' || page_id)")
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", T.path_like(q).alias("path"))
+
+
+@add("t15_canonical_path", _FILES + "SELECT doc_id, path FROM files")
+def _(s, d):
+    return D.files(s, d).select("doc_id", T.canonical_path(F.concat(F.lit("./"), F.translate("path", "/", "\\"))).alias("path"))
+
+
+@add("t16_local_uri", _FILES + "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN '/' || path END AS path FROM files")
+def _(s, d):
+    uri = F.expr("case doc_id % 3 when 0 then 'file:///' when 1 then 'file://localhost/' else 'http://h/' end || replace(path, '_', '%5F')")
+    return D.files(s, d).select("doc_id", T.local_uri_path(uri).alias("path"))
+
+
+@add("t19_hit_ratio", with_tables("event_log", query="SELECT route, coalesce(round(count(*) FILTER (cache_hit) / count(*), 4), 0) AS ratio FROM event_log GROUP BY 1"))
+def _(s, d):
+    return D.event_log(s, d).groupBy("route").agg(T.hit_ratio(F.count_if("cache_hit"), F.count_if(~F.col("cache_hit"))).alias("ratio"))
+
+
+_HEAD = ", h AS (SELECT path, (list_filter(list_transform(ls, lambda x, i: {'n': i, 't': trim(x)}), lambda x: x.t <> ''))[1:4] AS h FROM filelines), j AS (SELECT path, h, " + _redact_sql("array_to_string(list_transform(h, lambda x: x.t), chr(10))") + " AS c FROM h) "
+
+
+@add("x05_head_summary", with_tables("filelines", query=_HEAD + f"SELECT path, coalesce(h[1].n, 1)::INT AS start_line, coalesce(h[-1].n, 1)::INT AS end_line, left(coalesce(h[1].t, string_split(path, '/')[-1]), 160) AS title_hint, {_TRIM.format('c', 480, 465)} AS content FROM j").replace(") , h AS", "), h AS"))
+def _(s, d):
+    return extract.head_summary(D.files(s, d))
+
+
+@add("x08_chunk_lookup", with_tables("filelines", query=", w AS (SELECT f.path, (doc_id % 100 + 1)::INT AS line, len(ls) AS n, left(sha256(content), 16) AS t FROM files f JOIN filelines l ON f.path = l.path), c AS (SELECT *, ((line - 1) // 80 * 80 + 1)::INT AS a FROM w WHERE line <= n) SELECT path, line, a AS start_line, least(a + 79, n) AS end_line, 'chk_' || left(sha256(path || ':' || t || ':' || a || ':' || least(a + 79, n)), 16) AS chunk_id FROM c").replace(") , w AS", "), w AS"))
+def _(s, d):
+    f = D.files(s, d)
+    return evidence.chunk_lookup(f, f.select("path", (F.col("doc_id") % 100 + 1).cast("int").alias("line")))
+
+
+@add("x09_snippets", with_tables("filelines", query=", w AS (SELECT f.path, (doc_id % 4 + 1)::INT AS a, " + _redact_sql("array_to_string(ls[greatest(1, doc_id % 4):least(doc_id % 4 + 4, len(ls))], chr(10))") + f" AS c FROM files f JOIN filelines l ON f.path = l.path) SELECT path, a AS start_line, md5({_TRIM.format('c', 4000, 3985)}) AS h FROM w").replace(") , w AS", "), w AS"))
+def _(s, d):
+    f, a = D.files(s, d), (F.col("doc_id") % 4 + 1).cast("int")
+    return extract.snippets(f, f.select("path", a.alias("start_line"), (a + 1).alias("end_line")), 1, 2).select("path", "start_line", F.md5("content").alias("h"))
+
+
+@add("x11_first_match", with_tables("filelines", query="SELECT path, coalesce(nullif(list_position(list_transform(ls, lambda l: contains(lower(l), 'license') OR contains(lower(l), 'que')), true), 0), 1)::INT AS line FROM filelines"))
+def _(s, d):
+    return D.files(s, d).select("path", evidence.first_matching_line(F.col("content"), ["license", "que"]).alias("line"))
+
+
+@add("r11_test_owners", _FILES + "SELECT path AS source, 0 AS pattern, 'tests/test_doc_' || doc_id || '.txt' AS path FROM files WHERE doc_id % 3 = 0 UNION ALL SELECT path, 3, 'test/doc_' || doc_id || '_test.txt' FROM files WHERE doc_id % 5 = 0")
+def _(s, d):
+    f = D.files(s, d).select("doc_id", "path")
+    tests = f.where("doc_id % 3 = 0").selectExpr("'tests/test_doc_' || doc_id || '.txt' as path").unionByName(f.where("doc_id % 5 = 0").selectExpr("'test/doc_' || doc_id || '_test.txt' as path"))
+    return retrieve.test_owner_paths(f.select("path"), f.select("path").unionByName(tests))
+
+
+@add("c05_confidence", _a("SELECT event_id, round(least(0.99, greatest(0.1, elapsed_ms / 14.0)), 3) AS confidence FROM event_log"))
+def _(s, d):
+    return D.event_log(s, d).select("event_id", pack.confidence(F.col("elapsed_ms")).alias("confidence"))
+
+
+@add("c10_baseline_tokens", _a("SELECT operation, (sum(greatest(1, (output_tokens + 3) // 4)) + ceil(sum(candidates) / 4))::BIGINT AS tokens FROM event_log GROUP BY 1"))
+def _(s, d):
+    return evidence.baseline_tokens(D.event_log(s, d).selectExpr("operation", "output_tokens as chars", "candidates as deferred"), "operation")
+
+
+@add("c12_calls_saved", _a("SELECT event_id, selected + CASE WHEN candidates % 2 > 0 THEN 1 ELSE 0 END + CASE WHEN candidates > selected THEN 1 ELSE 0 END AS calls FROM event_log"))
+def _(s, d):
+    return D.event_log(s, d).select("event_id", evidence.calls_saved(F.col("selected"), F.col("candidates") % 2, F.col("candidates") - F.col("selected")).alias("calls"))
+
+
+@add("m02_summary_upsert", with_tables("memory_log", query="SELECT namespace, key, seq, min(written_s) OVER (PARTITION BY namespace, key) AS created_s FROM memory_log QUALIFY row_number() OVER (PARTITION BY namespace, key ORDER BY seq DESC) = 1"))
+def _(s, d):
+    return memory.latest(D.memory_log(s, d), "namespace", "key").select("namespace", "key", "seq", F.unix_timestamp("created_at").alias("created_s"))
+
+
+@add("m09_memory_slice", with_tables("memory_log", "event_log", query=", f AS (SELECT namespace, seq FROM memory_log QUALIFY row_number() OVER (PARTITION BY namespace ORDER BY seq) <= 2), q AS (SELECT DISTINCT event_id AS request_id, unnest(['ns' || (event_id % 7), 'ns' || (candidates % 7)]) AS namespace FROM event_log) SELECT request_id, namespace, seq, row_number() OVER (PARTITION BY request_id ORDER BY namespace, seq) AS rank FROM q JOIN f USING (namespace)").replace(") , f AS", "), f AS"))
+def _(s, d):
+    requests = D.event_log(s, d).selectExpr("event_id as request_id", "array('ns' || (event_id % 7), 'ns' || (candidates % 7)) as namespaces")
+    return evidence.memory_slice(requests, D.memory_log(s, d)).select("request_id", "namespace", "seq", "rank")
+
+
+@add("k06_explain", _k("SELECT key, status, reason FROM st WHERE starts_with(key, 'cache:en:1') ORDER BY key LIMIT 50"))
+def _(s, d):
+    return entries.with_status(D.entries(s, d)).where(F.col("key").startswith("cache:en:1")).select("key", "status", "reason").orderBy("key").limit(50)
+
+
+@add("k07_request_reason", _a("SELECT event_id // 3 AS request_id, CASE WHEN bool_or(cache_hit) THEN 'fragment_hit' WHEN min(cache_reason) = max(cache_reason) THEN min(cache_reason) ELSE 'fragment_miss' END AS reason FROM event_log GROUP BY 1"))
+def _(s, d):
+    return evidence.request_reason(D.event_log(s, d).withColumn("request_id", F.expr("event_id div 3")), "request_id")
+
+
+@add("e01_create", """SELECT 'ref_' || left(sha256('run1:' || doc_id), 24) AS reference_id, sha256(b) AS sha256, strlen(b)::BIGINT AS size_bytes FROM (SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}' AS b FROM documents)""")
+def _(s, d):
+    return evidence.create_references(_DOC(s, d), "run1", "doc_id", "source", "lang", "doc_id")
+
+
+@add("u03_without_negative", _u("SELECT term, route, path_scope FROM ts WHERE NOT EXISTS (SELECT 1 FROM ng WHERE ng.term = ts.term AND ng.route = ts.route AND (ng.path_scope = '.' OR ng.path_scope = ts.path_scope OR starts_with(ts.path_scope, ng.path_scope || '/')))"))
+def _(s, d):
+    stats = learn.term_statistics(D.usage_log(s, d))
+    return learn.without_negative(stats, learn.negative_terms(stats)).select("term", "route", "path_scope")
+
+
+@add("u06_hot_chunks", _a("SELECT operation || '/' || candidates AS path, selected AS anchor, route, count(*) AS n, max(event_id) AS last_seq FROM event_log GROUP BY ALL"))
+def _(s, d):
+    return evidence.hot_chunks(D.event_log(s, d).selectExpr("operation || '/' || candidates as path", "selected as anchor", "route", "event_id as seq"))
+
+
+@add("a04_stage_latency", _a("SELECT operation, stage, count(*) AS n, min(ms) AS min_ms, max(ms) AS max_ms, arg_max(ms, event_id) AS last_ms FROM (SELECT event_id, operation, 'index' AS stage, elapsed_ms AS ms FROM event_log UNION ALL SELECT event_id, operation, 'read', candidates::DOUBLE FROM event_log) GROUP BY ALL"))
+def _(s, d):
+    return evidence.stage_latency(D.event_log(s, d).withColumn("stage_timings", F.expr("map('index', elapsed_ms, 'read', cast(candidates as double))")))
+
+
+@add("a06_a18_fragments", _a("SELECT namespace, sum(h)::BIGINT AS hits, sum(m)::BIGINT AS misses, coalesce(round(sum(h) / nullif(sum(h) + sum(m), 0), 4), 0) AS ratio FROM (SELECT 'file_summary' AS namespace, selected AS h, candidates AS m FROM event_log UNION ALL SELECT cache_namespace, candidates, selected FROM event_log) GROUP BY 1"))
+def _(s, d):
+    return evidence.fragment_totals(D.event_log(s, d).withColumn("fragments", F.expr("map('file_summary', struct(selected as hits, candidates as misses), cache_namespace, struct(candidates as hits, selected as misses))")))
+
+
+@add("a08_snapshot", _a(", t AS (SELECT " + _SUMS + " FROM event_log) SELECT coalesce(round(hits / nullif(hits + misses, 0), 4), 0) AS hit_ratio, round(saved_tokens / n, 4) AS avg_saved, round(candidates / greatest(selected, 1), 4) AS candidates_per_selected FROM t").replace(") , t AS", "), t AS"))
+def _(s, d):
+    return evidence.snapshot(metrics.totals(D.event_log(s, d)))
+
+
+@add("j03_infer_project", with_tables("files", query=", " + _LISTING + ", aa AS (SELECT li.path, arg_min(ro.path, length(ro.path)) AS root FROM li JOIN ro ON starts_with(li.path, ro.path || '/') GROUP BY 1) SELECT length(path) AS hint, CASE WHEN min(root) = max(root) THEN min(root) ELSE 'ambiguous' END AS root FROM aa GROUP BY 1").replace(") , li", "), li").replace(") , aa", "), aa"))
+def _(s, d):
+    listing = _listing(s, d)
+    assigned = projects.assign(listing, projects.discover(listing, ["pyproject.toml"])).select("path", "root")
+    return evidence.infer_project(listing.select("path", F.length("path").alias("hint")), assigned, "hint")
+
+
+@add("j08_prune_project", _FILES + "SELECT project_id, path FROM files WHERE project_id <> 'fr'")
+def _(s, d):
+    return D.files(s, d).where("project_id <> 'fr'").select("project_id", "path")

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import corpus, extract, pack, projects
+from gleaner.operators import corpus, evidence, extract, pack, projects
 from gleaner.streaming import streams
 
 
@@ -94,3 +94,16 @@ def test_event_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
     streams.append_events(stream, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "log")).select("event_id").collect()) == list(range(30))
+
+
+def test_requests_with_nulls(spark):
+    raw = spark.createDataFrame([(1, None, "t", None), (2, " ", None, "LEAN"), (3, "p", "t", "odd")], "request_id int, prompt string, task string, profile string")
+    assert [tuple(r) for r in evidence.checked_requests(raw).orderBy("request_id").collect()] == [(1, "t", None, None), (2, None, "lean", "missing_prompt"), (3, "p", "odd", "unknown_profile")]
+
+
+def test_lookups_and_rollups(spark):
+    assert one(spark, evidence.first_matching_line(F.col("x"), ["b"]), "a\nxB\nb") == 2
+    assert one(spark, evidence.first_matching_line(F.col("x"), ["z"]), "a\nb") == 1
+    rows = spark.createDataFrame([(1, ["b", "a"]), (1, ["a"]), (2, []), (3, None)], "k int, categories array<string>")
+    assert [tuple(r) for r in evidence.merged_categories(rows, "k").orderBy("k").collect()] == [(1, True, 3, "a,b"), (2, False, 0, ""), (3, False, 0, "")]
+    assert sorted(tuple(r) for r in evidence.signal_counts(rows, "k").collect()) == [(1, "a", 2), (1, "b", 1)]

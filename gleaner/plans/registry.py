@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, entries, evidence, extract, learn, memory, metrics, pack, projects, retrieve
+from ..operators import corpus, entries, evidence, extract, learn, lookup, memory, metrics, pack, projects, retrieve
 from ..sources import derived as D
 from ..sources.derived import with_tables
 
@@ -762,3 +762,114 @@ def _(s, d):
 @add("j08_prune_project", _FILES + "SELECT project_id, path FROM files WHERE project_id <> 'fr'")
 def _(s, d):
     return D.files(s, d).where("project_id <> 'fr'").select("project_id", "path")
+
+
+# Lookups, projections and comparisons ---------------------------------------------
+_EXACT = ", ex AS (SELECT item_id AS request_id, path, 10000.0::DOUBLE AS score FROM benchmark JOIN files ON doc_id = item_id WHERE item_id % 2 = 0)"
+_MERGED = ", tr AS (SELECT *, row_number() OVER (PARTITION BY request_id, term ORDER BY part DESC, path) AS rank FROM part JOIN rq USING (term)), mg AS (SELECT request_id, path, CAST(sum(part) AS DOUBLE) AS score FROM tr WHERE rank <= 40 GROUP BY ALL)"
+
+
+def _path_queries(s, d):
+    """Every second request asks for a file by its path, in capitals."""
+    asked = D.requests(s, d).where("request_id % 2 = 0").join(D.files(s, d).select(F.col("doc_id").alias("request_id"), F.upper("path").alias("query")), "request_id")
+    return asked.select("request_id", "query")
+
+
+def _first(hits, n):
+    return retrieve.top(hits, n, "request_id").select("request_id", "rank", "path")
+
+
+@add("r05_exact_path", _BM25 + _EXACT + ", u AS (SELECT request_id, path, max(score) AS score FROM (SELECT request_id, path, CAST(score AS DOUBLE) AS score FROM ranked WHERE rank <= 5 UNION ALL SELECT * FROM ex) GROUP BY ALL) SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, path) AS rank, path FROM u QUALIFY rank <= 5")
+def _(s, d):
+    files = D.files(s, d)
+    return _first(lookup.promote_exact(retrieve.search(files, D.requests(s, d)), _path_queries(s, d), files), 5)
+
+
+@add("r08_lookup_search", _BM25 + _EXACT + _MERGED + ", u AS (SELECT request_id, path, max(score) AS score FROM (SELECT * FROM mg UNION ALL SELECT * FROM ex) GROUP BY ALL) SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, path) AS rank, path FROM u QUALIFY rank <= 5")
+def _(s, d):
+    files, requests = D.files(s, d), D.requests(s, d)
+    parts = retrieve.bm25(files, retrieve.request_terms(requests)).withColumnRenamed("part", "score")
+    merged = retrieve.merge_fragments(retrieve.top(parts, 40, "request_id", "term"))
+    return _first(lookup.promote_exact(merged, _path_queries(s, d), files), 5)
+
+
+_SYM = "filelines", "requests"
+_SYMBOLS = ", sy AS (SELECT path, regexp_extract(lower(line), '[a-z0-9_]{3,}') AS name, line_start, left(line, 40) AS signature FROM (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_start FROM filelines) WHERE line <> ''), st AS (SELECT request_id, unnest(" + _terms("prompt", 8) + ") AS term FROM requests), sh AS (SELECT DISTINCT request_id, path, name, line_start FROM sy JOIN st ON contains(lower(concat_ws(' ', path, name, signature)), term)), sr AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY path, line_start, name) AS rank FROM sh) "
+
+
+def _sym(q):
+    return with_tables(*_SYM, query=_SYMBOLS + q).replace(") , sy AS", "), sy AS")
+
+
+def _symbol_hits(s, d):
+    each = D.files(s, d).select("path", F.posexplode(T.lines(F.col("content"))).alias("i", "line")).where("line <> ''")
+    symbols = each.select("path", F.regexp_extract(F.lower("line"), "[a-z0-9_]{3,}", 0).alias("name"), (F.col("i") + 1).cast("long").alias("line_start"), F.substring("line", 1, 40).alias("signature"))
+    return lookup.symbol_hits(symbols, retrieve.request_terms(D.requests(s, d)))
+
+
+@add("r09_symbol_search", _sym("SELECT request_id, rank, path, name, line_start FROM sr WHERE rank <= 50"))
+def _(s, d):
+    return lookup.first_symbols(_symbol_hits(s, d), 50).select("request_id", "rank", "path", "name", "line_start")
+
+
+@add("r10_related_symbols", _sym(", tg AS (SELECT request_id, arg_min(path, rank) AS target FROM sr WHERE rank <= 3 GROUP BY 1) SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS rank, path, name, 'high' AS confidence FROM sr JOIN tg USING (request_id) WHERE sr.rank <= 20 AND path = target QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY sr.rank) <= 5").replace(") , tg", "), tg").replace("ORDER BY rank) AS rank", "ORDER BY sr.rank) AS rank"))
+def _(s, d):
+    hits = _symbol_hits(s, d)
+    return lookup.related_symbols(hits.groupBy("request_id").agg(F.min("path").alias("path")), hits, 5)
+
+
+@add("p09_minimal_summary", _BM25 + "SELECT request_id, 'coding context: top evidence in ' || string_agg(path, ', ' ORDER BY rank) FILTER (rank <= 3) || '.' || CASE WHEN count(*) > 3 THEN ' ' || (count(*) - 3) || ' lower-ranked items deferred.' ELSE '' END AS summary FROM ranked WHERE rank <= 8 GROUP BY 1")
+def _(s, d):
+    hits = retrieve.search(D.files(s, d), D.requests(s, d), 8)
+    return lookup.minimal_summary(hits.where("rank <= 3"), hits.where("rank > 3"), "coding")
+
+
+@add("p10_lean_content", with_tables("filelines", query=", x AS (SELECT path, content, ls, " + _terms("right(content, 60)", 3) + " AS ts FROM filelines JOIN files USING (path)), y AS (SELECT path, content, ls, list_filter(ls, lambda l: len(list_filter(ts, lambda t: contains(lower(l), t))) > 0) AS ch FROM x), z AS (SELECT path, content, array_to_string(CASE WHEN len(ch) > 0 THEN ch ELSE ls[1:2] END, ' … ') AS c FROM y) SELECT path, CASE WHEN length(content) <= 140 THEN content ELSE " + _TRIM.format("c", 140, 125) + " END AS content FROM z").replace(") , x AS", "), x AS"))
+def _(s, d):
+    return D.files(s, d).select("path", lookup.lean_content(F.col("content"), T.query_terms(F.expr("right(content, 60)"), 3)).alias("content"))
+
+
+@add("u12_selected_with_term", _BM25 + "SELECT request_id, term, count(*) FILTER (contains(lower(path || ' ' || content), term)) AS n FROM rq JOIN ranked USING (request_id) JOIN files USING (path) WHERE rank <= 5 GROUP BY ALL")
+def _(s, d):
+    files, requests = D.files(s, d), D.requests(s, d)
+    items = retrieve.search(files, requests).join(files.select("path", "content"), "path")
+    return lookup.selected_with_term(retrieve.request_terms(requests), items)
+
+
+@add("m11_skill_rows", with_tables("memory_log", query="SELECT seq, 'skills/' || namespace AS namespace FROM memory_log WHERE seq % 3 <> 0 AND written_s + ttl_days * 86400 > 1704200000"))
+def _(s, d):
+    log = D.memory_log(s, d).withColumn("namespace", F.when(F.col("seq") % 3 != 0, F.concat(F.lit("skills/"), "namespace")).otherwise(F.col("namespace")))
+    log = log.withColumn("expires_at", F.timestamp_seconds(F.unix_timestamp("written_at") + F.col("ttl_days") * 86400))
+    return lookup.skill_rows(log, F.timestamp_seconds(F.lit(AS_OF))).select("seq", "namespace")
+
+
+@add("k05_miss_reason", with_tables("entries", query=", m AS (SELECT doc_id, 'ns' || (doc_id % 5) AS namespace, doc_id % 4 AS schema_version, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'sig' || (doc_id % 3) END AS signature, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 8 = 0 THEN 'gone' ELSE lang END AS path FROM documents) SELECT doc_id, CASE WHEN NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace) THEN 'no_compatible_entry' WHEN NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.schema_version >= m.schema_version) THEN 'schema_version_changed' WHEN m.signature <> '' AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.signature = m.signature) THEN 'index_changed' WHEN m.path <> '' AND m.signature <> '' AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.signature = m.signature AND e.project_id = m.path) THEN 'path_changed' WHEN m.path <> '' AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.project_id = m.path) THEN 'path_changed' ELSE 'no_compatible_entry' END AS reason FROM m").replace(") , m AS", "), m AS"))
+def _(s, d):
+    misses = _DOC(s, d).selectExpr("doc_id", "concat('ns', doc_id % 5) as namespace", "doc_id % 4 as schema_version", "if(doc_id % 7 = 0, '', concat('sig', doc_id % 3)) as signature", "case when doc_id % 9 = 0 then '' when doc_id % 8 = 0 then 'gone' else lang end as path")
+    return lookup.miss_reasons(misses, D.entries(s, d).withColumnRenamed("project_id", "path")).select("doc_id", "reason")
+
+
+@add("a16_retrieval_quality", _BM25 + ", an AS (SELECT request_id, path, rank % 4 <> 0 AS required FROM ranked WHERE rank <= 8 AND rank % 2 = 0), it AS (SELECT request_id, path, rank FROM ranked WHERE rank <= 5), j AS (SELECT required, rank FROM an LEFT JOIN it USING (request_id, path)), q AS (SELECT count(*) FILTER (required) AS n, count(*) FILTER (required AND rank <= 3) AS h3, count(*) FILTER (required AND rank <= 5) AS h5, avg(rank) AS mean, count(*) FILTER (required AND rank IS NULL) AS lost FROM j), o AS (SELECT count(*) AS rows, count(*) FILTER (an.path IS NULL) AS noise FROM it LEFT JOIN an USING (request_id, path)) SELECT round(h3 / greatest(1, n), 4) AS anchor_recall_at_3, round(h5 / greatest(1, n), 4) AS anchor_recall_at_5, round(mean, 4) AS first_anchor_rank_avg, round(noise / greatest(1, rows), 4) AS noise_ratio, lost AS required_omissions FROM q, o")
+def _(s, d):
+    hits = retrieve.search(D.files(s, d), D.requests(s, d), 8).withColumnRenamed("request_id", "task")
+    anchors = hits.where("rank % 2 = 0").select("task", "path", F.expr("rank % 4 <> 0").alias("required"))
+    return lookup.retrieval_quality(anchors, hits.where("rank <= 5").select("task", "path", "rank"))
+
+
+@add("a17_cold_and_warm", _a(", r AS (SELECT operation AS case_id, event_id // 2 AS repeat, event_id % 2 AS warm, elapsed_ms, candidates AS hits, selected AS misses, candidates % 3 AS selection FROM event_log), k AS (SELECT case_id, bool_and(same) AS retained FROM (SELECT case_id, repeat, min(selection) = max(selection) AS same FROM r GROUP BY ALL) GROUP BY 1), g AS (SELECT case_id, median(elapsed_ms) FILTER (warm = 0) AS cold, median(elapsed_ms) FILTER (warm = 1) AS hot, sum(hits) FILTER (warm = 1) AS h, sum(misses) FILTER (warm = 1) AS m FROM r GROUP BY 1) SELECT case_id, round(cold, 3) AS cold_median_ms, round(hot, 3) AS warm_median_ms, round((cold - hot) / cold, 4) AS improvement, round(h / (h + m), 4) AS fragment_hit_ratio, retained, h / (h + m) >= 0.6 AND (cold - hot) / cold >= 0.3 AND retained AS passed FROM g JOIN k USING (case_id)").replace(") , r AS", "), r AS"))
+def _(s, d):
+    return lookup.cold_and_warm(D.event_log(s, d).selectExpr("operation as case_id", "event_id div 2 as repeat", "if(event_id % 2 = 1, 'warm', 'cold') as phase", "elapsed_ms", "candidates as hits", "selected as misses", "candidates % 3 as selection"))
+
+
+@add("j04_selection", _a(", q AS (SELECT event_id, CASE WHEN candidates % 5 = 0 THEN 'file:///r' || candidates END AS root_uri, CASE WHEN candidates % 3 = 0 THEN 'p' || (candidates % 7) END AS project_id, candidates % 4 AS v, candidates % 2 = 0 AS i FROM event_log) SELECT event_id AS request_id, CASE WHEN root_uri IS NOT NULL THEN root_uri WHEN q.project_id IS NOT NULL THEN n.project_id WHEN v = 1 THEN 'v1' WHEN v > 1 AND i THEN 'v2' END AS project, CASE WHEN root_uri IS NOT NULL THEN '' WHEN q.project_id IS NOT NULL THEN CASE WHEN n.project_id IS NULL THEN 'unknown_project' ELSE '' END WHEN v = 0 THEN 'project_selection_required' WHEN v > 1 AND NOT i THEN 'ambiguous_project' ELSE '' END AS error FROM q LEFT JOIN (SELECT DISTINCT project_id FROM event_log) n ON q.project_id = n.project_id").replace(") , q AS", "), q AS"))
+def _(s, d):
+    log = D.event_log(s, d)
+    asked = log.selectExpr("event_id as request_id", "if(candidates % 5 = 0, concat('file:///r', candidates), null) as root_uri", "if(candidates % 3 = 0, concat('p', candidates % 7), null) as project_id",
+                           "slice(array('v1', 'v2', 'v3'), 1, cast(candidates % 4 as int)) as visible", "if(candidates % 2 = 0, 'v2', null) as inferred")
+    return lookup.resolve(asked, log.select("project_id"))
+
+
+@add("j05_listing", _FILES + ", u AS (SELECT source AS project_id, 'v/' || source AS root, 0 AS k, 'visible' AS origin FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source, 'k/' || lang, 1, 'known' FROM documents UNION ALL SELECT project_id, 'd/' || project_id, 2, 'discovered' FROM files) SELECT project_id, m.root AS root, m.origin AS origin FROM (SELECT project_id, min({'k': k, 'root': root, 'origin': origin}) AS m FROM u GROUP BY 1)".replace(") , u AS", "), u AS"))
+def _(s, d):
+    docs = _DOC(s, d)
+    return lookup.project_listing(docs.selectExpr("source as project_id", "concat('k/', lang) as root"), D.files(s, d).selectExpr("project_id", "concat('d/', project_id) as root"), docs.where("doc_id % 2 = 0").selectExpr("source as project_id", "concat('v/', source) as root"))

@@ -107,3 +107,23 @@ def test_lookups_and_rollups(spark):
     rows = spark.createDataFrame([(1, ["b", "a"]), (1, ["a"]), (2, []), (3, None)], "k int, categories array<string>")
     assert [tuple(r) for r in evidence.merged_categories(rows, "k").orderBy("k").collect()] == [(1, True, 3, "a,b"), (2, False, 0, ""), (3, False, 0, "")]
     assert sorted(tuple(r) for r in evidence.signal_counts(rows, "k").collect()) == [(1, "a", 2), (1, "b", 1)]
+
+
+def test_lookups_and_reasons(spark):
+    from gleaner.operators import lookup
+
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    hits = table([(1, "a/x.py", 2.0), (2, "b.py", 1.0)], "request_id int, path string, score double")
+    asked = table([(1, "A/Y.py"), (2, None), (3, "plain words")], "request_id int, query string")
+    files = table([("a/x.py",), ("a/y.py",), (None,)], "path string")
+    got = {(r[0], r[1]): r[2] for r in lookup.promote_exact(hits, asked, files).collect()}
+    assert got == {(1, "a/x.py"): 2.0, (1, "a/y.py"): 10_000.0, (2, "b.py"): 1.0}
+    entries = table([("n", 2, "s", "p"), ("n", 1, "t", "q"), (None, 9, "s", "p")], "namespace string, schema_version int, signature string, path string")
+    misses = table([("n", 3, "s", "p"), ("n", 1, "z", "p"), ("n", 1, "s", "q"), ("n", 1, "", "q"), ("m", 1, "s", "p"), (None, 1, "s", "p")], "namespace string, schema_version int, signature string, path string")
+    reasons = {tuple(r)[:4]: r["reason"] for r in lookup.miss_reasons(misses, entries).collect()}
+    assert list(map(reasons.get, map(tuple, misses.collect()))) == ["schema_version_changed", "index_changed", "path_changed", "no_compatible_entry", "no_compatible_entry", "no_compatible_entry"]
+    symbols = table([("a/x.py", "load", 1, "def load"), ("b/x.txt", "loader", 2, "loader"), ("c.py", None, 3, None)], "path string, name string, line_start int, signature string")
+    found = lookup.symbol_hits(symbols, table([(1, "load"), (2, "zzz")], "request_id int, term string"))
+    related = lookup.related_symbols(table([(1, "a/x.py")], "request_id int, path string"), found, 5).orderBy("rank").collect()
+    assert [(r["path"], r["confidence"]) for r in related] == [("a/x.py", "high"), ("b/x.txt", "medium")]
+    assert lookup.symbol_hits(symbols.limit(0), table([(1, "load")], "request_id int, term string")).isEmpty()

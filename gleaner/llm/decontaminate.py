@@ -1,15 +1,12 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit check.
-
-Texts and items are sequences of folded words.  The CGK random walk copies a
-sequence symbol by symbol and steps on by a random bit that depends on the symbol
-and the step, so that sequences at a small edit distance give embeddings at a small
-Hamming distance.  A table of the LSH samples a few places of the embedding; an
-item-sized window of a text is a candidate for an item if they agree in one of the
-tables, and is reported if an exact alignment finds the item within its edit limit.
-
-Windows are laid only where the text has enough of an item's word pairs near one
-diagonal.  Within k edits an item of n words keeps n - 1 - 2k of its pairs, so this
-loses no match, and it keeps the walk off the rest of the text.
+"""Benchmark decontamination: word pairs near one diagonal, exact edit check.
+
+Texts and items are sequences of folded words.  Within k edits an item of n words
+keeps n - 1 - 2k of its word pairs, on diagonals that differ by k at most, so a text
+that holds it has at least half of them in one of two neighbouring bands of
+diagonals.  Each band with so many is aligned exactly, over all places that a match
+with a pair in the band can take: no match within the limit is lost, whatever the
+item's length and the kind of edits.  (A CGK walk with sampled keys stood between the
+two steps; it cost more than the alignment and lost edited passages.)
 """
 
 from __future__ import annotations
@@ -26,10 +23,6 @@ from .common import LOWER, UPPER, worker_cache
 
 #: Edits allowed for each word of an item.
 EDIT_SHARE = 0.25
-#: Places that a table samples, and tables.  At the edit limit a sampled place
-#: agrees with probability 0.4 or more: 1 - (1 - 0.4**2)**32 is above 0.99.
-SAMPLES, TABLES = 2, 32
-SEED = 20240607
 #: Items that one pass over the documents carries.
 ITEM_BLOCK = 20_000
 CACHE_WORDS = 400_000
@@ -57,30 +50,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def embed(words: np.ndarray, steps: int, tables: int = TABLES) -> np.ndarray:
-    """The CGK walks of ``words``, one for each table: (tables, steps) symbols; 0
-    where the walk is past the end."""
-    padded = np.append(words, np.uint64(0))
-    place, out = np.zeros(tables, np.int64), np.empty((tables, steps), np.uint64)
-    salt = _mix(np.arange(SEED, SEED + tables, dtype=np.uint64))
-    for step in range(steps):
-        symbol = padded[place]
-        out[:, step] = symbol
-        bit = _mix(symbol ^ (salt + np.uint64(step * int(_PAIR) & (1 << 64) - 1))) >> np.uint64(63)
-        place = np.minimum(place + bit.astype(np.int64), len(words))
-    return out
-
-
-def table_keys(words: np.ndarray, size: int) -> np.ndarray:
-    """The LSH keys of a window for items of ``size`` words: sampled places of each
-    table's walk (twice the size is where a walk ends on average)."""
-    rng = np.random.default_rng(SEED + size)
-    places = rng.integers(0, max(1, 2 * size), (TABLES, SAMPLES))
-    walk = embed(words, int(places.max()) + 1)
-    key = np.zeros(TABLES, np.uint64)
-    for k in range(SAMPLES):
-        key = _mix(key ^ walk[np.arange(TABLES), places[:, k]])
-    return key
+def least_edits(item: np.ndarray, text: np.ndarray) -> int:
+    """The least edit distance of ``item`` to a part of ``text``: a column of the
+    alignment at a time, as the bits of two whole numbers (Myers, 1999)."""
+    places: dict[int, int] = {}
+    for i, w in enumerate(item.tolist()):
+        places[w] = places.get(w, 0) | 1 << i
+    every, last = (1 << len(item)) - 1, 1 << len(item) - 1
+    up, down, distance = every, 0, len(item)
+    least = distance
+    for w in text.tolist():
+        same = places.get(w, 0)
+        flat = (((same & up) + up) ^ up) | same | down
+        more, less = down | (every & ~(flat | up)), up & flat
+        distance += bool(more & last) - bool(less & last)
+        least = min(least, distance)
+        vertical = same | down
+        more, less = more << 1 & every, less << 1 & every
+        up, down = less | (every & ~(vertical | more)), more & vertical
+    return least
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -104,7 +92,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Index:
-    """Items' word pairs and LSH keys."""
+    """Items' word pairs."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.items = [(i, w, int(EDIT_SHARE * len(w))) for i, t in items if len(w := word_hashes(t))]
@@ -117,7 +105,6 @@ class Index:
         self.pair, self.item, self.at = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (pair, item, at))
         order = np.argsort(self.pair, kind="stable")
         self.pair, self.item, self.at = self.pair[order], self.item[order], self.at[order]
-        self.keys = [table_keys(w, len(w)) for _, w, _ in self.items]
 
     @staticmethod
     def pairs(w: np.ndarray) -> np.ndarray:
@@ -129,8 +116,9 @@ class Index:
         if not len(w) or not self.items:
             return []
         p = self.pairs(w)
-        if any(len(x) == 1 for _, x, _ in self.items):
-            p = np.concatenate([p, w]) if len(w) > 1 else w
+        place = np.arange(len(p))
+        if len(w) > 1 and any(len(x) == 1 for _, x, _ in self.items):
+            p, place = np.concatenate([p, w]), np.r_[place, np.arange(len(w))]
         low = np.searchsorted(self.pair, p, "left")
         hit = np.flatnonzero(self.pair[np.minimum(low, len(self.pair) - 1)] == p)
         if not len(hit):
@@ -138,7 +126,7 @@ class Index:
         low, n = low[hit], np.searchsorted(self.pair, p[hit], "right") - low[hit]
         rows = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         item, at = self.item[rows], self.at[rows]
-        diagonal = np.repeat(hit % len(w), n) - at
+        diagonal = np.repeat(place[hit], n) - at
         found = []
         by_item = np.argsort(item, kind="stable")
         item, diagonal, at = item[by_item], diagonal[by_item], at[by_item]
@@ -156,18 +144,14 @@ class Index:
             best = None
             for band in bands[count >= kept]:
                 inside = diagonal[a:b][band_of == band]
-                starts, votes = np.unique(inside, return_counts=True)
-                # windows at the diagonals that most pairs are on
-                for s in starts[np.argsort(-votes, kind="stable")[:4]]:
-                    s = max(0, int(s))
-                    window = w[s : s + size]
-                    if not (table_keys(window, size) == self.keys[k]).any():
-                        continue
-                    left = max(0, s - edits)
-                    d, x, y = align(words, w[left : s + size + edits])
-                    if d <= edits and (best is None or (d, left + x) < best[:2]):
-                        best = (d, left + x, left + y)
-                    break
+                # all places of a match that has one of these pairs
+                left = max(0, int(inside.min()) - edits)
+                region = w[left : int(inside.max()) + size + edits]
+                if least_edits(words, region) > edits:
+                    continue
+                d, x, y = align(words, region)
+                if best is None or (d, left + x) < best[:2]:
+                    best = (d, left + x, left + y)
             if best:
                 found.append((name, *best, size))
         return found

@@ -258,3 +258,28 @@ def test_order_minhash(docs, empty):
     want = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
     assert next(r for r in got if r["doc_id"] == 10)["edited_sha256"] == hashlib.sha256(want.encode()).hexdigest()
     assert order_minhash.fingerprint_documents(empty).count() == 0
+
+
+def test_long_edited_items_are_all_found():
+    import numpy as np
+
+    rnd = random.Random(12)
+    for _ in range(300):
+        item, text = (np.array([rnd.randrange(6) for _ in range(rnd.randint(1, n))], np.uint64) for n in (20, 40))
+        assert decontaminate.least_edits(item, text) == decontaminate.align(item, text)[0]
+    lost = []
+    for size, share, kind in itertools.product((60, 80, 120, 200), (0.15, 0.25), ("insert", "delete", "substitute")):
+        for trial in range(8):
+            words = [f"w{rnd.randrange(5000)}" for _ in range(size)]
+            index = decontaminate.Index([(0, " ".join(words))])
+            places = sorted(rnd.sample(range(size), int(share * size)), reverse=True)
+            for p in places:
+                words[p : p + (kind != "insert")] = [] if kind == "delete" else ["changed"]
+            noise = [[f"n{rnd.randrange(1000)}" for _ in range(rnd.randrange(80))] for _ in range(2)]
+            found = index.find(" ".join(noise[0] + words + noise[1]))
+            if not found or found[0][1] > len(places):
+                lost.append((size, share, kind, trial))
+    assert not lost
+    one = decontaminate.Index([("a", "lone"), ("b", "two words")])
+    assert one.find("x y lone two words") == [("a", 0, 2, 3, 1), ("b", 0, 3, 5, 2)]
+    assert one.find("lone x") == [("a", 0, 0, 1, 1)]

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from .common import stage
 
-K, BINS, KEEP = 2, 32, 2
+K, BINS, KEEP = 2, 64, 2
 #: A numbered k-mer is one long: hash bits above, word position below.
 POSITION_BITS = 24
 HASH_BITS = 39
@@ -89,9 +89,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(bins == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / bins)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` plus row ids: (_row, doc_id, text, _chars, _next,
-    _previous, _previous_chars).  The order is by doc_id over the whole table: a
+def with_next(docs: DataFrame, k: int = K, bins: int = BINS, keep: int = KEEP) -> DataFrame:
+    """``docs(doc_id, text)`` plus row ids and signatures: (_row, doc_id, text, _ts,
+    _chars, _previous, _previous_chars).  The order is by doc_id over the whole table: a
     range exchange of ids alone, ranks within its partitions, and their ends
     joined up by a table of one row for each partition.
 
@@ -102,28 +102,27 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = [F.col("doc_id").asc_nulls_last(), F.col("_row")]
     ranged = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = stage(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()), "id-order")
-    ends = placed.groupBy("_part").agg(F.min("_at").alias("first_at"), F.max("_at").alias("last_at"))
+    ends = placed.groupBy("_part").agg(F.max("_at").alias("last_at"))
     edge = lambda at, side: placed.select(F.col("_at").alias(at), F.col("_row").alias(f"{side}_row"), F.col("_chars").alias(f"{side}_chars"))
-    ends = ends.join(edge("first_at", "first"), "first_at").join(edge("last_at", "last"), "last_at").select("_part", "first_row", "last_row", "last_chars")
-    # One row a partition: after the last comes the first.
+    ends = ends.join(edge("last_at", "last"), "last_at").select("_part", "last_row", "last_chars")
+    # One row a partition: before the first comes the last.
     ring = Window.orderBy("_part")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("_part", F.coalesce(F.lead("first_row").over(ring), F.first("first_row").over(whole)).alias("after"),
-                       F.coalesce(F.lag("last_row").over(ring), F.last("last_row").over(whole)).alias("before"), F.coalesce(F.lag("last_chars").over(ring), F.last("last_chars").over(whole)).alias("before_chars"))
+    ends = ends.select("_part", F.coalesce(F.lag("last_row").over(ring), F.last("last_row").over(whole)).alias("before"), F.coalesce(F.lag("last_chars").over(ring), F.last("last_chars").over(whole)).alias("before_chars"))
     within = Window.partitionBy("_part").orderBy("_at")
-    linked = placed.select("_row", "_part", "_chars", F.lead("_row").over(within).alias("n"), F.lag("_row").over(within).alias("p"), F.lag("_chars").over(within).alias("c")).join(ends, "_part")
-    links = linked.select("_row", "_chars", F.coalesce("n", "after").alias("_next"), F.coalesce("p", "before").alias("_previous"), F.coalesce("c", "before_chars").alias("_previous_chars"))
-    return rows.join(links, "_row")
+    linked = placed.select("_row", "_part", "_chars", F.lag("_row").over(within).alias("p"), F.lag("_chars").over(within).alias("c")).join(ends, "_part")
+    links = linked.select("_row", "_chars", F.coalesce("p", "before").alias("_previous"), F.coalesce("c", "before_chars").alias("_previous_chars"))
+    return signatures(rows, "text", "_ts", k, bins, keep).join(links, "_row")
 
 
-def edited(docs: DataFrame) -> DataFrame:
-    """Each row with its edited text: the second half of its code points gives way
-    to the first as many of the next document."""
-    rows = with_next(docs)
+def edited(docs: DataFrame, k: int = K, bins: int = BINS, keep: int = KEEP) -> DataFrame:
+    """Each row with its edited text (the second half of its code points gives way
+    to the first as many of the next document), its signature and the next's."""
+    rows = with_next(docs, k, bins, keep)
     # Both sides read the same columns of ``rows``, so its exchange of texts is made once.
-    heads = rows.select(F.col("_previous").alias("_row"), F.col("doc_id").alias("next_doc_id"), F.expr("substring(text, 1, cast(_previous_chars div 2 as int))").alias("_head"))
+    heads = rows.select(F.col("_previous").alias("_row"), F.col("doc_id").alias("next_doc_id"), F.col("_ts").alias("_ns"), F.expr("substring(text, 1, cast(_previous_chars div 2 as int))").alias("_head"))
     joined = rows.join(heads, "_row")
-    return joined.select("_row", "_next", "doc_id", "next_doc_id", "text", F.col("_chars").alias("n_chars"), F.concat(F.expr("substring(text, 1, cast(_chars - _chars div 2 as int))"), F.col("_head")).alias("edited"))
+    return joined.select("doc_id", "next_doc_id", "_ts", "_ns", F.col("_chars").alias("n_chars"), F.concat(F.expr("substring(text, 1, cast(_chars - _chars div 2 as int))"), F.col("_head")).alias("edited"))
 
 
 def fingerprint_documents(docs: DataFrame, k: int = K, bins: int = BINS, keep: int = KEEP) -> DataFrame:
@@ -134,11 +133,8 @@ def fingerprint_documents(docs: DataFrame, k: int = K, bins: int = BINS, keep: i
     repeated ones in input order; texts of any length are taken whole (k-mers
     beyond 2**24 words share position numbers); an empty table gives no rows.
     """
-    both = edited(docs)
-    done = signatures(signatures(both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), "edited", "_es").drop("edited"), "text", "_ts").drop("text")
-    done = stage(done, "order-minhash")
-    following = done.select(F.col("_row").alias("_next"), F.col("_ts").alias("_ns"))
-    return done.join(following, "_next").select(
+    both = edited(docs, k, bins, keep).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    return signatures(both, "edited", "_es", k, bins, keep).select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_ts")).alias("fingerprint"), fingerprint(F.col("_es")).alias("edited_fingerprint"),
         likeness(F.col("_ts"), F.col("_es")).alias("near_edited"), likeness(F.col("_ts"), F.col("_ns")).alias("near_next"), "next_doc_id")
 

@@ -283,3 +283,18 @@ def test_long_edited_items_are_all_found():
     one = decontaminate.Index([("a", "lone"), ("b", "two words")])
     assert one.find("x y lone two words") == [("a", 0, 2, 3, 1), ("b", 0, 3, 5, 2)]
     assert one.find("lone x") == [("a", 0, 0, 1, 1)]
+
+
+def test_half_edited_texts_keep_a_likeness(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(401))) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = order_minhash.fingerprint_documents(docs).collect()
+    assert sum(r["near_edited"] == 0 for r in got) <= 1
+    assert all(len(r["fingerprint"]) >= 8 * 60 for r in got)
+    prints = {r["doc_id"]: {r["fingerprint"][k : k + 8] for k in range(0, len(r["fingerprint"]), 8)} for r in got}
+    for r in got:
+        mine, following = prints[r["doc_id"]], prints[(r["doc_id"] + 1) % 300]
+        assert r["next_doc_id"] == (r["doc_id"] + 1) % 300
+        assert math.isclose(r["near_next"], len(mine & following) / len({x[:2] for x in mine | following}))

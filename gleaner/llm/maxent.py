@@ -24,13 +24,14 @@ from .common import crc_mod, stage
 
 #: Words with a place of their own among the features; words that are a class each;
 #: classes of other common words and of all further words.
-HEAD, OWN, HEAD_CLASSES, TAIL_CLASSES = 2048, 16, 16, 32
+HEAD, OWN, HEAD_CLASSES, TAIL_CLASSES = 2048, 32, 32, 64
 CLASSES = OWN + HEAD_CLASSES + TAIL_CLASSES
 SYMBOLS = HEAD + TAIL_CLASSES + 1  # the last one stands before the text
 PAIR_ROWS = 1 << 13
 ROWS = 2 * SYMBOLS + PAIR_ROWS
-#: Gradient rounds; round r reads the training texts whose id hash modulo PARTS is r.
-ROUNDS, PARTS, BATCH, RATE = 2, 8, 1024, 0.15
+#: Gradient rounds; round r reads the training texts whose hash modulo PARTS is r, so
+#: that each training text gives gradients in one round.
+PARTS, BATCH, RATE = 8, 1024, 0.15
 #: Characters of text in one chunk.
 CHUNK_CHARS = 8_000_000
 END = " "  # no word has a blank
@@ -165,14 +166,14 @@ def _streams(texts, codes: _Codes):
     return both // CLASSES, both % CLASSES, np.r_[0, np.cumsum(lengths)[:-1]]
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: DataFrame, vocabulary: Vocabulary, parts: int = PARTS) -> tuple[np.ndarray, np.ndarray]:
     """Weights (rows, classes) and bias.  In each round every task starts from the
     shared weights, walks over its texts in batches with AdaGrad steps, and returns
     the change of each row; the changes are averaged by row over the tasks that made any."""
     sc = texts.sparkSession.sparkContext
     weights, bias = np.zeros((ROWS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
 
-    for r in range(rounds):
+    for r in range(parts):
         shared = sc.broadcast((vocabulary.__dict__, weights, bias))
 
         def step(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -209,7 +210,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> tup
                 out.append((row, (total / len(part)).astype("<f4").tobytes()))
             return pd.DataFrame(out, columns=["row", "change"])
 
-        part = texts.where(~F.col("held_out") & (F.pmod(F.xxhash64(F.lit(31), "doc_id", "text"), F.lit(PARTS)) == r)).select("text")
+        part = texts.where(~F.col("held_out") & (F.pmod(F.xxhash64(F.lit(31), "doc_id", "text"), F.lit(parts)) == r)).select("text")
         changes = part.mapInPandas(step, "row long, change binary").groupBy(F.expr("row div 256").alias("block")).applyInPandas(mean, "row long, change binary")
         weights, bias = weights.copy(), bias.copy()
         for x in changes.toLocalIterator():  # ROWS rows at most

@@ -298,3 +298,13 @@ def test_half_edited_texts_keep_a_likeness(spark, tmp_path):
         mine, following = prints[r["doc_id"]], prints[(r["doc_id"] + 1) % 300]
         assert r["next_doc_id"] == (r["doc_id"] + 1) % 300
         assert math.isclose(r["near_next"], len(mine & following) / len({x[:2] for x in mine | following}))
+
+
+def test_every_training_text_gives_gradients(spark):
+    import numpy as np
+
+    words = [f"w{k}" for k in range(32)]
+    texts = spark.createDataFrame([(str(k), f"{w} {w} {w}", k == 31) for k, w in enumerate(words)], "doc_id string, text string, held_out boolean")
+    vocabulary = maxent.Vocabulary([(w, 3) for w in words], np.zeros(maxent.TAIL_CLASSES, np.int64), 96, 32)
+    weights, _ = maxent.train(texts, vocabulary)
+    assert [bool(weights[k].any()) for k in range(32)] == [True] * 31 + [False]

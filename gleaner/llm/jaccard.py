@@ -7,11 +7,10 @@
    shingle that a third of all documents have stays small.
 2. What is left is joined by prefixes in order of rising frequency; classes that
    share a prefix shingle form a cluster, which holds all their links.
-3. In a cluster, the most central set's links are found first: two sets that both
-   link to it are connected and need no further look.  The others are joined with
-   the cluster in blocks: index lists are ordered by set size and skipped to the
-   positions whose sizes allow a link, and the overlaps of a set are derived from
-   those of the similar set before it through the shingles in which they differ.
+3. In a cluster, all sets are joined with all others in pairs of blocks: index lists
+   are ordered by set size and skipped to the positions whose sizes allow a link,
+   and the overlaps of a set are derived from those of the similar set before it
+   through the shingles in which they differ.  Each link comes out once.
 """
 
 from __future__ import annotations
@@ -35,8 +34,9 @@ PERCENT = 75
 CHUNK, BUCKET = 500_000, 250_000
 #: Share of a set, its smallest hashes, that the first step deals out.
 SHARE = 0.4
-#: Sets in one block of a cluster.
-BLOCK_REST, BLOCK_ALL = 256, 1024
+#: Sets in one block of a cluster, and how much (percent) the sizes of two sets may
+#: differ for the second's overlaps to be derived from the first's.
+BLOCK, WIDER = 512, 3
 #: Candidate ids are broadcast up to this many (16 bytes each), joined beyond.
 BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 400_000
@@ -185,33 +185,38 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def block_links(rest: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
     """Links between sets of ``rest`` and of ``others`` (name, tokens ascending).
 
-    The index lists hold places in the order of size, ascending; for each set only
-    the places between its size bounds are read.  Overlaps of a set are those of the
-    set before it, less the lists of shingles it lacks, plus those it has besides,
-    whenever that reads less than starting afresh."""
+    The index lists hold places in the order of size, ascending; each is read from
+    the place of the least size that allows a link to the place of the largest.
+    Overlaps of a set are those of the set before it, less the lists of shingles it
+    lacks, plus those it has besides, whenever that reads less than starting afresh
+    and the places read before (a little more than that set's own) hold all of its."""
     others = sorted(others, key=lambda x: (len(x[1]), x[0]))
-    sizes = np.array([len(x[1]) for x in others])
-    tokens = np.concatenate([x[1] for x in others])
-    places = np.repeat(np.arange(len(others)), sizes)
-    order = np.lexsort((places, tokens))
-    tokens, places = tokens[order], places[order]
+    sizes, many = np.array([len(x[1]) for x in others]), len(others)
+    kinds, kind = np.unique(np.concatenate([x[1] for x in others]), return_inverse=True)
+    entries = np.sort(kind * many + np.repeat(np.arange(many), sizes))
     # similar sets follow each other: sort by size class and least shingles
     rest = sorted(rest, key=lambda x: (x[1][:3].tolist(), len(x[1])))
-    overlap, previous, links = np.zeros(len(others), np.int64), np.empty(0, np.int64), []
+    overlap, previous, links, first, end = np.zeros(many, np.int64), np.empty(0, np.int64), [], 0, 0
 
-    def lists(which: np.ndarray) -> np.ndarray:
-        low, high = np.searchsorted(tokens, which, "left"), np.searchsorted(tokens, which, "right")
-        return np.bincount(np.concatenate([places[a:b] for a, b in zip(low, high, strict=True) if a < b] or [places[:0]]), minlength=len(others))
+    def lists(which: np.ndarray, first: int, end: int) -> np.ndarray:
+        at = np.searchsorted(kinds, which)
+        at = at[kinds[np.minimum(at, len(kinds) - 1)] == which] * many
+        low, high = np.searchsorted(entries, at + first), np.searchsorted(entries, at + end)
+        return np.bincount(np.concatenate([entries[a:b] for a, b in zip(low, high, strict=True) if a < b] or [entries[:0]]) % many, minlength=many)
+
+    def bounds(least: int, most: int) -> tuple[int, int]:
+        return int(np.searchsorted(sizes, need(least), "left")), int(np.searchsorted(sizes, 100 * most // PERCENT, "right"))
 
     for name, s in rest:
+        n = len(s)
+        low, high = bounds(n, n)
         lost, new = np.setdiff1d(previous, s, True), np.setdiff1d(s, previous, True)
-        if len(lost) + len(new) < len(s):
-            overlap = overlap - lists(lost) + lists(new)
+        if first <= low and high <= end and len(lost) + len(new) < n:
+            overlap = overlap - lists(lost, first, end) + lists(new, first, end)
         else:
-            overlap = lists(s)
+            first, end = bounds(n - n * WIDER // 100, n + n * WIDER // 100)
+            overlap = lists(s, first, end)
         previous = s
-        n = len(s)
-        low, high = np.searchsorted(sizes, need(n), "left"), np.searchsorted(sizes, 100 * n // PERCENT, "right")
         ok = low + np.flatnonzero(100 * overlap[low:high] >= PERCENT * (n + sizes[low:high] - overlap[low:high]))
         links += [(name, others[k][0]) for k in ok if others[k][0] != name]
     return links
@@ -220,11 +225,14 @@ def block_links(rest: list[tuple[int, np.ndarray]], others: list[tuple[int, np.n
 def _links_in_blocks(df: pd.DataFrame) -> pd.DataFrame:
     pick = lambda side: [(int(c), np.asarray(t, np.int64)) for c, t in zip(side["class"], side.tokens, strict=True)]
     rest, others = pick(df[df.rest]), pick(df[~df.rest])
-    return pd.DataFrame(block_links(rest, others) if rest and others else [], columns=["a", "b"]).astype("int64")
+    found = pd.DataFrame(block_links(rest, others) if rest and others else [], columns=["a", "b"]).astype("int64")
+    if df.x.iloc[0] == df.y.iloc[0]:  # a block with itself
+        found = found[found.a < found.b]
+    return pd.DataFrame({"a": found.min(axis=1), "b": found.max(axis=1)}).astype("int64")
 
 
 def class_links(docs: DataFrame, described: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes that leave no pair of linked classes unconnected."""
+    """Each pair (a, b) of linked classes once, a < b."""
     wanted = stage(candidates(docs, described), "jaccard-candidates")
     sets = stage(sets_of(docs, wanted), "jaccard-sets")
     each = sets.select("class", F.explode("tokens").alias("t"))
@@ -233,27 +241,37 @@ def class_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     must = F.expr(f"({PERCENT} * n + 99) div 100")
     info = sets.select("class", "n").join(lists, "class").where(F.size("s") >= must)
     # Shingles of one class alone come first in the order; they take n - size(s) places of the prefix.
-    info = info.withColumn("prefix", F.expr(f"slice(s.t, 1, cast(size(s) - ({PERCENT} * n + 99) div 100 + 1 as int))")).withColumn("central", F.aggregate("s", F.lit(0.0), lambda a, x: a + F.log(x["df"].cast("double"))) / F.col("n"))
+    info = info.withColumn("prefix", F.expr(f"slice(s.t, 1, cast(size(s) - ({PERCENT} * n + 99) div 100 + 1 as int))"))
     info = stage(info.drop("s"), "jaccard-prefixes")
     posts = info.select("class", F.explode("prefix").alias("t"))
     least = posts.groupBy("t").agg(F.min("class").alias("m"))
     clusters = components(posts.join(least, "t").where("class <> m").select(F.col("class").alias("a"), F.col("m").alias("b")), "jaccard-clusters")
-    members = stage(clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")).join(info.select("class", "central"), "class").join(sets, "class"), "jaccard-members")
-    chosen = members.groupBy("cluster").agg(F.max(F.struct("central", "class")).alias("x"), F.count("*").alias("all")).select("cluster", F.col("x.class").alias("centre"), "all")
-    centres = chosen.join(members.select(F.col("class").alias("centre"), F.col("n").alias("cn"), F.col("tokens").alias("ct")), "centre")
-    common = F.size(F.array_intersect("tokens", "ct"))
-    met = members.join(centres, "cluster").where("class <> centre").select("class", "cluster", "centre", "n", "cn", common.alias("o"), "all")
-    met = stage(met.withColumn("linked", F.expr(f"100 * o >= {PERCENT} * (n + cn - o)")).drop("n", "cn", "o"), "jaccard-centres")
-    near = met.where("linked").select(F.col("class").alias("a"), F.col("centre").alias("b"))
-    # The others against their whole cluster, block by block.
-    per = met.where("not linked").groupBy("cluster").agg(F.count("*").alias("r"), F.max("all").alias("all"))
-    per = per.select("cluster", F.expr(f"cast(ceil(r / {BLOCK_REST}) as int)").alias("nr"), F.expr(f"cast(ceil(all / {BLOCK_ALL}) as int)").alias("na"))
-    sized = members.select("class", "cluster", "tokens").join(per, "cluster")
-    spread = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "class"), F.col(n)).cast("int")
-    rest = sized.join(met.where("not linked").select("class"), "class", "left_semi").select("class", "cluster", "tokens", spread("nr", 1).alias("x"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("y"), F.lit(True).alias("rest"))
-    whole = sized.select("class", "cluster", "tokens", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("x"), spread("na", 2).alias("y"), F.lit(False).alias("rest"))
-    found = rest.unionByName(whole).groupBy("cluster", "x", "y").applyInPandas(_links_in_blocks, "a long, b long")
-    return near.unionByName(found)
+    members = clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")).join(sets.select("class", "tokens"), "class")
+    # Blocks i <= j of a cluster: those of block i against those of block j.
+    per = clusters.groupBy(F.col("component").alias("cluster")).agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
+    members = stage(members.join(per, "cluster").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "class"), F.col("blocks")).cast("int")), "jaccard-members")
+    rest = members.select("class", "cluster", "tokens", F.col("block").alias("x"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("y"), F.lit(True).alias("rest"))
+    others = members.select("class", "cluster", "tokens", F.explode(F.expr("sequence(0, block)")).alias("x"), F.col("block").alias("y"), F.lit(False).alias("rest"))
+    return rest.unionByName(others).groupBy("cluster", "x", "y").applyInPandas(_links_in_blocks, "a long, b long")
+
+
+def join_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (doc_id, n_shingles, class) of each row, and all pairs (a, b)
+    of linked classes.  Rows link if they are in one class or in two linked ones."""
+    docs = docs.select("doc_id", "text")
+    described = stage(describe(docs), "jaccard-described")
+    return described, stage(class_links(docs.where("doc_id is not null"), described), "jaccard-links")
+
+
+def link_counts(described: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, class, n_links) of each row of ``join_documents``: how many other
+    rows link to it.  Rows with a null doc_id or no shingles link nothing."""
+    rows = described.where("class is not null and doc_id is not null").groupBy("class").agg(F.count("*").alias("rows"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = both.join(rows, F.col("b") == F.col("class")).groupBy("a").agg(F.sum("rows").alias("far"))
+    counts = rows.join(far, F.col("class") == F.col("a"), "left").select("class", (F.col("rows") - 1 + F.coalesce("far", F.lit(0))).alias("n"))
+    linked = F.when(F.col("doc_id").isNotNull(), F.col("n"))
+    return described.join(counts, "class", "left").select("doc_id", "class", F.coalesce(linked, F.lit(0)).cast("long").alias("n_links"))
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -264,9 +282,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     are in one component; a row with a null doc_id gets a null component_id and
     links nothing; an empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
-    described = stage(describe(docs), "jaccard-described")
-    classes = components(class_links(docs.where("doc_id is not null"), described))
+    described, links = join_documents(docs)
+    classes = components(links)
     named = described.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     grouped = named.join(classes, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))

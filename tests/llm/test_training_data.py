@@ -308,3 +308,20 @@ def test_every_training_text_gives_gradients(spark):
     vocabulary = maxent.Vocabulary([(w, 3) for w in words], np.zeros(maxent.TAIL_CLASSES, np.int64), 96, 32)
     weights, _ = maxent.train(texts, vocabulary)
     assert [bool(weights[k].any()) for k in range(32)] == [True] * 31 + [False]
+
+
+def test_all_links_around_a_centre(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rnd = random.Random(15)
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join(base)] + [" ".join(w if k != p else "other" for k, w in enumerate(base)) for p in range(0, 100, 5)]
+    texts += [" ".join(base[: rnd.randrange(60, 100)]) for _ in range(20)] + texts[:3]
+    sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for t in texts]
+    linked = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    described, links = jaccard.join_documents(spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0]), (99, None)], "doc_id long, text string"))
+    of = {r["doc_id"]: r["class"] for r in described.where("doc_id is not null").collect()}
+    got = [tuple(r) for r in links.collect()]
+    want = {(min(x, y), max(x, y)) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if linked(a, b) and (x := of[i]) != (y := of[j])}
+    assert len(got) == len(set(got)) and set(got) == want
+    counts = {r["doc_id"]: r["n_links"] for r in jaccard.link_counts(described, links).collect()}
+    assert counts == {i: sum(linked(a, b) for b in sets) - 1 for i, a in enumerate(sets)} | {None: 0, 99: 0}

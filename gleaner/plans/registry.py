@@ -155,7 +155,7 @@ def _(s, d):
 # T ------------------------------------------------------------------------------
 @add("t01_query_terms", f"SELECT doc_id, array_to_string({_terms('left(text, 2000)', 8)}, ' ') AS terms FROM documents")
 def _(s, d):
-    return _DOC(s, d).select("doc_id", F.array_join(T.query_terms(F.substring("text", 1, 2000)), " ").alias("terms"))
+    return _DOC(s, d).select("doc_id", F.array_join(T.query_terms(F.col("text")), " ").alias("terms"))
 
 
 @add("t02_index_tokens", f"SELECT doc_id, len({_TOKENS.format('text')}) AS n, md5(array_to_string({_TOKENS.format('text')}, ' ')) AS h FROM documents")
@@ -220,7 +220,7 @@ def _(s, d):
 
 @add("t14_reusable_terms", f"SELECT doc_id, array_to_string(list_filter({_terms('left(text, 2000)', 24)}, lambda t: NOT list_contains({_list(T.GENERIC_TERMS)}, t))[1:8], ' ') AS terms FROM documents")
 def _(s, d):
-    return _DOC(s, d).select("doc_id", F.array_join(T.reusable_terms(T.query_terms(F.substring("text", 1, 2000), 24)), " ").alias("terms"))
+    return _DOC(s, d).select("doc_id", F.array_join(T.reusable_terms(T.query_terms(F.col("text"), 24)), " ").alias("terms"))
 
 
 @add("t17_slug", "SELECT url, left(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 40) AS slug FROM pages")

@@ -127,3 +127,13 @@ def test_lookups_and_reasons(spark):
     related = lookup.related_symbols(table([(1, "a/x.py")], "request_id int, path string"), found, 5).orderBy("rank").collect()
     assert [(r["path"], r["confidence"]) for r in related] == [("a/x.py", "high"), ("b/x.txt", "medium")]
     assert lookup.symbol_hits(symbols.limit(0), table([(1, "load")], "request_id int, term string")).isEmpty()
+
+
+def test_terms_of_whole_texts(spark, tmp_path):
+    from gleaner.plans.registry import QUERIES
+
+    text = "same line\n" * 400 + " ".join(f"term{k}" for k in range(30))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {q: QUERIES[q](spark, str(tmp_path)).first()["terms"].split() for q in ("t01_query_terms", "t14_reusable_terms")}
+    assert got["t01_query_terms"] == ["same", "line", *[f"term{k}" for k in range(6)]]
+    assert len(got["t14_reusable_terms"]) == 8

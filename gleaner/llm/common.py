@@ -43,6 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo ``n``; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
@@ -53,9 +61,20 @@ def uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker; tasks of one worker share it."""
+def worker_cache(tenant: str) -> dict:
+    """A dict that lives as long as the Python worker; tasks of one worker share it.
+    It holds what one ``tenant`` (an operator) remembers: when another one's tasks
+    come to a reused worker, what the last one left is forgotten."""
     import sys
     import types
 
-    return sys.modules.setdefault("_gleaner_worker_cache", types.ModuleType("_gleaner_worker_cache")).__dict__
+    held = sys.modules.setdefault("_gleaner_worker_cache", types.ModuleType("_gleaner_worker_cache"))
+    if getattr(held, "tenant", None) != tenant:
+        held.tenant, held.kept = tenant, {}
+    return held.kept
+
+
+def slices(batch, rows: int = 1000):
+    """The parts of a pandas batch, so that what is made of one stays small."""
+    for a in range(0, len(batch), rows):
+        yield batch.iloc[a : a + rows]

@@ -40,7 +40,7 @@ class _Words(dict):
 
 def word_hashes(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
-    known = worker_cache().setdefault("decontaminate_words", _Words())
+    known = worker_cache("decontaminate").setdefault("decontaminate_words", _Words())
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 

@@ -5,12 +5,16 @@
    has at most a quarter of its shingles to itself).  Sets are dealt out by shingle
    in packed blocks, one entry for each shingle of a chunk of documents, so a
    shingle that a third of all documents have stays small.
-2. What is left is joined by prefixes in order of rising frequency; classes that
-   share a prefix shingle form a cluster, which holds all their links.
+2. What is left is grouped by prefixes in order of rising frequency: the classes of
+   similar size that share a prefix shingle are one list, and lists with the same
+   least class are one cluster.  All sets of a cluster have a prefix shingle in
+   common with its least one, so clusters don't chain; a near copy's many lists have
+   few least classes, so its set travels to few clusters.
 3. In a cluster, all sets are joined with all others in pairs of blocks: index lists
    are ordered by set size and skipped to the positions whose sizes allow a link,
    and the overlaps of a set are derived from those of the similar set before it
-   through the shingles in which they differ.  Each link comes out once.
+   through the shingles in which they differ.  A link counts in the least cluster
+   that both its sets are in, so once.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stage, worker_cache
+from .common import LOWER, UPPER, slices, stage, worker_cache
 from .components import components
 
 WIDTH = 5
@@ -39,6 +43,8 @@ SHARE = 0.4
 BLOCK, WIDER = 512, 3
 #: Candidate ids are broadcast up to this many (16 bytes each), joined beyond.
 BROADCAST_IDS = 1_000_000
+#: Sizes that link differ by a third at most, so by one band of this ratio.
+BAND_RATIO = 1.34
 CACHE_WORDS = 400_000
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -59,7 +65,7 @@ def shingles(text: str | None) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(words) < WIDTH:
         return np.array([xxhash.xxh64_intdigest(b"\x20".join(words), seed=len(words))], np.uint64)
-    known = worker_cache().setdefault("word_hashes", _Words())
+    known = worker_cache("jaccard").setdefault("word_hashes", _Words())
     w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = len(w) - WIDTH + 1
     h = w[:n] * _MULTIPLIERS[0]
@@ -90,11 +96,11 @@ def describe(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingles(t) for t in b.text]
-            yield pd.DataFrame({"doc_id": b.doc_id, "n_shingles": [len(s) for s in sets], "class": pd.array([set_class(s) if len(s) else None for s in sets], dtype="Int64")})
+            described = [(len(s), set_class(s) if len(s) else None) for s in map(shingles, b.text)]
+            yield pd.DataFrame({"doc_id": b.doc_id, "n_shingles": [n for n, _ in described], "class": pd.array([c for _, c in described], dtype="Int64")})
 
     out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n_shingles long, class long")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return out.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))
 
 
 def _deal(docs: DataFrame, buckets: int) -> DataFrame:
@@ -157,29 +163,30 @@ def _shared(df: pd.DataFrame) -> pd.DataFrame:
 
 
 def candidates(docs: DataFrame, described: DataFrame) -> DataFrame:
-    """(class, n, doc_id) of the classes that may link to another: one document of each."""
-    classes = described.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    """(class, n, rows, doc_id) of the classes that may link to another: one document of each."""
+    classes = described.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
     total = described.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     buckets = max(1, int(total * SHARE) // BUCKET)
     counts = _deal(docs, buckets).groupBy("bucket").applyInPandas(_shared, "class long, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
     own = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100")  # what a linked set may have to itself
     size = F.greatest(own + 1, F.ceil(F.col("n") * F.lit(int(SHARE * 100)) / 100))
-    return classes.join(counts, "class").where(F.col("shared") >= size - own).select("class", "n", "doc_id")
+    return classes.join(counts, "class").where(F.col("shared") >= size - own).select("class", "n", "rows", "doc_id")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, n, tokens) for the classes of ``wanted``, from their documents' texts."""
+    """(class, n, rows, tokens) for the classes of ``wanted``, from their documents' texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingles(t) for t in b.text]
-            yield pd.DataFrame({"class": [set_class(s) if len(s) else 0 for s in sets], "n": [len(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
+        for batch in batches:
+            for b in slices(batch):
+                sets = [shingles(t) for t in b.text]
+                yield pd.DataFrame({"class": [set_class(s) if len(s) else 0 for s in sets], "n": [len(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
 
     ids = wanted.select("doc_id")
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     made = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInPandas(run, "class long, n long, tokens array<bigint>")
-    return made.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
+    return made.join(wanted.select("class", "rows"), "class").dropDuplicates(["class"])
 
 
 def block_links(rest: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
@@ -222,17 +229,44 @@ def block_links(rest: list[tuple[int, np.ndarray]], others: list[tuple[int, np.n
     return links
 
 
-def _links_in_blocks(df: pd.DataFrame) -> pd.DataFrame:
-    pick = lambda side: [(int(c), np.asarray(t, np.int64)) for c, t in zip(side["class"], side.tokens, strict=True)]
-    rest, others = pick(df[df.rest]), pick(df[~df.rest])
-    found = pd.DataFrame(block_links(rest, others) if rest and others else [], columns=["a", "b"]).astype("int64")
-    if df.x.iloc[0] == df.y.iloc[0]:  # a block with itself
-        found = found[found.a < found.b]
-    return pd.DataFrame({"a": found.min(axis=1), "b": found.max(axis=1)}).astype("int64")
-
-
-def class_links(docs: DataFrame, described: DataFrame) -> DataFrame:
-    """Each pair (a, b) of linked classes once, a < b."""
+def _links_in_blocks(pairs: bool):
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        """The links between two blocks of a cluster that count here: each with the
+        lesser class first, or (``pairs`` false) one row (a, b, far) for each class a
+        that has some, with the rows it links to and a class b that it hangs
+        together with, the same for all that hang together here."""
+        cluster = df.cluster.iloc[0]
+        pick = lambda side: [(int(c), np.asarray(t, np.int64)) for c, t in zip(side["class"], side.tokens, strict=True)]
+        rest, others = pick(df[df.rest]), pick(df[~df.rest])
+        found = block_links(rest, others) if rest and others else []
+        if df.x.iloc[0] == df.y.iloc[0]:  # a block with itself
+            found = [(a, b) for a, b in found if a < b]
+        of = {c: (frozenset(k), n) for c, k, n in zip(df["class"], df.clusters, df["rows"], strict=True)}
+        found = [(min(x), max(x)) for x in found if min(of[x[0]][0] & of[x[1]][0]) == cluster]
+        if pairs:
+            return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found], "far": 0}, dtype="int64")
+        far, above = dict.fromkeys((c for link in found for c in link), 0), {}
+
+        def top(c: int) -> int:
+            while (up := above.get(c, c)) != c:
+                above[c] = c = above.get(up, up)
+            return c
+
+        for a, b in found:
+            far[a] += of[b][1]
+            far[b] += of[a][1]
+            if (x := top(a)) != (y := top(b)):
+                above[max(x, y)] = min(x, y)
+        return pd.DataFrame({"a": list(far), "b": [top(c) for c in far], "far": list(far.values())}, dtype="int64")
+
+    return run
+
+
+def class_links(docs: DataFrame, described: DataFrame, pairs: bool = True) -> DataFrame:
+    """Each pair (a, b) of linked classes once, a < b; or, if not ``pairs``, rows
+    (a, b, far): class a links to ``far`` rows of other classes (summed over its
+    rows), and a and b are in one component.  The second form has a few rows for each
+    class however many classes link to it."""
     wanted = stage(candidates(docs, described), "jaccard-candidates")
     sets = stage(sets_of(docs, wanted), "jaccard-sets")
     each = sets.select("class", F.explode("tokens").alias("t"))
@@ -241,26 +275,30 @@ def class_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     must = F.expr(f"({PERCENT} * n + 99) div 100")
     info = sets.select("class", "n").join(lists, "class").where(F.size("s") >= must)
     # Shingles of one class alone come first in the order; they take n - size(s) places of the prefix.
-    info = info.withColumn("prefix", F.expr(f"slice(s.t, 1, cast(size(s) - ({PERCENT} * n + 99) div 100 + 1 as int))"))
-    info = stage(info.drop("s"), "jaccard-prefixes")
-    posts = info.select("class", F.explode("prefix").alias("t"))
-    least = posts.groupBy("t").agg(F.min("class").alias("m"))
-    clusters = components(posts.join(least, "t").where("class <> m").select(F.col("class").alias("a"), F.col("m").alias("b")), "jaccard-clusters")
-    members = clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")).join(sets.select("class", "tokens"), "class")
-    # Blocks i <= j of a cluster: those of block i against those of block j.
-    per = clusters.groupBy(F.col("component").alias("cluster")).agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
-    members = stage(members.join(per, "cluster").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "class"), F.col("blocks")).cast("int")), "jaccard-members")
-    rest = members.select("class", "cluster", "tokens", F.col("block").alias("x"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("y"), F.lit(True).alias("rest"))
-    others = members.select("class", "cluster", "tokens", F.explode(F.expr("sequence(0, block)")).alias("x"), F.col("block").alias("y"), F.lit(False).alias("rest"))
-    return rest.unionByName(others).groupBy("cluster", "x", "y").applyInPandas(_links_in_blocks, "a long, b long")
-
-
-def join_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The whole join: (doc_id, n_shingles, class) of each row, and all pairs (a, b)
-    of linked classes.  Rows link if they are in one class or in two linked ones."""
+    prefix = F.expr(f"slice(s.t, 1, cast(size(s) - ({PERCENT} * n + 99) div 100 + 1 as int))")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND_RATIO))).cast("int")
+    info = stage(info.select("class", F.array(band, band - 1).alias("bands"), prefix.alias("prefix")), "jaccard-prefixes")
+    posts = info.select("class", "bands", F.explode("prefix").alias("t")).select("class", "t", F.explode("bands").alias("band"))
+    lists = posts.groupBy("t", "band").agg(F.min("class").alias("cluster"), F.max("class").alias("other")).where("cluster <> other").drop("other")
+    placed = stage(posts.join(lists, ["t", "band"]).select("class", "cluster").distinct(), "jaccard-clusters")
+    # Blocks x <= y of a cluster: those of block x against those of block y.
+    per = placed.groupBy("cluster").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
+    full = sets.join(placed.groupBy("class").agg(F.collect_set("cluster").alias("clusters")), "class")
+    block = F.pmod(F.xxhash64(F.lit(1), "class"), F.col("blocks")).cast("int")
+    members = stage(full.join(placed, "class").join(per, "cluster").select("class", "rows", "tokens", "clusters", "cluster", "blocks", block.alias("block")), "jaccard-members")
+    same = ["class", "rows", "tokens", "clusters", "cluster"]
+    rest = members.select(*same, F.col("block").alias("x"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("y"), F.lit(True).alias("rest"))
+    others = members.select(*same, F.explode(F.expr("sequence(0, block)")).alias("x"), F.col("block").alias("y"), F.lit(False).alias("rest"))
+    found = rest.unionByName(others).groupBy("cluster", "x", "y").applyInPandas(_links_in_blocks(pairs), "a long, b long, far long")
+    return found.select("a", "b") if pairs else found
+
+
+def join_documents(docs: DataFrame, pairs: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (doc_id, n_shingles, class) of each row, and the links of
+    ``class_links``.  Rows link if they are in one class or in two linked ones."""
     docs = docs.select("doc_id", "text")
     described = stage(describe(docs), "jaccard-described")
-    return described, stage(class_links(docs.where("doc_id is not null"), described), "jaccard-links")
+    return described, stage(class_links(docs.where("doc_id is not null"), described, pairs), "jaccard-links")
 
 
 def link_counts(described: DataFrame, links: DataFrame) -> DataFrame:
@@ -275,26 +313,31 @@ def link_counts(described: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id for each row.
-
-    Texts that are null or have no words have no shingles and are components of
-    their own; texts of fewer than five words have one; repeated rows and equal texts
-    are in one component; a row with a null doc_id gets a null component_id and
-    links nothing; an empty table gives no rows; other columns are ignored.
+    """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id, class, n_links
+    (how many other rows it links to) for each row.
+
+    Texts that are null or have no words have no shingles, no class (null) and are
+    components of their own; texts of fewer than five words have one shingle; repeated
+    rows and equal texts are in one class; a row with a null doc_id gets a null
+    component_id and links nothing; an empty table gives no rows; other columns are
+    ignored.
     """
-    described, links = join_documents(docs)
+    described, links = join_documents(docs, pairs=False)
     classes = components(links)
-    named = described.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    grouped = named.join(classes, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("component"))
+    far = links.groupBy("a").agg(F.sum("far").alias("far"))
+    named = described.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    grouped = named.join(classes, F.col("class") == F.col("node"), "left").select("class", "least", "rows", F.coalesce("component", "class").alias("component"))
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = grouped.join(smallest, "component").select("class", "component_id")
+    n_links = (F.col("rows") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")
+    final = grouped.join(smallest, "component").join(far, F.col("class") == F.col("a"), "left").select("class", "component_id", n_links)
     joined = described.join(final, "class", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    known = lambda c: F.when(F.col("doc_id").isNotNull(), c)
+    return joined.select("doc_id", "n_shingles", known(F.coalesce("component_id", "doc_id")).alias("component_id"), "class", F.coalesce(known(F.col("n_links")), F.lit(0)).cast("long").alias("n_links"))
 
 
 def op10_jaccard(spark, sf_dir):
     """Shingle sets and components of all documents."""
-    return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 OP10_SQL = r"""

@@ -107,7 +107,7 @@ def plan_best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[
 def _encoder(file: str):
     """text -> ids as little-endian 32-bit bytes, by the tokenizer's file.  Ids of
     words are remembered between texts; the tokenizer itself makes them."""
-    cache = worker_cache()
+    cache = worker_cache("packing")
     if cache.get("tokenizer_file") != file:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer

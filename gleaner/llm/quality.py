@@ -47,7 +47,7 @@ class _Shapes(dict):
 
 def features(text: str | None) -> np.ndarray:
     """The indicator features of a text (sorted, unique); feature 0 is always there."""
-    shapes = worker_cache().setdefault("word_shapes", _Shapes())
+    shapes = worker_cache("quality").setdefault("word_shapes", _Shapes())
     words = (text or "").split()
     if not words:
         return np.array([0, 1], dtype=np.int64)

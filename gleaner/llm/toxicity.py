@@ -142,7 +142,7 @@ def score(docs: DataFrame, model: Machine, column: str = "score") -> DataFrame:
     def probability(texts: pd.Series) -> pd.Series:
         m = Machine.__new__(Machine)
         m.ids, m.bias, m.w, m.v = shared.value
-        cache = worker_cache()
+        cache = worker_cache("toxicity")
         if cache.get("toxic_terms") is None or not np.array_equal(cache["toxic_terms"][0], m.ids):
             cache["toxic_terms"] = (m.ids, _Hashes(set((m.ids & ((1 << BITS) - 1)).tolist())))
         known = cache["toxic_terms"][1]

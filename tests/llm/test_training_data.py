@@ -325,3 +325,19 @@ def test_all_links_around_a_centre(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
     counts = {r["doc_id"]: r["n_links"] for r in jaccard.link_counts(described, links).collect()}
     assert counts == {i: sum(linked(a, b) for b in sets) - 1 for i, a in enumerate(sets)} | {None: 0, 99: 0}
+    rows = {r["doc_id"]: r for r in jaccard.link_documents(spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0]), (99, None)], "doc_id long, text string")).collect()}
+    assert {i: r["n_links"] for i, r in rows.items()} == counts
+    assert all(rows[i]["class"] == of[i] for i in of)
+
+
+def test_rare_shingles_that_chain_texts_without_links_stay_apart(spark):
+    """Each text shares one passage with the next: no links, and no cluster of more
+    than a text and its neighbours."""
+    passage = lambda k: [f"p{k}x{j}" for j in range(30)]
+    texts = [" ".join(passage(k) + passage(k + 1)) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard.link_documents(docs).collect()} == {(k, k, 0) for k in range(60)}
+    texts = [" ".join(f"c{j}" for j in range(k, k + 100)) for k in range(0, 600, 10)]  # a chain of links
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.link_documents(docs).collect()}
+    assert got == {k: (0, 1 if k in (0, 59) else 2) for k in range(60)}

@@ -1,52 +1,69 @@
 """Documents to packed training sequences: five stages, each over all that the one
 before kept.
 
-All stages but the last return the columns of ``documents`` for the rows they keep.
-Rows with a null doc_id are scored like others; the duplicate and decontamination
-stages, which decide by doc_id, keep them.
+All stages but the last return the columns of ``documents``, and any others that the
+input has, for the rows they keep.  They decide by row, never by doc_id: null and
+repeated ids don't matter.  Null and empty texts are scored like others, are nobody's
+copies and hold no passage.  Long texts are read whole.  An empty table gives none.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontaminate, jaccard, packing, quality, toxicity
-from gleaner.llm.common import stage
+from gleaner.llm.common import free_name, stage
 
-#: Ids that are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Row keys (about 60 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 250_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, "_score").where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    model, score = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), free_name(docs, "_score")
+    return quality.score(docs, model, score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, "_score").where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    model, score = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), free_name(docs, "_score")
+    return toxicity.score(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+def _with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` plus a key of each row: its file and its place there.  What isn't a
+    file scan is written first."""
+    key = free_name(docs, "_row_key")
+    place = F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit("-"), F.col("_metadata.row_index")).alias(key)
+    try:
+        return docs.select("*", place), key
+    except AnalysisException:
+        return stage(docs, "pipeline-rows").select("*", place), key
+
+
+def _without(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key isn't among ``keys``."""
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_anti").drop(key)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each near-duplicate group."""
-    linked = stage(jaccard.link_documents(docs), "near-duplicates").where("doc_id is not null")
-    kept = _by_id(docs, linked.where("doc_id <> component_id").select("doc_id").distinct(), "left_anti")
-    if linked.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])  # a row that is repeated
+    """One document of each near-duplicate group: that with the least doc_id (nulls
+    come last), of equal ids the first row."""
+    docs, key = _with_key(docs)
+    linked = jaccard.link_documents(docs.select(F.col(key).alias("doc_id"), "text")).where("doc_id <> component_id or n_links > 0")
+    groups = stage(linked.select(F.col("doc_id").alias(key), "component_id"), "near-duplicates").join(docs.select(key, F.col("doc_id").alias("id")), key)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", key)
+    first = groups.groupBy("component_id").agg(F.min(order)[key].alias("first"))
+    return _without(docs, key, stage(groups.join(first, "component_id").where(F.col(key) != F.col("first")).select(key), "near-duplicates-out"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark passage was found."""
-    found = stage(decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "contaminated")
-    return _by_id(docs, found.where("doc_id is not null").select("doc_id").distinct(), "left_anti")
+    docs, key = _with_key(docs)
+    found = decontaminate.contaminated(docs.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, key, stage(found.select(F.col("doc_id").alias(key)).distinct(), "contaminated"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +79,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: No stage's decisions are expressible in SQL (models, tokens); tests/llm has brute force.
+#: No stage's decisions are expressible in SQL (models, tokens); tests/llm compares each with plain Python.
 ORACLE_SQL = None
 
 

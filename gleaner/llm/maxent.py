@@ -1,11 +1,13 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
-A word's probability is that of its class given the words before it, times that of
-the word in its class.  Classes are the commonest words, groups of other common
-words by their endings, and groups of all further words by their endings; a softmax
-over the classes has weights for the word before, the one before that (a skip), and
-both together (hashed).  Counts cover all training texts; the weights are trained
-in rounds of gradient updates on the executors whose changes are averaged.
+A word's probability is factored over a tree of classes: that of its class given the
+words before it, of its subclass in the class, and of its leaf in the subclass, each
+a softmax over 16 with weights for the word before, the one before that (a skip) and
+both together.  A leaf is a common word, or all further words of one kind of ending,
+where counts share out what is left.  Weights are rows of a hashed table that
+grows with the number of distinct training words; every word is told apart as
+context.  Counts cover all training texts; the weights are trained on all of them, in
+rounds of gradient updates on the executors whose changes are averaged.
 """
 
 from __future__ import annotations
@@ -17,35 +19,41 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, stage
 
-#: Words with a place of their own among the features; words that are a class each;
-#: classes of other common words and of all further words.
-HEAD, OWN, HEAD_CLASSES, TAIL_CLASSES = 2048, 32, 32, 64
-CLASSES = OWN + HEAD_CLASSES + TAIL_CLASSES
-SYMBOLS = HEAD + TAIL_CLASSES + 1  # the last one stands before the text
-PAIR_ROWS = 1 << 13
-ROWS = 2 * SYMBOLS + PAIR_ROWS
-#: Gradient rounds; round r reads the training texts whose hash modulo PARTS is r, so
-#: that each training text gives gradients in one round.
-PARTS, BATCH, RATE = 8, 1024, 0.15
+#: Classes of a class; common words, which have leaves of their own; leaves of other words.
+FAN = 16
+LEAVES = FAN**3
+HEAD, TAIL_CLASSES = 14 * FAN * FAN, 2 * FAN * FAN
+#: Rows of the table: a power of two near the number of distinct training words,
+#: between these; 64 bytes each are broadcast.
+LEAST_BITS, MOST_BITS = 13, 17
+#: Gradient rounds; each training text gives gradients in one of them, that of its
+#: part of a file.
+ROUNDS, BATCH, RATE = 4, 2048, 0.15
+#: Rows of the table in one block of changes; tasks whose changes are summed first.
+BLOCK, TASKS = 1024, 64
 #: Characters of text in one chunk.
 CHUNK_CHARS = 8_000_000
-END = " "  # no word has a blank
+END = b" "  # no word has a blank
+_START = np.uint64(1 << 32)  # what stands before a text; no word has this hash
+_LEVEL = np.array([0, 0, 0, 1, 1, 2])  # of the weights' rows that a word has
+_NOTHING = -40.0  # log of a leaf that no word has
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: str) -> list[bytes]:
     """The folded words of a text and its end.  Bytes fold A-Z alone and are divided
     by ASCII white space alone, unlike strings."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    return [*(b"\n".join(words).decode("utf-8", "surrogatepass").split("\n") if words else ()), END]
+    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def ending(word: str, n: int) -> int:
-    return zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % n
+def ending(word: bytes) -> int:
+    """The kind of a word by its last two characters."""
+    return zlib.crc32(word.decode("utf-8", "surrogatepass")[-2:].encode("utf-8", "surrogatepass")) % TAIL_CLASSES
 
 
 def _chunked(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -64,49 +72,59 @@ def _count(buckets: int):
             (seen if out else counts).update(words_of(text))
         parts: dict[int, tuple[list, list]] = {}
         for w in sorted(seen | counts.keys()):
-            p = parts.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, ([], []))
+            p = parts.setdefault(zlib.crc32(w) % buckets, ([], []))
             p[0].append(w)
             p[1].append(counts.get(w, 0))
         chunk = int(df.chunk.iloc[0])
-        return pd.DataFrame([(chunk, b, "\n".join(w), np.array(c, "<i8").tobytes()) for b, (w, c) in parts.items()], columns=["chunk", "bucket", "words", "counts"])
+        return pd.DataFrame([(chunk, b, b"\n".join(w), np.array(c, "<i8").tobytes()) for b, (w, c) in parts.items()], columns=["chunk", "bucket", "words", "counts"])
 
     return run
 
 
-_MERGED = "kind string, chunk int, words string, counts binary, n long, v long"
+_MERGED = "kind string, chunk int, words binary, counts binary, n long, v long"
 
 
 def _merge(df: pd.DataFrame) -> pd.DataFrame:
     """Sum the chunks' counts; give them back to each chunk, and the bucket's totals."""
     total: Counter = Counter()
-    lists = [(c, w.split("\n"), np.frombuffer(k, "<i8")) for c, w, k in zip(df.chunk, df.words, df.counts, strict=True)]
+    lists = [(c, w.split(b"\n"), np.frombuffer(k, "<i8")) for c, w, k in zip(df.chunk, df.words, df.counts, strict=True)]
     for _, words, counts in lists:
         for w, c in zip(words, counts.tolist(), strict=True):
             total[w] += c
-    rows = [("chunk", c, "\n".join(w), np.array([total[x] for x in w], "<i8").tobytes(), 0, 0) for c, w, _ in lists]
+    rows = [("chunk", c, b"\n".join(w), np.array([total[x] for x in w], "<i8").tobytes(), 0, 0) for c, w, _ in lists]
     known = {w: c for w, c in total.items() if c}
     mass = np.zeros(TAIL_CLASSES, np.int64)
     for w, c in known.items():
-        mass[ending(w, TAIL_CLASSES)] += c + 1
+        mass[ending(w)] += c + 1
     top = sorted(known.items(), key=lambda x: (-x[1], x[0]))[:HEAD]
-    rows.append(("total", 0, "\n".join(w for w, _ in top), mass.tobytes() + np.array([c for _, c in top], "<i8").tobytes(), sum(known.values()), len(known)))
+    rows.append(("total", 0, b"\n".join(w for w, _ in top), mass.tobytes() + np.array([c for _, c in top], "<i8").tobytes(), sum(known.values()), len(known)))
     return pd.DataFrame(rows, columns=["kind", "chunk", "words", "counts", "n", "v"])
 
 
 class Vocabulary:
-    """The common words, their classes, and the totals of the rest."""
+    """The common words' leaves, what the leaves weigh by their counts, and the totals."""
 
-    def __init__(self, top: list[tuple[str, int]], mass: np.ndarray, tokens: int, types: int):
+    def __init__(self, top: list[tuple[bytes, int]], mass: np.ndarray, tokens: int, types: int):
         self.tokens, self.types = tokens, types
-        self.head = {w: k for k, (w, _) in enumerate(top)}
-        self.classes = np.array([k if k < OWN else OWN + ending(w, HEAD_CLASSES) for k, (w, _) in enumerate(top)], np.int64)
-        counts = np.array([c for _, c in top], float)
-        share = np.bincount(self.classes, weights=counts, minlength=CLASSES)
-        self.within = np.log10(counts / share[self.classes]) if len(top) else counts
-        rest = mass.copy()
+        self.bits = int(np.clip(int(types).bit_length(), LEAST_BITS, MOST_BITS))
+        # classes by frequency, in a class neighbours by ending
+        by_class = [sorted(top[a : a + FAN * FAN], key=lambda x: (x[0][::-1], x[0])) for a in range(0, len(top), FAN * FAN)]
+        self.head = {w: a * FAN * FAN + k for a, words in enumerate(by_class) for k, (w, _) in enumerate(words)}
+        rest = mass.astype(float)
         for w, c in top:
-            rest[ending(w, TAIL_CLASSES)] -= c + 1
-        self.rest = np.log10(rest + 1.0)  # one place for a word never seen
+            rest[ending(w)] -= c + 1
+        self.tail = rest + 1  # one place for a word never seen
+        weight = np.zeros(LEAVES)
+        for w, c in top:
+            weight[self.head[w]] = c
+        weight[HEAD:] = self.tail
+        #: log of each child's share of its node, by level
+        self.shares = []
+        for level in range(3):
+            sums = weight.reshape(FAN ** (level + 1), -1).sum(1).reshape(-1, FAN)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                log = np.log(sums / sums.sum(1, keepdims=True))
+            self.shares.append(np.where(np.isfinite(log), log, _NOTHING).astype(np.float32))
 
     @classmethod
     def of(cls, state: dict) -> Vocabulary:
@@ -115,111 +133,146 @@ class Vocabulary:
         made.__dict__.update(state)
         return made
 
-    def lookup(self, word: str) -> tuple[int, int, float]:
-        """symbol, class, and log10 of the word in its class (less log10(c + 1) for
-        words that aren't common)."""
-        k = self.head.get(word)
-        if k is not None:
-            return k, int(self.classes[k]), float(self.within[k])
-        t = ending(word, TAIL_CLASSES)
-        return HEAD + t, OWN + HEAD_CLASSES + t, -float(self.rest[t])
-
-
-def contexts(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The rows of the weights that are active before each word: (words, 3)."""
-    none = SYMBOLS - 1
-    one, two = np.r_[none, symbols[:-1]], np.r_[none, none, symbols[:-2]][: len(symbols)]
-    one[starts] = none
-    two[starts] = none
-    after = starts + 1
-    two[after[after < len(symbols)]] = none
-    pair = ((one * 0x9E3779B1 + two * 0x85EBCA77) & 0xFFFFFFFF) * 0xC2B2AE3D % 0xFFFFFFFB % PAIR_ROWS
-    return np.stack([one, SYMBOLS + two, 2 * SYMBOLS + pair], 1)
-
-
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + bias
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+    def leaf(self, word: bytes) -> int:
+        found = self.head.get(word)
+        return HEAD + ending(word) if found is None else found
 
 
 class _Codes(dict):
-    """word -> symbol and class in one number, remembered."""
+    """word -> its hash and leaf in one number, remembered."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
             self.clear()
-        symbol, class_, _ = self.vocabulary.lookup(word)
-        value = self[word] = symbol * CLASSES + class_
+        value = self[word] = zlib.crc32(word) * LEAVES + self.vocabulary.leaf(word)
         return value
 
 
+def contexts(hashes: np.ndarray, leaves: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
+    """The rows of the table that are active for each word, (6, words): for its class
+    the word before, the one before that and both; for its subclass, in its class,
+    the first two; for its leaf, in its subclass, the first."""
+    one, two = np.r_[_START, hashes[:-1]], np.r_[_START, _START, hashes[:-2]][: len(hashes)]
+    one[starts] = _START
+    two[starts] = _START
+    after = starts + 1
+    two[after[after < len(hashes)]] = _START
+    class_, sub = (leaves // (FAN * FAN)).astype(np.uint64), (leaves // FAN).astype(np.uint64)
+    mix = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+    by_one, by_two = one * mix[0], two * mix[1]
+    keys = np.stack([by_one, by_two, (by_one ^ (by_one >> np.uint64(29))) + by_two * mix[2], by_one + (class_ + np.uint64(1)) * mix[3], by_two + (class_ + np.uint64(1)) * mix[3], by_one + (sub + np.uint64(17)) * mix[3]])
+    keys ^= keys >> np.uint64(32)
+    keys *= mix[0]
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def softmax(weights: np.ndarray, shares: list[np.ndarray], rows: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """Probabilities (3, words, FAN) of each word's children on its path."""
+    z = np.empty((3, len(leaves), FAN), np.float32)
+    for k, level in enumerate(_LEVEL):
+        if k in (0, 3, 5):
+            z[level] = shares[level].take(leaves // FAN ** (3 - level), 0)
+        z[level] += weights.take(rows[k], 0)
+    np.clip(z, -60, 60, out=z)  # exp of it stays a float
+    np.exp(z, out=z)
+    z /= (z.reshape(-1, FAN) @ np.ones((FAN, 1), np.float32)).reshape(3, -1, 1)
+    return z
+
+
+def _digits(leaves: np.ndarray) -> np.ndarray:
+    return np.stack([leaves // (FAN * FAN), leaves // FAN % FAN, leaves % FAN])
+
+
+def log_probability(weights: np.ndarray, shares: list[np.ndarray], rows: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """Natural log of each leaf's probability."""
+    p = softmax(weights, shares, rows, leaves)
+    return np.log(np.maximum(np.take_along_axis(p, _digits(leaves)[:, :, None], 2)[:, :, 0], 1e-30).astype(float)).sum(0)
+
+
+def gradient_step(weights: np.ndarray, square: np.ndarray, touched: np.ndarray, shares: list[np.ndarray], rows: np.ndarray, leaves: np.ndarray) -> None:
+    """One AdaGrad step on a batch of words; a row's steps shrink together."""
+    n = len(leaves)
+    g = softmax(weights, shares, rows, leaves)
+    np.put_along_axis(g, d := _digits(leaves)[:, :, None], np.take_along_axis(g, d, 2) - 1, 2)
+    flat = rows.ravel() * (6 * n) + np.arange(6 * n)  # a sort of plain numbers
+    flat.sort()
+    row, order = flat // (6 * n), flat % (6 * n)
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    source = _LEVEL[order // n] * n + order % n
+    # as complex numbers, so that two columns are summed at once
+    total = np.add.reduceat(g.reshape(3 * n, FAN).view(np.complex64).take(source, 0), first, axis=0).view(np.float32)
+    row = row[first]
+    sums = square[row] + np.einsum("ij,ij->i", total, total) / FAN
+    square[row] = sums
+    weights[row] -= total * (RATE / np.sqrt(sums))[:, None]
+    touched[row] = True
+
+
 def _streams(texts, codes: _Codes):
-    """symbols, classes, starts of several texts in one row."""
+    """hashes, leaves, starts of several texts in one row."""
     words = [words_of(t) for t in texts]
     lengths = np.array([len(w) for w in words])
     both = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
-    return both // CLASSES, both % CLASSES, np.r_[0, np.cumsum(lengths)[:-1]]
+    return (both // LEAVES).astype(np.uint64), both % LEAVES, np.r_[0, np.cumsum(lengths)[:-1]]
+
+
+_CHANGES = "block int, part int, row binary, total binary, tasks binary"
+
+
+def _summed(df: pd.DataFrame, part: int) -> pd.DataFrame:
+    """One row for all changes of a block: sums, and how many tasks have changed a row."""
+    total, tasks = np.zeros((BLOCK, FAN)), np.zeros(BLOCK, np.int64)
+    for row, change, n in zip(df.row, df.total, df.tasks, strict=True):
+        at = np.frombuffer(row, "<i4") % BLOCK
+        total[at] += np.frombuffer(change, "<f4").reshape(-1, FAN)
+        tasks[at] += np.frombuffer(n, "<i4")
+    at, block = np.flatnonzero(tasks), int(df.block.iloc[0])
+    return pd.DataFrame([(block, part, (at + block * BLOCK).astype("<i4").tobytes(), total[at].astype("<f4").tobytes(), tasks[at].astype("<i4").tobytes())], columns=["block", "part", "row", "total", "tasks"])
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, parts: int = PARTS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (rows, classes) and bias.  In each round every task starts from the
+def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """The table of weights, (2 ** bits, FAN).  In each round every task starts from the
     shared weights, walks over its texts in batches with AdaGrad steps, and returns
     the change of each row; the changes are averaged by row over the tasks that made any."""
     sc = texts.sparkSession.sparkContext
-    weights, bias = np.zeros((ROWS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
+    weights = np.zeros((1 << vocabulary.bits, FAN), np.float32)
+    # a part of a file is one task's, so a round has whole tasks; what isn't read from files has one round
+    of_round = F.pmod(F.xxhash64(F.lit(31), F.input_file_name(), F.input_file_block_start()), F.lit(rounds))
+    texts = texts.where(~F.col("held_out")).select("text", of_round.alias("round"))
 
-    for r in range(parts):
-        shared = sc.broadcast((vocabulary.__dict__, weights, bias))
+    for r in range(rounds):
+        shared = sc.broadcast((vocabulary.__dict__, weights))
 
         def step(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            state, w0, b0 = shared.value
-            vocabulary = Vocabulary.of(state)
-            w, b = np.vstack([w0, b0[None, :]]), None
-            square, touched, codes = np.full(w.shape[0], 1e-2, np.float32), np.zeros(w.shape[0], bool), _Codes(vocabulary)
+            state, w0 = shared.value
+            vocabulary, w = Vocabulary.of(state), w0.copy()
+            square, touched, codes = np.full(len(w), 1e-2, np.float32), np.zeros(len(w), bool), _Codes(vocabulary)
             for batch in batches:
-                symbols, classes, starts = _streams(batch.text, codes)
-                rows = contexts(symbols, starts)
-                for a in range(0, len(classes), BATCH):
-                    x, y = rows[a : a + BATCH], classes[a : a + BATCH]
-                    g = np.exp(log_softmax(w[:-1], w[-1], x))
-                    g[np.arange(len(y)), y] -= 1
-                    for k in range(4):
-                        ids = x[:, k] if k < 3 else np.full(len(y), ROWS)
-                        order = np.argsort(ids, kind="stable")
-                        first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-                        total = np.add.reduceat(g[order], first, axis=0)
-                        row = ids[order][first]
-                        square[row] += (total * total).mean(1)
-                        w[row] -= RATE * total / np.sqrt(square[row])[:, None]
-                        touched[row] = True
-            change = np.vstack([w0, b0[None, :]])
-            yield pd.DataFrame({"row": (at := np.flatnonzero(touched)), "change": [(w[k] - change[k]).astype("<f4").tobytes() for k in at]})
-
-        def mean(df: pd.DataFrame) -> pd.DataFrame:
-            # row blocks: a task's change of a row has a bounded size, sums run over tasks
-            out = []
-            for row, part in df.groupby("row"):
-                total = np.zeros(CLASSES, np.float64)
-                for x in part.change:
-                    total += np.frombuffer(x, "<f4")
-                out.append((row, (total / len(part)).astype("<f4").tobytes()))
-            return pd.DataFrame(out, columns=["row", "change"])
-
-        part = texts.where(~F.col("held_out") & (F.pmod(F.xxhash64(F.lit(31), "doc_id", "text"), F.lit(parts)) == r)).select("text")
-        changes = part.mapInPandas(step, "row long, change binary").groupBy(F.expr("row div 256").alias("block")).applyInPandas(mean, "row long, change binary")
-        weights, bias = weights.copy(), bias.copy()
-        for x in changes.toLocalIterator():  # ROWS rows at most
-            d = np.frombuffer(x["change"], "<f4")
-            if x["row"] == ROWS:
-                bias += d
-            else:
-                weights[x["row"]] += d
-    return weights, bias
+                for c in range(0, len(batch), 500):
+                    hashes, leaves, starts = _streams(batch.text.iloc[c : c + 500], codes)
+                    rows = contexts(hashes, leaves, starts, vocabulary.bits)
+                    for a in range(0, len(leaves), BATCH):
+                        gradient_step(w, square, touched, vocabulary.shares, rows[:, a : a + BATCH], leaves[a : a + BATCH])
+            at = np.flatnonzero(touched)
+            part = TaskContext.get().partitionId() // TASKS
+            for block, which in pd.Series(at).groupby(at // BLOCK):
+                k = which.to_numpy()
+                yield pd.DataFrame([(block, part, k.astype("<i4").tobytes(), (w[k] - w0[k]).astype("<f4").tobytes(), np.ones(len(k), "<i4").tobytes())], columns=["block", "part", "row", "total", "tasks"])
+
+        changes = texts.where(F.col("round") == r).select("text").mapInPandas(step, _CHANGES)
+        # summed for some tasks, then for all, so that a group never holds more than 64 tasks' changes of a block
+        changes = changes.groupBy("block", "part").applyInPandas(lambda df: _summed(df, int(df.part.iloc[0]) // TASKS), _CHANGES)
+        changes = changes.groupBy("block", "part").applyInPandas(lambda df: _summed(df, 0), _CHANGES)
+        weights, total, tasks = weights.copy(), np.zeros_like(weights), np.zeros(len(weights), np.int64)
+        for x in changes.collect():  # as many rows as the table has (72 bytes each), for every 4096 tasks
+            at = np.frombuffer(x["row"], "<i4")
+            total[at] += np.frombuffer(x["total"], "<f4").reshape(-1, FAN)
+            tasks[at] += np.frombuffer(x["tasks"], "<i4")
+        weights += total / np.maximum(tasks, 1)[:, None]
+    return weights
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -230,7 +283,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     unseen; an empty table gives no rows; other columns are ignored.
     """
     texts, n = _chunked(docs)
-    counted = texts.groupBy("chunk").applyInPandas(_count(n), "chunk int, bucket int, words string, counts binary")
+    counted = texts.groupBy("chunk").applyInPandas(_count(n), "chunk int, bucket int, words binary, counts binary")
     merged = stage(counted.groupBy("bucket").applyInPandas(_merge, _MERGED), "lm-counts")
     totals = merged.where("kind = 'total'")
     sums = totals.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
@@ -239,43 +292,43 @@ def score_texts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for words, counts in zip(b.words, b.counts, strict=True):
                 c = np.frombuffer(counts, "<i8")[TAIL_CLASSES:]
-                yield pd.DataFrame({"word": words.split("\n")[: len(c)], "c": c})
+                yield pd.DataFrame({"word": words.split(b"\n")[: len(c)], "c": c})
 
     def masses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for counts in b.counts:
                 yield pd.DataFrame({"t": np.arange(TAIL_CLASSES), "m": np.frombuffer(counts, "<i8")[:TAIL_CLASSES]})
 
-    top = totals.mapInPandas(spread, "word string, c long").orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    top = totals.select("words", "counts").mapInPandas(spread, "word binary, c long").orderBy(F.desc("c"), "word").limit(HEAD).collect()
     mass = np.zeros(TAIL_CLASSES, np.int64)
     for r in totals.mapInPandas(masses, "t int, m long").groupBy("t").agg(F.sum("m").alias("m")).collect():
         mass[r["t"]] = r["m"]
-    vocabulary = Vocabulary([(r["word"], r["c"]) for r in top], mass, sums["n"] or 0, sums["v"] or 0)
-    weights, bias = train(texts, vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.__dict__, weights, bias))
+    vocabulary = Vocabulary([(bytes(r["word"]), r["c"]) for r in top], mass, sums["n"] or 0, sums["v"] or 0)
+    weights = train(texts, vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.__dict__, weights))
 
     def score(df: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        state, weights, bias = shared.value
+        state, weights = shared.value
         vocabulary = Vocabulary.of(state)
-        words = list(chain.from_iterable(w.split("\n") for w in counts.words))
+        words = list(chain.from_iterable(w.split(b"\n") for w in counts.words))
         seen = np.concatenate([np.frombuffer(c, "<i8") for c in counts.counts]) if len(counts) else np.empty(0, np.int64)
         place = {w: k for k, w in enumerate(words)}
-        known = np.array([vocabulary.lookup(w) for w in words], float).reshape(-1, 3)
-        known = np.column_stack([known, np.log10(seen + 1.0), seen > 0])
+        leaf = np.array([vocabulary.leaf(w) for w in words], np.int64)
+        hashed = np.array([zlib.crc32(w) for w in words], np.uint64)
+        count = np.log10(seen + 1.0)
+        within = np.where(leaf < HEAD, 0.0, count - np.log10(vocabulary.tail[np.maximum(leaf - HEAD, 0)]))
         out, floor = [], float(np.log10(vocabulary.tokens + vocabulary.types + 1))
         rows_of, batch, held_words = [], [], 0
 
         def flush():
-            table = known[np.concatenate(batch)]
+            at = np.concatenate(batch)
             lengths = np.array([len(x) for x in batch])
             starts = np.r_[0, np.cumsum(lengths)[:-1]]
-            rows, classes = contexts(table[:, 0].astype(np.int64), starts), table[:, 1].astype(np.int64)
-            logs = np.empty(len(table))
-            for a in range(0, len(table), 4096):
-                z = log_softmax(weights, bias, rows[a : a + 4096])
-                logs[a : a + 4096] = z[np.arange(len(z)), classes[a : a + 4096]]
-            logs = logs / np.log(10) + table[:, 2] + np.where(table[:, 0] >= HEAD, table[:, 3], 0.0)
-            score, base, n_known = (np.add.reduceat(x, starts) for x in (logs, table[:, 3], table[:, 4]))
+            leaves = leaf[at]
+            rows, logs = contexts(hashed[at], leaves, starts, vocabulary.bits), np.empty(len(at))
+            for a in range(0, len(at), 4096):
+                logs[a : a + 4096] = log_probability(weights, vocabulary.shares, rows[:, a : a + 4096], leaves[a : a + 4096])
+            score, base, n_known = (np.add.reduceat(x, starts) for x in (logs / np.log(10) + within[at], count[at], (seen > 0)[at].astype(np.int64)))
             for k, (doc, held) in enumerate(rows_of):
                 out.append((doc, held, int(lengths[k]), int(n_known[k]), vocabulary.tokens, float(base[k] - lengths[k] * floor), float(score[k])))
             rows_of.clear()

@@ -300,14 +300,118 @@ def test_half_edited_texts_keep_a_likeness(spark, tmp_path):
         assert math.isclose(r["near_next"], len(mine & following) / len({x[:2] for x in mine | following}))
 
 
+def plain_signature(text, k=2, bins=64, keep=2):
+    """64 turns of the circle of hashes, in each the two smallest numbered k-mers in text order."""
+    import xxhash
+
+    def spark_hash(*parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x, seed=seed)
+        return seed
+
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+    if not words:
+        return []
+    grams, seen = [], {}
+    for i in range(max(len(words) - k, 0) + 1):
+        h = spark_hash(*(words[i + j].encode() if i + j < len(words) else b"" for j in range(k))) >> 31
+        n = seen[h] = seen.get(h, -1) + 1
+        grams.append((h if n == 0 else spark_hash(h.to_bytes(8, "little"), n.to_bytes(4, "little")) >> 31, i))
+    out = []
+    for turn in range(bins):
+        start = turn << (33 - 6)
+        least = sorted(grams, key=lambda g: ((g[0] - start) % (1 << 33), g[1]))[:keep]
+        out.append(turn << 32 | spark_hash(*(h.to_bytes(8, "little") for h, _ in sorted(least, key=lambda g: g[1]))) >> 32)
+    return out
+
+
+def test_order_minhash_equals_plain_python(spark):
+    rnd = random.Random(31)
+    texts = [" ".join(f"w{rnd.randrange(30)}" for _ in range(n)) for n in (1, 2, 3, 4, 12, 60, 300)] + ["", None, "a a a a a a", "é\u00a0x  y\tz", "word " * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["s"] for r in order_minhash.signatures(rows, "text", "s").collect()}
+    assert got == {k: plain_signature(t or "") for k, t in enumerate(texts)}
+
+
+def test_order_minhash_of_short_texts_sees_the_order(spark):
+    rnd, near = random.Random(32), {}
+    for n in (12, 24, 48, 400):
+        likeness = []
+        for _ in range(40):
+            blocks = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(4)) for _ in range(n // 4)]
+            a, b = plain_signature(" ".join(blocks)), plain_signature(" ".join(blocks[::-1]))
+            likeness.append(sum(x == y for x, y in zip(a, b, strict=True)) / 64)
+        near[n] = sum(likeness) / len(likeness)
+    assert all(x < 0.45 for x in near.values()), near
+
+
 def test_every_training_text_gives_gradients(spark):
     import numpy as np
 
-    words = [f"w{k}" for k in range(32)]
-    texts = spark.createDataFrame([(str(k), f"{w} {w} {w}", k == 31) for k, w in enumerate(words)], "doc_id string, text string, held_out boolean")
+    words = [b"w%d" % k for k in range(32)]
+    texts = spark.createDataFrame([(str(k), f"x{k} {w.decode()}", k == 31) for k, w in enumerate(words)], "doc_id string, text string, held_out boolean")
     vocabulary = maxent.Vocabulary([(w, 3) for w in words], np.zeros(maxent.TAIL_CLASSES, np.int64), 96, 32)
-    weights, _ = maxent.train(texts, vocabulary)
-    assert [bool(weights[k].any()) for k in range(32)] == [True] * 31 + [False]
+    weights = maxent.train(texts, vocabulary)
+    moved = []
+    for k, w in enumerate(words):
+        mine = [b"x%d" % k, w, maxent.END]
+        rows = maxent.contexts(np.array([zlib.crc32(x) for x in mine], np.uint64), np.array([vocabulary.leaf(x) for x in mine]), np.array([0]), vocabulary.bits)
+        moved.append(bool(weights[rows[5, 1]].any()))  # the word's own leaf after x{k}
+    assert moved == [True] * 31 + [False]
+
+
+def test_language_model_score_is_a_softmax_of_sums(spark, tmp_path):
+    """Scores against a plain walk down the class tree; probabilities sum to 1."""
+    import numpy as np
+
+    rnd = random.Random(21)
+    texts = [(k, " ".join(rnd.choice(["a b", "b c", "c a d", f"r{rnd.randrange(50)}"]) for _ in range(30))) for k in range(80)] + [(80, ""), (81, None), (None, "a b"), (3, "a b c")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "d"))
+    docs, kept = spark.read.parquet(str(tmp_path / "d")), {}
+    train = maxent.train
+    try:
+        maxent.train = lambda t, v: kept.setdefault("model", (v, train(t, v)))[1]
+        got = maxent.score_texts(docs).collect()
+    finally:
+        maxent.train = train
+    vocabulary, weights = kept["model"]
+    counts, mask = {}, (1 << 64) - 1
+    for i, t in texts:
+        for w in (t or "").split() + [" "]:
+            counts[w] = counts.get(w, 0) + (i is None or zlib.crc32(str(i).encode()) % 7 != 2)
+    A, B, C, D = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93
+
+    def row(key):
+        key &= mask
+        return ((key ^ (key >> 32)) * A & mask) >> (64 - vocabulary.bits)
+
+    def children(level, node, one, two):
+        a, b = one * A & mask, two * B & mask
+        keys = [[a, b, (a ^ (a >> 29)) + b * C], [a + (node + 1) * D, b + (node + 1) * D], [a + (node + 17) * D]][level]
+        z = [float(vocabulary.shares[level][node][k]) + sum(float(weights[row(x)][k]) for x in keys) for k in range(16)]
+        total = sum(math.exp(x) for x in z)
+        return [math.exp(x) / total for x in z]
+
+    def probability(leaf, one, two):
+        return children(0, 0, one, two)[leaf // 256] * children(1, leaf // 256, one, two)[leaf // 16 % 16] * children(2, leaf // 16, one, two)[leaf % 16]
+
+    assert math.isclose(sum(probability(leaf, zlib.crc32(b"a"), 1 << 32) for leaf in range(0, 4096)), 1, rel_tol=1e-6)
+    tail = {}
+    for w, c in counts.items():
+        if c and w.encode() not in vocabulary.head:
+            tail[vocabulary.leaf(w.encode())] = tail.get(vocabulary.leaf(w.encode()), 0) + c + 1
+    by_text = {}
+    for r in got:
+        by_text.setdefault((r["doc_id"], r["n_tokens"]), r["score"])
+    for i, t in texts:
+        words, log, one, two = (t or "").split() + [" "], 0.0, 1 << 32, 1 << 32
+        for w in words:
+            leaf = vocabulary.leaf(w.encode())
+            log += math.log10(probability(leaf, one, two)) + (0 if leaf < maxent.HEAD else math.log10((counts[w] + 1) / (tail.get(leaf, 0) + 1)))
+            two, one = one, zlib.crc32(w.encode())
+        assert math.isclose(by_text[i, len(words)], log, rel_tol=1e-4), (i, t)
+    assert np.abs(weights).max() > 0.05
 
 
 def test_all_links_around_a_centre(spark, monkeypatch):

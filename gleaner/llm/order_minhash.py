@@ -1,9 +1,10 @@
 """Order MinHash fingerprints, sensitive to edit distance.
 
 A text's k-mers are runs of ``k`` words.  Each is numbered by its occurrence, so
-that repeats count, and hashed; the hash's top bits put it into one of ``bins``
-bins (one permutation stands for many).  In each bin the ``keep`` smallest
-numbered k-mers are selected, put back into text order, and hashed as a tuple.
+that repeats count, and hashed.  The circle of hashes is turned by 0, 1, 2, ... of
+``bins`` equal steps: each turn is a permutation, under which the ``keep`` smallest
+numbered k-mers are selected, put back into text order, and hashed as a tuple.  A text
+with ``keep`` k-mers or more so has ``bins`` whole tuples, however short it is.
 Column expressions only: a text is handled in its own row, without an exchange.
 """
 
@@ -16,9 +17,10 @@ from pyspark.sql.window import Window
 from .common import stage
 
 K, BINS, KEEP = 2, 64, 2
-#: A numbered k-mer is one long: hash bits above, word position below.
-POSITION_BITS = 24
-HASH_BITS = 39
+#: A numbered k-mer is one long: hash bits above, word position below (a string has
+#: fewer than 2**31 bytes, so fewer than 2**30 words).
+POSITION_BITS = 30
+HASH_BITS = 33
 POSITION_MASK = (1 << POSITION_BITS) - 1
 SIGNATURE_BITS = 32
 
@@ -37,9 +39,9 @@ def _at(array: str, i: Column) -> Column:
 
 
 def signatures(df: DataFrame, text: str, out: str, k: int = K, bins: int = BINS, keep: int = KEEP) -> DataFrame:
-    """``df`` plus ``out``: an array of longs ``bin << 32 | tuple hash``, one for
-    each bin that has a k-mer, in bin order.  Texts of fewer than ``k`` words are
-    one k-mer; texts without words give an empty array."""
+    """``df`` plus ``out``: an array of ``bins`` longs ``turn << 32 | tuple hash``, in
+    the order of turns.  Texts of fewer than ``k`` words are one k-mer; texts of fewer
+    than ``keep`` k-mers have shorter tuples; texts without words give an empty array."""
     bin_shift = POSITION_BITS + HASH_BITS - (bins - 1).bit_length()
     empty = F.array().cast("array<bigint>")
     none = F.array().cast("array<int>")
@@ -62,31 +64,33 @@ def signatures(df: DataFrame, text: str, out: str, k: int = K, bins: int = BINS,
     bin_of = lambda x: F.shiftright(x, bin_shift)
     least = F.filter(F.col("_n"), lambda x, i: (i < keep) | (bin_of(_at("_n", F.greatest(i - keep, F.lit(0)))) != bin_of(x)))
     df = df.select(*keep_columns, least.alias("_m"))
-    chosen = F.size("_m")
-    starts = F.filter(F.when(chosen > 0, F.sequence(F.lit(0), chosen - 1)).otherwise(none), lambda i: (i == 0) | (bin_of(_at("_m", i)) != bin_of(_at("_m", F.greatest(i - 1, F.lit(0))))))
-    df = df.select(*keep_columns, "_m", starts.alias("_b"))
-
-    def tuple_hash(s: Column, j: Column) -> Column:
-        members = F.slice(F.col("_m"), s + 1, F.coalesce(F.get(F.col("_b"), j + 1), F.size("_m")) - s)
+    # Where the smallest k-mers of each turn begin: the turns' own first hashes, sorted in
+    # among the least ones, stand behind as many turns as came before them.
+    turns = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.shiftleft(b.cast("long"), bin_shift))
+    df = df.select(*keep_columns, "_m", F.concat("_m", F.slice("_m", 1, keep)).alias("_c"), turns.alias("_t"))
+    df = df.select(*keep_columns, "_m", "_c", "_t", F.sort_array(F.concat("_m", "_t")).alias("_o"))
+
+    def tuple_hash(turn: Column, b: Column) -> Column:
+        members = F.slice(F.col("_c"), (F.array_position(F.col("_o"), turn) - b).cast("int"), F.least(F.size("_m"), F.lit(keep)))
         by_text = F.sort_array(F.transform(members, lambda x: F.shiftleft(x.bitwiseAND(F.lit(POSITION_MASK)), HASH_BITS).bitwiseOR(_hash_of(x))))
         hashes = F.transform(by_text, lambda x: x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-        return F.shiftleft(bin_of(_at("_m", s)), SIGNATURE_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(hashes), 64 - SIGNATURE_BITS))
+        return F.shiftleft(b.cast("long"), SIGNATURE_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(hashes), 64 - SIGNATURE_BITS))
 
-    return df.select(*keep_columns, F.transform(F.col("_b"), tuple_hash).alias(out))
+    return df.select(*keep_columns, F.when(F.size("_m") > 0, F.transform(F.col("_t"), tuple_hash)).otherwise(empty).alias(out))
 
 
 def fingerprint(signature: Column) -> Column:
-    """A string that two texts share if their signatures are equal: for each bin
+    """A string that two texts share if their signatures are equal: for each turn
     two hex digits and the first six of its tuple hash."""
     digits = F.transform(signature, lambda x: F.lpad(F.hex(F.shiftright(x, SIGNATURE_BITS - 24)), 8, "0"))
     return F.lower(F.array_join(digits, ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the bins with k-mers in either text whose tuples are equal; 1 for
-    two texts without words."""
-    bins = F.size(F.array_union(F.transform(a, lambda x: F.shiftright(x, SIGNATURE_BITS)), F.transform(b, lambda x: F.shiftright(x, SIGNATURE_BITS))))
-    return F.when(bins == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / bins)
+    """Share of the turns whose tuples are equal; 1 for two texts without words, 0 for
+    one without and one with some."""
+    turns = F.greatest(F.size(a), F.size(b))
+    return F.when(turns == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / turns)
 
 
 def with_next(docs: DataFrame, k: int = K, bins: int = BINS, keep: int = KEEP) -> DataFrame:
@@ -130,8 +134,8 @@ def fingerprint_documents(docs: DataFrame, k: int = K, bins: int = BINS, keep: i
 
     Null texts are empty; texts without words have the empty fingerprint and
     likeness 1 to each other, 0 to all others; null doc_ids come last in the order,
-    repeated ones in input order; texts of any length are taken whole (k-mers
-    beyond 2**24 words share position numbers); an empty table gives no rows.
+    repeated ones in input order; texts of any length are taken whole; other columns
+    are ignored; an empty table gives no rows.
     """
     both = edited(docs, k, bins, keep).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     return signatures(both, "edited", "_es", k, bins, keep).select(

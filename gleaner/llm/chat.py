@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stage
 
@@ -76,14 +77,16 @@ def repair(conversations: DataFrame) -> DataFrame:
     """A row for each turn of ``conversations(conv_id, turn, role, text)``: conv_id,
     turn, label (as given), role (as repaired), action (keep or merge), inserted
     (role of an empty message put before, else empty), closed (role of one put after
-    the last turn, else empty), message long (number of its message in the block),
-    rendered (its piece of the rendered conversation: in the order of turns the
+    the last turn, else empty), message long (number of its message in the
+    conversation, from 0, empty ones included), at long (place in the order of turns),
+    rendered (its piece of the rendered conversation: in the order of ``at`` the
     pieces make up the whole).
 
     Turns are ordered by turn (nulls last), label and text.  Null labels and labels
     outside the three roles cost less to relabel; null texts are empty; a null
-    conv_id is a conversation of its own; repeated turns are turns; an empty table
-    gives no rows; other columns are ignored.
+    conv_id is a conversation of its own; repeated turns are turns; ties keep any
+    order, the same for role and text; an empty table gives no rows; other columns are
+    ignored.
     """
     known = F.lower(F.trim("role"))
     rows = conversations.select("conv_id", "turn", F.col("role").alias("label"), known.alias("_role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -92,9 +95,14 @@ def repair(conversations: DataFrame) -> DataFrame:
     rows = stage(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_block", F.shiftright("_at", BLOCK_BITS)), "turns")
     same = ["conv_id", "_block"]
 
+    def parts(df: pd.DataFrame):
+        """A block's conversations; a null id stays None (not NaN, which is a number)."""
+        for conv, part in df.sort_values("_at").groupby("conv_id", sort=False, dropna=False):
+            yield None if pd.isna(conv) else conv, part
+
     def blocks(df: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for conv, part in df.sort_values("_at").groupby("conv_id", sort=False, dropna=False):
+        for conv, part in parts(df):
             m = _IDENTITY
             for role in part["_role"]:
                 m = _compose(m, turn_matrix(role))
@@ -114,31 +122,62 @@ def repair(conversations: DataFrame) -> DataFrame:
     # A group has one row of 16 numbers for each 2048 turns of a conversation.
     ends = stage(matrices.groupBy("conv_id").applyInPandas(chain, "conv_id string, _block long, _from int, _to int, _last boolean"), "turn-blocks")
 
+    def steps(part: pd.DataFrame) -> list[tuple[int, str, str, int]]:
+        """For the turns of a conversation in a block: state after it, action, inserted
+        role, and its message's number less the messages of the blocks before."""
+        first, out, number = part.iloc[0], [], -1
+        inner = pd.notna(first["_from"])
+        path = best_path([turn_matrix(r) for r in part["_role"]], int(first["_from"]) if inner else START, int(first["_to"]) if inner else None)
+        for before, after in zip(path[:-1], path[1:], strict=True):
+            _, action, inserted = _STEP[before, after]
+            number += (action == "keep") + bool(inserted)
+            out.append((after, action, inserted, number))
+        return out
+
+    def number(df: pd.DataFrame) -> pd.DataFrame:
+        out = [(conv, part["_block"].iloc[0], steps(part)[-1][3] + 1) for conv, part in parts(df)]
+        return pd.DataFrame(out, columns=["conv_id", "_block", "n"])
+
     def mend(df: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for conv, part in df.sort_values("_at").groupby("conv_id", sort=False, dropna=False):
-            labels, first = list(part["_role"]), part.iloc[0]
+        for conv, part in parts(df):
+            taken, first, n = steps(part), part.iloc[0], len(part)
             inner = pd.notna(first["_from"])
-            start = int(first["_from"]) if inner else START
-            path = best_path([turn_matrix(r) for r in labels], start, int(first["_to"]) if inner else None)
-            number, n = -1, len(labels)
-            whole_end = not inner or bool(first["_last"])
-            for k, (turn, label, text) in enumerate(zip(part["turn"], part["label"], part["text"], strict=True)):
-                _, action, inserted = _STEP[path[k], path[k + 1]]
-                role = ROLES[path[k + 1] - 1]
-                number += (action == "keep") + bool(inserted)
-                closed = "assistant" if k == n - 1 and whole_end and path[-1] == USER else ""
+            before = int(first["_before"]) if pd.notna(first["_before"]) else 0
+            for k, (turn, label, text, at) in enumerate(zip(part["turn"], part["label"], part["text"], part["_at"], strict=True)):
+                state, action, inserted, message = taken[k]
+                closed = "assistant" if k == n - 1 and (not inner or bool(first["_last"])) and state == USER else ""
+                role = ROLES[state - 1]
                 piece = (render(inserted, "") if inserted else "") + (f"{text}\n" if action == "merge" else render(role, text)) + (render(closed, "") if closed else "")
-                out.append((conv, turn, label, role, action, inserted, closed, max(number, 0), piece))
-        return pd.DataFrame(out, columns=["conv_id", "turn", "label", "role", "action", "inserted", "closed", "message", "rendered"])
+                out.append((conv, turn, label, role, action, inserted, closed, message + before, at, piece))
+        return pd.DataFrame(out, columns=["conv_id", "turn", "label", "role", "action", "inserted", "closed", "message", "at", "rendered"])
 
     keyed = rows.withColumn("conv_id", F.col("conv_id").cast("string")).withColumn("turn", F.col("turn").cast("string"))
-    joined = keyed.alias("k").join(ends.alias("e"), F.col("k.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("k._block") == F.col("e._block")), "left").select("k.*", "_from", "_to", "_last")
+    join = lambda right, how: keyed.alias("k").join(right.alias("e"), F.col("k.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("k._block") == F.col("e._block")), how)
+    counts = join(ends, "inner").select("k.*", "_from", "_to").groupBy("_block").applyInPandas(number, "conv_id string, _block long, n long")
+    # One row for each 2048 turns here too.
+    so_far = F.sum("n").over(Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("conv_id", "_block", F.coalesce(so_far, F.lit(0)).alias("_before"))
+    known = ends.alias("x").join(before.alias("y"), F.col("x.conv_id").eqNullSafe(F.col("y.conv_id")) & (F.col("x._block") == F.col("y._block"))).select("x.*", "_before")
+    joined = join(stage(known, "turn-ends"), "left").select("k.*", "_from", "_to", "_last", "_before")
     types = dict(conversations.dtypes)
-    done = joined.groupBy("_block").applyInPandas(mend, "conv_id string, turn string, label string, role string, action string, inserted string, closed string, message long, rendered string")
+    done = joined.groupBy("_block").applyInPandas(mend, "conv_id string, turn string, label string, role string, action string, inserted string, closed string, message long, at long, rendered string")
     return done.withColumn("conv_id", F.col("conv_id").cast(types["conv_id"])).withColumn("turn", F.col("turn").cast(types["turn"]))
 
 
+def messages(repaired: DataFrame) -> DataFrame:
+    """The rendered sequences of ``repair``, a row for each message: conv_id, message,
+    part, role, rendered.  A message merged from very many turns comes in parts of 2048
+    turns at most; in the order of message and part the rows make up a conversation."""
+    blank = lambda c: F.when(F.col(c) == "", F.lit("")).otherwise(F.concat(F.lit("<|"), F.col(c), F.lit("|>\n\n")))
+    own = F.substr("rendered", F.length(blank("inserted")) + 1, F.length("rendered") - F.length(blank("inserted")) - F.length(blank("closed")))
+    row = lambda shift, role, text: F.struct((F.col("message") + shift).alias("message"), role.alias("role"), text.alias("text"))
+    pieces = F.array_compact(F.array(F.when(F.col("inserted") != "", row(-1, F.col("inserted"), blank("inserted"))), row(0, F.col("role"), own), F.when(F.col("closed") != "", row(1, F.col("closed"), blank("closed")))))
+    each = repaired.select("conv_id", "at", F.shiftright("at", BLOCK_BITS).alias("part"), F.explode(pieces).alias("p")).select("conv_id", "at", "part", "p.*")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "")
+    return each.groupBy("conv_id", "message", "part").agg(F.first("role").alias("role"), joined.alias("rendered"))
+
+
 def op5_chat(spark, sf_dir):
     """Every conversation repaired and rendered."""
     return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

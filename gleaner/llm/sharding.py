@@ -112,10 +112,12 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 20240501, bucket_rows: i
     Nulls, empty and very long texts are rows like any others; repeated rows are
     dealt out one by one, so a large group of copies spreads evenly; an empty
     table gives an empty result.  Columns named ``_shard`` or ``_slot`` are
-    replaced.
+    replaced; all others come back as they are.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("_shard", "_slot", "_pid", "_key", "_deal", "_local", "_bucket")
+    docs = docs.drop("_shard", "_slot")
+    columns = docs.columns
+    # under names of our own, so that no column of theirs clashes with ours
+    docs = docs.toDF(*[f"c{k}" for k in range(len(columns))])
     counts = stage(docs.groupBy(F.spark_partition_id().alias("pid")).agg(F.count("*").alias("n")), "shard-counts")
     matrix = stage(communication_matrix(counts, shards, seed), "shard-matrix")
     known = matrix.agg(F.count("*").alias("p"), F.sum("n").alias("rows")).first()
@@ -140,7 +142,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 20240501, bucket_rows: i
     sizes = stage(sizes.select("_shard", "_bucket", F.coalesce(before, F.lit(0)).alias("_before")), "shard-offsets")
     place = F.row_number().over(Window.partitionBy("_shard", "_bucket").orderBy("_key")) - 1
     out = dealt.withColumn("_place", place).join(sizes, ["_shard", "_bucket"])
-    return out.select(*[f"`{c}`" for c in docs.columns], F.col("_shard").cast("int").alias("_shard"), (F.col("_before") + F.col("_place")).cast("long").alias("_slot"))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)], F.col("_shard").cast("int").alias("_shard"), (F.col("_before") + F.col("_place")).cast("long").alias("_slot"))
 
 
 def op3_sharding(spark, sf_dir):

@@ -74,7 +74,19 @@ def worker_cache(tenant: str) -> dict:
     return held.kept
 
 
-def slices(batch, rows: int = 1000):
-    """The parts of a pandas batch, so that what is made of one stays small."""
-    for a in range(0, len(batch), rows):
-        yield batch.iloc[a : a + rows]
+def map_texts(df: DataFrame, function, schema: str, rows: int = 500) -> DataFrame:
+    """``function`` over ``df`` as an iterator of small pandas tables.  Batches stay in
+    Arrow's form; only ``rows`` rows at a time become Python objects, so that a worker
+    needs little memory."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches):
+        parts = (b.slice(a, rows).to_pandas() for b in batches for a in range(0, b.num_rows, rows))
+        for out in function(parts):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, worker_cache
+from .common import LOWER, UPPER, map_texts, worker_cache
 
 #: Edits allowed for each word of an item.
 EDIT_SHARE = 0.25
@@ -180,7 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = [(d, *m) for d, t in zip(b.doc_id, b.text, strict=True) for m in index.find(t)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "start_word", "end_word", "item_words"])
 
-        part = texts.mapInPandas(run, schema)
+        part = map_texts(texts, run, schema)
         out = part if out is None else out.unionByName(part)
     types = dict(docs.dtypes)
     return out.withColumn("doc_id", F.col("doc_id").cast(types["doc_id"])).withColumn("item_id", F.col("item_id").cast(dict(benchmark.dtypes)["item_id"]))

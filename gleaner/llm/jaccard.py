@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, slices, stage, worker_cache
+from .common import LOWER, UPPER, map_texts, stage, worker_cache
 from .components import components
 
 WIDTH = 5
@@ -99,7 +99,7 @@ def describe(docs: DataFrame) -> DataFrame:
             described = [(len(s), set_class(s) if len(s) else None) for s in map(shingles, b.text)]
             yield pd.DataFrame({"doc_id": b.doc_id, "n_shingles": [n for n, _ in described], "class": pd.array([c for _, c in described], dtype="Int64")})
 
-    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n_shingles long, class long")
+    out = map_texts(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), run, "doc_id string, n_shingles long, class long")
     return out.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))
 
 
@@ -142,7 +142,7 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
         if tokens:
             yield pack(tokens, classes)
 
-    return docs.select("text").mapInPandas(run, "bucket int, tokens binary, classes binary, sure binary, sure_n binary")
+    return map_texts(docs.select("text"), run, "bucket int, tokens binary, classes binary, sure binary, sure_n binary")
 
 
 def _shared(df: pd.DataFrame) -> pd.DataFrame:
@@ -177,15 +177,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, n, rows, tokens) for the classes of ``wanted``, from their documents' texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for b in slices(batch):
-                sets = [shingles(t) for t in b.text]
-                yield pd.DataFrame({"class": [set_class(s) if len(s) else 0 for s in sets], "n": [len(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
+        for b in batches:
+            sets = [shingles(t) for t in b.text]
+            yield pd.DataFrame({"class": [set_class(s) if len(s) else 0 for s in sets], "n": [len(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
 
     ids = wanted.select("doc_id")
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    made = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInPandas(run, "class long, n long, tokens array<bigint>")
+    made = map_texts(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text"), run, "class long, n long, tokens array<bigint>")
     return made.join(wanted.select("class", "rows"), "class").dropDuplicates(["class"])
 
 

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage, worker_cache
+from .common import map_texts, stage, worker_cache
 
 CAPACITY = 2048
 #: Word forms whose ids a Python worker remembers.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 #: White space as the tokenizer's own pattern sees it.  No match of that pattern
 #: goes on from another character into white space, or from a letter into what is
 #: no letter, digit or mark of a word, so texts may be cut there.
@@ -154,7 +154,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end
 
     # the id travels as text, so that nulls don't turn it into a double
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    out = texts.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long, task int, local_rank long")
+    out = map_texts(texts, cut, "doc_id string, piece int, start long, length long, ids_crc32 long, task int, local_rank long")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 

@@ -106,6 +106,49 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_keeps_columns_that_clash(spark, tmp_path):
+    names = ["_place", "_before", "_pid", "_key", "_deal", "_local", "_bucket", "_n", "pid", "c0", "_shard", "a b.c"]
+    spark.createDataFrame([tuple(range(k, k + len(names))) for k in range(50)], ", ".join(f"`{n}` int" for n in names)).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = sharding.shard(docs, 3).collect()
+    kept = [n for n in names if n != "_shard"]
+    assert sorted(tuple(r[n] for n in kept) for r in got) == sorted(tuple(r[n] for n in kept) for r in docs.collect())
+    assert {r["_shard"] for r in got} == {0, 1, 2}
+
+
+def test_communication_matrix_is_exact_and_uniform(spark):
+    """Rows and columns of the matrix add up, and each cell has its hypergeometric mean."""
+    counts = spark.createDataFrame([(p, n) for p, n in enumerate([7, 0, 12, 1, 20])], "pid int, n long")
+    total = {}
+    for seed in range(60):
+        rows = sharding.communication_matrix(counts, 4, seed).collect()
+        assert {r["pid"]: sum(r["deal"]) for r in rows} == {r["pid"]: r["n"] for r in rows}
+        assert sorted(sum(r["deal"][s] for r in rows) for s in range(4)) == [10, 10, 10, 10]
+        for r in rows:
+            for s, x in enumerate(r["deal"]):
+                total[r["pid"], s] = total.get((r["pid"], s), 0) + x
+    for (p, s), x in total.items():
+        n = {0: 7, 1: 0, 2: 12, 3: 1, 4: 20}[p]
+        variance = n / 4 * 0.75 * (40 - n) / 39 * 60
+        assert abs(x - 60 * n / 4) <= 5 * math.sqrt(variance) + 1e-9
+
+
+def test_shuffle_leaves_no_order(spark, tmp_path):
+    """Places in a shard hang neither on a row's place before nor on its partition."""
+    spark.range(6000).repartitionByRange(3, "id").write.parquet(str(tmp_path / "d"))
+    got = sharding.shard(spark.read.parquet(str(tmp_path / "d")), 3, 9, 50).collect()
+    for s in range(3):
+        mine = [(r["id"], r["_slot"]) for r in got if r["_shard"] == s]
+        mean = [sum(x[k] for x in mine) / len(mine) for k in (0, 1)]
+        cov = sum((a - mean[0]) * (b - mean[1]) for a, b in mine)
+        spread = math.sqrt(sum((a - mean[0]) ** 2 for a, _ in mine) * sum((b - mean[1]) ** 2 for _, b in mine))
+        assert abs(cov / spread) < 5 / math.sqrt(len(mine))
+        follows = sum(b == a + 1 for a, b in itertools.pairwise(i for i, _ in sorted(mine, key=lambda x: x[1])))
+        assert follows < 6  # one in expectation
+        for part in range(3):  # 2000 of 6000 rows each
+            assert abs(sum(i // 2000 == part for i, _ in mine) - 2000 / 3) < 5 * math.sqrt(2000 * 2 / 9)
+
+
 def test_hypergeometric_law(spark):
     big = lambda x: F.lit(x).cast("long")
     counts = {r["k"]: r["count"] for r in spark.range(4000).select(sharding._hypergeometric(big(40), big(15), big(12), sharding.uniform(F.lit(3), F.col("id"))).alias("k")).groupBy("k").count().collect()}
@@ -175,6 +218,46 @@ def test_chat_repair_is_cheapest(spark, monkeypatch):
     assert chat.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_messages_make_up_the_conversation(spark, monkeypatch):
+    """Blocks of 4 turns: long conversations, ties, repeated turns, extra columns."""
+    monkeypatch.setattr(chat, "BLOCK_BITS", 2)
+    rnd, rows = random.Random(7), []
+    for k in range(12):
+        rows += [(k or None, i, rnd.choice(["system", "user", "user", "assistant", "Bot", None]), rnd.choice([None, "", f"t{i}", "long " * 500]), "x") for i in range(rnd.choice([1, 3, 25, 60]))]
+    rows += [(5, 0, "user", "again", "x"), (5, 0, "user", "again", "x"), (6, None, "assistant", "last", "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, message string")
+    got = chat.repair(table).collect()
+    assert len(got) == len(rows)
+    by, pieces = {}, {}
+    for r in sorted(got, key=lambda r: r["at"]):
+        by.setdefault(r["conv_id"], []).append(r)
+    for r in chat.messages(chat.repair(table)).collect():
+        pieces.setdefault(r["conv_id"], []).append(r)
+    for conv, turns in by.items():
+        number, state, parts = -1, None, []  # plain walk over the turns as repaired
+        for r in turns:
+            if r["inserted"]:
+                number, state = number + 1, r["inserted"]
+                parts.append([number, state, f"<|{state}|>\n\n"])
+            text = r["rendered"].removeprefix(f"<|{r['inserted']}|>\n\n" if r["inserted"] else "")
+            if r["action"] == "keep":
+                number, state = number + 1, r["role"]
+                parts.append([number, state, ""])
+            assert (r["message"], r["role"]) == (number, state)
+            closing = f"<|{r['closed']}|>\n\n" if r["closed"] else ""
+            parts[-1][2] += text.removesuffix(closing)
+            if closing:
+                parts.append([number + 1, r["closed"], closing])
+        roles = [p[1] for p in parts]
+        assert roles[-1] == "assistant" or roles == ["system"]
+        assert all(a != b and b != "system" for a, b in itertools.pairwise(roles))
+        want = {}
+        for r in sorted(pieces[conv], key=lambda r: (r["message"], r["part"])):
+            want.setdefault(r["message"], [r["message"], r["role"], ""])[2] += r["rendered"]
+        assert parts == list(want.values())
+        assert "".join(p[2] for p in parts) == "".join(r["rendered"] for r in turns)
+
+
 def test_jaccard_components(docs, empty):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))

@@ -17,8 +17,8 @@ SECRETS = (
 )
 HOST_URIS = (r"""\bfile://(?:localhost)?/[A-Za-z]:[/\\][^\s:'",)>\]}]+""", r"""\bfile://(?:localhost)?/[^\s:'",)>\]}]+""")
 HOST_PATHS = (
-    r"""(?U)(?<![\w:/.-])/(home|Users|var|tmp|etc|opt|root|data|mnt|workspace-roots|workspace|private)(?:/[^\s:'",)>\]}]+)?(?=$|[\s:'",)>\]}])""",
-    r"""(?U)(?<![\w:/.-])[A-Za-z]:[/\\](?:Users|Windows|ProgramData|Temp|tmp|workspace-roots|workspace|data|mnt|repo)(?:[/\\][^\s:'",)>\]}]+)?(?=$|[\s:'",)>\]}])""",
+    r"""(?<![\w:/.-])/(home|Users|var|tmp|etc|opt|root|data|mnt|workspace-roots|workspace|private)(?:/[^\s:'",)>\]}]+)?(?=$|[\s:'",)>\]}])""",
+    r"""(?<![\w:/.-])[A-Za-z]:[/\\](?:Users|Windows|ProgramData|Temp|tmp|workspace-roots|workspace|data|mnt|repo)(?:[/\\][^\s:'",)>\]}]+)?(?=$|[\s:'",)>\]}])""",
 )
 INJECTIONS = {
     "instruction_override": r"(?i)\b(ignore|override|forget|bypass)\b.{0,40}\b(previous|system|developer|instruction|rules)\b",
@@ -42,12 +42,17 @@ ROUTE_TERMS = (
     ("security", ("security", "secret", "token", "auth", "permission", "vulnerability")),
     ("coding", ("implement", "code", "feature", "refactor", "api", "function")),
 )
-GENERIC_TERMS = tuple(
-    "a add an and are as behavior bug build by change code debug diff fix for in implement implementation is issue merge of on plan pr real refactor regression related review run test tests the to update verify with work world".split()
+GENERIC_TERMS = (
+    "a", "add", "an", "and", "are", "as", "behavior", "bug", "build", "by", "change", "code", "debug", "diff", "fix", "for", "in", "implement", "implementation", "is", "issue", "merge", "of", "on", "plan", "pr", "real",
+    "refactor", "regression", "related", "review", "run", "test", "tests", "the", "to", "update", "verify", "with", "work", "world",
 )
 LINE_BREAK = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 TRUNCATED = "\n...[truncated]"
+#: White space as Python's strip() sees it.
+WHITE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # -------------------------------------------------------------------------------
+#: Letters, digits and white space of all scripts, for the patterns above.
+UNICODE = "(?U)"
 
 
 def words(*values: str) -> Column:
@@ -65,12 +70,24 @@ def query_terms(text: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(index_tokens(text)), 1, most)
 
 
-def trim_text(text: Column, most: int) -> Column:
-    """At most ``most`` characters; what is cut ends with a marker."""
-    head = F.rtrim(F.substring(text, 1, max(most - 15, 0)))
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+
+
+def trim_text(text: Column, most) -> Column:
+    """At most ``most`` characters (a number or a column); what is cut loses the
+    white space at its end and gets a marker.  ``is_trimmed`` is the flag."""
+    most = most if isinstance(most, Column) else F.lit(most)
+    head = F.regexp_replace(F.substr(text, F.lit(1), F.greatest(most - 15, F.lit(0))), f"{WHITE}+$", "")
     return F.when(F.length(text) <= most, text).otherwise(F.concat(head, F.lit(TRUNCATED)))
 
 
+def is_trimmed(text: Column, most) -> Column:
+    """Whether ``trim_text`` cuts."""
+    return F.length(text) > most
+
+
 def token_estimate(text: Column) -> Column:
     """A token for each four characters, one at least."""
     return F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4).cast("int"))
@@ -79,7 +96,7 @@ def token_estimate(text: Column) -> Column:
 def redact_secrets(text: Column, kinds=range(4)) -> Column:
     """The secret patterns of T05, in order."""
     for k in kinds:
-        text = F.regexp_replace(text, SECRETS[k], f"[REDACTED_SECRET_{k}]")
+        text = F.regexp_replace(text, UNICODE + SECRETS[k], f"[REDACTED_SECRET_{k}]")
     return text
 
 
@@ -87,9 +104,9 @@ def redact(text: Column) -> Column:
     """Secrets, then file URIs, then host paths."""
     text = redact_secrets(text)
     for p in HOST_URIS:
-        text = F.regexp_replace(text, p, "file://[REDACTED_HOST_PATH]")
+        text = F.regexp_replace(text, UNICODE + p, "file://[REDACTED_HOST_PATH]")
     for p in HOST_PATHS:
-        text = F.regexp_replace(text, p, "[REDACTED_HOST_PATH]")
+        text = F.regexp_replace(text, UNICODE + p, "[REDACTED_HOST_PATH]")
     return text
 
 
@@ -97,13 +114,13 @@ def redaction_categories(text: Column) -> Column:
     """The sorted names of the patterns that changed something."""
     found, now = [], text
     for k in range(4):
-        after = F.regexp_replace(now, SECRETS[k], f"[REDACTED_SECRET_{k}]")
+        after = F.regexp_replace(now, UNICODE + SECRETS[k], f"[REDACTED_SECRET_{k}]")
         found.append(F.when(after != now, F.lit(f"secret_pattern_{k}")))
         now = after
     for name, patterns, by in (("host_path_uri", HOST_URIS, "file://[REDACTED_HOST_PATH]"), ("host_path", HOST_PATHS, "[REDACTED_HOST_PATH]")):
         after = now
         for p in patterns:
-            after = F.regexp_replace(after, p, by)
+            after = F.regexp_replace(after, UNICODE + p, by)
         found.append(F.when(after != now, F.lit(name)))
         now = after
     return F.array_sort(F.array_compact(F.array(*found)))
@@ -121,7 +138,7 @@ def merge_categories(lists: Column) -> Column:
 
 def injection_signals(text: Column) -> Column:
     """Names of the prompt-injection patterns found."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in INJECTIONS.items()]))
+    return F.array_compact(F.array(*[F.when(text.rlike(UNICODE + p), F.lit(n)) for n, p in INJECTIONS.items()]))
 
 
 def route(prompt: Column) -> Column:

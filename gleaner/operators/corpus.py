@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values
-SKIP_DIRS = (".cache", ".git", ".mcp-context-manager", ".mypy_cache", ".nox", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "venv")
+SKIP_DIRS = (".cache", ".git", ".mypy_cache", ".nox", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "venv")
 SECRET_FILES = (".netrc", ".npmrc", ".pypirc", "credentials", "credentials.json", "id_dsa", "id_ecdsa", "id_ed25519", "id_rsa")
 SECRET_SUFFIXES = (".key", ".pem", ".p12", ".pfx")
 LANGUAGES = {
@@ -15,14 +15,15 @@ LANGUAGES = {
 }
 
 
-def excluded(path: Column) -> Column:
-    """Whether a path must not be read (run-time folders, credentials)."""
+def excluded(path: Column, state_dir: str = ".gleaner") -> Column:
+    """Whether a path must not be read: run-time folders, the folder of our own
+    state, and credentials, whose names count in any case."""
     parts = F.split(path, "/")
-    name = F.element_at(parts, -1)
-    skip = F.arrays_overlap(parts, F.array(*map(F.lit, SKIP_DIRS))) | F.exists(parts, lambda p: p.endswith(".egg-info"))
+    name = F.lower(F.element_at(parts, -1))
+    skip = F.arrays_overlap(parts, F.array(*map(F.lit, (*SKIP_DIRS, state_dir)))) | F.exists(parts, lambda p: p.endswith(".egg-info"))
     suffix = None
     for s in SECRET_SUFFIXES:
-        suffix = F.lower(name).endswith(s) if suffix is None else suffix | F.lower(name).endswith(s)
+        suffix = name.endswith(s) if suffix is None else suffix | name.endswith(s)
     return skip | (name == ".env") | name.startswith(".env.") | name.isin(*SECRET_FILES) | suffix
 
 
@@ -64,10 +65,10 @@ def apply_diff(derived: DataFrame, diff: DataFrame, fresh: DataFrame) -> DataFra
 
 
 def signature(files: DataFrame) -> DataFrame:
-    """A hash of each project's listing: rows are hashed in 256 buckets of
+    """A hash of each project's listing: rows are hashed in 65536 buckets of
     paths, the buckets' hashes then hashed, so no group holds a whole project."""
     row = F.concat_ws(":", "path", "size", "mtime_ns")
-    bucket = F.substring(F.sha2("path", 256), 1, 2)
+    bucket = F.substring(F.sha2("path", 256), 1, 4)
     per = files.groupBy("project_id", bucket.alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256).alias("h"))
     return per.groupBy("project_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("signature"))
 

@@ -9,12 +9,12 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 MAX_TERMS = 4000
+SUMMARY_CHARS = 480
 
 
 def postings(files: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(path, term, first_line, tf, excerpt).  A file's terms stop after the
-    line in which it reaches ``max_terms`` different ones; words of the path count
-    at line 1."""
+    """(path, term, first_line, tf).  A file's terms stop after the line in which
+    it reaches ``max_terms`` different ones; words of the path count at line 1."""
     each = files.select("path", F.posexplode(T.lines(F.col("content"))).alias("i", "line"))
     tokens = each.select("path", (F.col("i") + 1).alias("line_no"), F.explode(T.index_tokens(F.col("line"))).alias("term"))
     rows = tokens.groupBy("path", "term", "line_no").agg(F.count("*").alias("n"))
@@ -25,9 +25,14 @@ def postings(files: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     kept = rows.join(last, "path", "left").where("last is null or line_no <= last")
     named = files.select("path", F.explode(T.index_tokens(F.col("path"))).alias("term")).groupBy("path", "term").agg(F.lit(1).alias("line_no"), F.count("*").alias("n"))
     both = kept.select("path", "term", "line_no", "n").unionByName(named)
-    out = both.groupBy("path", "term").agg(F.min("line_no").alias("first_line"), F.sum("n").alias("tf"))
-    lines = each.select("path", (F.col("i") + 1).alias("first_line"), F.substring(F.trim("line"), 1, 240).alias("excerpt"))
-    return out.join(lines, ["path", "first_line"], "left")
+    return both.groupBy("path", "term").agg(F.min("line_no").alias("first_line"), F.sum("n").alias("tf"))
+
+
+def with_excerpts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``postings`` plus the excerpt, 240 characters of the first line.  A file's
+    lines stay one array, so they are joined once a file."""
+    lines = files.select("path", T.lines(F.col("content")).alias("_ls"))
+    return rows.join(lines, "path").withColumn("excerpt", F.substring(T.strip(F.get("_ls", F.col("first_line").cast("int") - 1)), 1, 240)).drop("_ls")
 
 
 def generic_symbols(files: DataFrame) -> DataFrame:
@@ -67,21 +72,44 @@ def python_symbols(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, name string, kind string, line_start int, line_end int, signature string")
 
 
-def head_summary(files: DataFrame, most: int = 480) -> DataFrame:
-    """The first four non-blank lines, trimmed to ``most`` characters, with the
-    first as title."""
-    full = F.filter(F.transform(T.lines(F.col("content")), lambda x, i: F.struct((i + 1).alias("n"), F.trim(x).alias("t"))), lambda x: x["t"] != "")
-    rows = files.select("path", F.slice(full, 1, 4).alias("h"))
-    joined = F.array_join(F.transform("h", lambda x: x["t"]), "\n")
-    return rows.select("path", F.coalesce(F.get("h", F.lit(0))["n"], F.lit(1)).alias("start_line"), F.coalesce(F.element_at(F.when(F.size("h") > 0, F.col("h")), -1)["n"], F.lit(1)).alias("end_line"),
-                       F.substring(F.coalesce(F.get("h", F.lit(0))["t"], F.element_at(F.split("path", "/"), -1)), 1, 160).alias("title_hint"), T.trim_text(T.redact_secrets(joined), most).alias("content"))
+def _summary(rows: DataFrame, *keys: str) -> DataFrame:
+    """What both summaries share: ``rows`` with the picked lines, symbols' title if any,
+    become title, redacted content, its flags and signals."""
+    raw = F.array_join("picked", "\n")
+    content = T.redact(T.trim_text(raw, SUMMARY_CHARS))
+    title = F.coalesce("symbol", F.get("picked", F.lit(0)), F.element_at(F.split("path", "/"), -1))
+    rows = rows.select(*keys, "start_line", "end_line", F.substring(title, 1, 160).alias("title_hint"), content.alias("content"), F.col("chars").alias("source_chars"), T.is_trimmed(raw, SUMMARY_CHARS).alias("truncated"), T.redaction_categories(T.trim_text(raw, SUMMARY_CHARS)).alias("redactions"))
+    return rows.withColumn("signals", T.injection_signals(F.col("content")))
+
+
+def _with_symbol(rows: DataFrame, symbols: DataFrame | None) -> DataFrame:
+    """``rows`` plus the first symbol's signature (else name) of the path, if any."""
+    if symbols is None:
+        return rows.withColumn("symbol", F.lit(None).cast("string"))
+    first = symbols.groupBy("path").agg(F.min(F.struct("line_start", F.coalesce(F.nullif("signature", F.lit("")), "name").alias("symbol")))["symbol"].alias("symbol"))
+    return rows.join(first, "path", "left")
+
+
+def head_summary(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """The first non-blank lines, stripped, until there are four or they have 480
+    characters; redacted, with title, length of the source and signals.  A file
+    without any gives its name."""
+    full = F.filter(F.transform(T.lines(F.col("content")), lambda x, i: F.struct((i + 1).alias("n"), T.strip(x).alias("t"))), lambda x: x["t"] != "")
+    rows = files.select("path", F.size(T.lines(F.col("content"))).alias("lines"), F.length("content").alias("chars"), F.slice(full, 1, 4).alias("h"))
+    before = lambda i: F.length(F.array_join(F.transform(F.slice("h", 1, i), lambda x: x["t"]), "\n"))
+    rows = rows.withColumn("picked", F.transform(F.filter("h", lambda x, i: (i == 0) | (before(i) < SUMMARY_CHARS)), lambda x: x["t"]))
+    start = F.coalesce(F.get("h", F.lit(0))["n"], F.lit(1))
+    rows = rows.withColumn("start_line", start).withColumn("end_line", F.least("lines", start + F.greatest(F.size("picked") - 1, F.lit(0))))
+    return _summary(_with_symbol(rows, symbols), "path")
 
 
-def anchored_summary(files: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Six lines from two before the anchor; each (path, anchor) once."""
-    rows = anchors.select("path", "anchor").distinct().join(files.select("path", T.lines(F.col("content")).alias("ls")), "path")
-    start = F.greatest(F.lit(1), F.col("anchor") - 2)
-    return rows.select("path", "anchor", start.alias("start_line"), F.least(start + 5, F.size("ls")).alias("end_line"), F.array_join(F.slice("ls", start, 6), "\n").alias("content"))
+def anchored_summary(files: DataFrame, anchors: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """Six lines from two before the anchor (which lies in the file), treated as
+    in X05; each (path, anchor) once, whoever asks for it (C15)."""
+    rows = anchors.select("path", "anchor").distinct().join(files.select("path", T.lines(F.col("content")).alias("ls"), F.length("content").alias("chars")), "path")
+    start = F.greatest(F.lit(1), F.least("anchor", F.greatest(F.lit(1), F.size("ls"))) - 2)
+    rows = rows.select("path", "anchor", "chars", start.alias("start_line"), F.least(start + 5, F.size("ls")).alias("end_line"), F.slice("ls", start, 6).alias("picked"))
+    return _summary(_with_symbol(rows, symbols), "path", "anchor")
 
 
 def chunks(files: DataFrame, width: int = 80) -> DataFrame:
@@ -109,9 +137,12 @@ def tree(files: DataFrame, depth: int) -> DataFrame:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """Counts by extension, most first, eight at most."""
-    ext = F.regexp_extract("path", r"(\.[^./]+)$", 1)
-    return files.groupBy(ext.alias("extension")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "extension").limit(8)
+    """Counts by extension, most first, eight at most, with the number of all
+    files, whether there is a folder of tests and whether a readme, both at the root."""
+    ext = F.coalesce(F.nullif(F.lower(F.regexp_extract("path", r"[^./](\.[^./]+)$", 1)), F.lit("")), F.lit("[none]"))
+    whole = files.agg(F.count("*").alias("file_count"), F.coalesce(F.bool_or(F.col("path").rlike("^tests?/")), F.lit(False)).alias("has_tests"), F.coalesce(F.bool_or(F.col("path").isin("README.md", "README.rst", "README.txt")), F.lit(False)).alias("has_readme"))
+    top = files.groupBy(ext.alias("extension")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "extension").limit(8)
+    return top.crossJoin(F.broadcast(whole))  # one row
 
 
 def search_documents(files: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def recent_p95(events: DataFrame, n: int = 50) -> DataFrame:
     """A10: interpolated 95th percentile of each operation's last ``n`` latencies."""
     w = Window.partitionBy("operation").orderBy(F.desc("event_id"))
     last = events.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-    return last.groupBy("operation").agg(F.round(F.percentile("elapsed_ms", F.lit(0.95)), 4).alias("p95_ms"), F.count("*").alias("n"))
+    return last.groupBy("operation").agg(F.round(F.round(F.percentile("elapsed_ms", F.lit(0.95)), 9), 3).alias("p95_ms"), F.count("*").alias("n"))
 
 
 def matrix(values: DataFrame) -> DataFrame:
@@ -70,6 +70,33 @@ def matrix(values: DataFrame) -> DataFrame:
     return j.select("key", "target", "value", status.alias("status"))
 
 
+def kpi_values(events: DataFrame, pack: str, warm: str, namespaces: dict[str, str]) -> DataFrame:
+    """A11's values from ``events``: (key, value, samples) of each target.  ``pack`` and
+    ``warm`` are the operations of packs and warm-ups; ``namespaces`` names the cache
+    namespace of each ratio.  A key with no event has a null value; contract tokens
+    have no input here."""
+    packs, clamp = F.col("operation") == pack, lambda c: F.greatest(F.col(c), F.lit(0))
+    ms = lambda c, when: F.sum(F.when(when, F.col(c).cast("decimal(18,6)"))).cast("double") / F.count_if(when)
+    per = lambda c: F.sum(F.when(packs, clamp(c))) / F.count_if(packs)
+    calls = F.col("selected") + F.when(F.col("memory"), 1).otherwise(0) + F.when(F.col("candidates") > F.col("selected"), 1).otherwise(0)
+    n, cached = F.count_if(packs), F.count_if(packs & F.col("cache_hit").isNotNull())
+    values = [
+        ("latency.context_pack.avg_elapsed_ms", F.round(ms("elapsed_ms", packs), 3), n), ("latency.context_pack.index_refresh_avg_ms", F.round(ms("index_refresh_ms", packs), 3), n), ("latency.context_pack.snippet_batch_avg_ms", F.round(ms("snippet_batch_ms", packs), 3), n),
+        ("latency.context_admin.warmup.avg_elapsed_ms", F.round(ms("elapsed_ms", F.col("operation") == warm), 3), F.count_if(F.col("operation") == warm)),
+        ("tokens.context_pack.avg_saved_per_pack", F.round(per("saved_tokens"), 4), n), ("tokens.context_pack.avg_candidate_compression_per_pack", F.round(per("saved_tokens"), 4), n),
+        ("tokens.context_pack.compression_ratio", F.round(F.try_divide(F.sum(F.when(packs, clamp("output_tokens"))), F.sum(F.when(packs, clamp("output_tokens") + clamp("saved_tokens")))), 4), n),
+        ("retrieval.context_pack.candidates_per_selected", F.round(F.sum(F.when(packs, clamp("candidates"))) / F.greatest(F.lit(1), F.sum(F.when(packs, clamp("selected")))), 4), n),
+        ("cache.context_pack_fragment_hit_ratio", F.round(F.try_divide(F.count_if(packs & F.col("cache_hit")), cached), 4), cached),
+        ("tooling.external_calls_saved_per_pack", F.round(F.sum(F.when(packs, calls)) / n, 4), n), ("references.bytes_deferred_est", F.sum(F.when(packs, clamp("deferred_bytes"))).cast("double"), n),
+    ]
+    for key, namespace in namespaces.items():
+        here = F.col("cache_namespace") == namespace
+        values.append((f"cache.retrieval.{key}.hit_ratio", F.round(F.try_divide(F.count_if(here & F.col("cache_hit")), F.count_if(here)), 4), F.count_if(here)))
+    one = events.agg(*[F.struct(F.lit(k).alias("key"), v.cast("double").alias("value"), s.cast("long").alias("samples")).alias(f"k{i}") for i, (k, v, s) in enumerate(values)])
+    p95 = recent_p95(events.where(packs)).select(F.lit("latency.context_pack.p95_recent_ms").alias("key"), F.col("p95_ms").alias("value"), F.col("n").alias("samples"))
+    return one.select(F.explode(F.array(*one.columns)).alias("p")).select("p.*").unionByName(p95)
+
+
 def severity(matrix_rows: DataFrame) -> DataFrame:
     """Failed latencies are critical, other failures warnings."""
     label = F.when((F.col("status") == "fail") & F.col("key").startswith("latency."), "critical").when(F.col("status") == "fail", "warning").otherwise(F.col("status"))

@@ -42,7 +42,9 @@ def _terms(col: str, n: int) -> str:
 
 
 _FILES = "WITH files AS (" + D.SQL["files"] + ") "
-_TRIM = "CASE WHEN length({0}) <= {1} THEN {0} ELSE rtrim(left({0}, {2})) || chr(10) || '...[truncated]' END"
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TRIM = "CASE WHEN length({0}) <= {1} THEN {0} ELSE regexp_replace(left({0}, {2}), '" + _WHITE.replace("{", "{{").replace("}", "}}") + "+$', '') || chr(10) || '...[truncated]' END"
+_STRIP = "regexp_replace({0}, '^" + _WHITE.replace("{", "{{").replace("}", "}}") + "+|" + _WHITE.replace("{", "{{").replace("}", "}}") + "+$', '', 'g')"
 _SECRET_SQL = {k: p.replace("'", "''") for k, p in enumerate(T.SECRETS)}
 
 
@@ -53,9 +55,14 @@ def _redact_sql(col: str) -> str:
 
 
 # S and P ------------------------------------------------------------------------
-@add("s01_s02_corpus_scan", _FILES + "SELECT path, size FROM files WHERE size <= 262144 AND NOT (list_has_any(string_split(path, '/'), " + _list(corpus.SKIP_DIRS) + ") OR regexp_matches(path, '(^|/)\\.env(\\..*)?$'))")
+_NAMED = ", named AS (SELECT path, size, string_split(path, '/') AS p, lower(string_split(path, '/')[-1]) AS name FROM (SELECT path || (['', '', '', '/.ENV', '/x.PEM', '/ID_RSA', '/build/x.py', '/a.egg-info/b', '/.env.local', '/.gleaner/s'])[doc_id % 10 + 1] AS path, size FROM files))"
+
+
+@add("s01_s02_corpus_scan", _FILES.rstrip() + _NAMED + " SELECT path, size FROM named WHERE size <= 262144 AND NOT (list_has_any(p, " + _list((*corpus.SKIP_DIRS, ".gleaner")) + ") OR len(list_filter(p, lambda x: ends_with(x, '.egg-info'))) > 0 OR regexp_matches(name, '^\\.env(\\..*)?$') OR list_contains(" + _list(corpus.SECRET_FILES) + ", name) OR regexp_matches(name, '\\.(key|pem|p12|pfx)$'))")
 def _(s, d):
-    return D.files(s, d).where((F.col("size") <= 262_144) & ~corpus.excluded(F.col("path"))).select("path", "size")
+    names = F.expr("array('', '', '', '/.ENV', '/x.PEM', '/ID_RSA', '/build/x.py', '/a.egg-info/b', '/.env.local', '/.gleaner/s')")
+    path = F.concat("path", F.get(names, (F.col("doc_id") % 10).cast("int")))
+    return D.files(s, d).withColumn("path", path).where((F.col("size") <= 262_144) & ~corpus.excluded(F.col("path"))).select("path", "size")
 
 
 @add("s03_binary_sniff", "SELECT doc_id, strpos(left(text, 4096), chr(0)) > 0 AS is_binary FROM documents")
@@ -97,7 +104,7 @@ def _(s, d):
     return corpus.apply_diff(old.select("path", "size"), corpus.refresh_diff(old, new), new.select("path", "size"))
 
 
-_SIG = "SELECT project_id, sha256(string_agg(h, chr(10) ORDER BY b)) AS signature FROM (SELECT project_id, left(sha256(path), 2) AS b, sha256(string_agg(path || ':' || size || ':' || mtime_ns, chr(10) ORDER BY path || ':' || size || ':' || mtime_ns)) AS h FROM {0} GROUP BY 1, 2) GROUP BY 1"
+_SIG = "SELECT project_id, sha256(string_agg(h, chr(10) ORDER BY b)) AS signature FROM (SELECT project_id, left(sha256(path), 4) AS b, sha256(string_agg(path || ':' || size || ':' || mtime_ns, chr(10) ORDER BY path || ':' || size || ':' || mtime_ns)) AS h FROM {0} GROUP BY 1, 2) GROUP BY 1"
 
 
 @add("s10_signature", with_tables("files", query=_SIG.format("files")))
@@ -153,7 +160,11 @@ def _(s, d):
 
 
 # T ------------------------------------------------------------------------------
-@add("t01_query_terms", f"SELECT doc_id, array_to_string({_terms('left(text, 2000)', 8)}, ' ') AS terms FROM documents")
+# the first different tokens of whole texts, by their least places
+_PLACED = f"WITH k AS (SELECT doc_id, {_TOKENS.format('text')} AS ts FROM documents), e AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM k), m AS (SELECT doc_id, t, min(i) AS i FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM m) "
+
+
+@add("t01_query_terms", _PLACED + "SELECT d.doc_id, coalesce(string_agg(t, ' ' ORDER BY i), '') AS terms FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND n <= 8 GROUP BY 1")
 def _(s, d):
     return _DOC(s, d).select("doc_id", F.array_join(T.query_terms(F.col("text")), " ").alias("terms"))
 
@@ -179,7 +190,15 @@ def _(s, d):
     return _DOC(s, d).select("doc_id", F.md5(r).alias("h"), (r != F.col("text")).alias("changed"))
 
 
-@add("t05_redact_all")
+# each pattern after those before it; host paths need lookaround, which RE2 lacks, so they are spelled with their neighbours
+_STEPS = ["text", *["" for _ in range(4)]]
+for _k in range(4):
+    _STEPS[_k + 1] = f"regexp_replace({_STEPS[_k]}, '{_SECRET_SQL[_k]}', '[REDACTED_SECRET_{_k}]', 'g')"
+_HOST = [p.replace("(?<![\\w:/.-])", "(^|[^\\w:/.-])").replace("(?=$|[\\s:'\",)>\\]}])", "($|[\\s:'\",)>\\]}])").replace("'", "''") for p in T.HOST_PATHS]
+_URI = [p.replace("'", "''") for p in T.HOST_URIS]
+
+
+@add("t05_redact_all", "WITH r AS (SELECT doc_id, " + ", ".join(f"{x} AS t{k}" for k, x in enumerate(_STEPS)) + f" FROM documents), u AS (SELECT *, regexp_replace(regexp_replace(t4, '{_URI[0]}', 'file://[REDACTED_HOST_PATH]', 'g'), '{_URI[1]}', 'file://[REDACTED_HOST_PATH]', 'g') AS t5 FROM r), f AS (SELECT doc_id, [CASE WHEN regexp_matches(t5, '{_HOST[0]}') OR regexp_matches(t5, '{_HOST[1]}') THEN 'host_path' END, CASE WHEN t5 <> t4 THEN 'host_path_uri' END, " + ", ".join(f"CASE WHEN t{k + 1} <> t{k} THEN 'secret_pattern_{k}' END" for k in range(4)) + "] AS c FROM u) SELECT doc_id, array_to_string(list_filter(c, lambda x: x IS NOT NULL), ',') AS categories, len(list_filter(c, lambda x: x IS NOT NULL)) > 0 AS sensitive FROM f")
 def _(s, d):
     return _DOC(s, d).select("doc_id", F.array_join(T.redaction_categories(F.col("text")), ",").alias("categories"), T.is_sensitive(F.col("text")).alias("sensitive"))
 
@@ -218,7 +237,7 @@ def _(s, d):
     return _DOC(s, d).select("doc_id", T.deterministic_key("lookup", "source", "lang", "doc_id").alias("key"))
 
 
-@add("t14_reusable_terms", f"SELECT doc_id, array_to_string(list_filter({_terms('left(text, 2000)', 24)}, lambda t: NOT list_contains({_list(T.GENERIC_TERMS)}, t))[1:8], ' ') AS terms FROM documents")
+@add("t14_reusable_terms", _PLACED + f"SELECT d.doc_id, array_to_string((list(t ORDER BY i) FILTER (t IS NOT NULL AND NOT list_contains({_list(T.GENERIC_TERMS)}, t)))[1:8], ' ') AS terms FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND n <= 24 GROUP BY 1")
 def _(s, d):
     return _DOC(s, d).select("doc_id", F.array_join(T.reusable_terms(T.query_terms(F.col("text"), 24)), " ").alias("terms"))
 
@@ -258,10 +277,32 @@ def _(s, d):
     return extract.generic_symbols(s.read.parquet(f"{d}/pages.parquet").select(F.col("url").alias("path"), F.col("html").alias("content"))).where("kind = 'function'").select("path", "name", "kind")
 
 
-@add("x06_anchored_summary", with_tables("filelines", query="SELECT path, doc_id % 5 + 1 AS anchor, greatest(1, doc_id % 5 - 1) AS start_line, array_to_string(ls[greatest(1, doc_id % 5 - 1):greatest(1, doc_id % 5 - 1) + 5], chr(10)) AS content FROM filelines JOIN files USING (path)"))
+# what both summaries make of the picked lines (host paths, which need lookaround, aside)
+def _redacted(col: str) -> str:
+    col = _redact_sql(col)
+    for p in T.HOST_URIS:
+        col = f"regexp_replace({col}, '{p.replace(chr(39), chr(39) * 2)}', 'file://[REDACTED_HOST_PATH]', 'g')"
+    return col
+
+
+_RAW_SUMMARY = "array_to_string(picked, chr(10))"
+_SUMMARY = "SELECT {0} start_line, end_line, left(coalesce(picked[1], string_split(path, '/')[-1]), 160) AS title_hint, " + _redacted(_TRIM.format(_RAW_SUMMARY, 480, 465)).replace("{", "{{").replace("}", "}}") + " AS content, chars AS source_chars, length(" + _RAW_SUMMARY + ") > 480 AS truncated FROM {1}"
+_ANCHORED = {"a0": "SELECT path, (doc_id % 5 + 1)::INT AS anchor, ls, length(content) AS chars, greatest(1, least(doc_id % 5 + 1, greatest(1, len(ls))) - 2)::INT AS start_line FROM filelines JOIN files USING (path)", "a": "SELECT path, anchor, chars, start_line, least(start_line + 5, len(ls))::INT AS end_line, ls[start_line:start_line + 5] AS picked FROM a0"}
+_HEADS = {
+    "h0": "SELECT path, length(content) AS chars, len(ls) AS n, (list_filter(list_transform(ls, lambda x, i: {'n': i, 't': " + _STRIP.format("x") + "}), lambda x: x.t <> ''))[1:4] AS h FROM filelines JOIN files USING (path)",
+    "h1": "SELECT *, list_transform(h, lambda x: x.t) AS ts FROM h0",
+    "h": "SELECT path, chars, coalesce(h[1].n, 1)::INT AS start_line, list_filter(ts, lambda t, i: i = 1 OR length(array_to_string(ts[1:i - 1], chr(10))) < 480) AS picked, least(n, coalesce(h[1].n, 1) + greatest(len(list_filter(ts, lambda t, i: i = 1 OR length(array_to_string(ts[1:i - 1], chr(10))) < 480)) - 1, 0))::INT AS end_line FROM h1",
+}
+
+
+def _flat_summary(df):
+    return df.drop("redactions", "signals")
+
+
+@add("x06_anchored_summary", with_tables("filelines", ctes=_ANCHORED, query=_SUMMARY.format("path, anchor, ", "a")))
 def _(s, d):
     f = D.files(s, d)
-    return extract.anchored_summary(f, f.select("path", (F.col("doc_id") % 5 + 1).cast("int").alias("anchor"))).select("path", "anchor", "start_line", "content")
+    return _flat_summary(extract.anchored_summary(f, f.select("path", (F.col("doc_id") % 5 + 1).cast("int").alias("anchor"))))
 
 
 @add("x07_chunks", with_tables("filelines", query=", n AS (SELECT path, len(ls) AS n, left(sha256(content), 16) AS t FROM filelines JOIN files USING (path)), c AS (SELECT path, t, n, unnest(range(1, n + 1, 80)) AS a FROM n WHERE n > 0) SELECT path, a AS start_line, least(a + 79, n) AS end_line, 'chk_' || left(sha256(path || ':' || t || ':' || a || ':' || least(a + 79, n)), 16) AS chunk_id FROM c").replace(") , n AS", "), n AS"))
@@ -281,9 +322,10 @@ def _(s, d):
     return extract.tree(D.files(s, d), 2)
 
 
-@add("x13_facts", "SELECT regexp_extract(url, '(\\.[^./]+)$', 1) AS extension, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, extension LIMIT 8")
+@add("x13_facts", "WITH f AS (SELECT url AS path FROM pages UNION ALL SELECT CASE doc_id % 3 WHEN 0 THEN 'README.md' WHEN 1 THEN 'tests/a.PY' ELSE 'x/plain' END FROM documents), w AS (SELECT count(*) AS file_count, bool_or(regexp_matches(path, '^tests?/')) AS has_tests, bool_or(path IN ('README.md', 'README.rst', 'README.txt')) AS has_readme FROM f) SELECT * FROM (SELECT coalesce(nullif(lower(regexp_extract(path, '[^./](\\.[^./]+)$', 1)), ''), '[none]') AS extension, count(*) AS n FROM f GROUP BY 1 ORDER BY n DESC, extension LIMIT 8), w")
 def _(s, d):
-    return extract.facts(s.read.parquet(f"{d}/pages.parquet").select(F.col("url").alias("path")))
+    pages = s.read.parquet(f"{d}/pages.parquet").select(F.col("url").alias("path"))
+    return extract.facts(pages.unionByName(_DOC(s, d).selectExpr("case doc_id % 3 when 0 then 'README.md' when 1 then 'tests/a.PY' else 'x/plain' end as path")))
 
 
 @add("x14_search_document", _FILES + "SELECT path, path || ' ' || string_split(path, '/')[-1] || ' ' || regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') || ' ' || array_to_string(string_split_regex(path, '[/._-]+'), ' ') AS path_text, sha256(content) AS sha256 FROM files")
@@ -292,6 +334,35 @@ def _(s, d):
 
 
 # R ------------------------------------------------------------------------------
+def _bm25(requests: str = "(SELECT item_id AS request_id, text AS prompt FROM benchmark)") -> dict[str, str]:
+    """BM25 as tables: rq, tf, part, hit, ranked."""
+    return {
+        "rq": f"SELECT request_id, unnest({_terms('prompt', 8)}) AS term FROM {requests}", "tk": f"SELECT path, unnest({_TOKENS.format('content')}) AS term FROM files", "dl": "SELECT path, count(*) AS dl FROM tk GROUP BY 1", "tot": "SELECT count(*) AS n, avg(dl) AS avgdl FROM dl",
+        "tf": "SELECT path, term, count(*) AS tf FROM tk WHERE term IN (SELECT term FROM rq) GROUP BY ALL", "df": "SELECT term, count(*) AS df FROM tf GROUP BY 1",
+        "part": "SELECT path, term, CAST(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS DECIMAL(18,9)) AS part FROM tf JOIN df USING (term) JOIN dl USING (path), tot",
+        "hit": "SELECT request_id, path, sum(part) AS score, count(*) AS hits FROM part JOIN rq USING (term) GROUP BY ALL", "ranked": "SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, path) AS rank FROM hit",
+    }
+
+
+def _fragments() -> dict[str, str]:
+    """R06's pools with their features, R07's merged rows over ``asked(request_id, prompt)``."""
+    exact = "CASE WHEN contains(prompt, '/') OR contains(prompt, '\\') OR regexp_matches(prompt, '\\.[A-Za-z0-9_]{1,12}$') THEN lower(regexp_replace(replace(trim(prompt), '\\', '/'), '^(\\./)+', '')) ELSE '' END"
+    within = "len(list_filter(ts, lambda t: contains(lower({0}), t)))"
+    score = "CAST(round(CAST({0} AS DECIMAL(18,6)) + CAST(0.25 * (8 * " + within.format("path") + " + 4 * " + within.format("excerpt") + " + 10 * term_hits + least(term_count, 8)) + {1} AS DECIMAL(18,2)), 4) AS DOUBLE)"
+    return {
+        "fr": "SELECT * FROM (SELECT term, path, CAST(part AS DECIMAL(18,6)) AS base, row_number() OVER (PARTITION BY term ORDER BY part DESC, path) AS rank FROM part) WHERE rank <= 40",
+        "hay": "SELECT path, lower(path || chr(10) || content) AS h, ls FROM files JOIN filelines USING (path)",
+        "fx": "SELECT term, path, rank, base, greatest(1, (length(h) - length(replace(h, term, ''))) // length(term)) AS term_count, nullif(list_position(list_transform(ls, lambda l: contains(lower(l), term)), true), 0) AS ln, coalesce(left(" + _STRIP.format("ls[ln]") + ", 240), path) AS excerpt, coalesce(ln, 1)::INT AS line FROM fr JOIN hay USING (path)",
+        "aq": f"SELECT request_id, {exact} AS named, {_terms('prompt', 8)} AS ts FROM asked",
+        "mg0": "SELECT request_id, path, count(*) AS term_hits, sum(term_count)::BIGINT AS term_count, max(base) AS base, min({'line': line, 'excerpt': excerpt}) AS f FROM (SELECT request_id, unnest(ts) AS term FROM aq) JOIN fx USING (term) GROUP BY ALL",
+        "mg": "SELECT request_id, path, term_hits, term_count, f.line AS line, f.excerpt AS excerpt, " + score.format("base", "CASE WHEN named <> '' AND lower(path) = named THEN 10000.0 ELSE 0.0 END") + " AS score FROM (SELECT *, f.excerpt AS excerpt FROM mg0) mg0 JOIN aq USING (request_id)",
+        "ex0": "SELECT request_id, path, ts, nullif(list_position(list_transform(ls, lambda l: len(list_filter(ts, lambda t: contains(lower(l), t))) > 0), true), 0) AS ln, coalesce(left(" + _STRIP.format("ls[ln]") + ", 240), path) AS excerpt, coalesce(ln, 1)::INT AS line, len(list_filter(ts, lambda t: contains(h, t))) AS term_hits, list_sum(list_transform(ts, lambda t: (length(h) - length(replace(h, t, ''))) // length(t))) AS term_count FROM aq JOIN hay ON named <> '' AND lower(path) = named",
+        "ex": "SELECT request_id, path, line, " + score.format("0.0", "10000.0") + " AS score FROM ex0",
+        "lk": "SELECT request_id, path, line, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, path) AS rank FROM (SELECT request_id, path, line, score FROM mg UNION ALL SELECT * FROM ex WHERE (request_id, path) NOT IN (SELECT (request_id, path) FROM mg))",
+    }
+
+
+_ASKED = {"asked": "SELECT item_id AS request_id, text AS prompt FROM benchmark"}
 _BM25 = _FILES.strip()[:-1] + f"""), rq AS (SELECT item_id AS request_id, unnest({_terms('text', 8)}) AS term FROM benchmark),
 tk AS (SELECT path, unnest({_TOKENS.format('content')}) AS term FROM files), dl AS (SELECT path, count(*) AS dl FROM tk GROUP BY 1), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 tf AS (SELECT path, term, count(*) AS tf FROM tk WHERE term IN (SELECT term FROM rq) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -305,10 +376,22 @@ def _(s, d):
     return retrieve.search(D.files(s, d), D.requests(s, d)).select("request_id", "rank", "path", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
-@add("r03_search_score", _BM25 + ", tm AS (SELECT request_id, list(term) AS ts FROM rq GROUP BY 1) SELECT request_id, path, round(round(CAST(score AS DOUBLE), 4) + 2.0 * len(list_filter(ts, lambda t: contains(lower(path), t))) + 2.5 * len(list_filter(ts, lambda t: contains(lower(path || chr(10) || content), t))) + 0.25 * least(8, list_sum(list_transform(ts, lambda t: (length(lower(path || chr(10) || content)) - length(replace(lower(path || chr(10) || content), t, ''))) // length(t)))), 4) AS score FROM ranked JOIN tm USING (request_id) JOIN files USING (path) WHERE rank <= 5")
+_R03 = {
+    "x": "SELECT request_id, path, CAST(score AS DECIMAL(18,6)) AS base, ts, lower(path || chr(10) || content) AS h, ls, nullif(list_position(list_transform(ls, lambda l: len(list_filter(ts, lambda t: contains(lower(l), t))) > 0), true), 0) AS ln, coalesce(left(" + _STRIP.format("ls[ln]") + ", 240), path) AS excerpt FROM ranked JOIN (SELECT request_id, list(term) AS ts FROM rq GROUP BY 1) USING (request_id) JOIN files USING (path) JOIN filelines USING (path) WHERE rank <= 5",
+    "y": "SELECT *, len(list_filter(ts, lambda t: contains(h, t))) AS term_hits, list_sum(list_transform(ts, lambda t: (length(h) - length(replace(h, t, ''))) // length(t)))::BIGINT AS term_count FROM x",
+}
+
+
+@add("r02_match_features", with_tables("filelines", ctes=_bm25() | _R03, query="SELECT request_id, path, coalesce(ln, 1)::INT AS line, excerpt, term_hits, term_count FROM y"))
 def _(s, d):
     files, requests = D.files(s, d), D.requests(s, d)
-    hits = retrieve.search(files, requests).select("request_id", "path", F.round(F.col("score").cast("double"), 4).alias("score"))
+    return retrieve.match_features(retrieve.search(files, requests), files, retrieve.request_terms(requests)).select("request_id", "path", "line", "excerpt", "term_hits", "term_count")
+
+
+@add("r03_search_score", with_tables("filelines", ctes=_bm25() | _R03, query="SELECT request_id, path, CAST(round(base + CAST(0.25 * (8 * len(list_filter(ts, lambda t: contains(lower(path), t))) + 4 * len(list_filter(ts, lambda t: contains(lower(excerpt), t))) + 10 * term_hits + least(8, term_count)) AS DECIMAL(18,2)), 4) AS DOUBLE) AS score FROM y"))
+def _(s, d):
+    files, requests = D.files(s, d), D.requests(s, d)
+    hits = retrieve.search(files, requests).select("request_id", "path", "score")
     return retrieve.search_score(retrieve.match_features(hits, files, retrieve.request_terms(requests))).select("request_id", "path", "score")
 
 
@@ -318,10 +401,10 @@ def _(s, d):
     return retrieve.top(parts, 40, "request_id", "term").select("request_id", "term", "path", "rank")
 
 
-@add("r07_fragment_merge", _BM25 + ", tr AS (SELECT *, row_number() OVER (PARTITION BY request_id, term ORDER BY part DESC, path) AS rank FROM part JOIN rq USING (term)) SELECT request_id, path, count(*) AS term_hits, round(CAST(sum(part) AS DOUBLE), 4) AS score FROM tr WHERE rank <= 40 GROUP BY ALL")
+@add("r07_fragment_merge", with_tables("filelines", ctes=_ASKED | _bm25() | _fragments(), query="SELECT request_id, path, term_hits, term_count, line, excerpt, score FROM mg"))
 def _(s, d):
-    parts = retrieve.bm25(D.files(s, d), retrieve.request_terms(D.requests(s, d))).withColumnRenamed("part", "score")
-    return retrieve.merge_fragments(retrieve.top(parts, 40, "request_id", "term")).select("request_id", "path", "term_hits", F.round(F.col("score").cast("double"), 4).alias("score"))
+    files, requests = D.files(s, d), D.requests(s, d)
+    return retrieve.merge_fragments(retrieve.term_fragments(files, retrieve.request_terms(requests)), requests).select("request_id", "path", "term_hits", "term_count", "line", "excerpt", "score")
 
 
 @add("r04_scoped_search", _BM25 + "SELECT request_id, path, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, path) AS rank FROM hit WHERE starts_with(path, 'en/') QUALIFY rank <= 3")
@@ -521,28 +604,46 @@ def _(s, d):
     return metrics.triggers(D.event_log(s, d))
 
 
-@add("a10_recent_p95", _a("SELECT operation, round(quantile_cont(elapsed_ms, 0.95), 4) AS p95_ms, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY event_id DESC) AS r FROM event_log) WHERE r <= 50 GROUP BY 1"))
+@add("a10_recent_p95", _a("SELECT operation, round(round(quantile_cont(elapsed_ms, 0.95), 9), 3) AS p95_ms, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY event_id DESC) AS r FROM event_log) WHERE r <= 50 GROUP BY 1"))
 def _(s, d):
     return metrics.recent_p95(D.event_log(s, d))
 
 
+_PACK, _WARM, _SPACES = "purchase", "signup", {"search_term": "ns0", "file_summary": "ns1", "test_owner_paths": "ns2"}
+
+
 def _values(s, d):
-    e = metrics.totals(D.event_log(s, d))
-    row = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"), F.col("n").alias("samples"))
-    pairs = F.array(row("latency.context_pack.avg_elapsed_ms", F.col("output_tokens") / F.col("n")), row("tokens.context_pack.avg_saved_per_pack", F.col("saved_tokens") / F.col("n")),
-                    row("retrieval.context_pack.candidates_per_selected", F.col("candidates") / F.col("selected")), row("cache.context_pack_fragment_hit_ratio", F.col("hits") / F.col("n")))
-    return e.select(F.explode(pairs).alias("p")).select("p.*")
+    log = D.event_log(s, d).withColumns({"index_refresh_ms": F.col("elapsed_ms") / 4, "snippet_batch_ms": F.col("elapsed_ms") * 8, "memory": F.col("candidates") % 2 == 1, "deferred_bytes": F.col("candidates") * 100})
+    return metrics.kpi_values(log, _PACK, _WARM, _SPACES)
+
+
+def _kpi(key, value, samples):
+    return f"SELECT '{key}' AS key, CAST({value} AS DOUBLE) AS value, {samples} AS n FROM p"
 
 
-_MATRIX = f"t AS (SELECT {_SUMS} FROM event_log), v AS (SELECT 'latency.context_pack.avg_elapsed_ms' AS key, output_tokens / n AS value, n FROM t UNION ALL SELECT 'tokens.context_pack.avg_saved_per_pack', saved_tokens / n, n FROM t UNION ALL SELECT 'retrieval.context_pack.candidates_per_selected', candidates / selected, n FROM t UNION ALL SELECT 'cache.context_pack_fragment_hit_ratio', hits / n, n FROM t), g(key, operator, target, least) AS (VALUES " + ", ".join(f"('{k}', '{o}', {t}::DOUBLE, {n})" for k, o, t, n in metrics.TARGETS) + "), m AS (SELECT g.key, target, value, CASE WHEN value IS NULL OR coalesce(n, 0) < least THEN 'insufficient' WHEN CASE WHEN operator = '<=' THEN value <= target ELSE value >= target END THEN 'pass' ELSE 'fail' END AS status FROM g LEFT JOIN v ON g.key = v.key) "
+_AVG = "round(CAST(sum(CAST({0} AS DECIMAL(18,6))) AS DOUBLE) / count(*), 3)"
+_KPIS = {
+    "p": f"SELECT *, elapsed_ms / 4 AS index_ms, elapsed_ms * 8 AS snippet_ms FROM event_log WHERE operation = '{_PACK}'",
+    "v": " UNION ALL ".join([
+        _kpi("latency.context_pack.avg_elapsed_ms", _AVG.format("elapsed_ms"), "count(*)"), _kpi("latency.context_pack.index_refresh_avg_ms", _AVG.format("index_ms"), "count(*)"), _kpi("latency.context_pack.snippet_batch_avg_ms", _AVG.format("snippet_ms"), "count(*)"),
+        "SELECT 'latency.context_pack.p95_recent_ms', round(round(quantile_cont(elapsed_ms, 0.95), 9), 3), count(*) FROM (SELECT elapsed_ms FROM p ORDER BY event_id DESC LIMIT 50)",
+        f"SELECT 'latency.context_admin.warmup.avg_elapsed_ms', {_AVG.format('elapsed_ms')}, count(*) FROM event_log WHERE operation = '{_WARM}'",
+        _kpi("tokens.context_pack.avg_saved_per_pack", "round(sum(greatest(saved_tokens, 0)) / count(*), 4)", "count(*)"), _kpi("tokens.context_pack.avg_candidate_compression_per_pack", "round(sum(greatest(saved_tokens, 0)) / count(*), 4)", "count(*)"),
+        _kpi("tokens.context_pack.compression_ratio", "round(sum(output_tokens) / sum(output_tokens + greatest(saved_tokens, 0)), 4)", "count(*)"), _kpi("retrieval.context_pack.candidates_per_selected", "round(sum(candidates) / greatest(1, sum(selected)), 4)", "count(*)"),
+        _kpi("cache.context_pack_fragment_hit_ratio", "round(count(*) FILTER (cache_hit) / count(*), 4)", "count(*)"), _kpi("tooling.external_calls_saved_per_pack", "round(sum(selected + CASE WHEN candidates % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN candidates > selected THEN 1 ELSE 0 END) / count(*), 4)", "count(*)"),
+        _kpi("references.bytes_deferred_est", "sum(candidates * 100)", "count(*)"),
+        *[f"SELECT 'cache.retrieval.{k}.hit_ratio', round(count(*) FILTER (cache_hit) / count(*), 4), count(*) FROM event_log WHERE cache_namespace = '{n}'" for k, n in _SPACES.items()]]),
+    "g(key, operator, target, least)": "VALUES " + ", ".join(f"('{k}', '{o}', {t}::DOUBLE, {n})" for k, o, t, n in metrics.TARGETS),
+    "m": "SELECT g.key, target, value, CASE WHEN value IS NULL OR coalesce(n, 0) < least THEN 'insufficient' WHEN CASE WHEN operator = '<=' THEN value <= target ELSE value >= target END THEN 'pass' ELSE 'fail' END AS status FROM g LEFT JOIN v ON g.key = v.key",
+}
 
 
-@add("a11_target_matrix", _a(", " + _MATRIX + "SELECT key, target, round(value, 4) AS value, status FROM m").replace(") , t AS", "), t AS"))
+@add("a11_target_matrix", with_tables("event_log", ctes=_KPIS, query="SELECT key, target, value, status FROM m"))
 def _(s, d):
-    return metrics.matrix(_values(s, d)).withColumn("value", F.round("value", 4))
+    return metrics.matrix(_values(s, d))
 
 
-@add("a12_severity", _a(", " + _MATRIX + "SELECT CASE WHEN status = 'fail' AND starts_with(key, 'latency.') THEN 'critical' WHEN status = 'fail' THEN 'warning' ELSE status END AS label, count(*) AS n FROM m GROUP BY 1").replace(") , t AS", "), t AS"))
+@add("a12_severity", with_tables("event_log", ctes=_KPIS, query="SELECT CASE WHEN status = 'fail' AND starts_with(key, 'latency.') THEN 'critical' WHEN status = 'fail' THEN 'warning' ELSE status END AS label, count(*) AS n FROM m GROUP BY 1"))
 def _(s, d):
     return metrics.severity(metrics.matrix(_values(s, d)))
 
@@ -653,12 +754,9 @@ def _(s, d):
     return D.event_log(s, d).groupBy("route").agg(T.hit_ratio(F.count_if("cache_hit"), F.count_if(~F.col("cache_hit"))).alias("ratio"))
 
 
-_HEAD = ", h AS (SELECT path, (list_filter(list_transform(ls, lambda x, i: {'n': i, 't': trim(x)}), lambda x: x.t <> ''))[1:4] AS h FROM filelines), j AS (SELECT path, h, " + _redact_sql("array_to_string(list_transform(h, lambda x: x.t), chr(10))") + " AS c FROM h) "
-
-
-@add("x05_head_summary", with_tables("filelines", query=_HEAD + f"SELECT path, coalesce(h[1].n, 1)::INT AS start_line, coalesce(h[-1].n, 1)::INT AS end_line, left(coalesce(h[1].t, string_split(path, '/')[-1]), 160) AS title_hint, {_TRIM.format('c', 480, 465)} AS content FROM j").replace(") , h AS", "), h AS"))
+@add("x05_head_summary", with_tables("filelines", ctes=_HEADS, query=_SUMMARY.format("path, ", "h")))
 def _(s, d):
-    return extract.head_summary(D.files(s, d))
+    return _flat_summary(extract.head_summary(D.files(s, d)))
 
 
 @add("x08_chunk_lookup", with_tables("filelines", query=", w AS (SELECT f.path, (doc_id % 100 + 1)::INT AS line, len(ls) AS n, left(sha256(content), 16) AS t FROM files f JOIN filelines l ON f.path = l.path), c AS (SELECT *, ((line - 1) // 80 * 80 + 1)::INT AS a FROM w WHERE line <= n) SELECT path, line, a AS start_line, least(a + 79, n) AS end_line, 'chk_' || left(sha256(path || ':' || t || ':' || a || ':' || least(a + 79, n)), 16) AS chunk_id FROM c").replace(") , w AS", "), w AS"))
@@ -766,7 +864,6 @@ def _(s, d):
 
 # Lookups, projections and comparisons ---------------------------------------------
 _EXACT = ", ex AS (SELECT item_id AS request_id, path, 10000.0::DOUBLE AS score FROM benchmark JOIN files ON doc_id = item_id WHERE item_id % 2 = 0)"
-_MERGED = ", tr AS (SELECT *, row_number() OVER (PARTITION BY request_id, term ORDER BY part DESC, path) AS rank FROM part JOIN rq USING (term)), mg AS (SELECT request_id, path, CAST(sum(part) AS DOUBLE) AS score FROM tr WHERE rank <= 40 GROUP BY ALL)"
 
 
 def _path_queries(s, d):
@@ -785,16 +882,13 @@ def _(s, d):
     return _first(lookup.promote_exact(retrieve.search(files, D.requests(s, d)), _path_queries(s, d), files), 5)
 
 
-@add("r08_lookup_search", _BM25 + _EXACT + _MERGED + ", u AS (SELECT request_id, path, max(score) AS score FROM (SELECT * FROM mg UNION ALL SELECT * FROM ex) GROUP BY ALL) SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, path) AS rank, path FROM u QUALIFY rank <= 5")
+@add("r08_lookup_search", with_tables("filelines", "lookups", ctes={"asked": "SELECT * FROM lookups"} | _bm25("lookups") | _fragments(), query="SELECT request_id, rank, path, line, score FROM lk WHERE rank <= 5"))
 def _(s, d):
-    files, requests = D.files(s, d), D.requests(s, d)
-    parts = retrieve.bm25(files, retrieve.request_terms(requests)).withColumnRenamed("part", "score")
-    merged = retrieve.merge_fragments(retrieve.top(parts, 40, "request_id", "term"))
-    return _first(lookup.promote_exact(merged, _path_queries(s, d), files), 5)
+    return retrieve.lookup_search(D.files(s, d), D.lookups(s, d))
 
 
 _SYM = "filelines", "requests"
-_SYMBOLS = ", sy AS (SELECT path, regexp_extract(lower(line), '[a-z0-9_]{3,}') AS name, line_start, left(line, 40) AS signature FROM (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_start FROM filelines) WHERE line <> ''), st AS (SELECT request_id, unnest(" + _terms("prompt", 8) + ") AS term FROM requests), sh AS (SELECT DISTINCT request_id, path, name, line_start FROM sy JOIN st ON contains(lower(concat_ws(' ', path, name, signature)), term)), sr AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY path, line_start, name) AS rank FROM sh) "
+_SYMBOLS = ", sy AS (SELECT path, regexp_extract(lower(line), '[a-z0-9_]{3,}') AS name, line_start, left(line, 160) AS signature FROM (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_start FROM filelines) WHERE line <> ''), st AS (SELECT request_id, unnest(" + _terms("prompt", 8) + ") AS term FROM requests), sh AS (SELECT DISTINCT request_id, path, name, line_start FROM sy JOIN st ON contains(lower(concat_ws(' ', path, name, signature)), term)), sr AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY path, line_start, name) AS rank FROM sh) "
 
 
 def _sym(q):
@@ -803,7 +897,7 @@ def _sym(q):
 
 def _symbol_hits(s, d):
     each = D.files(s, d).select("path", F.posexplode(T.lines(F.col("content"))).alias("i", "line")).where("line <> ''")
-    symbols = each.select("path", F.regexp_extract(F.lower("line"), "[a-z0-9_]{3,}", 0).alias("name"), (F.col("i") + 1).cast("long").alias("line_start"), F.substring("line", 1, 40).alias("signature"))
+    symbols = each.select("path", F.regexp_extract(F.lower("line"), "[a-z0-9_]{3,}", 0).alias("name"), (F.col("i") + 1).cast("long").alias("line_start"), F.substring("line", 1, 160).alias("signature"))
     return lookup.symbol_hits(symbols, retrieve.request_terms(D.requests(s, d)))
 
 

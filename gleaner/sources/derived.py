@@ -27,6 +27,13 @@ def requests(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("request_id"), F.col("text").alias("prompt"))
 
 
+def lookups(spark, d) -> DataFrame:
+    """The requests; every second one asks for a file by its path, in capitals."""
+    named = files(spark, d).select(F.col("doc_id").alias("request_id"), F.upper("path").alias("named"))
+    asked = requests(spark, d).join(named, "request_id", "left")
+    return asked.select("request_id", F.coalesce(F.when(F.col("request_id") % 2 == 0, F.col("named")), "prompt").alias("prompt"))
+
+
 def event_log(spark, d) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").withColumn("k", F.regexp_extract("props", r'"k": ([0-9]+)', 1).cast("long"))
     return e.select("event_id", F.concat(F.lit("p"), F.col("user_id") % 5).alias("project_id"), F.col("event_type").alias("operation"), F.expr("element_at(array('coding','review','debug','test',''), cast(k % 5 + 1 as int))").alias("route"),
@@ -65,6 +72,7 @@ SQL = {
     "files": "SELECT doc_id, lang AS project_id, lang || '/' || source || '/doc_' || doc_id || '.txt' AS path, strlen(text) AS size, doc_id * 1000 AS mtime_ns, text AS content FROM documents",
     "next_listing": "SELECT project_id, path, size, mtime_ns + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS mtime_ns FROM files WHERE doc_id % 10 <> 0 UNION ALL SELECT 'pages', 'pages/page_' || page_id || '.html', strlen(html), page_id FROM pages",
     "requests": "SELECT item_id AS request_id, text AS prompt FROM benchmark",
+    "lookups": "SELECT item_id AS request_id, coalesce(CASE WHEN item_id % 2 = 0 THEN upper(path) END, text) AS prompt FROM benchmark LEFT JOIN files ON doc_id = item_id",
     "ev0": """SELECT *, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k FROM events""",
     "event_log": "SELECT event_id, 'p' || (user_id % 5) AS project_id, event_type AS operation, (['coding','review','debug','test',''])[k % 5 + 1] AS route, ts AS recorded_at, value AS elapsed_ms, k % 3 = 0 AS cache_hit, 'ns' || (k % 4) AS cache_namespace, CASE WHEN k % 3 = 0 THEN 'hit' WHEN k % 2 = 0 THEN 'expired' ELSE 'miss' END AS cache_reason, k * 10 AS output_tokens, k * 25 - 300 AS saved_tokens, k AS candidates, k % 6 AS selected, k % 2 = 0 AS manual FROM ev0",
     "memory_log": "SELECT conv_id * 1000 + turn AS seq, 'ns' || (conv_id % 7) AS namespace, 't' || turn AS key, text AS value, ((conv_id * 7 + turn * 3) % 10) / 10.0 AS confidence, CASE WHEN role = 'user' THEN 'human' ELSE 'llm' END AS decided_by, conv_id % 5 - 1 AS ttl_days, 1704067200 + conv_id * 60 + turn AS written_s FROM conversations",
@@ -74,12 +82,13 @@ SQL = {
     "filelines": r"SELECT project_id, path, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS ls FROM (SELECT project_id, path, string_split_regex(content, '\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS l FROM files)",
     "tok": "SELECT path, unnest(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]{3,}'), lambda t: NOT regexp_matches(t, '^[0-9]+$'))) AS term FROM files",
 }
-_NEEDS = {"next_listing": ["files"], "event_log": ["ev0"], "usage_log": ["ev0", "event_log"], "filelines": ["files"], "tok": ["files"]}
+_NEEDS = {"next_listing": ["files"], "lookups": ["files"], "event_log": ["ev0"], "usage_log": ["ev0", "event_log"], "filelines": ["files"], "tok": ["files"]}
 
 
-def with_tables(*names: str, query: str) -> str:
-    """``query`` with the derived tables it names in front."""
+def with_tables(*names: str, query: str, ctes: dict[str, str] | None = None) -> str:
+    """``query`` with the derived tables it names in front, and its own after them."""
     order: list[str] = []
     for n in names:
         order += [x for x in [*_NEEDS.get(n, []), n] if x not in order]
-    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in order) + " " + query
+    tables = {n: SQL[n] for n in order} | (ctes or {})
+    return "WITH " + ", ".join(f"{n} AS ({q})" for n, q in tables.items()) + " " + query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TESTED_ROUTES = ("coding", "review", "debug", "test")
 SECURITY_MARKERS = ("auth", "security", "secret", "token", "config", "path")
@@ -26,14 +27,16 @@ def route_score(score: Column, path: Column, route: Column, explicit: Column, te
     return F.round(total, 4)
 
 
-def select(candidates: DataFrame, max_items: int = 6, budget: int = 3600, per_path: int = 2) -> DataFrame:
-    """(request_id, rank, path, start_line, score, outcome).  Candidates of
-    a request, best first, are selected unless they repeat a range, their path has
+def select_rows(candidates: DataFrame, max_items: int = 6, budget: int = 3600, per_path: int = 2) -> DataFrame:
+    """``candidates`` plus place (1 is best) and outcome.  Candidates of a
+    request, best first, are selected unless they repeat a range, their path has
     its share, the items are full or the characters are used up (the first always
-    fits).  The choice of each hangs on those before, so a request's candidates,
-    which retrieval bounds, are folded as one array."""
-    item = F.struct((-F.col("score")).alias("minus"), "path", "start_line", "end_line", F.length("content").alias("chars"))
-    grouped = candidates.groupBy("request_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    fits).  The choice of each hangs on those before, so the ranges and lengths of a
+    request's candidates, which retrieval bounds, are folded as one array."""
+    order = Window.partitionBy("request_id").orderBy(F.desc("score"), "path", "start_line", "end_line", F.length("content"), F.xxhash64("content"), *[c for c in ("source",) if c in candidates.columns])
+    placed = candidates.withColumn("place", F.row_number().over(order))
+    item = F.struct("place", "path", "start_line", "end_line", F.length("content").alias("chars"))
+    grouped = placed.groupBy("request_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("paths"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -43,8 +46,13 @@ def select(candidates: DataFrame, max_items: int = 6, budget: int = 3600, per_pa
         return F.struct((a["used"] + F.when(took, x["chars"]).otherwise(0)).alias("used"), (a["n"] + took.cast("int")).alias("n"), F.concat(a["seen"], F.array(key)).alias("seen"),
                         F.when(took, F.concat(a["paths"], F.array(x["path"]))).otherwise(a["paths"]).alias("paths"), F.concat(a["out"], F.array(outcome)).alias("out"))
 
-    done = grouped.select("request_id", "items", F.aggregate("items", start, step)["out"].alias("out"))
-    return done.select("request_id", F.posexplode(F.arrays_zip("items", "out")).alias("i", "z")).select("request_id", (F.col("i") + 1).alias("rank"), F.col("z.items.path").alias("path"), F.col("z.items.start_line").alias("start_line"), (-F.col("z.items.minus")).alias("score"), F.col("z.out").alias("outcome"))
+    done = grouped.select("request_id", F.aggregate("items", start, step)["out"].alias("out"))
+    return placed.join(done, "request_id").withColumn("outcome", F.get("out", F.col("place") - 1)).drop("out")
+
+
+def select(candidates: DataFrame, max_items: int = 6, budget: int = 3600, per_path: int = 2) -> DataFrame:
+    """(request_id, rank, path, start_line, score, outcome) of ``select_rows``."""
+    return select_rows(candidates, max_items, budget, per_path).select("request_id", F.col("place").alias("rank"), "path", "start_line", "score", "outcome")
 
 
 def savings(baseline: Column, output: Column) -> tuple[Column, Column]:

@@ -415,8 +415,21 @@ def _(s, d):
 
 # C ------------------------------------------------------------------------------
 def _candidates(s, d):
+    """Hits by their head summaries, under the paths of their folders."""
     hits = retrieve.search(D.files(s, d), D.requests(s, d), 12)
-    return hits.join(D.files(s, d).select("path", F.substring("content", 1, 700).alias("content")), "path").select("request_id", F.regexp_replace("path", "/doc_.*", "").alias("path"), F.lit(1).alias("start_line"), F.col("rank").alias("end_line"), F.round(F.col("score").cast("double"), 4).alias("score"), "content")
+    heads = extract.head_summary(D.files(s, d).join(hits.select("path").distinct(), "path", "left_semi")).select("path", "content")
+    return hits.join(heads, "path").select("request_id", F.regexp_replace("path", "/doc_.*", "").alias("path"), F.lit(1).alias("start_line"), F.col("rank").alias("end_line"), F.round(F.col("score").cast("double"), 4).alias("score"), "content")
+
+
+def selection_sql(max_items: int, budget: int, per_path: int) -> dict[str, str]:
+    """C07 over ``oc(request_id, place, path, start_line, end_line, chars)``: a step for each place."""
+    key = "c.path || ':' || c.start_line || ':' || c.end_line"
+    outcome = f"CASE WHEN list_contains(seen, {key}) THEN 'duplicate' WHEN len(list_filter(paths, lambda p: p = c.path)) >= {per_path} THEN 'diversity_limit' WHEN n >= {max_items} THEN 'item_limit' WHEN used + c.chars > {budget} AND n > 0 THEN 'budget_exhausted' ELSE 'selected' END"
+    return {
+        "w0": f"SELECT request_id, 0::BIGINT AS place, 0::BIGINT AS used, 0 AS n, []::VARCHAR[] AS seen, []::VARCHAR[] AS paths, '' AS outcome FROM (SELECT DISTINCT request_id FROM oc)",
+        "walk": f"SELECT * FROM w0 UNION ALL SELECT request_id, place, used + CASE WHEN o = 'selected' THEN chars ELSE 0 END, n + CASE WHEN o = 'selected' THEN 1 ELSE 0 END, list_append(seen, k), CASE WHEN o = 'selected' THEN list_append(paths, path) ELSE paths END, o FROM (SELECT c.request_id, c.place, c.path, c.chars, {key} AS k, used, n, seen, paths, {outcome} AS o FROM walk w JOIN oc c ON c.request_id = w.request_id AND c.place = w.place + 1)",
+        "chosen": "SELECT oc.*, outcome FROM walk JOIN oc USING (request_id, place)",
+    }
 
 
 @add("c06_route_ranking", with_tables("event_log", query="SELECT event_id, round(elapsed_ms + CASE WHEN candidates % 5 = 0 THEN 6.0 ELSE 0 END + CASE WHEN candidates % 7 = 0 THEN (CASE WHEN route IN ('coding','review','debug','test') THEN 4.0 ELSE 1.0 END) ELSE 0 END + CASE WHEN candidates % 2 = 0 AND route IN ('coding','review','debug','test') THEN 2.0 ELSE 0 END + CASE WHEN candidates % 3 = 0 THEN 1.0 ELSE 0 END, 4) AS score FROM event_log"))
@@ -425,7 +438,7 @@ def _(s, d):
     return D.event_log(s, d).select("event_id", pack.route_score(F.col("elapsed_ms"), F.when(k % 2 == 0, "tests/a.py").otherwise("src/a.py"), F.col("route"), k % 5 == 0, k % 7 == 0, k % 3 == 0).alias("score"))
 
 
-@add("c07_c08_selection")
+@add("c07_c08_selection", with_tables("filelines", recursive=True, ctes=_bm25() | _HEADS | {"s": _SUMMARY.format("path, ", "h"), "oc0": "SELECT request_id, regexp_replace(path, '/doc_.*', '') AS path, 1 AS start_line, rank AS end_line, round(CAST(score AS DOUBLE), 4) AS score, length(s.content) AS chars FROM ranked JOIN s USING (path) WHERE rank <= 12", "oc": "SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, path, start_line, end_line, chars) AS place FROM oc0"} | selection_sql(6, 3600, 2), query="SELECT request_id, place AS rank, path, start_line, score, outcome FROM chosen"))
 def _(s, d):
     return pack.select(_candidates(s, d))
 
@@ -967,3 +980,6 @@ def _(s, d):
 def _(s, d):
     docs = _DOC(s, d)
     return lookup.project_listing(docs.selectExpr("source as project_id", "concat('k/', lang) as root"), D.files(s, d).selectExpr("project_id", "concat('d/', project_id) as root"), docs.where("doc_id % 2 = 0").selectExpr("source as project_id", "concat('v/', source) as root"))
+
+
+from . import packs  # noqa: E402, F401  registers the queries of pack assembly

@@ -34,6 +34,20 @@ def lookups(spark, d) -> DataFrame:
     return asked.select("request_id", F.coalesce(F.when(F.col("request_id") % 2 == 0, F.col("named")), "prompt").alias("prompt"))
 
 
+def pack_files(spark, d) -> DataFrame:
+    """The files, and tests that belong to half of them by name or by content."""
+    f = files(spark, d).select("doc_id", "project_id", "path", "content")
+    tests = f.where("doc_id % 4 < 2").select(F.expr("if(doc_id % 4 = 0, 'tests/test_doc_', 'tests/check_') || doc_id || '.py'").alias("path"), F.expr("'def test_doc_' || doc_id || '():\n    check doc_' || doc_id || ' ' || project_id || '\n'").alias("content"))
+    return f.select("path", "content").unionByName(tests)
+
+
+def pack_requests(spark, d) -> DataFrame:
+    """The requests with a changed file, focus paths (one unsafe, one missing) and paths in the prompt."""
+    paths = files(spark, d).select("doc_id", "path")
+    rows = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").join(paths.select(F.col("doc_id").alias("item_id"), F.col("path").alias("p1")), "item_id").join(paths.select((F.col("doc_id") - 1).alias("item_id"), F.col("path").alias("p2")), "item_id")
+    return rows.select(F.col("item_id").alias("request_id"), F.concat("p2", F.lit(" and gone/file.txt: "), "text").alias("prompt"), F.array("p1", F.lit("")).alias("changed_files"), F.array("p1", F.lit("../out.txt"), F.lit("docs/none.md")).alias("focus_paths"))
+
+
 def event_log(spark, d) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").withColumn("k", F.regexp_extract("props", r'"k": ([0-9]+)', 1).cast("long"))
     return e.select("event_id", F.concat(F.lit("p"), F.col("user_id") % 5).alias("project_id"), F.col("event_type").alias("operation"), F.expr("element_at(array('coding','review','debug','test',''), cast(k % 5 + 1 as int))").alias("route"),
@@ -85,10 +99,10 @@ SQL = {
 _NEEDS = {"next_listing": ["files"], "lookups": ["files"], "event_log": ["ev0"], "usage_log": ["ev0", "event_log"], "filelines": ["files"], "tok": ["files"]}
 
 
-def with_tables(*names: str, query: str, ctes: dict[str, str] | None = None) -> str:
+def with_tables(*names: str, query: str, ctes: dict[str, str] | None = None, recursive: bool = False) -> str:
     """``query`` with the derived tables it names in front, and its own after them."""
     order: list[str] = []
     for n in names:
         order += [x for x in [*_NEEDS.get(n, []), n] if x not in order]
     tables = {n: SQL[n] for n in order} | (ctes or {})
-    return "WITH " + ", ".join(f"{n} AS ({q})" for n, q in tables.items()) + " " + query
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join(f"{n} AS ({q})" for n, q in tables.items()) + " " + query

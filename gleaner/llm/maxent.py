@@ -34,14 +34,14 @@ HEAD, TAIL_CLASSES = 14 * FAN * FAN, 2 * FAN * FAN
 LEAST_BITS, MOST_BITS = 13, 17
 #: Gradient rounds; each training text gives gradients in one of them, that of its
 #: part of a file.
-ROUNDS, BATCH, RATE = 4, 2048, 0.15
+ROUNDS, BATCH, RATE = 4, 8192, 0.15
 #: Rows of the table in one block of changes; tasks whose changes are summed first.
 BLOCK, TASKS = 1024, 64
 #: Characters of text in one chunk.
 CHUNK_CHARS = 8_000_000
 END = b" "  # no word has a blank
 _START = np.uint64(1 << 32)  # what stands before a text; no word has this hash
-_LEVEL = np.array([0, 0, 0, 1, 1, 2])  # of the weights' rows that a word has
+_LEVEL = np.array([0, 0, 0, 1, 2])  # of the weights' rows that a word has
 _NOTHING = -40.0  # log of a leaf that no word has
 
 
@@ -53,7 +53,8 @@ def words_of(text: str) -> list[bytes]:
 
 def ending(word: bytes) -> int:
     """The kind of a word by its last two characters."""
-    return zlib.crc32(word.decode("utf-8", "surrogatepass")[-2:].encode("utf-8", "surrogatepass")) % TAIL_CLASSES
+    last = word[-2:] if word.isascii() else word.decode("utf-8", "surrogatepass")[-2:].encode("utf-8", "surrogatepass")
+    return zlib.crc32(last) % TAIL_CLASSES
 
 
 def _chunked(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -145,16 +146,16 @@ class _Codes(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 400_000:
             self.clear()
         value = self[word] = zlib.crc32(word) * LEAVES + self.vocabulary.leaf(word)
         return value
 
 
 def contexts(hashes: np.ndarray, leaves: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
-    """The rows of the table that are active for each word, (6, words): for its class
-    the word before, the one before that and both; for its subclass, in its class,
-    the first two; for its leaf, in its subclass, the first."""
+    """The rows of the table that are active for each word, (5, words): for its class
+    the word before, the one before that and both; for its subclass, in its class, and
+    for its leaf, in its subclass, the word before."""
     one, two = np.r_[_START, hashes[:-1]], np.r_[_START, _START, hashes[:-2]][: len(hashes)]
     one[starts] = _START
     two[starts] = _START
@@ -163,7 +164,7 @@ def contexts(hashes: np.ndarray, leaves: np.ndarray, starts: np.ndarray, bits: i
     class_, sub = (leaves // (FAN * FAN)).astype(np.uint64), (leaves // FAN).astype(np.uint64)
     mix = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
     by_one, by_two = one * mix[0], two * mix[1]
-    keys = np.stack([by_one, by_two, (by_one ^ (by_one >> np.uint64(29))) + by_two * mix[2], by_one + (class_ + np.uint64(1)) * mix[3], by_two + (class_ + np.uint64(1)) * mix[3], by_one + (sub + np.uint64(17)) * mix[3]])
+    keys = np.stack([by_one, by_two, (by_one ^ (by_one >> np.uint64(29))) + by_two * mix[2], by_one + (class_ + np.uint64(1)) * mix[3], by_one + (sub + np.uint64(17)) * mix[3]])
     keys ^= keys >> np.uint64(32)
     keys *= mix[0]
     return (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -173,7 +174,7 @@ def softmax(weights: np.ndarray, shares: list[np.ndarray], rows: np.ndarray, lea
     """Probabilities (3, words, FAN) of each word's children on its path."""
     z = np.empty((3, len(leaves), FAN), np.float32)
     for k, level in enumerate(_LEVEL):
-        if k in (0, 3, 5):
+        if k in (0, 3, 4):
             z[level] = shares[level].take(leaves // FAN ** (3 - level), 0)
         z[level] += weights.take(rows[k], 0)
     np.clip(z, -60, 60, out=z)  # exp of it stays a float
@@ -194,20 +195,22 @@ def log_probability(weights: np.ndarray, shares: list[np.ndarray], rows: np.ndar
 
 def gradient_step(weights: np.ndarray, square: np.ndarray, touched: np.ndarray, shares: list[np.ndarray], rows: np.ndarray, leaves: np.ndarray) -> None:
     """One AdaGrad step on a batch of words; a row's steps shrink together."""
-    n = len(leaves)
+    n, all_rows = len(leaves), len(_LEVEL) * len(leaves)
     g = softmax(weights, shares, rows, leaves)
     np.put_along_axis(g, d := _digits(leaves)[:, :, None], np.take_along_axis(g, d, 2) - 1, 2)
-    flat = rows.ravel() * (6 * n) + np.arange(6 * n)  # a sort of plain numbers
+    flat = rows.ravel() * all_rows + np.arange(all_rows)  # a sort of plain numbers
     flat.sort()
-    row, order = flat // (6 * n), flat % (6 * n)
+    row = flat // all_rows
+    order = flat - row * all_rows
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    source = _LEVEL[order // n] * n + order % n
+    source = (_LEVEL[:, None] * n + np.arange(n)).ravel().take(order)
     # as complex numbers, so that two columns are summed at once
     total = np.add.reduceat(g.reshape(3 * n, FAN).view(np.complex64).take(source, 0), first, axis=0).view(np.float32)
     row = row[first]
     sums = square[row] + np.einsum("ij,ij->i", total, total) / FAN
     square[row] = sums
-    weights[row] -= total * (RATE / np.sqrt(sums))[:, None]
+    total *= (RATE / np.sqrt(sums))[:, None]
+    weights[row] -= total
     touched[row] = True
 
 

@@ -440,7 +440,7 @@ def test_every_training_text_gives_gradients(spark):
     for k, w in enumerate(words):
         mine = [b"x%d" % k, w, maxent.END]
         rows = maxent.contexts(np.array([zlib.crc32(x) for x in mine], np.uint64), np.array([vocabulary.leaf(x) for x in mine]), np.array([0]), vocabulary.bits)
-        moved.append(bool(weights[rows[5, 1]].any()))  # the word's own leaf after x{k}
+        moved.append(bool(weights[rows[4, 1]].any()))  # the word's own leaf after x{k}
     assert moved == [True] * 31 + [False]
 
 
@@ -471,7 +471,7 @@ def test_language_model_score_is_a_softmax_of_sums(spark, tmp_path):
 
     def children(level, node, one, two):
         a, b = one * A & mask, two * B & mask
-        keys = [[a, b, (a ^ (a >> 29)) + b * C], [a + (node + 1) * D, b + (node + 1) * D], [a + (node + 17) * D]][level]
+        keys = [[a, b, (a ^ (a >> 29)) + b * C], [a + (node + 1) * D], [a + (node + 17) * D]][level]
         z = [float(vocabulary.shares[level][node][k]) + sum(float(weights[row(x)][k]) for x in keys) for k in range(16)]
         total = sum(math.exp(x) for x in z)
         return [math.exp(x) / total for x in z]

@@ -25,7 +25,7 @@ from .common import LOWER, UPPER, map_texts, worker_cache
 EDIT_SHARE = 0.25
 #: Items that one pass over the documents carries.
 ITEM_BLOCK = 20_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 

@@ -45,7 +45,7 @@ BLOCK, WIDER = 512, 3
 BROADCAST_IDS = 1_000_000
 #: Sizes that link differ by a third at most, so by one band of this ratio.
 BAND_RATIO = 1.34
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 

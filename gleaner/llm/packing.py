@@ -28,7 +28,7 @@ from .common import map_texts, stage, worker_cache
 
 CAPACITY = 2048
 #: Word forms whose ids a Python worker remembers.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 #: White space as the tokenizer's own pattern sees it.  No match of that pattern
 #: goes on from another character into white space, or from a letter into what is
 #: no letter, digit or mark of a word, so texts may be cut there.

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, worker_cache
+from .common import crc_mod, map_texts, with_scores, worker_cache
 
 #: Labelled rows of each class that the fit uses at most.
 FIT_ROWS = 3000
@@ -27,7 +27,7 @@ DIMENSIONS = 1 << 18
 #: An indicator for each share of the text's n-grams.
 SHARES = (0.0, 0.02, 0.1, 0.3)
 THRESHOLD = 0.3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 TAIL = re.compile(r"[\W_]*$")
 
 
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, fit_rows: int = FIT_RO
         for b in batches:
             yield pd.DataFrame({"x": [features(t).astype("<i4").tobytes() for t in b.text], "y": b.y})
 
-    rows = sample.mapInPandas(featurize, "x binary, y int").collect()
+    rows = map_texts(sample, featurize, "x binary, y int").collect()
     rows = sorted(rows, key=lambda r: (r["x"], r["y"]))  # the fit doesn't hang on the order of tasks
     return fit([np.frombuffer(r["x"], "<i4").astype(np.int64) for r in rows], np.array([r["y"] for r in rows]), share)
 
@@ -134,16 +134,14 @@ def score(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
     """``docs`` plus the probability that a text's quality is 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def probability(texts: pd.Series) -> pd.Series:
-        m = shared.value
-        out = []
+    def probability(texts: list) -> list[float]:
+        m, out = shared.value, []
         for t in texts:
             x = features(t)
-            out.append(1 / (1 + np.exp(-np.clip(m["a"] * float(m["weights"][x].sum()) / np.sqrt(len(x)) + m["b"], -30, 30))))
-        return pd.Series(out, dtype="float64")
+            out.append(float(1 / (1 + np.exp(-np.clip(m["a"] * float(m["weights"][x].sum()) / np.sqrt(len(x)) + m["b"], -30, 30)))))
+        return out
 
-    return docs.withColumn(column, probability(F.col("text")))
+    return with_scores(docs, probability, column)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, worker_cache
+from .common import crc_mod, map_texts, with_scores, worker_cache
 from .quality import labelled_sample
 
 #: Labelled rows of each class that the fit uses at most.
@@ -29,7 +29,7 @@ THRESHOLD = 0.3
 #: A term takes part if the chi-square of its presence against the label reaches
 #: this and at least MIN_DOCUMENTS sampled texts have it.
 MIN_CHI2, MIN_DOCUMENTS = 18.0, 3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 TERM = re.compile(r"[^\W_]+")
 #: Lengths of the beginnings of words.
 BEGINNINGS = (4, 5, 6, 7)
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, fit_rows: int = FIT_RO
         for b in batches:
             yield pd.DataFrame({"x": [terms(t, known).astype("<i4").tobytes() for t in b.text], "y": b.y})
 
-    rows = sorted(sample.mapInPandas(hashed, "x binary, y int").collect(), key=lambda r: (r["x"], r["y"]))
+    rows = sorted(map_texts(sample, hashed, "x binary, y int").collect(), key=lambda r: (r["x"], r["y"]))
     return fit([np.frombuffer(r["x"], "<i4") for r in rows], np.array([r["y"] for r in rows]), share)
 
 
@@ -138,17 +138,16 @@ def score(docs: DataFrame, model: Machine, column: str = "score") -> DataFrame:
     """``docs`` plus the probability that a text is toxic."""
     shared = docs.sparkSession.sparkContext.broadcast((model.ids, model.bias, model.w, model.v))
 
-    @F.pandas_udf("double")
-    def probability(texts: pd.Series) -> pd.Series:
+    def probability(texts: list) -> list[float]:
         m = Machine.__new__(Machine)
         m.ids, m.bias, m.w, m.v = shared.value
         cache = worker_cache("toxicity")
         if cache.get("toxic_terms") is None or not np.array_equal(cache["toxic_terms"][0], m.ids):
             cache["toxic_terms"] = (m.ids, _Hashes(set((m.ids & ((1 << BITS) - 1)).tolist())))
         known = cache["toxic_terms"][1]
-        return pd.Series([float(_probability(m.margin(m.index(terms(t, known))))) for t in texts], dtype="float64")
+        return [float(_probability(m.margin(m.index(terms(t, known))))) for t in texts]
 
-    return docs.withColumn(column, probability(F.col("text")))
+    return with_scores(docs, probability, column)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

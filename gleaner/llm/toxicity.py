@@ -29,6 +29,10 @@ THRESHOLD = 0.3
 #: A term takes part if the chi-square of its presence against the label reaches
 #: this and at least MIN_DOCUMENTS sampled texts have it.
 MIN_CHI2, MIN_DOCUMENTS = 18.0, 3
+#: So does one that tells the classes apart only beside another: the chi-square of both
+#: together is this much more than those of the two alone.  Looked for among the
+#: PAIR_TERMS commonest terms of PAIR_DOCUMENTS sampled texts or more.
+PAIR_CHI2, PAIR_TERMS, PAIR_DOCUMENTS = 60.0, 3072, 20
 CACHE_WORDS = 250_000
 TERM = re.compile(r"[^\W_]+")
 #: Lengths of the beginnings of words.
@@ -101,8 +105,36 @@ class Machine:
                     self.v[x] -= rate * dv / np.sqrt(gv[x])
 
 
+def chi_square(pos: np.ndarray, df: np.ndarray, npos: float, n: float) -> np.ndarray:
+    """Of presence in ``df`` texts, ``pos`` of them positive, against the label."""
+    a, b, c, d = pos, df - pos, npos - pos, (n - npos) - (df - pos)
+    return n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
+
+
+def paired_terms(where: np.ndarray, rows: np.ndarray, y: np.ndarray, df: np.ndarray, chi2: np.ndarray) -> np.ndarray:
+    """Places of the terms that matter beside another.  ``where`` and ``rows`` give the
+    term and the text of each occurrence."""
+    common = np.argsort(-df, kind="stable")[:PAIR_TERMS]
+    common = common[df[common] >= PAIR_DOCUMENTS]
+    place = np.full(len(df), -1)
+    place[common] = np.arange(len(common))
+    x = np.zeros((len(y), len(common)), np.float32)
+    seen = place[where] >= 0
+    x[rows[seen], place[where[seen]]] = 1
+    positive, found = x[y > 0], np.zeros(len(common), bool)
+    for a in range(0, len(common), 512):  # counts of pairs, some terms with all at a time
+        both, pos = x[:, a : a + 512].T @ x, positive[:, a : a + 512].T @ positive
+        gain = chi_square(pos.astype(float), both.astype(float), y.sum(), len(y)) - chi2[common[a : a + 512]][:, None] - chi2[common][None, :]
+        gain[both < MIN_DOCUMENTS] = 0
+        hit = gain >= PAIR_CHI2
+        found |= hit.any(0)
+        found[a : a + 512] |= hit.any(1)
+    return common[found]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, positive_share: float, factors: int = FACTORS) -> Machine:
-    """Choose the terms that tell the classes apart, and fit a machine to them."""
+    """Choose the terms that tell the classes apart, alone or beside another, and fit a
+    machine to them."""
     y = (labels > 0).astype(float)
     n, npos = len(rows), y.sum()
     if not n or npos in (0, n):  # one class or none: its share is all that is known
@@ -110,11 +142,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, positive_share: float, facto
         m.bias = float(np.log((positive_share + 1e-3) / (1 - positive_share + 1e-3)))
         return m
     all_ids, where = np.unique(np.concatenate(rows), return_inverse=True)
+    text = np.repeat(np.arange(n), [len(r) for r in rows])
     df = np.bincount(where, minlength=len(all_ids)).astype(float)
-    pos = np.bincount(where, weights=np.repeat(y, [len(r) for r in rows]), minlength=len(all_ids))
-    a, b, c, d = pos, df - pos, npos - pos, (n - npos) - (df - pos)
-    chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-    m = Machine(all_ids[(chi2 >= MIN_CHI2) & (df >= MIN_DOCUMENTS)], factors)
+    pos = np.bincount(where, weights=y[text], minlength=len(all_ids))
+    chi2 = chi_square(pos, df, npos, n)
+    chosen = (chi2 >= MIN_CHI2) & (df >= MIN_DOCUMENTS)
+    chosen[paired_terms(where, text, y, df, chi2)] = True
+    m = Machine(all_ids[chosen], factors)
     weight = np.where(y > 0, positive_share / npos, (1 - positive_share) / (n - npos)) * n
     m.fit([m.index(r) for r in rows], y, weight)
     return m

@@ -2,9 +2,10 @@
 
 Indicators of n-grams are scaled by the log ratio of their smoothed counts in the
 two classes, and a linear hinge-loss model is fitted to them by dual coordinate
-descent.  The n-grams run over word shapes (case, trailing marks, whether a word
-repeats its predecessor), which carry over to words never seen; an indicator says
-that an n-gram makes up at least a given share of the text.
+descent.  Some n-grams run over word shapes (case, trailing marks, whether a word
+repeats its predecessor), which carry over to words never seen; such an indicator says
+that an n-gram makes up at least a given share of the text.  The others run over the
+words themselves, hashed; theirs say that the text has the n-gram.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ from .common import crc_mod, map_texts, with_scores, worker_cache
 
 #: Labelled rows of each class that the fit uses at most.
 FIT_ROWS = 3000
+#: Features of shapes, and as many of words above them.
 DIMENSIONS = 1 << 18
+#: Weight of the words' block of features, and the sampled texts that such a feature needs.
+WORDS, MIN_DOCUMENTS = 0.5, 5
 #: An indicator for each share of the text's n-grams.
 SHARES = (0.0, 0.02, 0.1, 0.3)
 THRESHOLD = 0.3
@@ -32,13 +36,13 @@ TAIL = re.compile(r"[\W_]*$")
 
 
 class _Shapes(dict):
-    """word -> hash of its shape, remembered."""
+    """word -> hash of its shape and of the word, in one number, remembered."""
 
     def __missing__(self, word: str) -> int:
         tail = TAIL.search(word).group()
         body = word[: len(word) - len(tail)]
         case = "n" if not body else "d" if any(c.isdigit() for c in body) else "u" if body.isupper() and len(body) > 1 else "t" if body[0].isupper() else "l" if body.islower() else "m"
-        value = zlib.crc32(f"{case}{tail[:3]}".encode()) & 1023
+        value = zlib.crc32(f"{case}{tail[:3]}".encode()) & 1023 | zlib.crc32(body.lower().encode("utf-8", "surrogatepass")) << 10
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = value
@@ -46,12 +50,14 @@ class _Shapes(dict):
 
 
 def features(text: str | None) -> np.ndarray:
-    """The indicator features of a text (sorted, unique); feature 0 is always there."""
+    """The indicator features of a text (sorted, unique; shapes before words); feature 0
+    is always there."""
     shapes = worker_cache("quality").setdefault("word_shapes", _Shapes())
     words = (text or "").split()
     if not words:
         return np.array([0, 1], dtype=np.int64)
-    ids = np.fromiter(map(shapes.__getitem__, words), np.int64, len(words)) * 2
+    both = np.fromiter(map(shapes.__getitem__, words), np.int64, len(words))
+    ids, word = (both & 1023) * 2, both >> 10
     if len(words) > 1:
         ids[1:] += np.fromiter(map(operator.eq, words[1:], words[:-1]), np.int64, len(words) - 1)
     out = [np.array([0])]
@@ -61,31 +67,33 @@ def features(text: str | None) -> np.ndarray:
             for level, share in enumerate(SHARES):
                 hit = values[counts >= share * len(grams)]
                 out.append(2 + ((hit * 0x9E3779B1 + order * 7919 + level * 104729) % 0xFFFFFFFB) % (DIMENSIONS - 2))
+    pairs = (word[:-1] * 0x85EBCA77 + word[1:]) % 0xFFFFFFFB
+    out.append(DIMENSIONS + np.concatenate([word, pairs]) % DIMENSIONS)
     return np.unique(np.concatenate(out))
 
 
+def block_scale(x: np.ndarray) -> np.ndarray:
+    """What a text's features are multiplied by: each block has length 1 before ratios."""
+    shapes = int(np.searchsorted(x, DIMENSIONS))
+    return np.r_[np.full(shapes, 1 / np.sqrt(max(shapes, 1))), np.full(len(x) - shapes, WORDS / np.sqrt(max(len(x) - shapes, 1)))]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, positive_share: float, c: float = 1.0, epochs: int = 30, alpha: float = 1.0) -> dict:
     """Fit to ``rows`` of features: log-count ratios, then dual coordinate descent on
     the hinge loss with box constraint ``c``, then a logistic curve on the margins
     that restores the share of the positive class."""
     y = np.where(labels > 0, 1.0, -1.0)
     if not len(rows) or abs(y.sum()) == len(rows):  # one class or none: its share is all that is known
-        return {"weights": np.zeros(DIMENSIONS, np.float32), "a": 0.0, "b": float(np.log((positive_share + 1e-3) / (1 - positive_share + 1e-3)))}
-    p, q = np.full(DIMENSIONS, alpha), np.full(DIMENSIONS, alpha)
+        return {"weights": np.zeros(2 * DIMENSIONS, np.float32), "a": 0.0, "b": float(np.log((positive_share + 1e-3) / (1 - positive_share + 1e-3)))}
+    p, q = np.full(2 * DIMENSIONS, alpha), np.full(2 * DIMENSIONS, alpha)
     for x, s in zip(rows, y, strict=True):
         (p if s > 0 else q)[x] += 1
     ratio = np.log(p / (y > 0).sum()) - np.log(q / (y < 0).sum())
+    ratio[DIMENSIONS:][(p + q)[DIMENSIONS:] - 2 * alpha < MIN_DOCUMENTS] = 0.0
     ratio[0] = 1.0
-    values = [ratio[x] / np.sqrt(len(x)) for x in rows]
+    values = [ratio[x] * block_scale(x) for x in rows]
     norms = [float(v @ v) + 1e-9 for v in values]
-    w, dual, rng = np.zeros(DIMENSIONS), np.zeros(len(rows)), np.random.default_rng(7)
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            x, v = rows[i], values[i]
-            new = min(max(dual[i] + (1 - y[i] * float(w[x] @ v)) / norms[i], 0.0), c)
-            if new != dual[i]:
-                w[x] += (new - dual[i]) * y[i] * v
-                dual[i] = new
+    w = dual_descent(rows, values, norms, y, c, epochs)
     margins = np.array([float(w[x] @ v) for x, v in zip(rows, values, strict=True)])
     weight = np.where(y > 0, positive_share / (y > 0).sum(), (1 - positive_share) / (y < 0).sum()) * len(y)
     a, b = 1.0, 0.0
@@ -99,6 +107,20 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, positive_share: float, c: fl
     return {"weights": (w * ratio).astype(np.float32), "a": float(a), "b": float(b)}
 
 
+def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], norms: list[float], y: np.ndarray, c: float, epochs: int) -> np.ndarray:
+    """Weights of the linear hinge-loss model: a coordinate of the dual at a time, in
+    random order, kept in the box from 0 to ``c``."""
+    w, dual, rng = np.zeros(2 * DIMENSIONS), np.zeros(len(rows)), np.random.default_rng(7)
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            x, v = rows[i], values[i]
+            new = min(max(dual[i] + (1 - y[i] * float(w[x] @ v)) / norms[i], 0.0), c)
+            if new != dual[i]:
+                w[x] += (new - dual[i]) * y[i] * v
+                dual[i] = new
+    return w
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, fit_rows: int) -> tuple[DataFrame, float]:
     """At most ``fit_rows`` labelled documents of each class (text, y), chosen by a
     hash of their id, and the positive share of all rows to learn from."""
@@ -138,7 +160,7 @@ def score(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
         m, out = shared.value, []
         for t in texts:
             x = features(t)
-            out.append(float(1 / (1 + np.exp(-np.clip(m["a"] * float(m["weights"][x].sum()) / np.sqrt(len(x)) + m["b"], -30, 30)))))
+            out.append(float(1 / (1 + np.exp(-np.clip(m["a"] * float(m["weights"][x] @ block_scale(x)) + m["b"], -30, 30)))))
         return out
 
     return with_scores(docs, probability, column)

@@ -528,3 +528,90 @@ def test_rare_shingles_that_chain_texts_without_links_stay_apart(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.link_documents(docs).collect()}
     assert got == {k: (0, 1 if k in (0, 59) else 2) for k in range(60)}
+
+
+def test_factorization_machine_sums_all_pairs():
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    m = toxicity.Machine(np.arange(12), 3)
+    m.bias, m.w, m.v = 0.3, rnd.normal(size=12), rnd.normal(size=(12, 3))
+    for size in (0, 1, 2, 7, 12):
+        x = rnd.choice(12, size, replace=False)
+        want = m.bias + sum(m.w[i] for i in x) + sum(float(m.v[i] @ m.v[j]) for i, j in itertools.combinations(x, 2))
+        assert math.isclose(m.margin(x), want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_toxicity_of_pairs_that_no_part_gives_away():
+    """A text is toxic if it has both of two words; each alone is as common in clean
+    texts.  Linear weights can't tell them apart, the pairs' factors can."""
+    import numpy as np
+
+    rnd, hashes = random.Random(1), toxicity._Hashes()
+
+    def texts(n):
+        rows = []
+        for i in range(n):
+            w = ["".join(rnd.choice(["an", "the", "on", "er", "st", "ka", "mo"]) for _ in range(rnd.randrange(2, 5))) for _ in range(40)]
+            w[:2] = [["blorg", "zentari"], ["blorg", "x"], ["zentari", "x"], ["x", "x"]][i % 4]
+            rnd.shuffle(w)
+            rows.append(toxicity.terms(" ".join(w), hashes))
+        return rows, np.array([int(i % 4 == 0) for i in range(n)])
+
+    m = toxicity.fit(*texts(1600), 0.25)
+    rows, want = texts(400)
+    right = lambda: np.mean([(m.margin(m.index(x)) > 0) == y for x, y in zip(rows, want, strict=True)])
+    assert right() >= 0.97
+    m.v[:] = 0
+    assert right() <= 0.8
+
+
+def test_dual_descent_reaches_the_least_hinge_loss(monkeypatch):
+    """Against projected gradient steps on the whole dual."""
+    import numpy as np
+
+    monkeypatch.setattr(quality, "DIMENSIONS", 4)
+    rnd, c = np.random.default_rng(3), 0.7
+    x = rnd.normal(size=(30, 8))
+    y = np.where(x[:, 0] + 0.8 * rnd.normal(size=30) > 0, 1.0, -1.0)
+    rows = [np.arange(8)] * 30
+    w = quality.dual_descent(rows, list(x), [float(v @ v) for v in x], y, c, 400)
+    loss = lambda w: 0.5 * w @ w + c * np.maximum(0, 1 - y * (x @ w)).sum()
+    dual, step = np.zeros(30), 1 / np.linalg.norm((x * y[:, None]) @ (x * y[:, None]).T, 2)
+    for _ in range(30000):
+        dual = np.clip(dual + step * (1 - y * (x @ (x.T @ (dual * y)))), 0, c)
+    best = loss(x.T @ (dual * y))
+    assert loss(w) <= best * (1 + 1e-3) + 1e-6
+
+
+def test_quality_by_words_of_one_shape():
+    """Texts that differ in their words alone, not in case, marks or repeats."""
+    import numpy as np
+
+    rnd = random.Random(8)
+    good, bad = ([f"{a}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)] for a in ("ga", "bu"))
+    texts = [(" ".join(rnd.choice((good if i % 2 else bad) if rnd.random() < 0.3 else ["zz", "yy", "xx"]) for _ in range(40)), i % 2) for i in range(500)]
+    rows = [quality.features(t) for t, _ in texts]
+    m = quality.fit(rows[:400], np.array([y for _, y in texts[:400]]), 0.5)
+    right = [(m["a"] * float(m["weights"][x] @ quality.block_scale(x)) + m["b"] > 0) == bool(y) for x, (_, y) in zip(rows[400:], texts[400:], strict=True)]
+    assert sum(right) >= 95
+    long = " ".join(["word"] * 200_000)
+    assert len(quality.features(long)) < 40 and list(quality.features("")) == list(quality.features(None))
+
+
+def test_query_columns_of_contracts(spark, tmp_path):
+    """op3, op4 and op9 as returned: sizes, checksums, held-out rows, laws."""
+    rnd = random.Random(17)
+    rows = [(i, " ".join(rnd.choice(["one", "two", "Three", "é"]) for _ in range(rnd.randrange(1, 30)))) for i in range(60)] + [(None, None), (61, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, (i // 2) % 2) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    texts = dict(rows)
+    got = sharding.op3_sharding(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in got) == sorted((i is not None, i or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows", None) for i, t in rows)
+    assert {r["shard"] for r in got} == set(range(8))
+    for query, n, rest in ((quality.op4_quality, 5, 0), (toxicity.op9_toxicity, 4, 2)):
+        out = query(spark, str(tmp_path)).collect()
+        assert len(out) == len(rows) and {r["doc_id"] for r in out} == set(texts)
+        for r in out:
+            assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % n == rest)
+            assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)

@@ -194,6 +194,11 @@ def slug(text: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), 1, 40)
 
 
+def project_id(name: Column, identity: Column) -> Column:
+    """The name's slug and 12 digits of the identity's hash."""
+    return F.concat(slug(name), F.lit("-"), digest(identity, 12))
+
+
 def lines(text: Column) -> Column:
     """Lines without their ends; no empty line after the last end."""
     parts = F.split(text, LINE_BREAK, -1)

@@ -48,13 +48,31 @@ def in_listing_order(files: DataFrame, n: int) -> DataFrame:
     return files.orderBy(F.split("path", "/")).limit(n)
 
 
+def listing(files: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` files by path."""
+    from ..functions import text as T
+
+    return files.select("path", "size", extension(F.col("path")).alias("extension"), language(F.col("path")).alias("language"), F.size(T.lines(F.col("content"))).alias("line_count")).orderBy("path").limit(n)
+
+
+def visible(rows: DataFrame, current: DataFrame) -> DataFrame:
+    """Rows whose path is still listed and isn't excluded."""
+    return rows.where(~excluded(F.col("path"))).join(current.select("path"), "path", "left_semi")
+
+
+def refresh_counts(diff: DataFrame) -> DataFrame:
+    """How many paths are new, updated, unchanged and removed."""
+    return diff.groupBy("change").agg(F.count("*").alias("n"))
+
+
 def refresh_diff(old: DataFrame, new: DataFrame, scope: str = "") -> DataFrame:
     """Each path with new, updated, unchanged or removed; rows outside
-    ``scope`` (a file or folder) stay out of both sides."""
+    ``scope`` (a file or folder) stay out of both sides.  A path whose ``has_summary``
+    (if ``old`` has that column) is false is updated, whatever its size and time."""
     inside = lambda df: df.where(in_scope(F.col("path"), scope)) if scope else df
-    a = inside(old).select("path", F.col("size").alias("s0"), F.col("mtime_ns").alias("m0"))
+    a = inside(old).select("path", F.col("size").alias("s0"), F.col("mtime_ns").alias("m0"), (F.coalesce("has_summary", F.lit(False)) if "has_summary" in old.columns else F.lit(True)).alias("made"))
     b = inside(new).select("path", F.col("size").alias("s1"), F.col("mtime_ns").alias("m1"))
-    label = F.when(F.col("m1").isNull(), "removed").when(F.col("m0").isNull(), "new").when((F.col("s0") == F.col("s1")) & (F.col("m0") == F.col("m1")), "unchanged").otherwise("updated")
+    label = F.when(F.col("m1").isNull(), "removed").when(F.col("m0").isNull(), "new").when((F.col("s0") == F.col("s1")) & (F.col("m0") == F.col("m1")) & F.col("made"), "unchanged").otherwise("updated")
     return a.join(b, "path", "full").select("path", label.alias("change"))
 
 

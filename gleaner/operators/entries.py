@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CURRENT_SCHEMA = 2
 SUPPORTED = ("ns0", "ns1", "ns2")
@@ -32,6 +33,24 @@ def prune(entries: DataFrame, max_age_days: int = 30) -> DataFrame:
     return with_status(entries).where((F.col("status") == "active") & (F.col("age_days") <= max_age_days))
 
 
+def stats_with_counters(entries: DataFrame, counters: DataFrame, samples: int = 5) -> DataFrame:
+    """``stats`` with the first keys of each namespace and its hits and misses; a
+    namespace may have entries, counters or both.  A key's rank is cut in each task
+    before the exchange, so a large namespace doesn't gather."""
+    named = entries.withColumn("namespace", F.coalesce("namespace", F.lit("unknown")))
+    first = named.select("namespace", "key").withColumn("_r", F.row_number().over(Window.partitionBy("namespace").orderBy("key"))).where(F.col("_r") <= samples)
+    keys = first.groupBy("namespace").agg(F.sort_array(F.collect_list("key")).alias("sample_keys"))
+    rows = stats(entries).drop("sample_key").join(keys, "namespace").join(counters.select("namespace", "hits", "misses"), "namespace", "full")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("entries", "active", "expired", "stale", "legacy", "hits", "misses")}
+    return rows.withColumns(zero).withColumn("sample_keys", F.coalesce("sample_keys", F.array().cast("array<string>")))
+
+
+def prune_counts(entries: DataFrame, max_age_days: int = 30) -> DataFrame:
+    """How many rows stay, and how many go for what."""
+    outcome = F.when(F.col("status") != "active", F.col("status")).when(F.col("age_days") > max_age_days, "too_old").otherwise("kept")
+    return with_status(entries).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
 def lookup(keys: DataFrame, entries: DataFrame) -> DataFrame:
     """Hit, or miss with its reason."""
     j = keys.join(with_status(entries).select("key", "status", "reason"), "key", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from . import corpus
 
 MAX_TERMS = 4000
 SUMMARY_CHARS = 480
@@ -112,6 +113,14 @@ def anchored_summary(files: DataFrame, anchors: DataFrame, symbols: DataFrame |
     return _summary(_with_symbol(rows, symbols), "path", "anchor")
 
 
+def file_records(files: DataFrame, indexed_at, symbols: DataFrame | None = None) -> DataFrame:
+    """One row a file with digest, kind, lines, summary (a struct) and its terms."""
+    head = head_summary(files, symbols)
+    summary = head.select("path", F.struct(*[c for c in head.columns if c != "path"]).alias("summary"))
+    rows = files.select("path", "size", "mtime_ns", F.sha2("content", 256).alias("sha256"), corpus.extension(F.col("path")).alias("extension"), corpus.language(F.col("path")).alias("language"), F.size(T.lines(F.col("content"))).alias("line_count"), indexed_at.alias("indexed_at"), "content", F.array_sort(F.array_distinct(T.index_tokens(F.col("content")))).alias("terms"))
+    return rows.join(summary, "path")
+
+
 def chunks(files: DataFrame, width: int = 80) -> DataFrame:
     """Windows of ``width`` lines with an id from path, file token and range."""
     n = F.size(T.lines(F.col("content")))
@@ -129,8 +138,15 @@ def snippets(files: DataFrame, wanted: DataFrame, before: int = 0, after: int =
     return j.select("path", "start_line", "end_line", error.alias("error"), F.when(error.isNull(), T.trim_text(T.redact_secrets(F.array_join(F.slice("ls", a, F.greatest(b - a + 1, F.lit(0))), "\n")), most)).alias("content"))
 
 
-def tree(files: DataFrame, depth: int) -> DataFrame:
-    """Files and folders down to ``depth``."""
+def tree(files: DataFrame, depth: int, root: str = "", most: int | None = None) -> DataFrame:
+    """Files and folders down to ``depth`` below ``root``, in the order of their
+    segments, ``most`` at most."""
+    if root:
+        rows = tree(files.where(F.col("path").startswith(f"{root}/")).select(F.substr("path", F.lit(len(root) + 2)).alias("path")), depth)
+        rows = rows.withColumn("path", F.concat(F.lit(f"{root}/"), "path"))
+        return rows if most is None else rows.orderBy(F.split("path", "/")).limit(most)
+    if most is not None:
+        return tree(files, depth).orderBy(F.split("path", "/")).limit(most)
     parts = F.split("path", "/")
     rows = files.select(parts.alias("p")).select("p", F.explode(F.sequence(F.lit(1), F.least(F.size("p"), F.lit(depth)))).alias("d"))
     return rows.select(F.array_join(F.slice("p", 1, F.col("d")), "/").alias("path"), F.col("d").alias("depth"), (F.col("d") < F.size("p")).alias("is_dir")).distinct()
@@ -148,4 +164,4 @@ def facts(files: DataFrame) -> DataFrame:
 def search_documents(files: DataFrame) -> DataFrame:
     """X14."""
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", F.concat_ws(" ", "path", name, F.regexp_replace(name, r"\.[^.]*$", ""), F.array_join(F.split("path", "[/._-]+"), " ")).alias("path_text"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.concat_ws(" ", "path", name, F.regexp_replace(name, r"\.[^.]*$", ""), F.array_join(F.split("path", "[/._-]+"), " ")).alias("path_text"), "content", corpus.language(F.col("path")).alias("language"), F.sha2("content", 256).alias("sha256"), "mtime_ns")

@@ -22,14 +22,18 @@ def promote_exact(hits: DataFrame, requests: DataFrame, files: DataFrame) -> Dat
     return scored.unionByName(exact).groupBy("request_id", "path").agg(F.max("score").alias("score"))
 
 
+def _grams(text: Column) -> Column:
+    """The different runs of three characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3))))
+
+
 def symbol_hits(symbols: DataFrame, terms: DataFrame) -> DataFrame:
     """(request_id, path, name, line_start) of symbols whose path, name or
     signature contains a term of the request.  A term is looked up by its first
     three characters, so no symbol meets a request with which it shares none; terms
     have three characters at least."""
     h = F.lower(F.concat_ws(" ", "path", "name", "signature"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("h") - 2, F.lit(1))), lambda i: F.substring(F.col("h"), i, F.lit(3))))
-    rows = symbols.withColumn("h", h).withColumn("gram", F.explode(grams))
+    rows = symbols.withColumn("h", h).withColumn("gram", F.explode(_grams(F.col("h"))))
     keyed = terms.select("request_id", "term", F.substring("term", 1, 3).alias("gram"))
     return rows.join(keyed, "gram").where(F.contains("h", F.col("term"))).select("request_id", "path", "name", "line_start").distinct()
 
@@ -83,6 +87,25 @@ def skill_rows(log: DataFrame, as_of: Column) -> DataFrame:
     return log.where(F.col("namespace").startswith("skills/") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of)))
 
 
+def rank_skills(skills: DataFrame, requests: DataFrame, n: int = 3) -> DataFrame:
+    """(request_id, skill_id, rank, score): 3 for each of a request's terms in a
+    skill's text, 2 for each in its key, 2 for the route in its text, a half for each of
+    the text's first 24 terms in the prompt, and its confidence; above 1, the best ``n``.
+    Only pairs of which one side's term may occur in the other's text are scored: they
+    are joined on the term's first three characters."""
+    text = F.lower(F.concat_ws(" ", "namespace", "key", "value"))
+    known = skills.select("skill_id", F.lower("key").alias("key"), text.alias("h"), T.query_terms(text, 24).alias("own"), F.least("confidence", F.lit(1.0)).alias("confidence"))
+    asked = requests.select("request_id", F.lower("prompt").alias("prompt"), T.query_terms(F.col("prompt")).alias("terms"), F.lower("route").alias("route"))
+    within = lambda terms, h: F.size(F.filter(terms, lambda t: F.contains(F.col(h), t)))
+    half = 6 * within("terms", "h") + 4 * within("terms", "key") + F.when((F.col("route") != "") & F.contains("h", F.col("route")), 4).otherwise(0) + within("own", "prompt")
+    sought = lambda df, key, terms: df.select(key, F.substring(F.explode(terms), 1, 3).alias("gram")).where(F.length("gram") == 3).distinct()
+    met = sought(asked, "request_id", F.concat("terms", F.array("route"))).join(known.select("skill_id", F.explode(_grams(F.col("h"))).alias("gram")), "gram").select("request_id", "skill_id")
+    met = met.union(sought(known, "skill_id", F.col("own")).join(asked.select("request_id", F.explode(_grams(F.col("prompt"))).alias("gram")), "gram").select("request_id", "skill_id")).distinct()
+    pairs = met.join(asked, "request_id").join(known, "skill_id").select("request_id", "skill_id", F.round(half * 0.5 + F.col("confidence"), 4).alias("score")).where("score > 1")
+    w = Window.partitionBy("request_id").orderBy(F.desc("score"), "skill_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("request_id", "skill_id", "rank", "score")
+
+
 def miss_reasons(misses: DataFrame, entries: DataFrame) -> DataFrame:
     """Why each miss(namespace, schema_version, signature, path) found nothing,
     by the first facet that no entry of its namespace has; an empty signature fits

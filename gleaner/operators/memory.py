@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .corpus import is_safe
+
 INLINE_BYTES = 131_072
 
 
@@ -42,10 +44,26 @@ def stale_paths(facts: DataFrame, files: DataFrame) -> DataFrame:
     return facts.select("key", F.explode("file_paths").alias("path")).join(files.select("path"), "path", "left_anti")
 
 
+def missing_metadata(facts: DataFrame) -> DataFrame:
+    """(seq, issue) for each source, confidence or time that a fact lacks."""
+    blank = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
+    issues = F.array_compact(F.array(*[F.when(blank(c), F.lit(f"missing_{c}")) for c in ("source", "confidence", "created_at", "updated_at")]))
+    return facts.select("seq", F.explode(issues).alias("issue"))
+
+
+def path_issues(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """(key, path, issue) of files that facts name and that leave the root
+    (unsafe_path) or aren't in the corpus (stale_path)."""
+    each = facts.select("key", F.explode("file_paths").alias("path")).join(files.select("path"), "path", "left_anti")
+    return each.select("key", "path", F.when(is_safe(F.col("path")), "stale_path").otherwise("unsafe_path").alias("issue"))
+
+
 def compact(log: DataFrame, threshold: int = 40, keep: int = 12, most: int = 1200) -> DataFrame:
     """Namespaces with more than ``threshold`` facts: bullets of the best ``keep``."""
-    w = Window.partitionBy("namespace")
-    best = log.withColumn("_n", F.count("*").over(w)).where(F.col("_n") > threshold).withColumn("_r", F.row_number().over(w.orderBy(F.desc("confidence"), F.desc("written_at"), "seq"))).where(F.col("_r") <= keep)
+    # the count is an aggregate of its own, so that each task keeps its best ``keep`` rows before the exchange
+    w = Window.partitionBy("namespace").orderBy(F.desc("confidence"), F.desc("written_at"), "seq")
+    large = log.groupBy("namespace").agg(F.count("*").alias("_n")).where(F.col("_n") > threshold).select("namespace")
+    best = log.select("namespace", "key", "value", "confidence", "written_at", "seq").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).join(large, "namespace", "left_semi")
     bullet = F.concat(F.lit("- "), F.substring(F.concat("key", F.lit(": "), "value"), 1, 160))
     rows = best.groupBy("namespace").agg(F.array_sort(F.collect_list(F.struct("_r", bullet.alias("b")))).alias("bs"))
     return rows.select("namespace", F.substring(F.array_join(F.transform("bs", lambda x: x["b"]), "\n"), 1, most).alias("content"))
@@ -61,6 +79,14 @@ def storage(size: Column) -> Column:
     return F.when(size > INLINE_BYTES, "file").otherwise("inline")
 
 
+def split_bodies(references: DataFrame, most: int = INLINE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The references, large ones without their body, and the bodies that go to
+    files of their own."""
+    large = F.col("size_bytes") > most
+    rows = references.withColumn("storage", F.when(large, "file").otherwise("inline")).withColumn("body", F.when(~large, F.col("body")))
+    return rows, references.where(large).select("reference_id", "sha256", "body")
+
+
 def newest(references: DataFrame, n: int) -> DataFrame:
     """E03."""
     return references.orderBy(F.desc("created_seq")).limit(n).withColumn("status", reference_status(F.col("invalidated"), F.col("hours_left")))

@@ -15,9 +15,13 @@ TARGETS = (
 )
 
 
+#: What events add up, negative values as 0.
+MEASURES = ("output_tokens", "saved_tokens", "baseline_tokens", "raw_chars", "selected_chars", "calls_saved", "deferred_bytes", "results", "candidates", "omitted", "selected")
+
+
 def _sums():
     clamp = lambda c: F.sum(F.greatest(F.col(c), F.lit(0)))
-    return [F.count("*").alias("n"), clamp("output_tokens").alias("output_tokens"), clamp("saved_tokens").alias("saved_tokens"), clamp("candidates").alias("candidates"), clamp("selected").alias("selected"), F.count_if("cache_hit").alias("hits"), F.count_if(~F.col("cache_hit")).alias("misses")]
+    return [F.count("*").alias("n"), *[clamp(c).alias(c) for c in MEASURES], F.count_if("cache_hit").alias("hits"), F.count_if(~F.col("cache_hit")).alias("misses")]
 
 
 def totals(events: DataFrame) -> DataFrame:
@@ -26,10 +30,10 @@ def totals(events: DataFrame) -> DataFrame:
 
 
 def by(events: DataFrame, key: str) -> DataFrame:
-    """Sums and latencies by operation or by (non-empty) route."""
+    """Sums, latencies and compression by operation or by (non-empty) route."""
     ms = F.col("elapsed_ms").cast("decimal(18,6)")
     rows = events.where(F.col(key) != "").groupBy(key).agg(*_sums(), F.round(F.sum(ms), 3).cast("double").alias("total_ms"), F.min("elapsed_ms").alias("min_ms"), F.max("elapsed_ms").alias("max_ms"), F.max_by("elapsed_ms", "event_id").alias("last_ms"))
-    return rows.withColumn("avg_ms", F.round(F.col("total_ms") / F.col("n"), 3)).withColumn("candidates_per_selected", F.round(F.col("candidates") / F.greatest("selected", F.lit(1)), 4))
+    return rows.withColumn("avg_ms", F.round(F.col("total_ms") / F.col("n"), 3)).withColumn("candidates_per_selected", F.round(F.col("candidates") / F.greatest("selected", F.lit(1)), 4)).withColumn("compression", F.coalesce(F.round(F.try_divide(F.col("output_tokens"), F.col("baseline_tokens")), 4), F.lit(0.0)))
 
 
 def by_namespace(events: DataFrame) -> DataFrame:

@@ -80,9 +80,9 @@ def _(s, d):
     return s.read.parquet(f"{d}/pages.parquet").select("url", corpus.language(F.col("url")).alias("language"))
 
 
-@add("s06_file_record", with_tables("filelines", query="SELECT f.path, f.size, f.mtime_ns, sha256(f.content) AS sha256, len(l.ls) AS line_count FROM files f JOIN filelines l ON f.path = l.path"))
+@add("s06_file_record", with_tables("filelines", ctes={"tk": f"SELECT path, array_to_string(list_sort(list_distinct({_TOKENS.format('content')})), ' ') AS terms FROM files"}, query="SELECT f.path, f.size, f.mtime_ns, sha256(f.content) AS sha256, '.txt' AS extension, 'txt' AS language, len(l.ls) AS line_count, md5(terms) AS terms FROM files f JOIN filelines l ON f.path = l.path JOIN tk ON tk.path = f.path"))
 def _(s, d):
-    return D.files(s, d).select("path", "size", "mtime_ns", F.sha2("content", 256).alias("sha256"), F.size(T.lines(F.col("content"))).alias("line_count"))
+    return extract.file_records(D.files(s, d), F.timestamp_seconds(F.lit(AS_OF))).select("path", "size", "mtime_ns", "sha256", "extension", "language", "line_count", F.md5(F.array_join("terms", " ")).alias("terms"))
 
 
 _DIFF = "SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'removed' WHEN a.path IS NULL THEN 'new' WHEN a.size = b.size AND a.mtime_ns = b.mtime_ns THEN 'unchanged' ELSE 'updated' END AS change FROM {0} a FULL JOIN {1} b ON a.path = b.path"
@@ -93,6 +93,11 @@ def _(s, d):
     return corpus.refresh_diff(D.files(s, d), D.next_listing(s, d))
 
 
+@add("s07_refresh_summaries", with_tables("next_listing", query="SELECT change, count(*) AS n FROM (SELECT CASE WHEN b.path IS NULL THEN 'removed' WHEN a.path IS NULL THEN 'new' WHEN a.size = b.size AND a.mtime_ns = b.mtime_ns AND a.doc_id % 11 <> 0 THEN 'unchanged' ELSE 'updated' END AS change FROM files a FULL JOIN next_listing b ON a.path = b.path) GROUP BY 1"))
+def _(s, d):
+    return corpus.refresh_counts(corpus.refresh_diff(D.files(s, d).withColumn("has_summary", F.col("doc_id") % 11 != 0), D.next_listing(s, d)))
+
+
 @add("s08_scoped_refresh", with_tables("next_listing", query=_DIFF.format("(SELECT * FROM files WHERE path LIKE 'fr/%')", "(SELECT * FROM next_listing WHERE path LIKE 'fr/%')")))
 def _(s, d):
     return corpus.refresh_diff(D.files(s, d), D.next_listing(s, d), "fr")
@@ -132,14 +137,15 @@ def _(s, d):
     return D.files(s, d).where(corpus.matches_globs(F.col("path"), ["fr/*7.txt", "*/src2/doc_1?.txt"])).select("path")
 
 
-@add("p03_file_listing", _FILES + "SELECT path, size FROM files ORDER BY path LIMIT 200")
+@add("p03_file_listing", with_tables("filelines", query="SELECT path, size, '.txt' AS extension, 'txt' AS language, len(ls) AS line_count FROM files JOIN filelines USING (path) ORDER BY path LIMIT 200"))
 def _(s, d):
-    return D.files(s, d).select("path", "size").orderBy("path").limit(200)
+    return corpus.listing(D.files(s, d), 200)
 
 
-@add("p05_visible_files", with_tables("next_listing", query="SELECT path FROM files WHERE path IN (SELECT path FROM next_listing)"))
+@add("p05_visible_files", with_tables("next_listing", query="SELECT path FROM (SELECT path FROM files UNION ALL SELECT path || '/ID_RSA' FROM files UNION ALL SELECT path || '/kept.py' FROM files) WHERE path IN (SELECT path FROM next_listing UNION ALL SELECT path || '/ID_RSA' FROM next_listing UNION ALL SELECT path || '/kept.py' FROM next_listing) AND NOT ends_with(path, 'ID_RSA')"))
 def _(s, d):
-    return D.files(s, d).join(D.next_listing(s, d).select("path"), "path", "left_semi").select("path")
+    named = lambda df: df.select(F.explode(F.array("path", F.concat("path", F.lit("/ID_RSA")), F.concat("path", F.lit("/kept.py")))).alias("path"))
+    return corpus.visible(named(D.files(s, d)), named(D.next_listing(s, d))).select("path")
 
 
 @add("p06_ttl", with_tables("memory_log", query=f"SELECT seq, coalesce(CASE WHEN ttl_days <> 0 THEN written_s + ttl_days * 86400 END < {AS_OF}, false) AS expired FROM memory_log"))
@@ -242,9 +248,9 @@ def _(s, d):
     return _DOC(s, d).select("doc_id", F.array_join(T.reusable_terms(T.query_terms(F.col("text"), 24)), " ").alias("terms"))
 
 
-@add("t17_slug", "SELECT url, left(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 40) AS slug FROM pages")
+@add("t17_slug", "SELECT url, left(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 40) AS slug, left(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 40) || '-' || left(sha256(url), 12) AS project_id FROM pages")
 def _(s, d):
-    return s.read.parquet(f"{d}/pages.parquet").select("url", T.slug(F.col("url")).alias("slug"))
+    return s.read.parquet(f"{d}/pages.parquet").select("url", T.slug(F.col("url")).alias("slug"), T.project_id(F.col("url"), F.col("url")).alias("project_id"))
 
 
 @add("t18_lines", with_tables("filelines", query="SELECT path, len(ls) AS n, md5(array_to_string(ls, '|')) AS h FROM filelines"))
@@ -322,15 +328,20 @@ def _(s, d):
     return extract.tree(D.files(s, d), 2)
 
 
+@add("x12_tree_below", _FILES.rstrip() + ", p AS (SELECT string_split(path, '/')[2:] AS p FROM files WHERE starts_with(path, 'fr/')) SELECT * FROM (SELECT DISTINCT 'fr/' || array_to_string(p[1:d], '/') AS path, d AS depth, d < len(p) AS is_dir FROM (SELECT p, unnest([1, 2]) AS d FROM p) WHERE d <= len(p)) ORDER BY string_split(path, '/') LIMIT 60")
+def _(s, d):
+    return extract.tree(D.files(s, d), 2, "fr", 60)
+
+
 @add("x13_facts", "WITH f AS (SELECT url AS path FROM pages UNION ALL SELECT CASE doc_id % 3 WHEN 0 THEN 'README.md' WHEN 1 THEN 'tests/a.PY' ELSE 'x/plain' END FROM documents), w AS (SELECT count(*) AS file_count, bool_or(regexp_matches(path, '^tests?/')) AS has_tests, bool_or(path IN ('README.md', 'README.rst', 'README.txt')) AS has_readme FROM f) SELECT * FROM (SELECT coalesce(nullif(lower(regexp_extract(path, '[^./](\\.[^./]+)$', 1)), ''), '[none]') AS extension, count(*) AS n FROM f GROUP BY 1 ORDER BY n DESC, extension LIMIT 8), w")
 def _(s, d):
     pages = s.read.parquet(f"{d}/pages.parquet").select(F.col("url").alias("path"))
     return extract.facts(pages.unionByName(_DOC(s, d).selectExpr("case doc_id % 3 when 0 then 'README.md' when 1 then 'tests/a.PY' else 'x/plain' end as path")))
 
 
-@add("x14_search_document", _FILES + "SELECT path, path || ' ' || string_split(path, '/')[-1] || ' ' || regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') || ' ' || array_to_string(string_split_regex(path, '[/._-]+'), ' ') AS path_text, sha256(content) AS sha256 FROM files")
+@add("x14_search_document", _FILES + "SELECT path, path || ' ' || string_split(path, '/')[-1] || ' ' || regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') || ' ' || array_to_string(string_split_regex(path, '[/._-]+'), ' ') AS path_text, md5(content) AS content, 'txt' AS language, sha256(content) AS sha256, mtime_ns FROM files")
 def _(s, d):
-    return extract.search_documents(D.files(s, d))
+    return extract.search_documents(D.files(s, d)).withColumn("content", F.md5("content"))
 
 
 # R ------------------------------------------------------------------------------
@@ -475,6 +486,18 @@ def _(s, d):
     return memory.expired(D.memory_log(s, d), F.timestamp_seconds(F.lit(AS_OF))).select("seq")
 
 
+@add("m06_missing_metadata", with_tables("memory_log", query="SELECT seq, unnest(list_filter([CASE WHEN seq % 3 = 0 THEN 'missing_source' END, CASE WHEN seq % 4 = 0 THEN 'missing_confidence' END, CASE WHEN seq % 5 = 0 THEN 'missing_created_at' END], lambda x: x IS NOT NULL)) AS issue FROM memory_log"))
+def _(s, d):
+    rows = D.memory_log(s, d).selectExpr("seq", "if(seq % 3 = 0, '', 'cli') as source", "if(seq % 4 = 0, null, confidence) as confidence", "if(seq % 5 = 0, null, written_at) as created_at", "written_at as updated_at")
+    return memory.missing_metadata(rows)
+
+
+@add("m07_path_issues", with_tables("memory_log", "files", query="SELECT seq::VARCHAR AS key, path, CASE WHEN starts_with(path, '../') THEN 'unsafe_path' ELSE 'stale_path' END AS issue FROM (SELECT seq, unnest(['en/src1/doc_' || (seq // 1000) || '.txt', CASE WHEN seq % 2 = 0 THEN '../x' ELSE 'gone' END]) AS path FROM memory_log) WHERE path NOT IN (SELECT path FROM files)"))
+def _(s, d):
+    paths = F.array(F.concat(F.lit("en/src1/doc_"), F.expr("seq div 1000"), F.lit(".txt")), F.when(F.col("seq") % 2 == 0, "../x").otherwise("gone"))
+    return memory.path_issues(D.memory_log(s, d).select(F.col("seq").cast("string").alias("key"), paths.alias("file_paths")), D.files(s, d))
+
+
 @add("m07_stale_paths", with_tables("memory_log", "files", query="SELECT seq::VARCHAR AS key, 'en/src1/doc_' || (seq // 1000) || '.txt' AS path FROM memory_log WHERE 'en/src1/doc_' || (seq // 1000) || '.txt' NOT IN (SELECT path FROM files)"))
 def _(s, d):
     facts = D.memory_log(s, d).select(F.col("seq").cast("string").alias("key"), F.array(F.concat(F.lit("en/src1/doc_"), F.expr("seq div 1000"), F.lit(".txt"))).alias("file_paths"))
@@ -494,6 +517,12 @@ def _(s, d):
     return D.references(s, d).groupBy(memory.storage(F.col("size_bytes")).alias("storage")).agg(F.count("*").alias("n"))
 
 
+@add("e02_split", with_tables("refs", query="SELECT reference_id, 'inline' AS storage, body IS NOT NULL AS has_body FROM refs WHERE size_bytes <= 4000 UNION ALL SELECT reference_id, 'file', false FROM refs WHERE size_bytes > 4000 UNION ALL SELECT reference_id, 'body', true FROM refs WHERE size_bytes > 4000"))
+def _(s, d):
+    rows, bodies = memory.split_bodies(D.references(s, d), 4000)
+    return rows.select("reference_id", "storage", F.col("body").isNotNull().alias("has_body")).unionByName(bodies.select("reference_id", F.lit("body").alias("storage"), F.col("body").isNotNull().alias("has_body")))
+
+
 @add("e03_e04_reference_list", with_tables("refs", query=f"SELECT reference_id, {_STATUS} AS status FROM refs ORDER BY created_seq DESC LIMIT 100"))
 def _(s, d):
     return memory.newest(D.references(s, d), 100).select("reference_id", "status")
@@ -529,6 +558,17 @@ def _(s, d):
     return entries.prune(D.entries(s, d)).select("key")
 
 
+@add("k02_stats_with_counters", with_tables("entries", "event_log", ctes={"sn": "SELECT coalesce(namespace, 'unknown') AS namespace, count(*) AS entries, list(key ORDER BY key)[1:5] AS ks FROM entries GROUP BY 1", "cn": "SELECT cache_namespace AS namespace, count(*) FILTER (cache_hit) AS hits, count(*) FILTER (NOT cache_hit) AS misses FROM event_log GROUP BY 1"}, query="SELECT coalesce(sn.namespace, cn.namespace) AS namespace, coalesce(entries, 0) AS entries, array_to_string(coalesce(ks, []), ' ') AS sample_keys, coalesce(hits, 0) AS hits, coalesce(misses, 0) AS misses FROM sn FULL JOIN cn ON sn.namespace = cn.namespace"))
+def _(s, d):
+    rows = entries.stats_with_counters(D.entries(s, d), metrics.by_namespace(D.event_log(s, d)))
+    return rows.select("namespace", "entries", F.array_join("sample_keys", " ").alias("sample_keys"), "hits", "misses")
+
+
+@add("k03_prune_counts", _k("SELECT CASE WHEN status = 'active' AND age_days <= 30 THEN 'kept' WHEN status <> 'active' THEN status ELSE 'too_old' END AS outcome, count(*) AS n FROM st GROUP BY 1"))
+def _(s, d):
+    return entries.prune_counts(D.entries(s, d))
+
+
 @add("k04_lookup", _k("SELECT w.key, coalesce(status = 'active', false) AS hit, CASE WHEN status IS NULL THEN 'absent' WHEN status = 'active' THEN 'hit' ELSE reason END AS reason FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'none:' || doc_id ELSE 'cache:' || lang || ':' || doc_id END AS key FROM documents) w LEFT JOIN st ON w.key = st.key"))
 def _(s, d):
     return entries.lookup(_DOC(s, d).select(F.expr("if(doc_id % 3 = 0, 'none:' || doc_id, 'cache:' || lang || ':' || doc_id)").alias("key")), D.entries(s, d))
@@ -571,7 +611,7 @@ def _(s, d):
 
 
 # A ------------------------------------------------------------------------------
-_SUMS = "count(*) AS n, sum(greatest(output_tokens, 0))::BIGINT AS output_tokens, sum(greatest(saved_tokens, 0))::BIGINT AS saved_tokens, sum(greatest(candidates, 0))::BIGINT AS candidates, sum(greatest(selected, 0))::BIGINT AS selected, count(*) FILTER (cache_hit) AS hits, count(*) FILTER (NOT cache_hit) AS misses"
+_SUMS = "count(*) AS n, " + ", ".join(f"sum(greatest({c}, 0))::BIGINT AS {c}" for c in metrics.MEASURES) + ", count(*) FILTER (cache_hit) AS hits, count(*) FILTER (NOT cache_hit) AS misses"
 
 
 def _a(q):
@@ -579,7 +619,7 @@ def _a(q):
 
 
 def _by_sql(key):
-    return _a(f"SELECT *, round(total_ms / n, 3) AS avg_ms, round(candidates / greatest(selected, 1), 4) AS candidates_per_selected FROM (SELECT {key}, {_SUMS}, CAST(round(sum(CAST(elapsed_ms AS DECIMAL(18,6))), 3) AS DOUBLE) AS total_ms, min(elapsed_ms) AS min_ms, max(elapsed_ms) AS max_ms, arg_max(elapsed_ms, event_id) AS last_ms FROM event_log WHERE {key} <> '' GROUP BY 1)")
+    return _a(f"SELECT *, round(total_ms / n, 3) AS avg_ms, round(candidates / greatest(selected, 1), 4) AS candidates_per_selected, coalesce(round(output_tokens / nullif(baseline_tokens, 0), 4), 0) AS compression FROM (SELECT {key}, {_SUMS}, CAST(round(sum(CAST(elapsed_ms AS DECIMAL(18,6))), 3) AS DOUBLE) AS total_ms, min(elapsed_ms) AS min_ms, max(elapsed_ms) AS max_ms, arg_max(elapsed_ms, event_id) AS last_ms FROM event_log WHERE {key} <> '' GROUP BY 1)")
 
 
 @add("a01_totals", _a(f"SELECT {_SUMS} FROM event_log"))
@@ -626,7 +666,7 @@ _PACK, _WARM, _SPACES = "purchase", "signup", {"search_term": "ns0", "file_summa
 
 
 def _values(s, d):
-    log = D.event_log(s, d).withColumns({"index_refresh_ms": F.col("elapsed_ms") / 4, "snippet_batch_ms": F.col("elapsed_ms") * 8, "memory": F.col("candidates") % 2 == 1, "deferred_bytes": F.col("candidates") * 100})
+    log = D.event_log(s, d).withColumns({"index_refresh_ms": F.col("elapsed_ms") / 4, "snippet_batch_ms": F.col("elapsed_ms") * 8, "memory": F.col("candidates") % 2 == 1})
     return metrics.kpi_values(log, _PACK, _WARM, _SPACES)
 
 
@@ -950,6 +990,28 @@ def _(s, d):
     return lookup.skill_rows(log, F.timestamp_seconds(F.lit(AS_OF))).select("seq", "namespace")
 
 
+_SKILLS = {
+    "sk": "SELECT seq AS skill_id, 'skills/' || namespace AS namespace, key, value, confidence FROM memory_log WHERE seq % 50 = 0",
+    "rq": f"SELECT item_id AS request_id, lower(text) AS prompt, {_terms('text', 8)} AS ts FROM benchmark",
+    "m": "SELECT *, lower(namespace || ' ' || key || ' ' || value) AS h FROM sk",
+    "x": f"SELECT request_id, skill_id, list_sum(list_transform(ts, lambda t: CASE WHEN contains(h, t) THEN 3.0 ELSE 0 END + CASE WHEN contains(key, t) THEN 2.0 ELSE 0 END)) + CASE WHEN contains(h, 'coding') THEN 2.0 ELSE 0 END + 0.5 * len(list_filter({_terms('h', 24)}, lambda t: contains(prompt, t))) + least(confidence, 1.0) AS score FROM m, rq",
+}
+
+
+@add("m12_skill_ranking", with_tables("memory_log", ctes=_SKILLS, query="SELECT request_id, skill_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, skill_id) AS rank, round(CAST(score AS DOUBLE), 4) AS score FROM x WHERE score > 1.0 QUALIFY rank <= 3"))
+def _(s, d):
+    skills = D.memory_log(s, d).where("seq % 50 = 0").select(F.col("seq").alias("skill_id"), F.concat(F.lit("skills/"), "namespace").alias("namespace"), "key", "value", "confidence")
+    return lookup.rank_skills(skills, D.requests(s, d).withColumn("route", F.lit("coding")), 3)
+
+
+_DEFAULTS = "(VALUES " + ", ".join(f"('{r}', '{t}', {k})" for k, (r, t) in enumerate((r, t) for r in learn.WARM_ROUTES for t in learn.DEFAULT_SEEDS[r])) + ") AS v(route, term, k)"
+
+
+@add("u05_seed_plan", _u(", sd AS (SELECT route, row_number() OVER (PARTITION BY route ORDER BY near, selections DESC, results DESC, last_seq DESC, term) AS rank, term FROM (SELECT ts.*, CASE WHEN path_scope = 'src' THEN 0 WHEN starts_with('src', path_scope || '/') THEN 1 WHEN path_scope = '.' THEN 2 ELSE 3 END AS near FROM ts WHERE results > 0 AND route <> '' AND NOT EXISTS (SELECT 1 FROM ng WHERE ng.term = ts.term AND ng.route = ts.route AND (ng.path_scope = '.' OR ng.path_scope = ts.path_scope OR starts_with(ts.path_scope, ng.path_scope || '/')))) QUALIFY rank <= 8), ro AS (SELECT unnest(" + _list(learn.WARM_ROUTES) + ") AS route, generate_subscripts(" + _list(learn.WARM_ROUTES) + ", 1) AS o), u AS (SELECT term, sd.route, 'route_seed' AS source, 0 AS k, o, rank FROM sd JOIN ro USING (route) UNION ALL SELECT term, v.route, 'default_seed', 1, o, k FROM " + _DEFAULTS + " JOIN ro USING (route) WHERE NOT list_contains(" + _list(T.GENERIC_TERMS) + ", term) AND NOT EXISTS (SELECT 1 FROM ng WHERE ng.term = v.term AND ng.route = v.route AND ng.path_scope IN ('.', 'src'))), f AS (SELECT term, min({'k': k, 'o': o, 'r': rank, 'route': route, 'source': source}) AS m FROM u GROUP BY 1) SELECT term, m.route AS route, m.source AS source, row_number() OVER (ORDER BY m) AS place FROM f QUALIFY place <= 20").replace(") , sd", "), sd"))
+def _(s, d):
+    return learn.seed_plan(D.usage_log(s, d), "src", 20)
+
+
 @add("k05_miss_reason", with_tables("entries", query=", m AS (SELECT doc_id, 'ns' || (doc_id % 5) AS namespace, doc_id % 4 AS schema_version, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'sig' || (doc_id % 3) END AS signature, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 8 = 0 THEN 'gone' ELSE lang END AS path FROM documents) SELECT doc_id, CASE WHEN NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace) THEN 'no_compatible_entry' WHEN NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.schema_version >= m.schema_version) THEN 'schema_version_changed' WHEN m.signature <> '' AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.signature = m.signature) THEN 'index_changed' WHEN m.path <> '' AND m.signature <> '' AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.signature = m.signature AND e.project_id = m.path) THEN 'path_changed' WHEN m.path <> '' AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.project_id = m.path) THEN 'path_changed' ELSE 'no_compatible_entry' END AS reason FROM m").replace(") , m AS", "), m AS"))
 def _(s, d):
     misses = _DOC(s, d).selectExpr("doc_id", "concat('ns', doc_id % 5) as namespace", "doc_id % 4 as schema_version", "if(doc_id % 7 = 0, '', concat('sig', doc_id % 3)) as signature", "case when doc_id % 9 = 0 then '' when doc_id % 8 = 0 then 'gone' else lang end as path")

@@ -52,7 +52,8 @@ def event_log(spark, d) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").withColumn("k", F.regexp_extract("props", r'"k": ([0-9]+)', 1).cast("long"))
     return e.select("event_id", F.concat(F.lit("p"), F.col("user_id") % 5).alias("project_id"), F.col("event_type").alias("operation"), F.expr("element_at(array('coding','review','debug','test',''), cast(k % 5 + 1 as int))").alias("route"),
                     F.col("ts").alias("recorded_at"), F.col("value").alias("elapsed_ms"), (F.col("k") % 3 == 0).alias("cache_hit"), F.concat(F.lit("ns"), F.col("k") % 4).alias("cache_namespace"), F.expr("if(k % 3 = 0, 'hit', if(k % 2 = 0, 'expired', 'miss'))").alias("cache_reason"),
-                    (F.col("k") * 10).alias("output_tokens"), (F.col("k") * 25 - 300).alias("saved_tokens"), F.col("k").alias("candidates"), (F.col("k") % 6).alias("selected"), (F.col("k") % 2 == 0).alias("manual"))
+                    (F.col("k") * 10).alias("output_tokens"), (F.col("k") * 25 - 300).alias("saved_tokens"), F.col("k").alias("candidates"), (F.col("k") % 6).alias("selected"), (F.col("k") % 2 == 0).alias("manual"),
+                    (F.col("k") * 30).alias("baseline_tokens"), (F.col("k") * 40).alias("raw_chars"), (F.col("k") * 16 - 50).alias("selected_chars"), (F.col("k") % 4).alias("calls_saved"), (F.col("k") * 100).alias("deferred_bytes"), (F.col("k") % 9).alias("results"), (F.col("k") % 8 - 1).alias("omitted"))
 
 
 def memory_log(spark, d) -> DataFrame:
@@ -88,7 +89,7 @@ SQL = {
     "requests": "SELECT item_id AS request_id, text AS prompt FROM benchmark",
     "lookups": "SELECT item_id AS request_id, coalesce(CASE WHEN item_id % 2 = 0 THEN upper(path) END, text) AS prompt FROM benchmark LEFT JOIN files ON doc_id = item_id",
     "ev0": """SELECT *, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k FROM events""",
-    "event_log": "SELECT event_id, 'p' || (user_id % 5) AS project_id, event_type AS operation, (['coding','review','debug','test',''])[k % 5 + 1] AS route, ts AS recorded_at, value AS elapsed_ms, k % 3 = 0 AS cache_hit, 'ns' || (k % 4) AS cache_namespace, CASE WHEN k % 3 = 0 THEN 'hit' WHEN k % 2 = 0 THEN 'expired' ELSE 'miss' END AS cache_reason, k * 10 AS output_tokens, k * 25 - 300 AS saved_tokens, k AS candidates, k % 6 AS selected, k % 2 = 0 AS manual FROM ev0",
+    "event_log": "SELECT event_id, 'p' || (user_id % 5) AS project_id, event_type AS operation, (['coding','review','debug','test',''])[k % 5 + 1] AS route, ts AS recorded_at, value AS elapsed_ms, k % 3 = 0 AS cache_hit, 'ns' || (k % 4) AS cache_namespace, CASE WHEN k % 3 = 0 THEN 'hit' WHEN k % 2 = 0 THEN 'expired' ELSE 'miss' END AS cache_reason, k * 10 AS output_tokens, k * 25 - 300 AS saved_tokens, k AS candidates, k % 6 AS selected, k % 2 = 0 AS manual, k * 30 AS baseline_tokens, k * 40 AS raw_chars, k * 16 - 50 AS selected_chars, k % 4 AS calls_saved, k * 100 AS deferred_bytes, k % 9 AS results, k % 8 - 1 AS omitted FROM ev0",
     "memory_log": "SELECT conv_id * 1000 + turn AS seq, 'ns' || (conv_id % 7) AS namespace, 't' || turn AS key, text AS value, ((conv_id * 7 + turn * 3) % 10) / 10.0 AS confidence, CASE WHEN role = 'user' THEN 'human' ELSE 'llm' END AS decided_by, conv_id % 5 - 1 AS ttl_days, 1704067200 + conv_id * 60 + turn AS written_s FROM conversations",
     "usage_log": "SELECT event_id AS seq, 'term' || (candidates % 20) AS term, route, (['.', 'src', 'src/auth'])[candidates % 3 + 1] AS path_scope, CASE WHEN candidates % 4 = 0 THEN 0 ELSE candidates END AS result_count, CASE WHEN candidates % 4 = 1 THEN selected ELSE 0 END AS selected_count, cache_hit, true AS selection_observed FROM event_log",
     "entries": "SELECT 'cache:' || lang || ':' || doc_id AS key, CASE WHEN doc_id % 11 <> 0 THEN 'ns' || (doc_id % 4) END AS namespace, CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 2 END AS schema_version, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'sig' || (doc_id % 2) END AS signature, doc_id % 13 = 0 AS invalidated, doc_id % 50 - 20 AS ttl_left_days, doc_id % 60 AS age_days, lang AS project_id FROM documents",

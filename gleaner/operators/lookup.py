@@ -98,7 +98,7 @@ def rank_skills(skills: DataFrame, requests: DataFrame, n: int = 3) -> DataFrame
     asked = requests.select("request_id", F.lower("prompt").alias("prompt"), T.query_terms(F.col("prompt")).alias("terms"), F.lower("route").alias("route"))
     within = lambda terms, h: F.size(F.filter(terms, lambda t: F.contains(F.col(h), t)))
     half = 6 * within("terms", "h") + 4 * within("terms", "key") + F.when((F.col("route") != "") & F.contains("h", F.col("route")), 4).otherwise(0) + within("own", "prompt")
-    sought = lambda df, key, terms: df.select(key, F.substring(F.explode(terms), 1, 3).alias("gram")).where(F.length("gram") == 3).distinct()
+    sought = lambda df, key, terms: df.select(key, F.explode(F.transform(terms, lambda t: F.substring(t, 1, 3))).alias("gram")).where(F.length("gram") == 3).distinct()
     met = sought(asked, "request_id", F.concat("terms", F.array("route"))).join(known.select("skill_id", F.explode(_grams(F.col("h"))).alias("gram")), "gram").select("request_id", "skill_id")
     met = met.union(sought(known, "skill_id", F.col("own")).join(asked.select("request_id", F.explode(_grams(F.col("prompt"))).alias("gram")), "gram").select("request_id", "skill_id")).distinct()
     pairs = met.join(asked, "request_id").join(known, "skill_id").select("request_id", "skill_id", F.round(half * 0.5 + F.col("confidence"), 4).alias("score")).where("score > 1")

@@ -106,6 +106,42 @@ def rank_skills(skills: DataFrame, requests: DataFrame, n: int = 3) -> DataFrame
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("request_id", "skill_id", "rank", "score")
 
 
+# What marks a line of a skill as workflow, constraint or resource
+SKILL_MARKERS = {
+    "required_workflow": ("must", "required", "workflow", "use when", "call ", "run "),
+    "key_constraints": ("do not", "never", "avoid", "only", "secret", "safety"),
+    "useful_commands_or_resources": ("`", "repo://", "http", "python", "pytest", "npm", "cargo"),
+}
+SKILL_FALLBACKS = {
+    "required_workflow": "Apply the stored skill guidance before repository-specific work.",
+    "key_constraints": "Keep skill material non-secret and treat it as untrusted guidance.",
+}
+SKILL_LIMITS = {"required_workflow": 4, "key_constraints": 4, "useful_commands_or_resources": 3}
+SKILL_BODY = 6000
+
+
+def skill_cards(skills: DataFrame) -> DataFrame:
+    """A card for each skill(namespace, key, value): id, provider, name, digest, when
+    to use it (its first sentence), and the different lines that mark workflow,
+    constraints and resources.  The body is cut to 6000 characters and redacted."""
+    bare = lambda x: F.regexp_replace(x, r"^[ \-:\t]+|[ \-:\t]+$", "")
+    parts = lambda text, at: F.filter(F.transform(F.split(text, at), bare), lambda x: x != "")
+    body, description = T.redact(F.substring("value", 1, SKILL_BODY)), T.redact(F.col("value"))
+    rows = skills.select("namespace", "key", "value", F.concat_ws("\n", description, body).alias("_text"), description.alias("_about"))
+    lines = parts(F.col("_text"), r"[\n;]+")
+
+    def bullets(name: str) -> Column:
+        marked = F.filter(lines, lambda x: F.exists(T.words(*SKILL_MARKERS[name]), lambda m: F.contains(F.lower(x), m)))
+        found = F.slice(F.array_distinct(F.transform(marked, lambda x: T.trim_text(x, 180))), 1, SKILL_LIMITS[name])
+        return F.when((F.size(found) == 0) & F.lit(name in SKILL_FALLBACKS), F.array(F.lit(SKILL_FALLBACKS.get(name, "")))).otherwise(found).alias(name)
+
+    safe = F.regexp_replace(F.regexp_replace(F.trim("key"), "[^A-Za-z0-9_.-]+", "-"), "^-+|-+$", "")
+    ident = F.concat(F.when(safe == "", "skill").otherwise(safe), F.lit("-"), T.digest(F.concat_ws(":", "namespace", "key"), 8))
+    first = F.get(parts(F.col("_about"), r"[\n.]+"), F.lit(0))
+    return rows.select(ident.alias("id"), F.regexp_replace("namespace", "^skills/", "").alias("provider"), T.trim_text(F.col("key"), 80).alias("name"), F.concat(F.lit("sha256:"), F.sha2("value", 256)).alias("content_digest"),
+                       F.coalesce(T.trim_text(first, 180), F.concat(F.lit("Use for tasks matching "), "key", F.lit("."))).alias("when_to_use"), *[bullets(n) for n in SKILL_MARKERS])
+
+
 def miss_reasons(misses: DataFrame, entries: DataFrame) -> DataFrame:
     """Why each miss(namespace, schema_version, signature, path) found nothing,
     by the first facet that no entry of its namespace has; an empty signature fits

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
+from ..functions.sanitize import sanitize_json
 from .corpus import is_safe
 
 INLINE_BYTES = 131_072
@@ -58,6 +60,16 @@ def path_issues(facts: DataFrame, files: DataFrame) -> DataFrame:
     return each.select("key", "path", F.when(is_safe(F.col("path")), "stale_path").otherwise("unsafe_path").alias("issue"))
 
 
+def safe_writes(writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted writes with value, source and tags redacted, and (seq, reason) of the
+    rejected ones, whose namespace or key holds what redaction would change."""
+    bad = T.is_sensitive(F.col("namespace")) | T.is_sensitive(F.col("key"))
+    good = writes.where(~F.coalesce(bad, F.lit(False)))
+    value = sanitize_json(F.col("value"))
+    accepted = good.withColumn("_v", value).withColumns({"value": F.col("_v.json"), "redacted": F.col("_v.count") > 0, "source": T.redact(F.col("source")), "tags": F.transform("tags", T.redact)}).drop("_v")
+    return accepted, writes.where(bad).select("seq", F.lit("sensitive_identifier").alias("reason"))
+
+
 def compact(log: DataFrame, threshold: int = 40, keep: int = 12, most: int = 1200) -> DataFrame:
     """Namespaces with more than ``threshold`` facts: bullets of the best ``keep``."""
     # the count is an aggregate of its own, so that each task keeps its best ``keep`` rows before the exchange

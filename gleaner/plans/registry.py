@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.sanitize import sanitize_json
 from ..operators import corpus, entries, evidence, extract, learn, lookup, memory, metrics, pack, projects, retrieve
 from ..sources import derived as D
 from ..sources.derived import with_tables
@@ -1012,6 +1013,39 @@ def _(s, d):
     return learn.seed_plan(D.usage_log(s, d), "src", 20)
 
 
+_CARD_TEXT = "m.value || chr(10) || '- Must call helper; never skip tests; run `pytest` on http://x; plain line'"
+
+
+def _bullets_sql(name: str) -> str:
+    marks = _list(lookup.SKILL_MARKERS[name])
+    trimmed = _TRIM.format("x", 180, 165)
+    lines = "list_filter(list_transform(string_split_regex(t, '[\\n;]+'), lambda x: regexp_replace(x, '^[ \\-:\\t]+|[ \\-:\\t]+$', '', 'g')), lambda x: x <> '')"
+    return f"list_transform(list_filter({lines}, lambda x: len(list_filter({marks}, lambda k: contains(lower(x), k))) > 0), lambda x: {trimmed})"
+
+
+@add("m13_skill_cards", with_tables("memory_log", ctes={
+    "m0": "SELECT 'skills/' || namespace AS namespace, key || ' #' || seq AS key, " + _CARD_TEXT + " AS value FROM memory_log m WHERE seq % 20 = 0", "m1": "SELECT namespace, key, value, " + _redacted("value") + " AS about, " + _redacted("left(value, 6000)") + " AS body FROM m0", "m2": "SELECT *, about || chr(10) || body AS t FROM m1", "m3": "SELECT *, " + ", ".join(f"{_bullets_sql(n)} AS l{k}" for k, n in enumerate(lookup.SKILL_MARKERS)) + " FROM m2",
+}, query="SELECT regexp_replace(regexp_replace(trim(key), '[^A-Za-z0-9_.-]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || left(sha256(namespace || ':' || key), 8) AS id, namespace[8:] AS provider, 'sha256:' || sha256(value) AS content_digest, (list_transform(list_filter(list_transform(string_split_regex(about, '[\\n.]+'), lambda x: regexp_replace(x, '^[ \\-:\\t]+|[ \\-:\\t]+$', '', 'g')), lambda x: x <> ''), lambda x: " + _TRIM.format("x", 180, 165) + "))[1] AS when_to_use, " + ", ".join(f"array_to_string(({_FIRST.format(f'l{k}')})[1:{lookup.SKILL_LIMITS[n]}], '|') AS {n}" for k, n in enumerate(lookup.SKILL_MARKERS)) + " FROM m3"))
+def _(s, d):
+    log = D.memory_log(s, d).where("seq % 20 = 0")
+    value = F.concat("value", F.lit("\n- Must call helper; never skip tests; run `pytest` on http://x; plain line"))
+    cards = lookup.skill_cards(log.select(F.concat(F.lit("skills/"), "namespace").alias("namespace"), F.concat("key", F.lit(" #"), "seq").alias("key"), value.alias("value")))
+    return cards.select("id", "provider", "content_digest", "when_to_use", *[F.array_join(n, "|").alias(n) for n in lookup.SKILL_MARKERS])
+
+
+@add("t07_sanitized_json", "SELECT doc_id, md5(" + _redacted("text") + ") AS h, CASE WHEN " + _redacted("text") + " <> text THEN 2 ELSE 0 END AS n FROM documents")
+def _(s, d):
+    made = _DOC(s, d).select("doc_id", sanitize_json(F.to_json(F.struct("doc_id", F.struct(F.array("text").alias("list")).alias("deep"), "text"))).alias("j"))
+    return made.select("doc_id", F.md5(F.get_json_object("j.json", "$.text")).alias("h"), F.col("j.count").alias("n"))
+
+
+@add("m10_safe_writes", with_tables("memory_log", query="SELECT seq, CASE WHEN seq % 7 = 0 THEN 'sensitive_identifier' END AS reason, CASE WHEN seq % 7 <> 0 THEN md5(CASE WHEN seq % 5 = 0 THEN 'see [REDACTED_SECRET_1] there' ELSE 'plain ' || key END) END AS h, CASE WHEN seq % 7 <> 0 THEN seq % 5 = 0 END AS redacted FROM memory_log"))
+def _(s, d):
+    rows = D.memory_log(s, d).selectExpr("seq", "namespace", "if(seq % 7 = 0, concat('api_key=', key, 'secret'), key) as key", "if(seq % 5 = 0, 'see password=hunter2 there', concat('plain ', key)) as value", "'cli' as source", "array('a') as tags")
+    accepted, rejected = memory.safe_writes(rows)
+    return accepted.select("seq", F.lit(None).cast("string").alias("reason"), F.md5("value").alias("h"), "redacted").unionByName(rejected.select("seq", "reason", F.lit(None).cast("string").alias("h"), F.lit(None).cast("boolean").alias("redacted")))
+
+
 @add("k05_miss_reason", with_tables("entries", query=", m AS (SELECT doc_id, 'ns' || (doc_id % 5) AS namespace, doc_id % 4 AS schema_version, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'sig' || (doc_id % 3) END AS signature, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 8 = 0 THEN 'gone' ELSE lang END AS path FROM documents) SELECT doc_id, CASE WHEN NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace) THEN 'no_compatible_entry' WHEN NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.schema_version >= m.schema_version) THEN 'schema_version_changed' WHEN m.signature <> '' AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.signature = m.signature) THEN 'index_changed' WHEN m.path <> '' AND m.signature <> '' AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.signature = m.signature AND e.project_id = m.path) THEN 'path_changed' WHEN m.path <> '' AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.project_id = m.path) THEN 'path_changed' ELSE 'no_compatible_entry' END AS reason FROM m").replace(") , m AS", "), m AS"))
 def _(s, d):
     misses = _DOC(s, d).selectExpr("doc_id", "concat('ns', doc_id % 5) as namespace", "doc_id % 4 as schema_version", "if(doc_id % 7 = 0, '', concat('sig', doc_id % 3)) as signature", "case when doc_id % 9 = 0 then '' when doc_id % 8 = 0 then 'gone' else lang end as path")

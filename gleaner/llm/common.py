@@ -74,6 +74,18 @@ def worker_cache(tenant: str) -> dict:
     return held.kept
 
 
+#: Rows of an Arrow batch where the session leaves Spark's default of 10 000: that many
+#: long texts take tens of megabytes on both sides of each task's pipe.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower Spark's rows a batch for Python, unless the session has set them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_texts(df: DataFrame, function, schema: str, rows: int = 500) -> DataFrame:
     """``function`` over ``df`` as an iterator of small pandas tables.  Batches stay in
     Arrow's form; only ``rows`` rows at a time become Python objects, so that a worker
@@ -82,6 +94,7 @@ def map_texts(df: DataFrame, function, schema: str, rows: int = 500) -> DataFram
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches):
@@ -98,6 +111,7 @@ def with_scores(docs: DataFrame, function, column: str, rows: int = 500) -> Data
     import pyarrow as pa
     from pyspark.sql import types as T
 
+    small_batches(docs.sparkSession)
     docs = docs.drop(column)
 
     def run(batches):

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions.sanitize import sanitize_json
 from .corpus import is_safe
+from .stage import kept
 
 INLINE_BYTES = 131_072
 
@@ -20,8 +21,15 @@ def latest(log: DataFrame, *keys: str) -> DataFrame:
 
 
 def numbered_decisions(log: DataFrame) -> DataFrame:
-    """Decisions with their arrival number in their namespace."""
-    return log.withColumn("decision_no", F.row_number().over(Window.partitionBy("namespace").orderBy("seq")))
+    """(seq, namespace, decision_no): decisions with their arrival number in their
+    namespace.  Ranges of (namespace, seq) are sorted and numbered where they are, then
+    moved up by what the namespace has in the ranges before: no task holds a namespace."""
+    ranged = log.select("namespace", "seq").repartitionByRange("namespace", "seq").sortWithinPartitions("namespace", "seq")
+    rows = kept(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    spans = rows.groupBy("namespace", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    so_far = F.coalesce(F.sum("_n").over(Window.partitionBy("namespace").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select("namespace", "_part", "_first", so_far.alias("_before"))
+    return rows.join(spans, ["namespace", "_part"]).select("seq", "namespace", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("decision_no"))
 
 
 def live(log: DataFrame, as_of: Column, most: int) -> DataFrame:

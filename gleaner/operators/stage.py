@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the session's checkpoint folder."""
+    _checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-gleaner-"))
 
 
 def kept(df: DataFrame, name: str = "") -> DataFrame:
     """``df`` written to the session's checkpoint folder, which all executors share, and
     read from there; a temporary folder only where the session names none (tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-gleaner-"))
+    _checkpoints(df.sparkSession)
     return df.checkpoint()

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.sanitize import sanitize_json
-from ..operators import corpus, entries, evidence, extract, learn, lookup, memory, metrics, pack, projects, retrieve
+from ..operators import corpus, entries, evidence, extract, learn, lookup, memory, metrics, pack, projects, retrieve, stage
 from ..sources import derived as D
 from ..sources.derived import with_tables
+from ..streaming import streams
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -472,6 +473,35 @@ def _(s, d):
     return memory.numbered_decisions(D.memory_log(s, d)).select("seq", "namespace", "decision_no")
 
 
+def _streamed(s, path):
+    """A table, a file or a folder of files, as a stream, a file at a time.  (As a
+    pattern, since a stream takes a plain path for a folder.)"""
+    return s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+@add("w01_event_stream", with_tables("event_log", query="SELECT operation, count(*) AS n, sum(k)::BIGINT AS total FROM (SELECT operation, candidates AS k FROM event_log) GROUP BY 1"))
+def _(s, d):
+    path, mark = stage.folder(s, "stream-log"), stage.folder(s, "stream-mark")
+    events = _streamed(s, f"{d}/events.parquet").select("event_id", F.col("event_type").alias("operation"), F.regexp_extract("props", r'"k": ([0-9]+)', 1).cast("long").alias("k"))
+    streams.append_events(events.union(events), path, mark).awaitTermination()  # each event comes twice
+    return streams.read_log(s, path).groupBy("operation").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+
+
+@add("w02_corpus_stream", with_tables("filelines", ctes={"e": "SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM filelines", "t": f"SELECT path, i, unnest({_TOKENS.format('line')}) AS term FROM e", "u": f"SELECT path, 1 AS i, unnest({_TOKENS.format('path')}) AS term FROM files"}, query="SELECT path, count(DISTINCT term) AS terms, count(*) AS tf FROM (SELECT path, term FROM t UNION ALL SELECT path, term FROM u) GROUP BY 1"))
+def _(s, d):
+    path, mark = stage.folder(s, "stream-postings"), stage.folder(s, "stream-mark")
+    docs = _streamed(s, f"{d}/documents.parquet")
+    streams.refresh_corpus(docs.select(D.file_path().alias("path"), (F.col("doc_id") * 1000).alias("mtime_ns"), F.col("text").alias("content")), path, mark).awaitTermination()
+    return streams.last_version(s, path).groupBy("path").agg(F.count("*").alias("terms"), F.sum("tf").alias("tf"))
+
+
+@add("w03_memory_stream", with_tables("memory_log", query="SELECT namespace, key, seq, min(written_s) OVER (PARTITION BY namespace, key) AS created_s FROM memory_log QUALIFY row_number() OVER (PARTITION BY namespace, key ORDER BY seq DESC) = 1"))
+def _(s, d):
+    path, mark = stage.folder(s, "stream-memory"), stage.folder(s, "stream-mark")
+    streams.upsert_memory(D.memory_rows(_streamed(s, f"{d}/conversations.parquet")), path, mark, "namespace", "key").awaitTermination()
+    return streams.last_version(s, path).select("namespace", "key", "seq", F.unix_timestamp("created_at").alias("created_s"))
+
+
 @add("m04_memory_get", with_tables("memory_log", query=f"SELECT namespace, seq FROM memory_log WHERE ttl_days = 0 OR written_s + ttl_days * 86400 >= {AS_OF} QUALIFY row_number() OVER (PARTITION BY namespace ORDER BY seq) <= 10"))
 def _(s, d):
     return memory.live(D.memory_log(s, d), F.timestamp_seconds(F.lit(AS_OF)), 10).select("namespace", "seq")

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+def file_path():
+    return F.concat_ws("/", "lang", "source", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")))
+
+
 def files(spark, d) -> DataFrame:
     """One file for each document."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select(
-        "doc_id", F.col("lang").alias("project_id"), F.concat_ws("/", "lang", "source", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt"))).alias("path"),
+        "doc_id", F.col("lang").alias("project_id"), file_path().alias("path"),
         F.octet_length("text").cast("long").alias("size"), (F.col("doc_id") * 1000).alias("mtime_ns"), F.col("text").alias("content"))
 
 
@@ -57,7 +61,11 @@ def event_log(spark, d) -> DataFrame:
 
 
 def memory_log(spark, d) -> DataFrame:
-    c = spark.read.parquet(f"{d}/conversations.parquet")
+    return memory_rows(spark.read.parquet(f"{d}/conversations.parquet"))
+
+
+def memory_rows(c: DataFrame) -> DataFrame:
+    """Memory writes: one for each turn."""
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.concat(F.lit("ns"), F.col("conv_id") % 7).alias("namespace"), F.concat(F.lit("t"), F.col("turn")).alias("key"), F.col("text").alias("value"),
                     ((F.col("conv_id") * 7 + F.col("turn") * 3) % 10 / 10).alias("confidence"), F.expr("if(role = 'user', 'human', 'llm')").alias("decided_by"), (F.col("conv_id") % 5 - 1).alias("ttl_days"),
                     F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn")).alias("written_at"))

@@ -1,21 +1,87 @@
-"""Structured Streaming forms (W operators); each equals its batch twin."""
+"""Structured Streaming forms (W operators); each equals its batch twin.
+
+Tables that a stream keeps up to date are versions: batch ``n`` writes the folder
+``batch=n``, whole, from the version before it and its own rows.  A batch that is run
+again after a failure writes the same version again, and readers take the last one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import extract, memory
+
 
 def append_events(stream: DataFrame, log_path: str, checkpoint: str):
     """Append new events to the log, once by event_id, and stop when all
-    available input is in; aggregates are read from the log."""
-    once = stream.dropDuplicates(["event_id"])
-    return once.writeStream.format("parquet").option("path", log_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    available input is in; aggregates are read from the log.  The log itself says which
+    ids are in, so no state is kept for ever and no late event is lost."""
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates(["event_id"])
+        log = read_log(batch.sparkSession, log_path, batch_id)
+        if log is not None:
+            new = new.join(log.select("event_id"), "event_id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """The batches written under ``path``, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
+
+
+def read_log(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """What ``append_events`` has written, by batches before ``before`` if given."""
+    paths = [f"{path}/batch={n}" for n in _batches(spark, path) if before is None or n < before]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def last_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The last version of a table, or the last one before batch ``before``."""
+    found = [n for n in _batches(spark, path) if before is None or n < before]
+    return spark.read.parquet(f"{path}/batch={found[-1]}") if found else None
+
+
+def _fold(stream: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame | None, DataFrame], DataFrame]):
+    def run(batch: DataFrame, batch_id: int) -> None:
+        made = step(last_version(batch.sparkSession, path, batch_id), batch)
+        made.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def refresh_corpus(stream: DataFrame, path: str, checkpoint: str):
+    """Postings of files as they change: those of the paths in a batch are taken out
+    and made again from their last content (the greatest mtime_ns)."""
+
+    def step(current: DataFrame | None, batch: DataFrame) -> DataFrame:
+        last = batch.groupBy("path").agg(F.max(F.struct("mtime_ns", "content"))["content"].alias("content"))
+        fresh = extract.postings(last)
+        return fresh if current is None else current.join(last.select("path"), "path", "left_anti").unionByName(fresh)
+
+    return _fold(stream, path, checkpoint, step)
+
+
+def upsert_memory(stream: DataFrame, path: str, checkpoint: str, *keys: str):
+    """The last write of each key (M01), with the time of its first."""
 
+    def step(current: DataFrame | None, batch: DataFrame) -> DataFrame:
+        writes = batch.withColumn("created_at", F.col("written_at"))
+        both = writes if current is None else current.unionByName(writes)
+        first = both.groupBy(*keys).agg(F.min("created_at").alias("_first"))
+        return memory.latest(both.drop("created_at"), *keys).drop("created_at").join(first, list(keys)).withColumnRenamed("_first", "created_at")
 
-def upsert_memory(stream: DataFrame, log_path: str, checkpoint: str):
-    """Append writes to the change log; readers take the latest of each key."""
-    return stream.writeStream.format("parquet").option("path", log_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _fold(stream, path, checkpoint, step)
 
 
 def count_changes(stream: DataFrame) -> DataFrame:

@@ -137,3 +137,40 @@ def test_terms_of_whole_texts(spark, tmp_path):
     got = {q: QUERIES[q](spark, str(tmp_path)).first()["terms"].split() for q in ("t01_query_terms", "t14_reusable_terms")}
     assert got["t01_query_terms"] == ["same", "line", *[f"term{k}" for k in range(6)]]
     assert len(got["t14_reusable_terms"]) == 8
+
+
+def test_streams_equal_their_batch_twins(spark, tmp_path):
+    from gleaner.operators import memory
+
+    files = [(f"p{k % 7}", k, f"alpha beta{k}\nalpha") for k in range(20)]
+    for k in range(4):  # four files, so four batches
+        spark.createDataFrame(files[k * 5 : k * 5 + 5], "path string, mtime_ns long, content string").coalesce(1).write.parquet(str(tmp_path / f"files/{k}"))
+    stream = spark.readStream.schema("path string, mtime_ns long, content string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "files"))
+    streams.refresh_corpus(stream, str(tmp_path / "postings"), str(tmp_path / "c1")).awaitTermination()
+    last = {}
+    for p, k, c in files:
+        last[p] = c
+    want = extract.postings(spark.createDataFrame(list(last.items()), "path string, content string"))
+    row = lambda df: sorted(tuple(r) for r in df.select("path", "term", "first_line", "tf").collect())
+    assert row(streams.last_version(spark, str(tmp_path / "postings"))) == row(want)
+    writes = [(k, f"n{k % 2}", f"k{k % 3}", f"v{k}", k) for k in range(20)]
+    made = "seq long, namespace string, key string, value string, t long"
+    for k in range(4):
+        spark.createDataFrame(writes[k * 5 : k * 5 + 5], made).selectExpr("*", "timestamp_seconds(t) as written_at").coalesce(1).write.parquet(str(tmp_path / f"memory/{k}"))
+    log = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "memory"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "memory"))
+    streams.upsert_memory(stream, str(tmp_path / "latest"), str(tmp_path / "c2"), "namespace", "key").awaitTermination()
+    pick = lambda df: sorted(tuple(r) for r in df.select("namespace", "key", "value", "created_at").collect())
+    assert pick(streams.last_version(spark, str(tmp_path / "latest"))) == pick(memory.latest(log, "namespace", "key"))
+
+
+def test_redaction_of_other_scripts_and_json(spark):
+    from gleaner.functions import sanitize
+
+    assert one(spark, T.redact(F.col("x")), "password\u00a0=\u00a0hunter2") == "[REDACTED_SECRET_1]"
+    assert one(spark, F.size(T.injection_signals(F.col("x"))), "ignore\u00a0all previous") == 1
+    assert one(spark, T.trim_text(F.col("x"), 30), "a" * 10 + " \n\t" * 10) == "a" * 10 + "\n...[truncated]"
+    assert one(spark, corpus.excluded(F.col("x")), "a/ID_RSA") and one(spark, corpus.excluded(F.col("x")), ".ENV") and not one(spark, corpus.excluded(F.col("x")), "a/b.py")
+    assert sanitize.sanitized(None) == (None, 0, [])
+    assert sanitize.sanitized('{"a":["see /home/me/x",{"api_key=abc":1}],"n":2}') == ('{"a":["see [REDACTED_HOST_PATH]",{"[REDACTED_SECRET_1]":1}],"n":2}', 2, ["host_path", "secret_pattern_1"])
+    assert sanitize.sanitized("not json") == ("not json", 0, [])

@@ -65,6 +65,13 @@ def refresh_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("change").agg(F.count("*").alias("n"))
 
 
+def status(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Files, symbols and the newest change of each project."""
+    per = symbols.join(files.select("path", "project_id"), "path").groupBy("project_id").agg(F.count("*").alias("symbols"))
+    rows = files.groupBy("project_id").agg(F.count("*").alias("files"), F.max("mtime_ns").alias("newest"))
+    return rows.join(per, "project_id", "left").select("project_id", "files", F.coalesce("symbols", F.lit(0)).alias("symbols"), "newest")
+
+
 def refresh_diff(old: DataFrame, new: DataFrame, scope: str = "") -> DataFrame:
     """Each path with new, updated, unchanged or removed; rows outside
     ``scope`` (a file or folder) stay out of both sides.  A path whose ``has_summary``

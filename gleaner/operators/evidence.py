@@ -22,6 +22,20 @@ def checked_requests(raw: DataFrame) -> DataFrame:
     return raw.select("request_id", prompt.alias("prompt"), profile.alias("profile"), reason.alias("reason"))
 
 
+def validated_requests(raw: DataFrame, known: tuple[str, ...], enums: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``raw(request_id, fields)``, a map of texts, with the prompt (``task`` is another
+    name of it), each enum field in lower case (blank: its first value), and the reason of
+    a reject: fields that nobody knows, no prompt, or a value outside an enum."""
+    blank = lambda c: F.nullif(F.trim(F.try_element_at("fields", F.lit(c))), F.lit(""))
+    prompt = F.coalesce(blank("prompt"), blank("task"))
+    unknown = F.array_sort(F.array_except(F.map_keys("fields"), T.words("prompt", "task", *known, *enums)))
+    reason = F.when(F.size(unknown) > 0, F.concat(F.lit("unsupported_fields: "), F.array_join(unknown, ", "))).when(prompt.isNull(), "missing_prompt")
+    values = {f: F.lower(F.coalesce(blank(f), F.lit(allowed[0]))) for f, allowed in enums.items()}
+    for f, allowed in enums.items():
+        reason = reason.when(~values[f].isin(*allowed), f"unknown_{f}")
+    return raw.select("request_id", prompt.alias("prompt"), *[v.alias(f) for f, v in values.items()], reason.alias("reason"))
+
+
 def effective_profile(profile: Column, client: Column, default: str = "compact") -> Column:
     """The given profile, else the client's, else the default."""
     return F.coalesce(profile, F.when(client == "terminal", "minimal").when(client == "editor", "normal"), F.lit(default))
@@ -106,6 +120,14 @@ def snapshot(totals: DataFrame) -> DataFrame:
     return totals.select(T.hit_ratio(F.col("hits"), F.col("misses")).alias("hit_ratio"), F.round(F.col("saved_tokens") / n, 4).alias("avg_saved"), F.round(F.col("candidates") / F.greatest("selected", F.lit(1)), 4).alias("candidates_per_selected"))
 
 
+def pack_kpis(by_operation: DataFrame, pack: str) -> DataFrame:
+    """The averages a pack of A02's row of the pack operation, 3 places."""
+    per = lambda c: F.round(F.col(c) / F.greatest("n", F.lit(1)), 3)
+    return by_operation.where(F.col("operation") == pack).select(
+        F.col("n").alias("packs"), per("saved_tokens").alias("avg_saved"), per("baseline_tokens").alias("avg_baseline"), per("output_tokens").alias("avg_output"), "compression", per("calls_saved").alias("avg_calls_saved"), F.col("deferred_bytes").alias("bytes_deferred"),
+        per("deferred_bytes").alias("avg_bytes_deferred"), per("candidates").alias("avg_candidates"), per("selected").alias("avg_selected"), "candidates_per_selected", "avg_ms", "min_ms", "max_ms", T.hit_ratio(F.col("hits"), F.col("misses")).alias("hit_ratio"))
+
+
 def infer_project(hints: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
     """The root that holds all hinted paths of a key, else ambiguous."""
     rows = hints.join(assigned, "path").groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))

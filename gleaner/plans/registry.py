@@ -683,6 +683,11 @@ def _(s, d):
     return metrics.recent(D.event_log(s, d), 50).select("event_id", "operation", "elapsed_ms")
 
 
+@add("a08_pack_kpis", _a(f"SELECT n AS packs, round(saved_tokens / n, 3) AS avg_saved, round(baseline_tokens / n, 3) AS avg_baseline, round(output_tokens / n, 3) AS avg_output, coalesce(round(output_tokens / nullif(baseline_tokens, 0), 4), 0) AS compression, round(calls_saved / n, 3) AS avg_calls_saved, deferred_bytes AS bytes_deferred, round(deferred_bytes / n, 3) AS avg_bytes_deferred, round(candidates / n, 3) AS avg_candidates, round(selected / n, 3) AS avg_selected, round(candidates / greatest(selected, 1), 4) AS candidates_per_selected, round(total_ms / n, 3) AS avg_ms, min_ms, max_ms, round(hits / n, 4) AS hit_ratio FROM (SELECT {_SUMS}, CAST(round(sum(CAST(elapsed_ms AS DECIMAL(18,6))), 3) AS DOUBLE) AS total_ms, min(elapsed_ms) AS min_ms, max(elapsed_ms) AS max_ms FROM event_log WHERE operation = 'purchase')"))
+def _(s, d):
+    return evidence.pack_kpis(metrics.by(D.event_log(s, d), "operation"), "purchase")
+
+
 @add("a09_triggers", _a("SELECT count(*) FILTER (manual) AS manual, count(*) FILTER (NOT manual) AS auto, max(event_id) FILTER (manual) AS last_manual, arg_max(operation, event_id) AS last_operation FROM event_log"))
 def _(s, d):
     return metrics.triggers(D.event_log(s, d))
@@ -787,6 +792,29 @@ def _(s, d):
     return evidence.checked_requests(_raw(s, d))
 
 
+_ENUMS = {"output_profile": evidence.PROFILES, "diagnostics": ("summary", "none", "full"), "cache_strategy": ("stable", "fresh", "cold")}
+_CHECKED = {
+    "rf": "SELECT event_id AS request_id, CASE candidates % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE operation END AS prompt, CASE WHEN candidates % 3 = 0 THEN route END AS task, CASE candidates % 5 WHEN 0 THEN 'LEAN' WHEN 1 THEN 'odd' ELSE '' END AS output_profile, CASE WHEN candidates % 7 = 0 THEN 'All' END AS diagnostics, CASE WHEN candidates % 11 = 0 THEN ' Cold ' END AS cache_strategy, candidates % 13 = 0 AS extra FROM event_log",
+    "rn": "SELECT request_id, extra, coalesce(nullif(trim(prompt), ''), nullif(trim(task), '')) AS prompt, " + ", ".join(f"lower(coalesce(nullif(trim({f}), ''), '{v[0]}')) AS {f}" for f, v in _ENUMS.items()) + " FROM rf",
+}
+
+
+@add("s14_validated_requests", with_tables("event_log", ctes=_CHECKED, query="SELECT request_id, prompt, " + ", ".join(_ENUMS) + ", CASE WHEN extra THEN 'unsupported_fields: color, zoom' WHEN prompt IS NULL THEN 'missing_prompt' " + " ".join(f"WHEN NOT list_contains({_list(v)}, {f}) THEN 'unknown_{f}'" for f, v in _ENUMS.items()) + " END AS reason FROM rn"))
+def _(s, d):
+    fields = "map_filter(map('prompt', case candidates % 4 when 0 then null when 1 then ' ' else operation end, 'task', if(candidates % 3 = 0, route, null), 'output_profile', case candidates % 5 when 0 then 'LEAN' when 1 then 'odd' else '' end, 'diagnostics', if(candidates % 7 = 0, 'All', null), 'cache_strategy', if(candidates % 11 = 0, ' Cold ', null), 'zoom', if(candidates % 13 = 0, '1', null), 'color', if(candidates % 13 = 0, 'x', null), 'focus_paths', 'a'), (k, v) -> v is not null)"
+    return evidence.validated_requests(D.event_log(s, d).selectExpr("event_id as request_id", f"{fields} as fields"), ("changed_files", "focus_paths"), _ENUMS)
+
+
+@add("s12_status_by_kind", with_tables("filelines", ctes={
+    "sl": "SELECT project_id, path, unnest(ls) AS line FROM filelines UNION ALL SELECT project_id, path, 'class Doc_' || (doc_id % 3) || ': import' FROM files",
+    "sc": "SELECT project_id, sum(CASE WHEN regexp_matches(line, '\\bfunction\\s+([A-Za-z_][A-Za-z0-9_]*)\\s*\\(') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(line, '\\bdef\\s+([A-Za-z_][A-Za-z0-9_]*)\\s*\\(') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(line, '\\b(class|struct|interface)\\s+([A-Za-z_][A-Za-z0-9_]*)') THEN 1 ELSE 0 END)::BIGINT AS symbols FROM sl GROUP BY 1",
+}, query="SELECT f.project_id, count(*) AS files, any_value(coalesce(symbols, 0)) AS symbols, max(mtime_ns) AS newest FROM files f LEFT JOIN sc USING (project_id) GROUP BY 1"))
+def _(s, d):
+    f = D.files(s, d)
+    marked = f.withColumn("content", F.concat("content", F.lit("\nclass Doc_"), F.col("doc_id") % 3, F.lit(": import")))
+    return corpus.status(f, extract.generic_symbols(marked))
+
+
 @add("s15_profile", with_tables("event_log", query="SELECT event_id, coalesce(CASE WHEN candidates % 4 = 0 THEN 'lean' END, CASE route WHEN 'test' THEN 'minimal' WHEN 'debug' THEN 'normal' END, 'compact') AS profile FROM event_log"))
 def _(s, d):
     client = F.expr("case route when 'test' then 'terminal' when 'debug' then 'editor' end")

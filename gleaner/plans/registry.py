@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.sanitize import sanitize_json
 from ..operators import corpus, entries, evidence, extract, learn, lookup, memory, metrics, pack, projects, retrieve, stage
 from ..sources import derived as D
+from ..sources import fixtures
 from ..sources.derived import with_tables
 from ..streaming import streams
 
@@ -792,6 +793,27 @@ def _(s, d):
     return evidence.checked_requests(_raw(s, d))
 
 
+@add("s13_fixtures", "SELECT request_id, md5(prompt) AS h, n FROM (SELECT item_id AS request_id, text AS prompt, 2 AS n FROM benchmark WHERE item_id % 3 <> 0) ORDER BY request_id LIMIT 1000")
+def _(s, d):
+    path = stage.folder(s, "fixtures")
+    one = F.struct("request_id", "prompt", F.array(F.lit("a"), F.lit("b")).alias("changed_files"))
+    rows = D.requests(s, d).withColumn("request_id", F.when(F.col("request_id") % 3 != 0, F.col("request_id")))
+    # some files hold one object, some an array, one is cut short
+    single = rows.where("request_id % 2 = 0").select(F.to_json(one).alias("value"))
+    many = rows.where("request_id is null or request_id % 2 = 1").groupBy(F.xxhash64("prompt") % 4).agg(F.to_json(F.collect_list(one)).alias("value")).select("value")
+    broken = rows.limit(1).select(F.lit('[{"request_id": 1').alias("value"))
+    for k, df in enumerate((single, many, broken)):
+        df.write.option("maxRecordsPerFile", 1).text(f"{path}/{k}")
+    return fixtures.read_fixtures(s, path, "request_id long, prompt string, changed_files array<string>", "request_id", 1000).select("request_id", F.md5("prompt").alias("h"), F.size("changed_files").alias("n"))
+
+
+@add("s16_table_sink", with_tables("files", query="SELECT project_id, path, md5('{\"mtime_ns\":' || mtime_ns || ',\"size\":' || size || '}') AS h FROM files"))
+def _(s, d):
+    path = stage.folder(s, "files")
+    fixtures.write_table(D.files(s, d).select("project_id", "path", "size", "mtime_ns"), path, "size", "mtime_ns")
+    return s.read.parquet(path).select("project_id", "path", F.md5("payload").alias("h"))
+
+
 _ENUMS = {"output_profile": evidence.PROFILES, "diagnostics": ("summary", "none", "full"), "cache_strategy": ("stable", "fresh", "cold")}
 _CHECKED = {
     "rf": "SELECT event_id AS request_id, CASE candidates % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE operation END AS prompt, CASE WHEN candidates % 3 = 0 THEN route END AS task, CASE candidates % 5 WHEN 0 THEN 'LEAN' WHEN 1 THEN 'odd' ELSE '' END AS output_profile, CASE WHEN candidates % 7 = 0 THEN 'All' END AS diagnostics, CASE WHEN candidates % 11 = 0 THEN ' Cold ' END AS cache_strategy, candidates % 13 = 0 AS extra FROM event_log",

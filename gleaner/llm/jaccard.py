@@ -35,7 +35,9 @@ WIDTH = 5
 #: A link: intersection * 100 >= PERCENT * union.
 PERCENT = 75
 #: Shingles that a chunk gathers before it is packed, and that a bucket gets on average.
-CHUNK, BUCKET = 500_000, 250_000
+#: A class gives a row for each bucket that has some of its shingles; with small buckets
+#: those are nearly as many as the shingles at any size of the corpus.
+CHUNK, BUCKET = 500_000, 50_000
 #: Share of a set, its smallest hashes, that the first step deals out.
 SHARE = 0.4
 #: Sets in one block of a cluster, and how much (percent) the sizes of two sets may

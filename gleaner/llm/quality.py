@@ -91,7 +91,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, positive_share: float, c: fl
     ratio = np.log(p / (y > 0).sum()) - np.log(q / (y < 0).sum())
     ratio[DIMENSIONS:][(p + q)[DIMENSIONS:] - 2 * alpha < MIN_DOCUMENTS] = 0.0
     ratio[0] = 1.0
-    values = [ratio[x] * block_scale(x) for x in rows]
+    values = [(ratio[x] * block_scale(x)).astype(np.float32) for x in rows]
     norms = [float(v @ v) + 1e-9 for v in values]
     w = dual_descent(rows, values, norms, y, c, epochs)
     margins = np.array([float(w[x] @ v) for x, v in zip(rows, values, strict=True)])
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, fit_rows: int = FIT_RO
 
     rows = map_texts(sample, featurize, "x binary, y int").collect()
     rows = sorted(rows, key=lambda r: (r["x"], r["y"]))  # the fit doesn't hang on the order of tasks
-    return fit([np.frombuffer(r["x"], "<i4").astype(np.int64) for r in rows], np.array([r["y"] for r in rows]), share)
+    return fit([np.frombuffer(r["x"], "<i4") for r in rows], np.array([r["y"] for r in rows]), share)
 
 
 def score(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:

@@ -32,7 +32,7 @@ MIN_CHI2, MIN_DOCUMENTS = 18.0, 3
 #: So does one that tells the classes apart only beside another: the chi-square of both
 #: together is this much more than those of the two alone.  Looked for among the
 #: PAIR_TERMS commonest terms of PAIR_DOCUMENTS sampled texts or more.
-PAIR_CHI2, PAIR_TERMS, PAIR_DOCUMENTS = 60.0, 3072, 20
+PAIR_CHI2, PAIR_TERMS, PAIR_DOCUMENTS = 60.0, 2048, 20
 CACHE_WORDS = 250_000
 TERM = re.compile(r"[^\W_]+")
 #: Lengths of the beginnings of words.
@@ -116,19 +116,19 @@ def paired_terms(where: np.ndarray, rows: np.ndarray, y: np.ndarray, df: np.ndar
     term and the text of each occurrence."""
     common = np.argsort(-df, kind="stable")[:PAIR_TERMS]
     common = common[df[common] >= PAIR_DOCUMENTS]
-    place = np.full(len(df), -1)
+    place = np.full(len(df), -1, np.int32)
     place[common] = np.arange(len(common))
     x = np.zeros((len(y), len(common)), np.float32)
     seen = place[where] >= 0
     x[rows[seen], place[where[seen]]] = 1
     positive, found = x[y > 0], np.zeros(len(common), bool)
-    for a in range(0, len(common), 512):  # counts of pairs, some terms with all at a time
-        both, pos = x[:, a : a + 512].T @ x, positive[:, a : a + 512].T @ positive
-        gain = chi_square(pos.astype(float), both.astype(float), y.sum(), len(y)) - chi2[common[a : a + 512]][:, None] - chi2[common][None, :]
+    for a in range(0, len(common), 128):  # counts of pairs, some terms with all at a time
+        both, pos = x[:, a : a + 128].T @ x, positive[:, a : a + 128].T @ positive
+        gain = chi_square(pos.astype(float), both.astype(float), y.sum(), len(y)) - chi2[common[a : a + 128]][:, None] - chi2[common][None, :]
         gain[both < MIN_DOCUMENTS] = 0
         hit = gain >= PAIR_CHI2
         found |= hit.any(0)
-        found[a : a + 512] |= hit.any(1)
+        found[a : a + 128] |= hit.any(1)
     return common[found]
 
 
@@ -142,7 +142,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, positive_share: float, facto
         m.bias = float(np.log((positive_share + 1e-3) / (1 - positive_share + 1e-3)))
         return m
     all_ids, where = np.unique(np.concatenate(rows), return_inverse=True)
-    text = np.repeat(np.arange(n), [len(r) for r in rows])
+    where, text = where.astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     df = np.bincount(where, minlength=len(all_ids)).astype(float)
     pos = np.bincount(where, weights=y[text], minlength=len(all_ids))
     chi2 = chi_square(pos, df, npos, n)

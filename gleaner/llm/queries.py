@@ -17,6 +17,7 @@ _ALL = [
     ("op8_order_minhash", "order_minhash", None),
     ("op9_toxicity", "toxicity", None),
     ("op10_jaccard", "jaccard", "OP10_SQL"),
+    ("op11_mixing", "mixing", "OP11_SQL"),
 ]
 
 

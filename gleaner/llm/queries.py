@@ -18,6 +18,7 @@ _ALL = [
     ("op9_toxicity", "toxicity", None),
     ("op10_jaccard", "jaccard", "OP10_SQL"),
     ("op11_mixing", "mixing", "OP11_SQL"),
+    ("op12_prefix_trie", "prefix_trie", "OP12_SQL"),
     ("op13_periodic", "periodic", None),
 ]
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from . import corpus, extract, lookup, pack, retrieve
+from . import corpus, evidence, extract, lookup, pack, retrieve
 from .stage import kept
 
+# Fixed values
 #: Characters that a profile leaves of a candidate: of an explicit path's, of others'.
 PROFILES = {"lean": (180, 140), "minimal": (220, 180), "compact": (360, 260), "normal": (420, 420), "verbose": (900, 900)}
 EARLY_STOP = ("minimal", "compact")
@@ -94,15 +95,15 @@ def owner_paths(paths: DataFrame, files: DataFrame, n: int = 10) -> DataFrame:
     request's (path, place) sources, then tests found by a search for the source's stem,
     each once, ``n`` at most."""
     sources = paths.where(~F.col("path").rlike("^tests?/")).select("request_id", F.col("place").alias("source"), lookup.stem(F.col("path")).alias("stem"))
-    made = F.array(*[F.concat(F.lit(a), "stem", F.lit(b)) for a, b in (("tests/test_", ".py"), ("test/test_", ".py"), ("tests/", "_test.py"), ("test/", "_test.py"))])
-    direct = sources.select("request_id", F.lit(0).alias("kind"), "source", F.posexplode(made).alias("at", "path")).join(files.select("path"), "path", "left_semi")
+    named = paths.select("request_id", F.col("place").alias("at0"), "path")
+    direct = retrieve.direct_owners(named, files).select("request_id", F.lit(0).alias("kind"), F.col("at0").alias("source"), F.col("pattern").alias("at"), "path")
     tests = files.where(F.col("path").rlike("^tests?/"))
     stems = sources.select(F.col("stem").alias("request_id"), F.col("stem").alias("prompt")).distinct()
     hits = retrieve.search(tests, stems, n)
     scored = retrieve.search_score(retrieve.match_features(hits.select("request_id", "path", "score"), tests, retrieve.request_terms(stems)))
     found = retrieve.top(scored, n, "request_id").select(F.col("request_id").alias("stem"), F.col("rank").alias("at"), "path")
     searched = sources.join(found, "stem").select("request_id", F.lit(1).alias("kind"), "source", "at", "path")
-    once = direct.select("request_id", "kind", "source", "at", "path").unionByName(searched).groupBy("request_id", "path").agg(F.min(F.struct("kind", "source", "at")).alias("at"))
+    once = direct.unionByName(searched).groupBy("request_id", "path").agg(F.min(F.struct("kind", "source", "at")).alias("at"))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy("at", "path"))
     return once.select("request_id", rank.alias("place"), "path", F.when(F.col("at.kind") == 0, "high").otherwise("medium").alias("confidence")).where(F.col("place") <= n)
 
@@ -176,10 +177,7 @@ def packs(made: dict[str, DataFrame], requests: DataFrame, profile: str = "norma
     chosen = pack.select_rows(rows, max_items, budget, 1 if profile in ONE_A_PATH else 2)
     picked = F.col("outcome") == "selected"
     item = F.struct("place", "path", "start_line", "end_line", "score", "confidence", "reason_codes", "source", "title_hint", "content")
-    # tokens of what the candidates hold: contents with paths and lines, and a fourth of what is deferred
-    evidence = F.length("path") + F.length(F.col("start_line").cast("string")) + F.length(F.col("end_line").cast("string")) + F.length("content")
-    both = chosen.groupBy("request_id").agg(F.array_sort(F.collect_list(F.when(picked, item))).alias("items"), F.array_sort(F.collect_list(F.when(~picked, F.struct("place", "path", F.col("outcome").alias("reason_code"))))).alias("left"), F.count("*").alias("candidate_count"), F.count_if(picked).alias("selected_count"),
-                                            (F.greatest(F.lit(1), F.floor((F.sum(evidence) + 3) / 4)) + F.floor((F.sum("deferred_chars") + 3) / 4)).cast("long").alias("baseline_tokens"), F.coalesce(F.sum(F.when(picked, F.col("raw_chars"))), F.lit(0)).alias("selected_chars"))
+    both = chosen.groupBy("request_id").agg(F.array_sort(F.collect_list(F.when(picked, item))).alias("items"), F.array_sort(F.collect_list(F.when(~picked, F.struct("place", "path", F.col("outcome").alias("reason_code"))))).alias("left"), F.count("*").alias("candidate_count"), F.count_if(picked).alias("selected_count"), evidence.baseline_tokens().alias("baseline_tokens"), F.coalesce(F.sum(F.when(picked, F.col("raw_chars"))), F.lit(0)).alias("selected_chars"))
     early = made["omitted"].groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(F.lit(0).alias("place"), "path", "reason_code"))).alias("early"))
     about = requests.select("request_id", T.route(F.col("prompt")).alias("route"), T.query_terms(F.col("prompt")).alias("terms"), T.digest(F.col("prompt")).alias("prompt_sha256"))
     none = F.array().cast("array<struct<place:int,path:string,reason_code:string>>")

@@ -66,9 +66,11 @@ def first_matching_line(content: Column, terms: list[str]) -> Column:
     return F.greatest(F.array_position(F.transform(T.lines(content), holds), True), F.lit(1)).cast("int")
 
 
-def baseline_tokens(items: DataFrame, key: str) -> DataFrame:
-    """A token for each four characters of evidence, and for each four deferred."""
-    return items.groupBy(key).agg((F.sum(F.greatest(F.lit(1), F.expr("(chars + 3) div 4"))) + F.ceil(F.sum("deferred") / 4)).cast("long").alias("tokens"))
+def baseline_tokens() -> Column:
+    """C10, an aggregate over candidates: the tokens of their evidence (path, range and
+    content) as one JSON list, and one for each four characters deferred."""
+    chars = F.sum(F.length(F.to_json(F.struct("content", "end_line", "path", "start_line"))) + 1) + 1  # commas and brackets
+    return (F.greatest(F.lit(1), F.floor((chars + 3) / 4)) + F.floor((F.greatest(F.sum("deferred_chars"), F.lit(0)) + 3) / 4)).cast("long")
 
 
 def calls_saved(selected: Column, memory: Column, omitted: Column) -> Column:

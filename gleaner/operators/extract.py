@@ -131,11 +131,20 @@ def chunks(files: DataFrame, width: int = 80) -> DataFrame:
 
 
 def snippets(files: DataFrame, wanted: DataFrame, before: int = 0, after: int = 0, most: int = 4000) -> DataFrame:
-    """Lines around each requested range, or a typed error."""
-    j = wanted.join(files.select("path", T.lines(F.col("content")).alias("ls")), "path", "left")
-    a, b = F.greatest(F.lit(1), F.col("start_line") - before), F.least(F.col("end_line") + after, F.size("ls"))
-    error = F.when(F.col("ls").isNull(), "missing_file").when(F.col("start_line") < 1, "invalid_range")
-    return j.select("path", "start_line", "end_line", error.alias("error"), F.when(error.isNull(), T.trim_text(T.redact_secrets(F.array_join(F.slice("ls", a, F.greatest(b - a + 1, F.lit(0))), "\n")), most)).alias("content"))
+    """Lines around each requested range, cut to ``most`` characters and then
+    redacted, with its flags; or a typed error: invalid_range, missing_file,
+    excluded_path or unindexed (a file without content).  A null ``end_line`` is the
+    first line; a range past the end is empty."""
+    j = wanted.withColumn("end_line", F.coalesce("end_line", "start_line")).join(files.select("path", F.lit(True).alias("listed"), T.lines(F.col("content")).alias("ls")), "path", "left")
+    error = F.when(F.col("start_line") < 1, "invalid_range").when(F.col("listed").isNull(), "missing_file").when(corpus.excluded(F.col("path")), "excluded_path").when(F.col("ls").isNull(), "unindexed")
+    first = F.greatest(F.lit(1), F.col("start_line") - max(before, 0))
+    last = F.greatest(first, F.least(F.size("ls"), F.col("end_line") + max(after, 0)))
+    raw = F.array_join(F.slice("ls", first, last - first + 1), "\n")
+    good = j.withColumn("error", error).withColumn("_raw", F.when(error.isNull(), T.trim_text(raw, most)))
+    good = good.withColumn("content", T.redact(F.col("_raw")))
+    return good.select(
+        "path", F.when(error.isNull(), first).otherwise(F.col("start_line")).alias("start_line"), F.when(error.isNull(), last).otherwise(F.col("end_line")).alias("end_line"), F.col("start_line").alias("requested_start"), F.col("end_line").alias("requested_end"), "error",
+        F.when(error.isNull(), F.size("ls")).alias("total_lines"), "content", F.when(error.isNull(), T.is_trimmed(raw, most)).alias("truncated"), T.redaction_categories(F.col("_raw")).alias("redactions"), T.injection_signals(F.col("content")).alias("signals"))
 
 
 def tree(files: DataFrame, depth: int, root: str = "", most: int | None = None) -> DataFrame:

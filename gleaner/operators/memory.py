@@ -112,9 +112,25 @@ def newest(references: DataFrame, n: int) -> DataFrame:
     return references.orderBy(F.desc("created_seq")).limit(n).withColumn("status", reference_status(F.col("invalidated"), F.col("hours_left")))
 
 
-def resolve(wanted: DataFrame, references: DataFrame) -> DataFrame:
-    """The outcome for each requested id, by the first rule that holds."""
-    j = wanted.join(references, "reference_id", "left")
-    outcome = (F.when(~F.col("reference_id").rlike("^ref_[A-Za-z0-9]+$"), "invalid_reference").when(F.col("size_bytes").isNull(), "missing").when(F.col("invalidated"), "stale").when(F.col("hours_left") < 0, "expired")
-               .when(F.sha2("body", 256) != F.col("sha256"), "stale").when(F.col("expected_hash").isNotNull() & (F.col("expected_hash") != F.col("sha256")), "hash_mismatch").otherwise("resolved"))
-    return j.select("reference_id", outcome.alias("outcome"))
+def resolve(wanted: DataFrame, references: DataFrame, as_of: Column, envelope: str = "reference.envelope.v1") -> DataFrame:
+    """Outcome and reason for each of ``wanted(reference_id, expected_hash,
+    provided_expires_at)``, by the first rule that holds.  The stored text must be there,
+    have its hash and be JSON; if its ``schema`` is ``envelope``, the expiry and the id in
+    its metadata count too."""
+    stored = references.select("reference_id", "body", "sha256", "invalidated", "hours_left", F.lit(True).alias("_there"))
+    j = wanted.join(stored, "reference_id", "left").withColumn("_actual", F.sha2("body", 256))
+    wrapped = F.get_json_object("body", "$.schema").eqNullSafe(F.lit(envelope))
+    expiry = F.try_to_timestamp(F.get_json_object("body", "$.metadata.expires_at"))
+    inner_id = F.nullif(F.get_json_object("body", "$.metadata.reference_id"), F.lit(""))
+    empty = F.coalesce(F.col("body"), F.lit("")) == ""
+    rules = (
+        (~F.coalesce(F.col("reference_id").rlike("^ref_[A-Za-z0-9]+$"), F.lit(False)), "invalid_reference", None), (F.col("provided_expires_at") < as_of, "expired", "provided_reference_expired"),
+        (F.col("_there").isNull(), "missing", None), (F.col("invalidated"), "stale", "invalidated"), (F.col("hours_left") < 0, "expired", "expired"), (empty, "stale", "payload_unavailable"),
+        (F.col("_actual") != F.col("sha256"), "stale", "stored_hash_mismatch"), (F.try_parse_json("body").isNull(), "stale", "invalid_json_payload"), (wrapped & (expiry < as_of), "expired", "envelope_expired"),
+        (wrapped & (inner_id != F.col("reference_id")), "invalid_reference", None), ((F.col("expected_hash") != "") & (F.col("_actual") != F.col("expected_hash")), "hash_mismatch", None),
+    )
+    which = F.lit(len(rules))
+    for k in reversed(range(len(rules))):
+        which = F.when(rules[k][0], k).otherwise(which)
+    label = lambda n: F.get(F.array(*[F.lit(r[n]) for r in (*rules, (None, "resolved", None))]), F.col("_rule"))
+    return j.withColumn("_rule", which).select("reference_id", label(1).alias("outcome"), label(2).alias("reason"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Fixed values
 TESTED_ROUTES = ("coding", "review", "debug", "test")
 SECURITY_MARKERS = ("auth", "security", "secret", "token", "config", "path")
 

@@ -124,10 +124,12 @@ def lookup_search(files: DataFrame, requests: DataFrame, n: int = 5) -> DataFram
     return top(both, n, "request_id").select("request_id", "rank", "path", "line", "score")
 
 
-def test_owner_paths(sources: DataFrame, files: DataFrame) -> DataFrame:
-    """The tests that four name patterns give for a source and that exist."""
-    name = F.element_at(F.split("path", "/"), -1)
-    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    made = F.array(F.concat(F.lit("tests/test_"), stem, ext), F.concat(F.lit("tests/"), stem, F.lit("_test"), ext), F.concat(F.lit("test/test_"), stem, ext), F.concat(F.lit("test/"), stem, F.lit("_test"), ext))
-    each = sources.where(~F.col("path").rlike("^tests?/")).select(F.col("path").alias("source"), F.posexplode(made).alias("pattern", "path"))
+def direct_owners(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """``sources(path, ...)`` with each existing Python test that four name patterns
+    give for a source's stem, whatever its own suffix: source, pattern (0 to 3), path.
+    Tests are no sources."""
+    stem = F.regexp_extract(F.col("path"), r"([^/]+?)(\.[^./]*)?$", 1)
+    made = F.array(*[F.concat(F.lit(a), stem, F.lit(b)) for a, b in (("tests/test_", ".py"), ("test/test_", ".py"), ("tests/", "_test.py"), ("test/", "_test.py"))])
+    rest = [c for c in sources.columns if c != "path"]
+    each = sources.where(~F.col("path").rlike("^tests?/")).select(*rest, F.col("path").alias("source"), F.posexplode(made).alias("pattern", "path"))
     return each.join(files.select("path"), "path", "left_semi")

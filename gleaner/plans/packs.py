@@ -190,7 +190,7 @@ def _(s, d):
 
 @add("c14_packs", _sql(_ALL | _cut("normal") | _PLACES | selection_sql(MAX_ITEMS, 3600, 2) | {
     "om": "SELECT request_id, path, 'unreadable_explicit_path' AS reason FROM pp WHERE path NOT IN (SELECT path FROM files) UNION ALL SELECT request_id, NULL, 'search_summary_limit' FROM lx GROUP BY 1 HAVING count(*) > 24 UNION ALL SELECT request_id, path, outcome FROM chosen WHERE outcome <> 'selected'",
-    "ev": "SELECT request_id, greatest(1, (sum(length(path) + length(start_line::VARCHAR) + length(end_line::VARCHAR) + length(content)) + 3) // 4) + (sum(greatest(0, source_chars - length(content))) + 3) // 4 AS tokens FROM cp GROUP BY 1",
+    "ev": "SELECT request_id, greatest(1, (sum(length(to_json({'content': content, 'end_line': end_line, 'path': path, 'start_line': start_line})) + 1) + 4) // 4) + (sum(greatest(0, source_chars - length(content))) + 3) // 4 AS tokens FROM cp GROUP BY 1",
 }, "SELECT a.request_id, route, array_to_string(terms, ' ') AS terms, (SELECT string_agg(place || ' ' || path || ':' || start_line || ' ' || score, '; ' ORDER BY place) FROM chosen c WHERE c.request_id = a.request_id AND outcome = 'selected') AS items, (SELECT string_agg(coalesce(path, '') || ' ' || reason, '; ' ORDER BY coalesce(path, ''), reason) FROM om WHERE om.request_id = a.request_id) AS omitted, (SELECT count(*) FROM cr WHERE cr.request_id = a.request_id) AS candidate_count, (SELECT tokens FROM ev WHERE ev.request_id = a.request_id)::BIGINT AS baseline_tokens FROM asked a JOIN ar USING (request_id)", recursive=True))
 def _(s, d):
     files, symbols, requests = _tables(s, d)

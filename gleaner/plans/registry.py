@@ -319,13 +319,6 @@ def _(s, d):
     return extract.chunks(D.files(s, d))
 
 
-@add("x10_snippet_batch", with_tables("filelines", query="SELECT w.path, w.a AS start_line, w.a + 1 AS end_line, CASE WHEN l.ls IS NULL THEN 'missing_file' WHEN w.a < 1 THEN 'invalid_range' END AS error FROM (SELECT CASE WHEN doc_id % 17 = 0 THEN 'x/' || path ELSE path END AS path, doc_id % 4 AS a FROM files) w LEFT JOIN filelines l ON w.path = l.path"))
-def _(s, d):
-    f = D.files(s, d)
-    a = (F.col("doc_id") % 4).cast("int")
-    return extract.snippets(f, f.select(F.expr("if(doc_id % 17 = 0, 'x/' || path, path)").alias("path"), a.alias("start_line"), (a + 1).alias("end_line"))).select("path", "start_line", "end_line", "error")
-
-
 @add("x12_tree", _FILES + ", p AS (SELECT string_split(path, '/') AS p FROM files) SELECT DISTINCT array_to_string(p[1:d], '/') AS path, d AS depth, d < len(p) AS is_dir FROM (SELECT p, unnest([1, 2]) AS d FROM p)".replace(") , p", "), p"))
 def _(s, d):
     return extract.tree(D.files(s, d), 2)
@@ -560,12 +553,6 @@ def _(s, d):
     return memory.newest(D.references(s, d), 100).select("reference_id", "status")
 
 
-@add("e05_resolve", with_tables("refs", query="SELECT w.reference_id, CASE WHEN NOT regexp_full_match(w.reference_id, 'ref_[A-Za-z0-9]+') THEN 'invalid_reference' WHEN r.size_bytes IS NULL THEN 'missing' WHEN invalidated THEN 'stale' WHEN hours_left < 0 THEN 'expired' WHEN w.h IS NOT NULL AND w.h <> r.sha256 THEN 'hash_mismatch' ELSE 'resolved' END AS outcome FROM (SELECT CASE WHEN doc_id % 8 = 0 THEN 'bad id ' || doc_id WHEN doc_id % 8 = 1 THEN 'ref_9' || doc_id || 'x' ELSE 'ref_' || doc_id END AS reference_id, CASE WHEN doc_id % 8 = 2 THEN 'no' END AS h FROM documents) w LEFT JOIN refs r ON w.reference_id = r.reference_id"))
-def _(s, d):
-    wanted = _DOC(s, d).select(F.expr("case when doc_id % 8 = 0 then 'bad id ' || doc_id when doc_id % 8 = 1 then 'ref_9' || doc_id || 'x' else 'ref_' || doc_id end").alias("reference_id"), F.expr("if(doc_id % 8 = 2, 'no', null)").alias("expected_hash"))
-    return memory.resolve(wanted, D.references(s, d))
-
-
 # K ------------------------------------------------------------------------------
 _K = """, st AS (SELECT *, CASE WHEN invalidated OR coalesce(namespace, 'unknown') NOT IN ('ns0','ns1','ns2') OR schema_version < 2 OR signature = '' OR signature <> 'sig1' THEN 'stale' WHEN ttl_left_days < 0 THEN 'expired' ELSE 'active' END AS status,
 CASE WHEN invalidated THEN 'invalidated' WHEN coalesce(namespace, 'unknown') NOT IN ('ns0','ns1','ns2') THEN 'unsupported_namespace' WHEN schema_version < 2 THEN 'legacy_schema' WHEN signature = '' THEN 'signature_missing' WHEN signature <> 'sig1' THEN 'signature_changed' WHEN ttl_left_days < 0 THEN 'expired' ELSE 'active' END AS reason FROM entries) """
@@ -899,34 +886,16 @@ def _(s, d):
     return evidence.chunk_lookup(f, f.select("path", (F.col("doc_id") % 100 + 1).cast("int").alias("line")))
 
 
-@add("x09_snippets", with_tables("filelines", query=", w AS (SELECT f.path, (doc_id % 4 + 1)::INT AS a, " + _redact_sql("array_to_string(ls[greatest(1, doc_id % 4):least(doc_id % 4 + 4, len(ls))], chr(10))") + f" AS c FROM files f JOIN filelines l ON f.path = l.path) SELECT path, a AS start_line, md5({_TRIM.format('c', 4000, 3985)}) AS h FROM w").replace(") , w AS", "), w AS"))
-def _(s, d):
-    f, a = D.files(s, d), (F.col("doc_id") % 4 + 1).cast("int")
-    return extract.snippets(f, f.select("path", a.alias("start_line"), (a + 1).alias("end_line")), 1, 2).select("path", "start_line", F.md5("content").alias("h"))
-
-
 @add("x11_first_match", with_tables("filelines", query="SELECT path, coalesce(nullif(list_position(list_transform(ls, lambda l: contains(lower(l), 'license') OR contains(lower(l), 'que')), true), 0), 1)::INT AS line FROM filelines"))
 def _(s, d):
     return D.files(s, d).select("path", evidence.first_matching_line(F.col("content"), ["license", "que"]).alias("line"))
 
 
-@add("r11_test_owners", _FILES + "SELECT path AS source, 0 AS pattern, 'tests/test_doc_' || doc_id || '.txt' AS path FROM files WHERE doc_id % 3 = 0 UNION ALL SELECT path, 3, 'test/doc_' || doc_id || '_test.txt' FROM files WHERE doc_id % 5 = 0")
-def _(s, d):
-    f = D.files(s, d).select("doc_id", "path")
-    tests = f.where("doc_id % 3 = 0").selectExpr("'tests/test_doc_' || doc_id || '.txt' as path").unionByName(f.where("doc_id % 5 = 0").selectExpr("'test/doc_' || doc_id || '_test.txt' as path"))
-    return retrieve.test_owner_paths(f.select("path"), f.select("path").unionByName(tests))
-
-
 @add("c05_confidence", _a("SELECT event_id, round(least(0.99, greatest(0.1, elapsed_ms / 14.0)), 3) AS confidence FROM event_log"))
 def _(s, d):
     return D.event_log(s, d).select("event_id", pack.confidence(F.col("elapsed_ms")).alias("confidence"))
 
 
-@add("c10_baseline_tokens", _a("SELECT operation, (sum(greatest(1, (output_tokens + 3) // 4)) + ceil(sum(candidates) / 4))::BIGINT AS tokens FROM event_log GROUP BY 1"))
-def _(s, d):
-    return evidence.baseline_tokens(D.event_log(s, d).selectExpr("operation", "output_tokens as chars", "candidates as deferred"), "operation")
-
-
 @add("c12_calls_saved", _a("SELECT event_id, selected + CASE WHEN candidates % 2 > 0 THEN 1 ELSE 0 END + CASE WHEN candidates > selected THEN 1 ELSE 0 END AS calls FROM event_log"))
 def _(s, d):
     return D.event_log(s, d).select("event_id", evidence.calls_saved(F.col("selected"), F.col("candidates") % 2, F.col("candidates") - F.col("selected")).alias("calls"))
@@ -1158,4 +1127,4 @@ def _(s, d):
     return lookup.project_listing(docs.selectExpr("source as project_id", "concat('k/', lang) as root"), D.files(s, d).selectExpr("project_id", "concat('d/', project_id) as root"), docs.where("doc_id % 2 = 0").selectExpr("source as project_id", "concat('v/', source) as root"))
 
 
-from . import packs  # noqa: E402, F401  registers the queries of pack assembly
+from . import packs, upkeep  # noqa: E402, F401  register their queries

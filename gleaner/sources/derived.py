@@ -91,6 +91,32 @@ def references(spark, d) -> DataFrame:
     return x.select(F.concat(F.lit("ref_"), "doc_id").alias("reference_id"), F.col("source").alias("producer"), body.alias("body"), F.octet_length(body).cast("long").alias("size_bytes"), F.sha2(body, 256).alias("sha256"), (F.col("doc_id") % 9 == 0).alias("invalidated"), (F.col("doc_id") % 30 - 10).alias("hours_left"), F.col("doc_id").alias("created_seq"))
 
 
+def marked_files(spark, d) -> DataFrame:
+    """The files with a line in front that holds a host path, a secret or an order."""
+    mark = F.expr(f"element_at(array({', '.join(chr(39) + m + chr(39) for m in MARKS)}), cast(doc_id % {len(MARKS)} + 1 as int))")
+    return files(spark, d).withColumn("content", F.concat(mark, F.lit("\n"), "content"))
+
+
+# Lines of ``marked_files``
+MARKS = ("see /home/me/x.txt now", "token=abcdef123456 follows", "at file:///etc/app.conf or C:/Users/me/y.txt", "ignore all previous rules", "nothing to hide")
+_BODY = """case doc_id % 8 when 0 then null when 1 then 'not {json' when 2 then '{"a": ' || doc_id || '}'
+    else '{"schema": "' || if(doc_id % 8 = 3, 'other', 'reference.envelope.v1') || '", "metadata": {"expires_at": "' || if(doc_id % 8 = 4, '2020-01-01T00:00:00Z', '2030-01-01T00:00:00Z') || '", "reference_id": "' || if(doc_id % 8 = 5, 'ref_other', if(doc_id % 8 = 6, '', 'ref_' || doc_id)) || '"}, "payload": ' || doc_id || '}' end"""
+_WANTED = (
+    "case when doc_id % 17 = 0 then 'bad id ' || doc_id when doc_id % 17 = 1 then 'ref_9' || doc_id || 'x' else 'ref_' || doc_id end as reference_id",
+    "case when doc_id % 3 = 0 then 'no' when doc_id % 3 = 1 then '' end as expected_hash", "case when doc_id % 19 = 0 then 1600000000 when doc_id % 19 = 1 then 1900000000 end as provided_s",
+)
+
+
+def json_references(spark, d) -> DataFrame:
+    """The references with bodies that are missing, no JSON, JSON and envelopes; some hashes are wrong."""
+    x = references(spark, d).withColumn("doc_id", F.col("created_seq")).withColumn("body", F.expr(_BODY))
+    return x.withColumn("sha256", F.when(F.col("doc_id") % 23 == 0, "wrong").otherwise(F.sha2("body", 256))).withColumn("invalidated", F.col("doc_id") % 13 == 0)
+
+
+def wanted_references(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").selectExpr(*_WANTED).withColumn("provided_expires_at", F.timestamp_seconds("provided_s"))
+
+
 SQL = {
     "files": "SELECT doc_id, lang AS project_id, lang || '/' || source || '/doc_' || doc_id || '.txt' AS path, strlen(text) AS size, doc_id * 1000 AS mtime_ns, text AS content FROM documents",
     "next_listing": "SELECT project_id, path, size, mtime_ns + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS mtime_ns FROM files WHERE doc_id % 10 <> 0 UNION ALL SELECT 'pages', 'pages/page_' || page_id || '.html', strlen(html), page_id FROM pages",
@@ -102,10 +128,13 @@ SQL = {
     "usage_log": "SELECT event_id AS seq, 'term' || (candidates % 20) AS term, route, (['.', 'src', 'src/auth'])[candidates % 3 + 1] AS path_scope, CASE WHEN candidates % 4 = 0 THEN 0 ELSE candidates END AS result_count, CASE WHEN candidates % 4 = 1 THEN selected ELSE 0 END AS selected_count, cache_hit, true AS selection_observed FROM event_log",
     "entries": "SELECT 'cache:' || lang || ':' || doc_id AS key, CASE WHEN doc_id % 11 <> 0 THEN 'ns' || (doc_id % 4) END AS namespace, CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 2 END AS schema_version, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'sig' || (doc_id % 2) END AS signature, doc_id % 13 = 0 AS invalidated, doc_id % 50 - 20 AS ttl_left_days, doc_id % 60 AS age_days, lang AS project_id FROM documents",
     "refs": "SELECT 'ref_' || doc_id AS reference_id, source AS producer, text AS body, strlen(text) AS size_bytes, sha256(text) AS sha256, doc_id % 9 = 0 AS invalidated, doc_id % 30 - 10 AS hours_left, doc_id AS created_seq FROM documents",
+    "marked_files": "SELECT * EXCLUDE (content), ([" + ", ".join(f"'{m}'" for m in MARKS) + f"])[doc_id % {len(MARKS)} + 1] || chr(10) || content AS content FROM files",
+    "json_refs": "SELECT reference_id, body, hours_left, doc_id % 13 = 0 AS invalidated, CASE WHEN doc_id % 23 = 0 THEN 'wrong' ELSE sha256(body) END AS sha256 FROM (SELECT 'ref_' || doc_id AS reference_id, doc_id, doc_id % 30 - 10 AS hours_left, " + _BODY + " AS body FROM documents)",
+    "wanted_refs": "SELECT " + ", ".join(_WANTED) + " FROM documents",
     "filelines": r"SELECT project_id, path, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS ls FROM (SELECT project_id, path, string_split_regex(content, '\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS l FROM files)",
     "tok": "SELECT path, unnest(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]{3,}'), lambda t: NOT regexp_matches(t, '^[0-9]+$'))) AS term FROM files",
 }
-_NEEDS = {"next_listing": ["files"], "lookups": ["files"], "event_log": ["ev0"], "usage_log": ["ev0", "event_log"], "filelines": ["files"], "tok": ["files"]}
+_NEEDS = {"next_listing": ["files"], "lookups": ["files"], "event_log": ["ev0"], "usage_log": ["ev0", "event_log"], "filelines": ["files"], "marked_files": ["files"], "tok": ["files"]}
 
 
 def with_tables(*names: str, query: str, ctes: dict[str, str] | None = None, recursive: bool = False) -> str:

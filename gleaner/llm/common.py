@@ -71,9 +71,25 @@ def worker_cache(tenant: str) -> dict:
     held = sys.modules.setdefault("_gleaner_worker_cache", types.ModuleType("_gleaner_worker_cache"))
     if getattr(held, "tenant", None) != tenant:
         held.tenant, held.kept = tenant, {}
+        give_back()
     return held.kept
 
 
+def give_back() -> None:
+    """Hand what a Python worker has freed back to the system.  Workers outlive their
+    tasks, and the allocators would keep it for them."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 #: Rows of an Arrow batch where the session leaves Spark's default of 10 000: that many
 #: long texts take tens of megabytes on both sides of each task's pipe.
 BATCH_ROWS = 500
@@ -101,6 +117,7 @@ def map_texts(df: DataFrame, function, schema: str, rows: int = 500) -> DataFram
         parts = (b.slice(a, rows).to_pandas() for b in batches for a in range(0, b.num_rows, rows))
         for out in function(parts):
             yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -120,5 +137,6 @@ def with_scores(docs: DataFrame, function, column: str, rows: int = 500) -> Data
             for a in range(0, b.num_rows, rows):
                 out += function(texts.slice(a, rows).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, column])
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))

@@ -57,9 +57,9 @@ def _anchored(files: DataFrame, symbols: DataFrame, wanted: DataFrame) -> DataFr
     return wanted.join(extract.anchored_summary(named, wanted, symbols), ["path", "anchor"])
 
 
-def lexical_hits(files: DataFrame, requests: DataFrame, max_items: int) -> DataFrame:
+def lexical_hits(files: DataFrame, requests: DataFrame, max_items: int, index=None) -> DataFrame:
     """The merged search of C02: at most four rows an item, eight at least."""
-    merged = retrieve.merge_fragments(retrieve.term_fragments(files, retrieve.request_terms(requests)), requests)
+    merged = retrieve.merge_fragments(retrieve.term_fragments(files, retrieve.request_terms(requests), index=index), requests)
     return retrieve.top(merged, max(4 * max_items, 8), "request_id")
 
 
@@ -133,12 +133,13 @@ def profiled(candidates: DataFrame, profile: str) -> DataFrame:
     return cut.withColumns({"raw_chars": F.length("content"), "deferred_chars": F.greatest(F.lit(0), F.col("source_chars") - F.length("content")), "signals": T.injection_signals(F.col("content"))})
 
 
-def candidates(files: DataFrame, symbols: DataFrame, requests: DataFrame, profile: str = "normal", max_items: int = 8, stage=kept) -> dict[str, DataFrame]:
-    """C01-C06 in order: candidates, omitted rows, and the tables that C09 counts.
+def candidates(files: DataFrame, symbols: DataFrame, requests: DataFrame, profile: str = "normal", max_items: int = 8, stage=kept, index=None) -> dict[str, DataFrame]:
+    """C01-C06 in order: candidates, omitted rows, and the tables that C09 counts; the
+    search reads ``index`` if there is one.
     ``stage(df, name)`` keeps what several parts read, so that it is made once."""
     paths = stage(prompt_paths(requests, files), "pack-paths")
     explicit, lost = explicit_candidates(files, symbols, paths)
-    hits = stage(lexical_hits(files, requests, max_items), "pack-hits")
+    hits = stage(lexical_hits(files, requests, max_items, index), "pack-hits")
     lexical, over = lexical_candidates(files, symbols, hits, profile, max_items)
     before = stage(explicit.unionByName(lexical), "pack-first")
     by_symbol, skipped = symbol_candidates(files, symbols, requests, before, profile, max_items)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .stage import kept
 
 EXACT_SCORE = 10_000
 #: Least cold-to-warm improvement and least fragment hit ratio of a passed case.
@@ -27,15 +28,35 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3))))
 
 
+#: Different runs of three characters of requests' terms that are broadcast.
+BROADCAST_GRAMS = 200_000
+
+
+def rarest_grams(texts: DataFrame, key: str, terms: DataFrame) -> DataFrame:
+    """(term, key) of texts ``h`` that contain the term's rarest run of three characters:
+    the one that fewest texts have.  Texts' runs that no term has are left where they
+    are read; a run's texts are counted before its terms choose."""
+    sought = terms.select("term").distinct().select("term", F.explode(_grams(F.col("term"))).alias("gram"))
+    wanted = sought.select("gram").distinct()
+    if wanted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+        wanted = F.broadcast(wanted)
+    lists = kept(texts.select(key, F.explode(_grams(F.col("h"))).alias("gram")).join(wanted, "gram"), "grams")
+    spread = lists.groupBy("gram").agg(F.count("*").alias("n"))
+    # a term with a run that no text has is in none
+    least = sought.join(spread, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    return least.where("least.n > 0").select("term", "least.gram").join(lists, "gram").select("term", key)
+
+
 def symbol_hits(symbols: DataFrame, terms: DataFrame) -> DataFrame:
     """(request_id, path, name, line_start) of symbols whose path, name or
-    signature contains a term of the request.  A term is looked up by its first
-    three characters, so no symbol meets a request with which it shares none; terms
-    have three characters at least."""
+    signature contains a term of the request.  A term is looked up by its rarest run of
+    three characters among the different texts of symbols; terms have three at least."""
     h = F.lower(F.concat_ws(" ", "path", "name", "signature"))
-    rows = symbols.withColumn("h", h).withColumn("gram", F.explode(_grams(F.col("h"))))
-    keyed = terms.select("request_id", "term", F.substring("term", 1, 3).alias("gram"))
-    return rows.join(keyed, "gram").where(F.contains("h", F.col("term"))).select("request_id", "path", "name", "line_start").distinct()
+    rows = symbols.select("path", "name", "line_start", h.alias("h")).withColumn("place", F.xxhash64("h"))
+    texts = rows.select("place", "h").distinct()
+    near = rarest_grams(texts, "place", terms).join(texts, "place").where(F.contains("h", F.col("term"))).select("term", "place", "h")
+    found = near.join(rows, ["place", "h"]).select("term", "path", "name", "line_start").distinct()
+    return found.join(terms, "term").select("request_id", "path", "name", "line_start").distinct()
 
 
 def first_symbols(hits: DataFrame, n: int) -> DataFrame:

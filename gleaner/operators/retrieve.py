@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from . import index as written
+from .index import SearchIndex
 
 K1, B = 1.2, 0.75
 
@@ -39,9 +41,11 @@ def top(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def search(files: DataFrame, requests: DataFrame, n: int = 5) -> DataFrame:
-    """R01 with R04: the best ``n`` files of each request."""
-    scores = bm25(files, request_terms(requests)).groupBy("request_id", "path").agg(F.sum("part").alias("score"))
+def search(files: DataFrame, requests: DataFrame, n: int = 5, index: SearchIndex | None = None) -> DataFrame:
+    """R01 with R04: the best ``n`` files of each request, from the corpus's written
+    postings if there are any (the same rows)."""
+    terms = request_terms(requests)
+    scores = written.search(index, terms, n) if index else bm25(files, terms).groupBy("request_id", "path").agg(F.sum("part").alias("score"))
     return top(scores, n, "request_id")
 
 
@@ -85,14 +89,17 @@ def search_score(features: DataFrame, exact: Column | None = None) -> DataFrame:
     return features.withColumn("score", F.round(score, 4).cast("double"))
 
 
-def term_fragments(files: DataFrame, terms: DataFrame, n: int = 40) -> DataFrame:
+def term_fragments(files: DataFrame, terms: DataFrame, n: int = 40, index: SearchIndex | None = None) -> DataFrame:
     """Each different term's own pool of its ``n`` best files, with base score (6
     places), occurrences, first line and excerpt: (term, path, rank, score, term_count,
     line, excerpt).  However many requests share a term, its pool is made once."""
     each = terms.select("term").distinct()
-    parts = bm25(files, each).select("term", "path", F.col("part").alias("score"))
-    pool = top(parts, n, "term").withColumn("score", F.col("score").cast("decimal(18,6)"))
-    j = pool.join(files.select("path", F.lower(F.concat_ws("\n", "path", "content")).alias("h"), T.lines(F.col("content")).alias("ls")), "path")
+    pool = written.pools(index, each, n) if index else top(bm25(files, each).select("term", "path", F.col("part").alias("score")), n, "term")
+    pool = pool.withColumn("score", F.col("score").cast("decimal(18,6)"))
+    # a file's lines and lower-case text are made once, however many terms found it
+    by_file = pool.groupBy("path").agg(F.collect_list(F.struct("term", "rank", "score")).alias("found"))
+    j = by_file.join(files.select("path", "content"), "path").select("path", F.lower(F.concat_ws("\n", "path", "content")).alias("h"), T.lines(F.col("content")).alias("ls"), "found")
+    j = j.select("path", "h", "ls", F.explode("found").alias("f")).select("path", "h", "ls", "f.*")
     j = j.withColumn("line", first_match(F.col("ls"), F.array("term")))
     return j.select("term", "path", "rank", "score", F.greatest(F.lit(1), occurrences(F.col("h"), F.col("term"))).alias("term_count"), F.coalesce("line", F.lit(1)).alias("line"), _excerpt(F.col("ls"), F.col("line"), F.col("path")).alias("excerpt"))
 
@@ -115,10 +122,10 @@ def exact_files(files: DataFrame, requests: DataFrame) -> DataFrame:
     return search_score(match_features(hits, files, request_terms(named)), F.lit(True)).select("request_id", "path", "line", "score")
 
 
-def lookup_search(files: DataFrame, requests: DataFrame, n: int = 5) -> DataFrame:
+def lookup_search(files: DataFrame, requests: DataFrame, n: int = 5, index: SearchIndex | None = None) -> DataFrame:
     """(request_id, rank, path, line, score): the requests' terms, their pools, the
     merged and rescored rows, the file that the request names first, the best ``n``."""
-    merged = merge_fragments(term_fragments(files, request_terms(requests)), requests).select("request_id", "path", "line", "score")
+    merged = merge_fragments(term_fragments(files, request_terms(requests), index=index), requests).select("request_id", "path", "line", "score")
     named = exact_files(files, requests)
     both = merged.unionByName(named.join(merged.select("request_id", "path"), ["request_id", "path"], "left_anti"))
     return top(both, n, "request_id").select("request_id", "rank", "path", "line", "score")

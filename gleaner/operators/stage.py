@@ -20,8 +20,9 @@ def _checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-gleaner-"))
 
 
-def kept(df: DataFrame, name: str = "") -> DataFrame:
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
     """``df`` written to the session's checkpoint folder, which all executors share, and
     read from there; a temporary folder only where the session names none (tests)."""
-    _checkpoints(df.sparkSession)
-    return df.checkpoint()
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..operators import assemble, extract, lookup, pack
+from ..operators import assemble, extract, index, lookup, pack
 from ..sources import derived as D
 from ..sources.derived import with_tables
 from .registry import _HEADS, _STRIP, _SUMMARY, _TRIM, _bm25, _fragments, _route_sql, _terms, add, selection_sql
@@ -93,6 +93,10 @@ def _tables(s, d):
     return files, extract.generic_symbols(files), D.pack_requests(s, d)
 
 
+def _index(s, d):
+    return index.index_of(s, f"{d} with tests", lambda: D.pack_files(s, d))
+
+
 def _flat(df):
     return df.select("request_id", "path", "start_line", "end_line", "score", "source", F.md5("content").alias("h"), "source_chars")
 
@@ -120,7 +124,7 @@ def _(s, d):
 @add("c02_lexical", _sql(_BASE | _LEXICAL, _FLAT + "c2"))
 def _(s, d):
     files, symbols, requests = _tables(s, d)
-    return _flat(assemble.lexical_candidates(files, symbols, assemble.lexical_hits(files, requests, MAX_ITEMS), "normal", MAX_ITEMS)[0])
+    return _flat(assemble.lexical_candidates(files, symbols, assemble.lexical_hits(files, requests, MAX_ITEMS, _index(s, d)), "normal", MAX_ITEMS)[0])
 
 
 @add("c03_symbols", _sql(_BASE | _BY_SYMBOL, _FLAT + "c3"))
@@ -133,7 +137,7 @@ def _(s, d):
 @add("c03_early_stop", _sql(_BASE | _EXPLICIT | _LEXICAL, "SELECT request_id FROM (SELECT request_id, path FROM c1 UNION ALL SELECT request_id, path FROM lx WHERE rank <= 16) GROUP BY 1 HAVING count(*) >= 16 AND count(DISTINCT path) >= 8"))
 def _(s, d):
     files, symbols, requests = _tables(s, d)
-    before = assemble.explicit_candidates(files, symbols, assemble.prompt_paths(requests, files))[0].unionByName(assemble.lexical_candidates(files, symbols, assemble.lexical_hits(files, requests, MAX_ITEMS), "minimal", MAX_ITEMS)[0])
+    before = assemble.explicit_candidates(files, symbols, assemble.prompt_paths(requests, files))[0].unionByName(assemble.lexical_candidates(files, symbols, assemble.lexical_hits(files, requests, MAX_ITEMS, _index(s, d)), "minimal", MAX_ITEMS)[0])
     return assemble.symbol_candidates(files, symbols, requests, before, "minimal", MAX_ITEMS)[1].select("request_id")
 
 
@@ -163,29 +167,29 @@ def _(s, d):
 }, "SELECT request_id, count(*) AS reads, sum(tokens)::BIGINT AS tokens FROM tk8 GROUP BY 1"))
 def _(s, d):
     files, _, requests = _tables(s, d)
-    return assemble.manual_baseline(files, requests.select("request_id", F.col("changed_files")[0].alias("path")), assemble.lexical_hits(files, requests, MAX_ITEMS).where(F.col("rank") <= MAX_ITEMS))
+    return assemble.manual_baseline(files, requests.select("request_id", F.col("changed_files")[0].alias("path")), assemble.lexical_hits(files, requests, MAX_ITEMS, _index(s, d)).where(F.col("rank") <= MAX_ITEMS))
 
 
 @add("c04_owner_candidates", _sql(_BASE | _EXPLICIT | _LEXICAL | _BY_SYMBOL | _BY_OWNER, _FLAT + "c4"))
 def _(s, d):
-    return _flat(assemble.candidates(*_tables(s, d), "normal", MAX_ITEMS)["candidates"].where("source = 'test_impact'").withColumn("score", F.lit(10.0)))
+    return _flat(assemble.candidates(*_tables(s, d), "normal", MAX_ITEMS, index=_index(s, d))["candidates"].where("source = 'test_impact'").withColumn("score", F.lit(10.0)))
 
 
 @add("c06_ranked_candidates", _sql(_ALL, "SELECT request_id, path, start_line, end_line, score, round(least(0.99, greatest(0.1, score / 18.0)), 3) AS confidence, source, md5(content) AS h, source_chars FROM cr"))
 def _(s, d):
-    return assemble.candidates(*_tables(s, d), "normal", MAX_ITEMS)["candidates"].select("request_id", "path", "start_line", "end_line", "score", "confidence", "source", F.md5("content").alias("h"), "source_chars")
+    return assemble.candidates(*_tables(s, d), "normal", MAX_ITEMS, index=_index(s, d))["candidates"].select("request_id", "path", "start_line", "end_line", "score", "confidence", "source", F.md5("content").alias("h"), "source_chars")
 
 
 @add("p08_profiles", _sql(_ALL | _cut("lean"), "SELECT request_id, path, start_line, score, source, md5(content) AS h, length(content) AS raw_chars, greatest(0, source_chars - length(content)) AS deferred_chars FROM cp"))
 def _(s, d):
-    made = assemble.candidates(*_tables(s, d), "normal", MAX_ITEMS)
+    made = assemble.candidates(*_tables(s, d), "normal", MAX_ITEMS, index=_index(s, d))
     return assemble.profiled(made["candidates"], "lean").select("request_id", "path", "start_line", "score", "source", F.md5("content").alias("h"), "raw_chars", "deferred_chars")
 
 
 @add("c09_plan_stats", _sql(_ALL | {"z": "SELECT request_id, count(*) AS n, count(*) FILTER (source = 'explicit_path') AS e, count(*) FILTER (source = 'search') AS l, count(*) FILTER (source = 'symbol_index') AS y, count(*) FILTER (source = 'test_impact') AS t FROM cr GROUP BY 1"}, "SELECT request_id, (SELECT count(*) FROM pp WHERE pp.request_id = a.request_id) AS explicit_path_count, coalesce(e, 0) AS explicit_summary_count, 32 AS search_limit, (SELECT count(*) FROM lx WHERE lx.request_id = a.request_id) AS search_result_count, least(24, (SELECT count(*) FROM lx WHERE lx.request_id = a.request_id)) AS search_summary_limit, coalesce(l, 0) AS search_summary_count, 8 AS symbol_limit, coalesce(y, 0) AS symbol_summary_count, false AS symbol_lookup_skipped, (SELECT count(*) FROM ow WHERE ow.request_id = a.request_id) AS test_owner_path_count, coalesce(t, 0) AS test_owner_summary_count FROM asked a LEFT JOIN z USING (request_id)"))
 def _(s, d):
     files, symbols, requests = _tables(s, d)
-    return assemble.plan_stats(assemble.candidates(files, symbols, requests, "normal", MAX_ITEMS), requests, "normal", MAX_ITEMS).drop("source_counts")
+    return assemble.plan_stats(assemble.candidates(files, symbols, requests, "normal", MAX_ITEMS, index=_index(s, d)), requests, "normal", MAX_ITEMS).drop("source_counts")
 
 
 @add("c14_packs", _sql(_ALL | _cut("normal") | _PLACES | selection_sql(MAX_ITEMS, 3600, 2) | {
@@ -194,7 +198,7 @@ def _(s, d):
 }, "SELECT a.request_id, route, array_to_string(terms, ' ') AS terms, (SELECT string_agg(place || ' ' || path || ':' || start_line || ' ' || score, '; ' ORDER BY place) FROM chosen c WHERE c.request_id = a.request_id AND outcome = 'selected') AS items, (SELECT string_agg(coalesce(path, '') || ' ' || reason, '; ' ORDER BY coalesce(path, ''), reason) FROM om WHERE om.request_id = a.request_id) AS omitted, (SELECT count(*) FROM cr WHERE cr.request_id = a.request_id) AS candidate_count, (SELECT tokens FROM ev WHERE ev.request_id = a.request_id)::BIGINT AS baseline_tokens FROM asked a JOIN ar USING (request_id)", recursive=True))
 def _(s, d):
     files, symbols, requests = _tables(s, d)
-    rows = assemble.packs(assemble.candidates(files, symbols, requests, "normal", MAX_ITEMS), requests, "normal", MAX_ITEMS)
+    rows = assemble.packs(assemble.candidates(files, symbols, requests, "normal", MAX_ITEMS, index=_index(s, d)), requests, "normal", MAX_ITEMS)
     item = lambda x: F.concat(x["place"].cast("string"), F.lit(" "), x["path"], F.lit(":"), x["start_line"].cast("string"), F.lit(" "), x["score"].cast("string"))
     left = lambda x: F.concat(F.coalesce(x["path"], F.lit("")), F.lit(" "), x["reason_code"])
     return rows.select("request_id", "route", F.array_join("terms", " ").alias("terms"), F.array_join(F.transform("items", item), "; ").alias("items"), F.array_join(F.array_sort(F.transform("omitted", left)), "; ").alias("omitted"), "candidate_count", "baseline_tokens")
@@ -202,7 +206,7 @@ def _(s, d):
 
 @add("p09_minimal_items", _sql(_ALL | _cut("minimal") | _PLACES | selection_sql(4, 1300, 1), "SELECT request_id, place AS rank, path, start_line, end_line, source, CASE WHEN greatest(score / 14, least(0.99, greatest(0.1, score / 18.0))) >= 0.8 THEN 'high' WHEN greatest(score / 14, least(0.99, greatest(0.1, score / 18.0))) >= 0.45 THEN 'medium' ELSE 'low' END AS confidence, md5(content) AS h FROM chosen WHERE outcome = 'selected'", recursive=True))
 def _(s, d):
-    made = assemble.candidates(*_tables(s, d), "normal", MAX_ITEMS)
+    made = assemble.candidates(*_tables(s, d), "normal", MAX_ITEMS, index=_index(s, d))
     chosen = pack.select_rows(assemble.profiled(made["candidates"], "minimal"), 4, 1300, 1).where("outcome = 'selected'").withColumnRenamed("place", "rank")
     items = assemble.minimal_items(chosen).join(chosen.select("request_id", "rank", "source"), ["request_id", "rank"])
     return items.select("request_id", "rank", "path", F.col("lines")[0].alias("start_line"), F.col("lines")[1].alias("end_line"), "source", "confidence", F.md5("content").alias("h"))

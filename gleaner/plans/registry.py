@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.sanitize import sanitize_json
-from ..operators import corpus, entries, evidence, extract, learn, lookup, memory, metrics, pack, projects, retrieve, stage
+from ..operators import corpus, entries, evidence, extract, index, learn, lookup, memory, metrics, pack, projects, retrieve, stage
 from ..sources import derived as D
 from ..sources import fixtures
 from ..sources.derived import with_tables
@@ -20,6 +20,11 @@ _DOC = lambda s, d: s.read.parquet(f"{d}/documents.parquet")
 AS_OF = 1704200000
 
 
+def _index(s, d):
+    """The written postings of the files, made once a session."""
+    return index.index_of(s, d, lambda: D.files(s, d))
+
+
 def add(name, sql=None):
     def register(f):
         QUERIES[name] = f
@@ -380,7 +385,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score D
 
 @add("flagship_search", _BM25 + "SELECT request_id, rank, path, round(CAST(score AS DOUBLE), 4) AS score FROM ranked WHERE rank <= 5")
 def _(s, d):
-    return retrieve.search(D.files(s, d), D.requests(s, d)).select("request_id", "rank", "path", F.round(F.col("score").cast("double"), 4).alias("score"))
+    return retrieve.search(D.files(s, d), D.requests(s, d), index=_index(s, d)).select("request_id", "rank", "path", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
 _R03 = {
@@ -392,38 +397,38 @@ _R03 = {
 @add("r02_match_features", with_tables("filelines", ctes=_bm25() | _R03, query="SELECT request_id, path, coalesce(ln, 1)::INT AS line, excerpt, term_hits, term_count FROM y"))
 def _(s, d):
     files, requests = D.files(s, d), D.requests(s, d)
-    return retrieve.match_features(retrieve.search(files, requests), files, retrieve.request_terms(requests)).select("request_id", "path", "line", "excerpt", "term_hits", "term_count")
+    return retrieve.match_features(retrieve.search(files, requests, index=_index(s, d)), files, retrieve.request_terms(requests)).select("request_id", "path", "line", "excerpt", "term_hits", "term_count")
 
 
 @add("r03_search_score", with_tables("filelines", ctes=_bm25() | _R03, query="SELECT request_id, path, CAST(round(base + CAST(0.25 * (8 * len(list_filter(ts, lambda t: contains(lower(path), t))) + 4 * len(list_filter(ts, lambda t: contains(lower(excerpt), t))) + 10 * term_hits + least(8, term_count)) AS DECIMAL(18,2)), 4) AS DOUBLE) AS score FROM y"))
 def _(s, d):
     files, requests = D.files(s, d), D.requests(s, d)
-    hits = retrieve.search(files, requests).select("request_id", "path", "score")
+    hits = retrieve.search(files, requests, index=_index(s, d)).select("request_id", "path", "score")
     return retrieve.search_score(retrieve.match_features(hits, files, retrieve.request_terms(requests))).select("request_id", "path", "score")
 
 
 @add("r06_term_fragments", _BM25 + ", tr AS (SELECT request_id, term, path, row_number() OVER (PARTITION BY request_id, term ORDER BY part DESC, path) AS rank FROM part JOIN rq USING (term)) SELECT request_id, term, path, rank FROM tr WHERE rank <= 40")
 def _(s, d):
-    parts = retrieve.bm25(D.files(s, d), retrieve.request_terms(D.requests(s, d))).withColumnRenamed("part", "score")
-    return retrieve.top(parts, 40, "request_id", "term").select("request_id", "term", "path", "rank")
+    terms = retrieve.request_terms(D.requests(s, d))
+    return index.pools(_index(s, d), terms, 40).join(terms, "term").select("request_id", "term", "path", "rank")
 
 
 @add("r07_fragment_merge", with_tables("filelines", ctes=_ASKED | _bm25() | _fragments(), query="SELECT request_id, path, term_hits, term_count, line, excerpt, score FROM mg"))
 def _(s, d):
     files, requests = D.files(s, d), D.requests(s, d)
-    return retrieve.merge_fragments(retrieve.term_fragments(files, retrieve.request_terms(requests)), requests).select("request_id", "path", "term_hits", "term_count", "line", "excerpt", "score")
+    return retrieve.merge_fragments(retrieve.term_fragments(files, retrieve.request_terms(requests), index=_index(s, d)), requests).select("request_id", "path", "term_hits", "term_count", "line", "excerpt", "score")
 
 
 @add("r04_scoped_search", _BM25 + "SELECT request_id, path, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, path) AS rank FROM hit WHERE starts_with(path, 'en/') QUALIFY rank <= 3")
 def _(s, d):
-    scores = retrieve.bm25(D.files(s, d), retrieve.request_terms(D.requests(s, d))).groupBy("request_id", "path").agg(F.sum("part").alias("score"))
+    scores = index.parts(_index(s, d), retrieve.request_terms(D.requests(s, d))).groupBy("request_id", "path").agg(F.sum("part").alias("score"))
     return retrieve.top(scores.where(corpus.in_scope(F.col("path"), "en")), 3, "request_id").select("request_id", "path", "rank")
 
 
 # C ------------------------------------------------------------------------------
 def _candidates(s, d):
     """Hits by their head summaries, under the paths of their folders."""
-    hits = retrieve.search(D.files(s, d), D.requests(s, d), 12)
+    hits = retrieve.search(D.files(s, d), D.requests(s, d), 12, _index(s, d))
     heads = extract.head_summary(D.files(s, d).join(hits.select("path").distinct(), "path", "left_semi")).select("path", "content")
     return hits.join(heads, "path").select("request_id", F.regexp_replace("path", "/doc_.*", "").alias("path"), F.lit(1).alias("start_line"), F.col("rank").alias("end_line"), F.round(F.col("score").cast("double"), 4).alias("score"), "content")
 
@@ -982,12 +987,12 @@ def _first(hits, n):
 @add("r05_exact_path", _BM25 + _EXACT + ", u AS (SELECT request_id, path, max(score) AS score FROM (SELECT request_id, path, CAST(score AS DOUBLE) AS score FROM ranked WHERE rank <= 5 UNION ALL SELECT * FROM ex) GROUP BY ALL) SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, path) AS rank, path FROM u QUALIFY rank <= 5")
 def _(s, d):
     files = D.files(s, d)
-    return _first(lookup.promote_exact(retrieve.search(files, D.requests(s, d)), _path_queries(s, d), files), 5)
+    return _first(lookup.promote_exact(retrieve.search(files, D.requests(s, d), index=_index(s, d)), _path_queries(s, d), files), 5)
 
 
 @add("r08_lookup_search", with_tables("filelines", "lookups", ctes={"asked": "SELECT * FROM lookups"} | _bm25("lookups") | _fragments(), query="SELECT request_id, rank, path, line, score FROM lk WHERE rank <= 5"))
 def _(s, d):
-    return retrieve.lookup_search(D.files(s, d), D.lookups(s, d))
+    return retrieve.lookup_search(D.files(s, d), D.lookups(s, d), index=_index(s, d))
 
 
 _SYM = "filelines", "requests"
@@ -1017,7 +1022,7 @@ def _(s, d):
 
 @add("p09_minimal_summary", _BM25 + "SELECT request_id, 'coding context: top evidence in ' || string_agg(path, ', ' ORDER BY rank) FILTER (rank <= 3) || '.' || CASE WHEN count(*) > 3 THEN ' ' || (count(*) - 3) || ' lower-ranked items deferred.' ELSE '' END AS summary FROM ranked WHERE rank <= 8 GROUP BY 1")
 def _(s, d):
-    hits = retrieve.search(D.files(s, d), D.requests(s, d), 8)
+    hits = retrieve.search(D.files(s, d), D.requests(s, d), 8, _index(s, d))
     return lookup.minimal_summary(hits.where("rank <= 3"), hits.where("rank > 3"), "coding")
 
 
@@ -1029,7 +1034,7 @@ def _(s, d):
 @add("u12_selected_with_term", _BM25 + "SELECT request_id, term, count(*) FILTER (contains(lower(path || ' ' || content), term)) AS n FROM rq JOIN ranked USING (request_id) JOIN files USING (path) WHERE rank <= 5 GROUP BY ALL")
 def _(s, d):
     files, requests = D.files(s, d), D.requests(s, d)
-    items = retrieve.search(files, requests).join(files.select("path", "content"), "path")
+    items = retrieve.search(files, requests, index=_index(s, d)).join(files.select("path", "content"), "path")
     return lookup.selected_with_term(retrieve.request_terms(requests), items)
 
 
@@ -1103,7 +1108,7 @@ def _(s, d):
 
 @add("a16_retrieval_quality", _BM25 + ", an AS (SELECT request_id, path, rank % 4 <> 0 AS required FROM ranked WHERE rank <= 8 AND rank % 2 = 0), it AS (SELECT request_id, path, rank FROM ranked WHERE rank <= 5), j AS (SELECT required, rank FROM an LEFT JOIN it USING (request_id, path)), q AS (SELECT count(*) FILTER (required) AS n, count(*) FILTER (required AND rank <= 3) AS h3, count(*) FILTER (required AND rank <= 5) AS h5, avg(rank) AS mean, count(*) FILTER (required AND rank IS NULL) AS lost FROM j), o AS (SELECT count(*) AS rows, count(*) FILTER (an.path IS NULL) AS noise FROM it LEFT JOIN an USING (request_id, path)) SELECT round(h3 / greatest(1, n), 4) AS anchor_recall_at_3, round(h5 / greatest(1, n), 4) AS anchor_recall_at_5, round(mean, 4) AS first_anchor_rank_avg, round(noise / greatest(1, rows), 4) AS noise_ratio, lost AS required_omissions FROM q, o")
 def _(s, d):
-    hits = retrieve.search(D.files(s, d), D.requests(s, d), 8).withColumnRenamed("request_id", "task")
+    hits = retrieve.search(D.files(s, d), D.requests(s, d), 8, _index(s, d)).withColumnRenamed("request_id", "task")
     anchors = hits.where("rank % 2 = 0").select("task", "path", F.expr("rank % 4 <> 0").alias("required"))
     return lookup.retrieval_quality(anchors, hits.where("rank <= 5").select("task", "path", "rank"))
 

@@ -39,8 +39,20 @@ def language(path: Column) -> Column:
 
 
 def is_binary(content: Column) -> Column:
-    """A NUL in the first 4096 bytes."""
-    return F.instr(F.substring(content, 1, 4096), "\x00") > 0
+    """A NUL in the first 4096 bytes of a binary column."""
+    return F.contains(F.substring(content, 1, 4096), F.lit(b"\x00"))
+
+
+# Suffixes of files that are read as text beside those without any
+TEXT_SUFFIXES = (
+    ".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".go", ".rs", ".c", ".h", ".cc", ".cpp", ".hpp", ".cs", ".php", ".rb", ".swift", ".kt", ".kts", ".sh", ".bash", ".zsh", ".ps1", ".sql", ".html", ".css", ".scss",
+    ".md", ".rst", ".txt", ".toml", ".yaml", ".yml", ".json", ".ini", ".cfg", ".xml", ".csv", ".dockerfile",
+)
+
+
+def is_text_name(path: Column) -> Column:
+    """No suffix, or one of the text suffixes in any case."""
+    return extension(path).isin("", *TEXT_SUFFIXES)
 
 
 def in_listing_order(files: DataFrame, n: int) -> DataFrame:

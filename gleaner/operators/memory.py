@@ -15,9 +15,11 @@ INLINE_BYTES = 131_072
 
 
 def latest(log: DataFrame, *keys: str) -> DataFrame:
-    """The last write of each key, with the time of its first."""
-    w = Window.partitionBy(*keys)
-    return log.withColumn("created_at", F.min("written_at").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("seq")))).where("_r = 1").drop("_r")
+    """The last write of each key, with the time of its first.  Aggregates that
+    each task begins on its own, so a key with very many writes isn't gathered."""
+    rest = [c for c in log.columns if c not in keys]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("_last"), F.min("written_at").alias("created_at"))
+    return last.select(*keys, *[F.col("_last")[c].alias(c) for c in rest if c != "created_at"], "created_at").select(*[c for c in log.columns if c != "created_at"], "created_at")
 
 
 def numbered_decisions(log: DataFrame) -> DataFrame:
@@ -39,9 +41,12 @@ def live(log: DataFrame, as_of: Column, most: int) -> DataFrame:
 
 
 def effective_decisions(log: DataFrame) -> DataFrame:
-    """For each topic a human's word over a model's, then confidence, then recency."""
-    order = [F.when(F.col("decided_by") == "human", 0).otherwise(1), F.desc("confidence"), F.desc("written_at"), F.col("seq")]
-    return log.withColumn("_r", F.row_number().over(Window.partitionBy("namespace", "key").orderBy(*order))).where("_r = 1").drop("_r")
+    """For each topic a human's word over a model's, then confidence, then recency,
+    then the earlier arrival."""
+    rest = [c for c in log.columns if c not in ("namespace", "key")]
+    order = F.struct((F.col("decided_by") == "human").alias("a"), "confidence", "written_at", (-F.col("seq")).alias("d"))
+    best = log.groupBy("namespace", "key").agg(F.max_by(F.struct(*rest), order).alias("_best"))
+    return best.select("namespace", "key", *[F.col("_best")[c].alias(c) for c in rest]).select(*log.columns)
 
 
 def expired(log: DataFrame, as_of: Column) -> DataFrame:

@@ -73,11 +73,6 @@ def _(s, d):
     return D.files(s, d).withColumn("path", path).where((F.col("size") <= 262_144) & ~corpus.excluded(F.col("path"))).select("path", "size")
 
 
-@add("s03_binary_sniff", "SELECT doc_id, strpos(left(text, 4096), chr(0)) > 0 AS is_binary FROM documents")
-def _(s, d):
-    return _DOC(s, d).select("doc_id", corpus.is_binary(F.col("text")).alias("is_binary"))
-
-
 @add("s04_listing_order", _FILES + "SELECT path FROM files ORDER BY string_split(path, '/') LIMIT 500")
 def _(s, d):
     return corpus.in_listing_order(D.files(s, d).select("path"), 500)
@@ -280,17 +275,6 @@ def _(s, d):
     return extract.postings(D.files(s, d)).select("path", "term", "first_line", "tf")
 
 
-@add("x02_x03_python_symbols")
-def _(s, d):
-    files = D.files(s, d).select(F.regexp_replace("path", r"\.txt$", ".py").alias("path"), F.concat(F.lit("import os\n\ndef doc_"), "doc_id", F.lit("(x):\n    return x\n# "), F.length("content")).alias("content"))
-    return extract.python_symbols(files)
-
-
-@add("x04_generic_symbols", "SELECT url AS path, regexp_extract(html, '\\bfunction\\s+([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1) AS name, 'function' AS kind FROM pages WHERE regexp_matches(html, '\\bfunction\\s+([A-Za-z_][A-Za-z0-9_]*)\\s*\\(')")
-def _(s, d):
-    return extract.generic_symbols(s.read.parquet(f"{d}/pages.parquet").select(F.col("url").alias("path"), F.col("html").alias("content"))).where("kind = 'function'").select("path", "name", "kind")
-
-
 # what both summaries make of the picked lines (host paths, which need lookaround, aside)
 def _redacted(col: str) -> str:
     col = _redact_sql(col)
@@ -481,7 +465,7 @@ def _streamed(s, path):
 @add("w01_event_stream", with_tables("event_log", query="SELECT operation, count(*) AS n, sum(k)::BIGINT AS total FROM (SELECT operation, candidates AS k FROM event_log) GROUP BY 1"))
 def _(s, d):
     path, mark = stage.folder(s, "stream-log"), stage.folder(s, "stream-mark")
-    events = _streamed(s, f"{d}/events.parquet").select("event_id", F.col("event_type").alias("operation"), F.regexp_extract("props", r'"k": ([0-9]+)', 1).cast("long").alias("k"))
+    events = _streamed(s, f"{d}/events.parquet").select("event_id", F.col("event_type").alias("operation"), F.regexp_extract("props", r'"k": ([0-9]+)', 1).cast("long").alias("k"), F.col("ts").alias("recorded_at"))
     streams.append_events(events.union(events), path, mark).awaitTermination()  # each event comes twice
     return streams.read_log(s, path).groupBy("operation").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 

@@ -6,10 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evidence, extract, memory, retrieve
+from ..operators import corpus, evidence, extract, memory, retrieve, stage, upkeep
 from ..sources import derived as D
+from ..sources import textfiles
 from ..sources.derived import with_tables
-from .registry import _HEADS, _SUMMARY, _TRIM, _redacted, add
+from ..sources.versions import Store
+from .registry import _HEADS, _SUMMARY, _TRIM, _TOKENS, _redacted, add
 
 _MARKED_LINES = {"marked_lines": D.SQL["filelines"].replace("FROM files", "FROM marked_files")}
 
@@ -77,3 +79,74 @@ def _(s, d):
 def _(s, d):
     rows = extract.head_summary(D.files(s, d)).withColumn("deferred_chars", F.greatest(F.lit(0), F.col("source_chars") - F.length("content")))
     return rows.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("lang")).agg(evidence.baseline_tokens().alias("tokens"))
+
+
+# Programs made of the documents' words: where each word's piece begins, and what it declares.
+_PROGRAM = "SELECT path, 'n_' || unnest(ts) AS n, unnest(range(0, len(ts))) AS i FROM {0} WHERE doc_id % 3 = 0 AND doc_id % 20 <> 3{1}"
+_PLACED = "SELECT path, n, i % 4 AS k, (1 + 7 * (i // 4) + ([0, 1, 3, 6])[i % 4 + 1])::INT AS line FROM program"
+_DECLARED = "SELECT path, n AS name, CASE k WHEN 1 THEN 'function' ELSE 'class' END AS kind, line AS line_start, line + 1 AS line_end, CASE k WHEN 1 THEN 'def ' || n || '(x):' ELSE 'class ' || n || ':' END AS signature FROM placed WHERE k IN (1, 2)"
+_OTHERS = " UNION ALL ".join(f"SELECT path, regexp_extract(line, '{p}', {g}) AS name, '{k}' AS kind, i AS line_start, i AS line_end, left(trim(line), 160) AS signature FROM other_lines WHERE regexp_matches(line, '{p}')" for k, p, g in (("function", r"\bfunction\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(", 1), ("function", r"\bdef\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(", 1), ("class", r"\b(class|struct|interface)\s+([A-Za-z_][A-Za-z0-9_]*)", 2)))
+
+
+def _symbols_sql(files: str, unparsed: str = "") -> dict[str, str]:
+    """Symbols and imports of ``files``; ``unparsed`` names Python files beside those made not to parse."""
+    return {
+        "program": _PROGRAM.format(files, unparsed), "placed": _PLACED, "declared": _DECLARED, "imported": "SELECT path, n AS module, line FROM placed WHERE k IN (0, 3)",
+        "file_lines": D.SQL["filelines"].replace("project_id, ", "").replace("FROM files", f"FROM {files}"),
+        "other_lines": "SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1)::INT AS i FROM file_lines WHERE NOT ends_with(path, '.py')", "others": _OTHERS,
+    }
+
+
+@add("x02_x03_python_symbols", with_tables("source_files", ctes=_symbols_sql("source_files"), query="SELECT * FROM declared UNION ALL SELECT path, module, 'import', line, line, '' FROM imported"))
+def _(s, d):
+    return extract.python_symbols(D.source_files(s, d).where(F.col("path").endswith(".py")))
+
+
+@add("x04_generic_symbols", with_tables("source_files", ctes=_symbols_sql("source_files"), query="SELECT path, name, kind, line_start FROM others"))
+def _(s, d):
+    return extract.generic_symbols(D.source_files(s, d).where(~F.col("path").endswith(".py"))).select("path", "name", "kind", "line_start")
+
+
+_LATER = _symbols_sql("later_sources", " AND (doc_id % 7 <> 0 OR starts_with(path, 'new/'))") | {
+    "lines_of": "SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM file_lines",
+    "toks": f"SELECT path, i, unnest({_TOKENS.format('line')}) AS term FROM lines_of",
+    "rank_of": "SELECT path, i AS last FROM (SELECT path, term, min(i) AS i FROM toks GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY path ORDER BY i, term) = 4000",
+    "posted": f"SELECT path, term, min(i) AS i, count(*) AS n FROM (SELECT t.path, term, i FROM toks t LEFT JOIN rank_of r ON t.path = r.path WHERE last IS NULL OR i <= last UNION ALL SELECT path, unnest({_TOKENS.format('path')}), 1 FROM later_sources) GROUP BY ALL",
+    "four": "SELECT 'files' AS tbl, path, strlen(content) || '|' || sha256(content) AS r FROM later_sources UNION ALL SELECT 'symbols', path, concat_ws('|', name, kind, line_start, line_end, signature) FROM (SELECT * FROM declared UNION ALL SELECT * FROM others) UNION ALL SELECT 'imports', path, module || '|' || line FROM imported UNION ALL SELECT 'postings', path, concat_ws('|', term, i, n) FROM posted",
+}
+
+
+@add("s09_joint_update", with_tables("later_sources", ctes=_LATER, query="SELECT tbl, path, count(*) AS n, md5(string_agg(r, chr(10) ORDER BY r)) AS h FROM four GROUP BY ALL"))
+def _(s, d):
+    """All four tables after the later listing's changes were applied to those of the first."""
+    old, new = D.source_files(s, d), D.later_sources(s, d)
+    store = Store(s, stage.folder(s, "derived"))
+    upkeep.apply_changes(store, 0, old.select("path", "size", "mtime_ns", "content"))
+    upkeep.apply_changes(store, 1, upkeep.changes_of(corpus.refresh_diff(old, new), new))
+    rows = {"files": ("size", "sha256"), "symbols": ("name", "kind", "line_start", "line_end", "signature"), "imports": ("module", "line"), "postings": ("term", "first_line", "tf")}
+    out = None
+    for table, columns in rows.items():
+        part = store.read(table).select(F.lit(table).alias("tbl"), "path", F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).alias("r"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("tbl", "path").agg(F.count("*").alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("r")), "\n")).alias("h"))
+
+
+_BINARY = "CASE WHEN doc_id % 9 = 0 THEN left(text, 50) || chr(0) || substr(text, 51) WHEN doc_id % 9 = 1 THEN repeat('é', 3000) || chr(0) WHEN doc_id % 9 = 2 THEN repeat('x', 5000) || chr(0) ELSE text END"
+_SUFFIX = "(['.txt', '.md', '', '.bin', '.PY'])[doc_id % 5 + 1]"
+
+
+@add("s01_s03_text_files", f"SELECT path, strlen(content) AS size, sha256(content) AS sha256 FROM (SELECT 'f' || doc_id % 4 || '/d_' || doc_id || {_SUFFIX} AS path, doc_id, {_BINARY} AS content FROM documents) WHERE doc_id % 5 <> 3 AND strlen(content) <= 262144 AND doc_id % 9 <> 0")
+def _(s, d):
+    """The documents written as files of their own and read back by S01 and S03."""
+    folder = stage.folder(s, "texts")
+    content = F.expr("case when doc_id % 9 = 0 then left(text, 50) || '\0' || substr(text, 51) when doc_id % 9 = 1 then repeat('é', 3000) || '\0' when doc_id % 9 = 2 then repeat('x', 5000) || '\0' else text end")
+    path = F.expr("'f' || doc_id % 4 || '/d_' || doc_id || element_at(array('.txt', '.md', '', '.bin', '.PY'), cast(doc_id % 5 + 1 as int))")
+    textfiles.write_files(s.read.parquet(f"{d}/documents.parquet").select(path.alias("path"), content.alias("content")), folder)
+    found = textfiles.scan(s, folder)
+    return found.select("path", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@add("s03_binary_sniff", f"SELECT doc_id, regexp_matches(left(hex(encode(c)), 8192), '^(..)*?00') AS is_binary FROM (SELECT doc_id, {_BINARY} AS c FROM documents)")
+def _(s, d):
+    content = F.expr("case when doc_id % 9 = 0 then left(text, 50) || '\0' || substr(text, 51) when doc_id % 9 = 1 then repeat('é', 3000) || '\0' when doc_id % 9 = 2 then repeat('x', 5000) || '\0' else text end")
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", corpus.is_binary(content.cast("binary")).alias("is_binary"))

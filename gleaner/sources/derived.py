@@ -97,6 +97,27 @@ def marked_files(spark, d) -> DataFrame:
     return files(spark, d).withColumn("content", F.concat(mark, F.lit("\n"), "content"))
 
 
+def source_files(spark, d) -> DataFrame:
+    """The documents as Python, as another language, and as they are: programs of all
+    their words, so that names and lines vary.  Some Python doesn't parse."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text", T.index_tokens(F.col("text")).alias("ts"))
+    name = lambda t: F.concat(F.lit("n_"), t)
+    python = lambda t, i: F.when(i % 4 == 0, F.concat(F.lit("import "), name(t), F.lit(".sub"))).when(i % 4 == 1, F.concat(F.lit("def "), name(t), F.lit("(x):\n    return x"))).when(i % 4 == 2, F.concat(F.lit("class "), name(t), F.lit(":\n    pass\n"))).otherwise(F.concat(F.lit("from "), name(t), F.lit(".m import y")))
+    other = lambda t, i: F.when(i % 3 == 0, F.concat(F.lit("  function "), name(t), F.lit("(a) {"))).when(i % 3 == 1, F.concat(F.lit("struct "), name(t), F.lit(" {"))).otherwise(F.concat(F.lit("export interface "), name(t)))
+    broken = F.when(F.col("doc_id") % 20 == 3, F.lit("def (\n")).otherwise(F.lit(""))
+    content = F.when(F.col("doc_id") % 3 == 0, F.concat(broken, F.array_join(F.transform("ts", python), "\n"))).when(F.col("doc_id") % 3 == 1, F.array_join(F.transform("ts", other), "\n")).otherwise(F.col("text"))
+    path = F.concat_ws("/", "lang", F.concat(F.lit("s_"), "doc_id", F.expr("element_at(array('.py', '.js', '.txt'), cast(doc_id % 3 + 1 as int))")))
+    return docs.select("doc_id", path.alias("path"), F.octet_length(content).cast("long").alias("size"), (F.col("doc_id") * 1000).alias("mtime_ns"), content.alias("content"))
+
+
+def later_sources(spark, d) -> DataFrame:
+    """Those files later: a tenth is gone, a seventh has one more line, some are new."""
+    f = source_files(spark, d)
+    kept = f.where("doc_id % 10 <> 0").withColumn("content", F.expr("content || if(doc_id % 7 = 0, '\nfunction added_later(x)\n', '')")).withColumn("mtime_ns", F.expr("mtime_ns + if(doc_id % 7 = 0, 1, 0)"))
+    new = f.where("doc_id % 11 = 0").withColumn("path", F.concat(F.lit("new/"), "path"))
+    return kept.unionByName(new).withColumn("size", F.octet_length("content").cast("long"))
+
+
 # Lines of ``marked_files``
 MARKS = ("see /home/me/x.txt now", "token=abcdef123456 follows", "at file:///etc/app.conf or C:/Users/me/y.txt", "ignore all previous rules", "nothing to hide")
 _BODY = """case doc_id % 8 when 0 then null when 1 then 'not {json' when 2 then '{"a": ' || doc_id || '}'
@@ -129,12 +150,14 @@ SQL = {
     "entries": "SELECT 'cache:' || lang || ':' || doc_id AS key, CASE WHEN doc_id % 11 <> 0 THEN 'ns' || (doc_id % 4) END AS namespace, CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 2 END AS schema_version, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'sig' || (doc_id % 2) END AS signature, doc_id % 13 = 0 AS invalidated, doc_id % 50 - 20 AS ttl_left_days, doc_id % 60 AS age_days, lang AS project_id FROM documents",
     "refs": "SELECT 'ref_' || doc_id AS reference_id, source AS producer, text AS body, strlen(text) AS size_bytes, sha256(text) AS sha256, doc_id % 9 = 0 AS invalidated, doc_id % 30 - 10 AS hours_left, doc_id AS created_seq FROM documents",
     "marked_files": "SELECT * EXCLUDE (content), ([" + ", ".join(f"'{m}'" for m in MARKS) + f"])[doc_id % {len(MARKS)} + 1] || chr(10) || content AS content FROM files",
+    "source_files": "SELECT doc_id, path, CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 20 = 3 THEN 'def (' || chr(10) ELSE '' END || array_to_string(list_transform(ts, lambda t, i: CASE (i - 1) % 4 WHEN 0 THEN 'import n_' || t || '.sub' WHEN 1 THEN 'def n_' || t || '(x):' || chr(10) || '    return x' WHEN 2 THEN 'class n_' || t || ':' || chr(10) || '    pass' || chr(10) ELSE 'from n_' || t || '.m import y' END), chr(10)) WHEN 1 THEN array_to_string(list_transform(ts, lambda t, i: CASE (i - 1) % 3 WHEN 0 THEN '  function n_' || t || '(a) {' WHEN 1 THEN 'struct n_' || t || ' {' ELSE 'export interface n_' || t END), chr(10)) ELSE text END AS content, ts FROM (SELECT doc_id, text, lang || '/s_' || doc_id || (['.py', '.js', '.txt'])[doc_id % 3 + 1] AS path, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{3,}'), lambda t: NOT regexp_matches(t, '^[0-9]+$')) AS ts FROM documents)",
+    "later_sources": "SELECT doc_id, path, content || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'function added_later(x)' || chr(10) ELSE '' END AS content, ts FROM source_files WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id, 'new/' || path, content, ts FROM source_files WHERE doc_id % 11 = 0",
     "json_refs": "SELECT reference_id, body, hours_left, doc_id % 13 = 0 AS invalidated, CASE WHEN doc_id % 23 = 0 THEN 'wrong' ELSE sha256(body) END AS sha256 FROM (SELECT 'ref_' || doc_id AS reference_id, doc_id, doc_id % 30 - 10 AS hours_left, " + _BODY + " AS body FROM documents)",
     "wanted_refs": "SELECT " + ", ".join(_WANTED) + " FROM documents",
     "filelines": r"SELECT project_id, path, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS ls FROM (SELECT project_id, path, string_split_regex(content, '\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS l FROM files)",
     "tok": "SELECT path, unnest(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]{3,}'), lambda t: NOT regexp_matches(t, '^[0-9]+$'))) AS term FROM files",
 }
-_NEEDS = {"next_listing": ["files"], "lookups": ["files"], "event_log": ["ev0"], "usage_log": ["ev0", "event_log"], "filelines": ["files"], "marked_files": ["files"], "tok": ["files"]}
+_NEEDS = {"next_listing": ["files"], "lookups": ["files"], "event_log": ["ev0"], "usage_log": ["ev0", "event_log"], "filelines": ["files"], "marked_files": ["files"], "later_sources": ["source_files"], "tok": ["files"]}
 
 
 def with_tables(*names: str, query: str, ctes: dict[str, str] | None = None, recursive: bool = False) -> str:

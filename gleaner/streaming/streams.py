@@ -1,87 +1,94 @@
 """Structured Streaming forms (W operators); each equals its batch twin.
 
-Tables that a stream keeps up to date are versions: batch ``n`` writes the folder
-``batch=n``, whole, from the version before it and its own rows.  A batch that is run
-again after a failure writes the same version again, and readers take the last one.
+Tables that a stream keeps up to date are stores of hash buckets (``sources.versions``):
+a batch rewrites the buckets of its own keys and commits them as one version.  A batch
+that is run again after a failure writes the same version again; readers take the last
+version that was committed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract, memory
+from ..sources.versions import Store
+
+#: Buckets of a stream's table.
+BUCKETS = 64
+
+
+def _run(stream: DataFrame, checkpoint: str, step):
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_events(stream: DataFrame, log_path: str, checkpoint: str):
-    """Append new events to the log, once by event_id, and stop when all
-    available input is in; aggregates are read from the log.  The log itself says which
-    ids are in, so no state is kept for ever and no late event is lost."""
+    """Append new events to the log, once by event_id, and stop when all available
+    input is in.  An event's copies have its ``recorded_at``, so a batch is compared
+    with the ids of its own days alone (of its ids' buckets, if events have no time); it
+    writes only its new rows.  No state is kept for ever, and no late event is lost."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        store = Store(batch.sparkSession, log_path)
         new = batch.dropDuplicates(["event_id"])
-        log = read_log(batch.sparkSession, log_path, batch_id)
+        day = F.coalesce(F.date_diff(F.to_date("recorded_at"), F.lit("1970-01-01").cast("date")), F.lit(-1)) if "recorded_at" in new.columns else store.bucket("event_id")
+        days = {r["d"] for r in new.select(day.alias("d")).distinct().collect()}  # a number a day
+        log = store.read("log", days, batch_id)
         if log is not None:
             new = new.join(log.select("event_id"), "event_id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        store.commit(batch_id, {"log": (new, day)}, None, append=True)
 
+    return _run(stream, checkpoint, append)
 
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    """The batches written under ``path``, in order."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
 
+def read_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """What ``append_events`` has written."""
+    rows = Store(spark, path).read("log")
+    return None if rows is None else rows.drop("_bucket")
 
-def read_log(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """What ``append_events`` has written, by batches before ``before`` if given."""
-    paths = [f"{path}/batch={n}" for n in _batches(spark, path) if before is None or n < before]
-    return spark.read.parquet(*paths) if paths else None
 
+def last_version(spark: SparkSession, path: str, table: str = "rows") -> DataFrame | None:
+    """A table as the last committed batch left it."""
+    rows = Store(spark, path).read(table)
+    return None if rows is None else rows.drop("_bucket")
 
-def last_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The last version of a table, or the last one before batch ``before``."""
-    found = [n for n in _batches(spark, path) if before is None or n < before]
-    return spark.read.parquet(f"{path}/batch={found[-1]}") if found else None
 
+def refresh_corpus(stream: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
+    """Postings of files as they change: those of the paths in a batch are taken out
+    and made again from their last content (the greatest mtime_ns).  A path whose last
+    content is null was removed."""
 
-def _fold(stream: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame | None, DataFrame], DataFrame]):
-    def run(batch: DataFrame, batch_id: int) -> None:
-        made = step(last_version(batch.sparkSession, path, batch_id), batch)
-        made.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def step(batch: DataFrame, batch_id: int) -> None:
+        store = Store(batch.sparkSession, path, buckets)
+        last = batch.groupBy("path").agg(F.max_by(F.struct("content"), "mtime_ns")["content"].alias("content"))
+        fresh = extract.postings(last.where("content is not null"))
 
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        def apply(before):
+            rows = before["rows"]
+            return {"rows": fresh if rows is None else rows.drop("_bucket").join(last.select("path"), "path", "left_anti").unionByName(fresh)}
 
+        store.update(batch_id, last, ["path"], apply, ["rows"])
 
-def refresh_corpus(stream: DataFrame, path: str, checkpoint: str):
-    """Postings of files as they change: those of the paths in a batch are taken out
-    and made again from their last content (the greatest mtime_ns)."""
+    return _run(stream, checkpoint, step)
 
-    def step(current: DataFrame | None, batch: DataFrame) -> DataFrame:
-        last = batch.groupBy("path").agg(F.max(F.struct("mtime_ns", "content"))["content"].alias("content"))
-        fresh = extract.postings(last)
-        return fresh if current is None else current.join(last.select("path"), "path", "left_anti").unionByName(fresh)
 
-    return _fold(stream, path, checkpoint, step)
+def upsert_memory(stream: DataFrame, path: str, checkpoint: str, *keys: str, buckets: int = BUCKETS):
+    """The last write of each key (M01), with the time of its first.  A null ``value``
+    removes the key."""
 
+    def step(batch: DataFrame, batch_id: int) -> None:
+        store = Store(batch.sparkSession, path, buckets)
+        writes = batch.withColumn("created_at", F.col("written_at"))
 
-def upsert_memory(stream: DataFrame, path: str, checkpoint: str, *keys: str):
-    """The last write of each key (M01), with the time of its first."""
+        def apply(before):
+            both = writes if before["rows"] is None else before["rows"].drop("_bucket").unionByName(writes)
+            first = both.groupBy(*keys).agg(F.min("created_at").alias("_first"))
+            made = memory.latest(both.drop("created_at"), *keys).drop("created_at").join(first, list(keys)).withColumnRenamed("_first", "created_at")
+            return {"rows": made.where("value is not null")}
 
-    def step(current: DataFrame | None, batch: DataFrame) -> DataFrame:
-        writes = batch.withColumn("created_at", F.col("written_at"))
-        both = writes if current is None else current.unionByName(writes)
-        first = both.groupBy(*keys).agg(F.min("created_at").alias("_first"))
-        return memory.latest(both.drop("created_at"), *keys).drop("created_at").join(first, list(keys)).withColumnRenamed("_first", "created_at")
+        store.update(batch_id, batch, list(keys), apply, ["rows"])
 
-    return _fold(stream, path, checkpoint, step)
+    return _run(stream, checkpoint, step)
 
 
 def count_changes(stream: DataFrame) -> DataFrame:

@@ -99,11 +99,6 @@ def create_references(rows: DataFrame, run_id: str, key: str, *fields: str) -> D
     return rows.select(F.concat(F.lit("ref_"), T.digest(F.concat_ws(":", F.lit(run_id), key), 24)).alias("reference_id"), F.sha2(body, 256).alias("sha256"), F.octet_length(body).cast("long").alias("size_bytes"))
 
 
-def hot_chunks(selections: DataFrame) -> DataFrame:
-    """How often and when last each (path, anchor, route) was selected."""
-    return selections.groupBy("path", "anchor", "route").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
-
-
 def stage_latency(events: DataFrame) -> DataFrame:
     """Latencies by operation and stage of ``stage_timings``, a map."""
     each = events.select("event_id", "operation", F.explode("stage_timings").alias("stage", "ms"))

@@ -164,15 +164,13 @@ def skill_cards(skills: DataFrame) -> DataFrame:
 
 
 def miss_reasons(misses: DataFrame, entries: DataFrame) -> DataFrame:
-    """Why each miss(namespace, schema_version, signature, path) found nothing,
-    by the first facet that no entry of its namespace has; an empty signature fits
-    any.  Facets join the different values of a namespace, not entries and misses."""
-    tops = entries.groupBy("namespace").agg(F.max("schema_version").alias("_top"))
-    fits = entries.select("namespace", F.explode(F.array_distinct(F.array("signature", F.lit("")))).alias("signature"), "path").distinct()
-    signatures = fits.select("namespace", "signature", F.lit(True).alias("_signature")).distinct()
-    rows = misses.join(tops, "namespace", "left").join(signatures, ["namespace", "signature"], "left").join(fits.withColumn("_path", F.lit(True)), ["namespace", "signature", "path"], "left")
-    reason = F.when(F.col("_top").isNull(), "no_compatible_entry").when(F.col("_top") < F.col("schema_version"), "schema_version_changed").when(F.col("_signature").isNull(), "index_changed").when((F.col("path") != "") & F.col("_path").isNull(), "path_changed").otherwise("no_compatible_entry")
-    return rows.withColumn("reason", reason).select(*misses.columns, "reason")
+    """K05 for misses and entries with (namespace, schema_version, signature, path) alone:
+    ``misses`` with their reason."""
+    from . import warm
+
+    asked = kept(misses.withColumn("miss_id", F.monotonically_increasing_id()), "misses")
+    found = warm.miss_reasons(asked.withColumnRenamed("signature", "refresh_signature"), entries.withColumnRenamed("signature", "refresh_signature"))
+    return asked.join(found, "miss_id").select(*misses.columns, "reason")
 
 
 def retrieval_quality(anchors: DataFrame, items: DataFrame) -> DataFrame:

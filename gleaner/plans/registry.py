@@ -922,11 +922,6 @@ def _(s, d):
     return learn.without_negative(stats, learn.negative_terms(stats)).select("term", "route", "path_scope")
 
 
-@add("u06_hot_chunks", _a("SELECT operation || '/' || candidates AS path, selected AS anchor, route, count(*) AS n, max(event_id) AS last_seq FROM event_log GROUP BY ALL"))
-def _(s, d):
-    return evidence.hot_chunks(D.event_log(s, d).selectExpr("operation || '/' || candidates as path", "selected as anchor", "route", "event_id as seq"))
-
-
 @add("a04_stage_latency", _a("SELECT operation, stage, count(*) AS n, min(ms) AS min_ms, max(ms) AS max_ms, arg_max(ms, event_id) AS last_ms FROM (SELECT event_id, operation, 'index' AS stage, elapsed_ms AS ms FROM event_log UNION ALL SELECT event_id, operation, 'read', candidates::DOUBLE FROM event_log) GROUP BY ALL"))
 def _(s, d):
     return evidence.stage_latency(D.event_log(s, d).withColumn("stage_timings", F.expr("map('index', elapsed_ms, 'read', cast(candidates as double))")))
@@ -1084,12 +1079,6 @@ def _(s, d):
     return accepted.select("seq", F.lit(None).cast("string").alias("reason"), F.md5("value").alias("h"), "redacted").unionByName(rejected.select("seq", "reason", F.lit(None).cast("string").alias("h"), F.lit(None).cast("boolean").alias("redacted")))
 
 
-@add("k05_miss_reason", with_tables("entries", query=", m AS (SELECT doc_id, 'ns' || (doc_id % 5) AS namespace, doc_id % 4 AS schema_version, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'sig' || (doc_id % 3) END AS signature, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 8 = 0 THEN 'gone' ELSE lang END AS path FROM documents) SELECT doc_id, CASE WHEN NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace) THEN 'no_compatible_entry' WHEN NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.schema_version >= m.schema_version) THEN 'schema_version_changed' WHEN m.signature <> '' AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.signature = m.signature) THEN 'index_changed' WHEN m.path <> '' AND m.signature <> '' AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.signature = m.signature AND e.project_id = m.path) THEN 'path_changed' WHEN m.path <> '' AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.project_id = m.path) THEN 'path_changed' ELSE 'no_compatible_entry' END AS reason FROM m").replace(") , m AS", "), m AS"))
-def _(s, d):
-    misses = _DOC(s, d).selectExpr("doc_id", "concat('ns', doc_id % 5) as namespace", "doc_id % 4 as schema_version", "if(doc_id % 7 = 0, '', concat('sig', doc_id % 3)) as signature", "case when doc_id % 9 = 0 then '' when doc_id % 8 = 0 then 'gone' else lang end as path")
-    return lookup.miss_reasons(misses, D.entries(s, d).withColumnRenamed("project_id", "path")).select("doc_id", "reason")
-
-
 @add("a16_retrieval_quality", _BM25 + ", an AS (SELECT request_id, path, rank % 4 <> 0 AS required FROM ranked WHERE rank <= 8 AND rank % 2 = 0), it AS (SELECT request_id, path, rank FROM ranked WHERE rank <= 5), j AS (SELECT required, rank FROM an LEFT JOIN it USING (request_id, path)), q AS (SELECT count(*) FILTER (required) AS n, count(*) FILTER (required AND rank <= 3) AS h3, count(*) FILTER (required AND rank <= 5) AS h5, avg(rank) AS mean, count(*) FILTER (required AND rank IS NULL) AS lost FROM j), o AS (SELECT count(*) AS rows, count(*) FILTER (an.path IS NULL) AS noise FROM it LEFT JOIN an USING (request_id, path)) SELECT round(h3 / greatest(1, n), 4) AS anchor_recall_at_3, round(h5 / greatest(1, n), 4) AS anchor_recall_at_5, round(mean, 4) AS first_anchor_rank_avg, round(noise / greatest(1, rows), 4) AS noise_ratio, lost AS required_omissions FROM q, o")
 def _(s, d):
     hits = retrieve.search(D.files(s, d), D.requests(s, d), 8, _index(s, d)).withColumnRenamed("request_id", "task")
@@ -1116,4 +1105,4 @@ def _(s, d):
     return lookup.project_listing(docs.selectExpr("source as project_id", "concat('k/', lang) as root"), D.files(s, d).selectExpr("project_id", "concat('d/', project_id) as root"), docs.where("doc_id % 2 = 0").selectExpr("source as project_id", "concat('v/', source) as root"))
 
 
-from . import packs, upkeep  # noqa: E402, F401  register their queries
+from . import packs, upkeep, warm  # noqa: E402, F401  register their queries

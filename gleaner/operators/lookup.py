@@ -112,16 +112,19 @@ def rank_skills(skills: DataFrame, requests: DataFrame, n: int = 3) -> DataFrame
     """(request_id, skill_id, rank, score): 3 for each of a request's terms in a
     skill's text, 2 for each in its key, 2 for the route in its text, a half for each of
     the text's first 24 terms in the prompt, and its confidence; above 1, the best ``n``.
-    Only pairs of which one side's term may occur in the other's text are scored: they
-    are joined on the term's first three characters."""
+    Only pairs of which one side's text holds a term of the other are scored; terms find
+    texts by their rarest run of three characters."""
     text = F.lower(F.concat_ws(" ", "namespace", "key", "value"))
     known = skills.select("skill_id", F.lower("key").alias("key"), text.alias("h"), T.query_terms(text, 24).alias("own"), F.least("confidence", F.lit(1.0)).alias("confidence"))
     asked = requests.select("request_id", F.lower("prompt").alias("prompt"), T.query_terms(F.col("prompt")).alias("terms"), F.lower("route").alias("route"))
     within = lambda terms, h: F.size(F.filter(terms, lambda t: F.contains(F.col(h), t)))
     half = 6 * within("terms", "h") + 4 * within("terms", "key") + F.when((F.col("route") != "") & F.contains("h", F.col("route")), 4).otherwise(0) + within("own", "prompt")
-    sought = lambda df, key, terms: df.select(key, F.explode(F.transform(terms, lambda t: F.substring(t, 1, 3))).alias("gram")).where(F.length("gram") == 3).distinct()
-    met = sought(asked, "request_id", F.concat("terms", F.array("route"))).join(known.select("skill_id", F.explode(_grams(F.col("h"))).alias("gram")), "gram").select("request_id", "skill_id")
-    met = met.union(sought(known, "skill_id", F.col("own")).join(asked.select("request_id", F.explode(_grams(F.col("prompt"))).alias("gram")), "gram").select("request_id", "skill_id")).distinct()
+    each = lambda df, key, terms: df.select(key, F.explode(F.array_distinct(terms)).alias("term")).where(F.length("term") >= 3)
+    wanted, offered = each(asked, "request_id", F.concat("terms", F.array("route"))), each(known, "skill_id", F.col("own"))
+    prompts = asked.select("request_id", F.col("prompt").alias("h"))
+    sought = rarest_grams(known, "skill_id", wanted).join(known.select("skill_id", "h"), "skill_id").where(F.contains("h", F.col("term"))).select("skill_id", "term")
+    named = rarest_grams(prompts, "request_id", offered).join(prompts, "request_id").where(F.contains("h", F.col("term"))).select("request_id", "term")
+    met = sought.join(wanted, "term").select("request_id", "skill_id").union(named.join(offered, "term").select("request_id", "skill_id")).distinct()
     pairs = met.join(asked, "request_id").join(known, "skill_id").select("request_id", "skill_id", F.round(half * 0.5 + F.col("confidence"), 4).alias("score")).where("score > 1")
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), "skill_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("request_id", "skill_id", "rank", "score")

@@ -177,7 +177,7 @@ def packs(made: dict[str, DataFrame], requests: DataFrame, profile: str = "norma
     rows = profiled(made["candidates"], profile)
     chosen = pack.select_rows(rows, max_items, budget, 1 if profile in ONE_A_PATH else 2)
     picked = F.col("outcome") == "selected"
-    item = F.struct("place", "path", "start_line", "end_line", "score", "confidence", "reason_codes", "source", "title_hint", "content")
+    item = F.struct("place", "path", "start_line", "end_line", "score", "confidence", "reason_codes", "source", "title_hint", "content", "detail_lookup")
     both = chosen.groupBy("request_id").agg(F.array_sort(F.collect_list(F.when(picked, item))).alias("items"), F.array_sort(F.collect_list(F.when(~picked, F.struct("place", "path", F.col("outcome").alias("reason_code"))))).alias("left"), F.count("*").alias("candidate_count"), F.count_if(picked).alias("selected_count"), evidence.baseline_tokens().alias("baseline_tokens"), F.coalesce(F.sum(F.when(picked, F.col("raw_chars"))), F.lit(0)).alias("selected_chars"))
     early = made["omitted"].groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(F.lit(0).alias("place"), "path", "reason_code"))).alias("early"))
     about = requests.select("request_id", T.route(F.col("prompt")).alias("route"), T.query_terms(F.col("prompt")).alias("terms"), T.digest(F.col("prompt")).alias("prompt_sha256"))

@@ -144,14 +144,22 @@ SKILL_LIMITS = {"required_workflow": 4, "key_constraints": 4, "useful_commands_o
 SKILL_BODY = 6000
 
 
+def card_id(namespace: Column, key: Column) -> Column:
+    """The key's safe characters and eight digits of the skill's digest."""
+    safe = F.regexp_replace(F.regexp_replace(F.trim(key), "[^A-Za-z0-9_.-]+", "-"), "^-+|-+$", "")
+    return F.concat(F.when(safe == "", "skill").otherwise(safe), F.lit("-"), T.digest(F.concat_ws(":", namespace, key), 8))
+
+
 def skill_cards(skills: DataFrame) -> DataFrame:
     """A card for each skill(namespace, key, value): id, provider, name, digest, when
     to use it (its first sentence), and the different lines that mark workflow,
-    constraints and resources.  The body is cut to 6000 characters and redacted."""
+    constraints and resources.  The body is cut to 6000 characters and redacted.  A
+    ``skill_id`` stays with its card."""
+    own = [c for c in ("skill_id",) if c in skills.columns]
     bare = lambda x: F.regexp_replace(x, r"^[ \-:\t]+|[ \-:\t]+$", "")
     parts = lambda text, at: F.filter(F.transform(F.split(text, at), bare), lambda x: x != "")
     body, description = T.redact(F.substring("value", 1, SKILL_BODY)), T.redact(F.col("value"))
-    rows = skills.select("namespace", "key", "value", F.concat_ws("\n", description, body).alias("_text"), description.alias("_about"))
+    rows = skills.select(*own, "namespace", "key", "value", F.concat_ws("\n", description, body).alias("_text"), description.alias("_about"))
     lines = parts(F.col("_text"), r"[\n;]+")
 
     def bullets(name: str) -> Column:
@@ -159,10 +167,9 @@ def skill_cards(skills: DataFrame) -> DataFrame:
         found = F.slice(F.array_distinct(F.transform(marked, lambda x: T.trim_text(x, 180))), 1, SKILL_LIMITS[name])
         return F.when((F.size(found) == 0) & F.lit(name in SKILL_FALLBACKS), F.array(F.lit(SKILL_FALLBACKS.get(name, "")))).otherwise(found).alias(name)
 
-    safe = F.regexp_replace(F.regexp_replace(F.trim("key"), "[^A-Za-z0-9_.-]+", "-"), "^-+|-+$", "")
-    ident = F.concat(F.when(safe == "", "skill").otherwise(safe), F.lit("-"), T.digest(F.concat_ws(":", "namespace", "key"), 8))
+    ident = card_id(F.col("namespace"), F.col("key"))
     first = F.get(parts(F.col("_about"), r"[\n.]+"), F.lit(0))
-    return rows.select(ident.alias("id"), F.regexp_replace("namespace", "^skills/", "").alias("provider"), T.trim_text(F.col("key"), 80).alias("name"), F.concat(F.lit("sha256:"), F.sha2("value", 256)).alias("content_digest"),
+    return rows.select(*own, ident.alias("id"), F.regexp_replace("namespace", "^skills/", "").alias("provider"), T.trim_text(F.col("key"), 80).alias("name"), F.concat(F.lit("sha256:"), F.sha2("value", 256)).alias("content_digest"),
                        F.coalesce(T.trim_text(first, 180), F.concat(F.lit("Use for tasks matching "), "key", F.lit("."))).alias("when_to_use"), *[bullets(n) for n in SKILL_MARKERS])
 
 

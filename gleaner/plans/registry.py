@@ -593,11 +593,6 @@ def _(s, d):
     return entries.keyspace(D.entries(s, d))
 
 
-@add("k10_row_search", _k("SELECT key, status FROM st WHERE contains(lower(concat_ws(' ', key, namespace, signature, status, reason)), 'sig1') ORDER BY CASE status WHEN 'stale' THEN 0 WHEN 'expired' THEN 1 ELSE 2 END, age_days, key LIMIT 50"))
-def _(s, d):
-    return entries.search(D.entries(s, d), "SIG1", 50).select("key", "status")
-
-
 # U ------------------------------------------------------------------------------
 _U = """, la AS (SELECT term, route, path_scope, max(CASE WHEN result_count > 0 THEN seq END) AS ok, max(CASE WHEN selected_count > 0 THEN seq END) AS ch, max(seq) AS last_seq FROM usage_log GROUP BY ALL),
 ts AS (SELECT term, route, path_scope, count(*) AS uses, sum(result_count)::BIGINT AS results, sum(selected_count)::BIGINT AS selections, count(*) FILTER (cache_hit) AS hits, count(*) FILTER (NOT cache_hit) AS misses, arg_max(result_count, seq) AS last_results,
@@ -1119,4 +1114,4 @@ def _(s, d):
     return lookup.project_listing(docs.selectExpr("source as project_id", "concat('k/', lang) as root"), D.files(s, d).selectExpr("project_id", "concat('d/', project_id) as root"), docs.where("doc_id % 2 = 0").selectExpr("source as project_id", "concat('v/', source) as root"))
 
 
-from . import packs, upkeep, warm  # noqa: E402, F401  register their queries
+from . import packs, respond, upkeep, warm  # noqa: E402, F401  register their queries

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CURRENT_SCHEMA = 2
-SUPPORTED = ("ns0", "ns1", "ns2")
+#: Namespaces of fragments, the one of them that a search backend made, and those that are no longer used.
+FRAGMENTS, SEARCH, UNSUPPORTED = ("ns0", "ns1"), "ns0", ("ns3",)
 
 
-def with_status(entries: DataFrame, signature: str = "sig1") -> DataFrame:
-    """Status and reason by the first rule that holds."""
+def with_status(entries: DataFrame, backend: str = "b1") -> DataFrame:
+    """Status and reason by the first rule that holds.  Only fragments must have the
+    current schema and a signature, and only those of searches the backend's version."""
+    space = F.coalesce("namespace", F.lit("unknown"))
+    fragment, search, version = space.isin(*FRAGMENTS), space == SEARCH, F.coalesce("backend", F.lit("")) if "backend" in entries.columns else F.lit(backend)
     rules = (
-        (F.col("invalidated"), "stale", "invalidated"), (F.coalesce("namespace", F.lit("unknown")).isin(*SUPPORTED) == F.lit(False), "stale", "unsupported_namespace"), (F.col("schema_version") < CURRENT_SCHEMA, "stale", "legacy_schema"),
-        (F.col("signature") == "", "stale", "signature_missing"), (F.col("signature") != signature, "stale", "signature_changed"), (F.col("ttl_left_days") < 0, "expired", "expired"),
+        (F.col("invalidated"), "stale", "invalidated"), (space.isin(*UNSUPPORTED), "stale", "unsupported_namespace"), (fragment & (F.coalesce("schema_version", F.lit(0)) < CURRENT_SCHEMA), "stale", "legacy_schema"),
+        (fragment & (F.coalesce("signature", F.lit("")) == ""), "stale", "signature_missing"), (search & (version == ""), "stale", "backend_missing"), (search & (version != backend), "stale", "backend_changed"), (F.col("ttl_left_days") < 0, "expired", "expired"),
     )
     status = reason = None
     for rule, s, r in rules:

@@ -100,9 +100,11 @@ def create_references(rows: DataFrame, run_id: str, key: str, *fields: str) -> D
 
 
 def stage_latency(events: DataFrame) -> DataFrame:
-    """Latencies by operation and stage of ``stage_timings``, a map."""
-    each = events.select("event_id", "operation", F.explode("stage_timings").alias("stage", "ms"))
-    return each.groupBy("operation", "stage").agg(F.count("*").alias("n"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.max_by("ms", "event_id").alias("last_ms"))
+    """Latencies by operation and stage of ``stage_timings``, a map; stages that an
+    event didn't time don't count."""
+    each = events.select("event_id", "operation", F.explode("stage_timings").alias("stage", "ms")).where("ms is not null")
+    total = F.sum(F.col("ms").cast("decimal(18,6)"))
+    return each.groupBy("operation", "stage").agg(F.count("*").alias("n"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.max_by("ms", "event_id").alias("last_ms"), F.round(total, 3).cast("double").alias("total_ms"), F.round(total.cast("double") / F.count("*"), 3).alias("avg_ms"))
 
 
 def fragment_totals(events: DataFrame) -> DataFrame:
@@ -126,6 +128,7 @@ def pack_kpis(by_operation: DataFrame, pack: str) -> DataFrame:
 
 
 def infer_project(hints: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
-    """The root that holds all hinted paths of a key, else ambiguous."""
-    rows = hints.join(assigned, "path").groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    return rows.select(key, F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("ambiguous").alias("root"))
+    """The one root that holds hinted paths of a key, ambiguous if several do, null
+    if none does."""
+    rows = hints.join(assigned, "path", "left").groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return rows.select(key, F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNotNull(), "ambiguous").alias("root"))

@@ -121,13 +121,18 @@ def file_records(files: DataFrame, indexed_at, symbols: DataFrame | None = None)
     return rows.join(summary, "path")
 
 
+# Versions of what makes chunks
+EXTRACTOR_VERSION, REDACTION_VERSION = "chunk-lines-1", "redact-1"
+
+
 def chunks(files: DataFrame, width: int = 80) -> DataFrame:
-    """Windows of ``width`` lines with an id from path, file token and range."""
+    """Windows of ``width`` lines with an id from path, file token and range, and the
+    versions that made them."""
     n = F.size(T.lines(F.col("content")))
     rows = files.select("path", n.alias("n"), F.substring(F.sha2("content", 256), 1, 16).alias("token")).where("n > 0")
     rows = rows.select("path", "token", "n", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(width))).alias("start_line"))
     end = F.least(F.col("start_line") + width - 1, F.col("n"))
-    return rows.select("path", "start_line", end.alias("end_line"), F.concat(F.lit("chk_"), T.digest(F.concat_ws(":", "path", "token", "start_line", end), 16)).alias("chunk_id"))
+    return rows.select("path", "start_line", end.alias("end_line"), F.concat(F.lit("chk_"), T.digest(F.concat_ws(":", "path", "token", "start_line", end), 16)).alias("chunk_id"), F.lit(EXTRACTOR_VERSION).alias("extractor_version"), F.lit(REDACTION_VERSION).alias("redaction_version"))
 
 
 def snippets(files: DataFrame, wanted: DataFrame, before: int = 0, after: int = 0, most: int = 4000) -> DataFrame:

@@ -118,3 +118,11 @@ def slowest(events: DataFrame) -> DataFrame:
     per = events.groupBy("route", "operation").agg(ms.alias("avg_ms"))
     w = Window.partitionBy("route").orderBy(F.desc("avg_ms"), "operation")
     return per.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def slowest_stage(latency: DataFrame) -> DataFrame:
+    """The stage with the highest average of each operation, the first by name of
+    equals, and its last value: that of the last event which timed it."""
+    best = latency.groupBy("operation").agg(F.max("avg_ms").alias("avg_ms"))
+    first = latency.join(best, ["operation", "avg_ms"]).groupBy("operation", "avg_ms").agg(F.min(F.struct("stage", "last_ms")).alias("m"))
+    return first.select("operation", "m.stage", "avg_ms", "m.last_ms")

@@ -303,7 +303,7 @@ def _(s, d):
     return _flat_summary(extract.anchored_summary(f, f.select("path", (F.col("doc_id") % 5 + 1).cast("int").alias("anchor"))))
 
 
-@add("x07_chunks", with_tables("filelines", query=", n AS (SELECT path, len(ls) AS n, left(sha256(content), 16) AS t FROM filelines JOIN files USING (path)), c AS (SELECT path, t, n, unnest(range(1, n + 1, 80)) AS a FROM n WHERE n > 0) SELECT path, a AS start_line, least(a + 79, n) AS end_line, 'chk_' || left(sha256(path || ':' || t || ':' || a || ':' || least(a + 79, n)), 16) AS chunk_id FROM c").replace(") , n AS", "), n AS"))
+@add("x07_chunks", with_tables("filelines", query=", n AS (SELECT path, len(ls) AS n, left(sha256(content), 16) AS t FROM filelines JOIN files USING (path)), c AS (SELECT path, t, n, unnest(range(1, n + 1, 80)) AS a FROM n WHERE n > 0) SELECT path, a AS start_line, least(a + 79, n) AS end_line, 'chk_' || left(sha256(path || ':' || t || ':' || a || ':' || least(a + 79, n)), 16) AS chunk_id, 'chunk-lines-1' AS extractor_version, 'redact-1' AS redaction_version FROM c").replace(") , n AS", "), n AS"))
 def _(s, d):
     return extract.chunks(D.files(s, d))
 
@@ -549,8 +549,9 @@ def _(s, d):
 
 
 # K ------------------------------------------------------------------------------
-_K = """, st AS (SELECT *, CASE WHEN invalidated OR coalesce(namespace, 'unknown') NOT IN ('ns0','ns1','ns2') OR schema_version < 2 OR signature = '' OR signature <> 'sig1' THEN 'stale' WHEN ttl_left_days < 0 THEN 'expired' ELSE 'active' END AS status,
-CASE WHEN invalidated THEN 'invalidated' WHEN coalesce(namespace, 'unknown') NOT IN ('ns0','ns1','ns2') THEN 'unsupported_namespace' WHEN schema_version < 2 THEN 'legacy_schema' WHEN signature = '' THEN 'signature_missing' WHEN signature <> 'sig1' THEN 'signature_changed' WHEN ttl_left_days < 0 THEN 'expired' ELSE 'active' END AS reason FROM entries) """
+_RULES = (("invalidated", "stale", "invalidated"), ("namespace = 'ns3'", "stale", "unsupported_namespace"), ("namespace IN ('ns0', 'ns1') AND schema_version < 2", "stale", "legacy_schema"), ("namespace IN ('ns0', 'ns1') AND signature = ''", "stale", "signature_missing"),
+          ("namespace = 'ns0' AND backend = ''", "stale", "backend_missing"), ("namespace = 'ns0' AND backend <> 'b1'", "stale", "backend_changed"), ("ttl_left_days < 0", "expired", "expired"))
+_K = ", st AS (SELECT *, CASE " + " ".join(f"WHEN {r} THEN '{s}'" for r, s, _ in _RULES) + " ELSE 'active' END AS status, CASE " + " ".join(f"WHEN {r} THEN '{w}'" for r, _, w in _RULES) + " ELSE 'active' END AS reason FROM entries) "
 
 
 def _k(q):
@@ -925,7 +926,7 @@ def _(s, d):
     return learn.without_negative(stats, learn.negative_terms(stats)).select("term", "route", "path_scope")
 
 
-@add("a04_stage_latency", _a("SELECT operation, stage, count(*) AS n, min(ms) AS min_ms, max(ms) AS max_ms, arg_max(ms, event_id) AS last_ms FROM (SELECT event_id, operation, 'index' AS stage, elapsed_ms AS ms FROM event_log UNION ALL SELECT event_id, operation, 'read', candidates::DOUBLE FROM event_log) GROUP BY ALL"))
+@add("a04_stage_latency", _a("SELECT operation, stage, count(*) AS n, min(ms) AS min_ms, max(ms) AS max_ms, arg_max(ms, event_id) AS last_ms, round(sum(ms::DECIMAL(18,6)), 3)::DOUBLE AS total_ms, round(sum(ms::DECIMAL(18,6))::DOUBLE / count(*), 3) AS avg_ms FROM (SELECT event_id, operation, 'index' AS stage, elapsed_ms AS ms FROM event_log UNION ALL SELECT event_id, operation, 'read', candidates::DOUBLE FROM event_log) GROUP BY ALL"))
 def _(s, d):
     return evidence.stage_latency(D.event_log(s, d).withColumn("stage_timings", F.expr("map('index', elapsed_ms, 'read', cast(candidates as double))")))
 
@@ -940,11 +941,18 @@ def _(s, d):
     return evidence.snapshot(metrics.totals(D.event_log(s, d)))
 
 
-@add("j03_infer_project", with_tables("files", query=", " + _LISTING + ", aa AS (SELECT li.path, arg_min(ro.path, length(ro.path)) AS root FROM li JOIN ro ON starts_with(li.path, ro.path || '/') GROUP BY 1) SELECT length(path) AS hint, CASE WHEN min(root) = max(root) THEN min(root) ELSE 'ambiguous' END AS root FROM aa GROUP BY 1").replace(") , li", "), li").replace(") , aa", "), aa"))
+@add("a14_slowest_stage", _a("SELECT operation, arg_max(stage, {'a': avg_ms, 's': -k}) AS stage, max(avg_ms) AS avg_ms, arg_max(last_ms, {'a': avg_ms, 's': -k}) AS last_ms FROM (SELECT operation, stage, k, round(sum(ms::DECIMAL(18,6))::DOUBLE / count(*), 3) AS avg_ms, arg_max(ms, event_id) AS last_ms FROM (SELECT event_id, operation, 'index' AS stage, 0 AS k, CASE WHEN event_id % 3 > 0 THEN elapsed_ms END AS ms FROM event_log UNION ALL SELECT event_id, operation, 'read', 1, candidates::DOUBLE FROM event_log) WHERE ms IS NOT NULL GROUP BY ALL) GROUP BY 1"))
+def _(s, d):
+    timed = D.event_log(s, d).withColumn("stage_timings", F.expr("map('index', if(event_id % 3 > 0, elapsed_ms, null), 'read', cast(candidates as double))"))
+    return metrics.slowest_stage(evidence.stage_latency(timed))
+
+
+@add("j03_infer_project", with_tables("files", query=", " + _LISTING + ", aa AS (SELECT li.path, arg_min(ro.path, length(ro.path)) AS root FROM li JOIN ro ON starts_with(li.path, ro.path || '/') GROUP BY 1) SELECT length(path) AS hint, CASE WHEN min(root) = max(root) THEN min(root) WHEN min(root) IS NOT NULL THEN 'ambiguous' END AS root FROM (SELECT path, root FROM aa UNION ALL SELECT repeat('x', (doc_id % 50)::INT) || '/none', NULL FROM files WHERE doc_id % 20 = 0) GROUP BY 1").replace(") , li", "), li").replace(") , aa", "), aa"))
 def _(s, d):
     listing = _listing(s, d)
     assigned = projects.assign(listing, projects.discover(listing, ["pyproject.toml"])).select("path", "root")
-    return evidence.infer_project(listing.select("path", F.length("path").alias("hint")), assigned, "hint")
+    lost = D.files(s, d).where("doc_id % 20 = 0").selectExpr("repeat('x', cast(doc_id % 50 as int)) || '/none' as path")
+    return evidence.infer_project(assigned.select("path").unionByName(lost).select("path", F.length("path").alias("hint")), assigned, "hint")
 
 
 @add("j08_prune_project", _FILES + "SELECT project_id, path FROM files WHERE project_id <> 'fr'")

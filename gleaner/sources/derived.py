@@ -82,7 +82,7 @@ def entries(spark, d) -> DataFrame:
     """Expiring entries with every kind of fault."""
     x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source")
     return x.select(F.concat(F.lit("cache:"), "lang", F.lit(":"), "doc_id").alias("key"), F.when(F.col("doc_id") % 11 == 0, None).otherwise(F.concat(F.lit("ns"), F.col("doc_id") % 4)).alias("namespace"), F.when(F.col("doc_id") % 6 == 0, 1).otherwise(2).alias("schema_version"),
-                    F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("sig"), F.col("doc_id") % 2)).alias("signature"), (F.col("doc_id") % 13 == 0).alias("invalidated"), (F.col("doc_id") % 50 - 20).alias("ttl_left_days"), (F.col("doc_id") % 60).alias("age_days"), F.col("lang").alias("project_id"))
+                    F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("sig"), F.col("doc_id") % 2)).alias("signature"), (F.col("doc_id") % 13 == 0).alias("invalidated"), (F.col("doc_id") % 50 - 20).alias("ttl_left_days"), (F.col("doc_id") % 60).alias("age_days"), F.col("lang").alias("project_id"), F.expr("case doc_id % 7 when 0 then '' when 1 then 'b0' else 'b1' end").alias("backend"))
 
 
 def references(spark, d) -> DataFrame:
@@ -147,7 +147,7 @@ SQL = {
     "event_log": "SELECT event_id, 'p' || (user_id % 5) AS project_id, event_type AS operation, (['coding','review','debug','test',''])[k % 5 + 1] AS route, ts AS recorded_at, value AS elapsed_ms, k % 3 = 0 AS cache_hit, 'ns' || (k % 4) AS cache_namespace, CASE WHEN k % 3 = 0 THEN 'hit' WHEN k % 2 = 0 THEN 'expired' ELSE 'miss' END AS cache_reason, k * 10 AS output_tokens, k * 25 - 300 AS saved_tokens, k AS candidates, k % 6 AS selected, k % 2 = 0 AS manual, k * 30 AS baseline_tokens, k * 40 AS raw_chars, k * 16 - 50 AS selected_chars, k % 4 AS calls_saved, k * 100 AS deferred_bytes, k % 9 AS results, k % 8 - 1 AS omitted FROM ev0",
     "memory_log": "SELECT conv_id * 1000 + turn AS seq, 'ns' || (conv_id % 7) AS namespace, 't' || turn AS key, text AS value, ((conv_id * 7 + turn * 3) % 10) / 10.0 AS confidence, CASE WHEN role = 'user' THEN 'human' ELSE 'llm' END AS decided_by, conv_id % 5 - 1 AS ttl_days, 1704067200 + conv_id * 60 + turn AS written_s FROM conversations",
     "usage_log": "SELECT event_id AS seq, 'term' || (candidates % 20) AS term, route, (['.', 'src', 'src/auth'])[candidates % 3 + 1] AS path_scope, CASE WHEN candidates % 4 = 0 THEN 0 ELSE candidates END AS result_count, CASE WHEN candidates % 4 = 1 THEN selected ELSE 0 END AS selected_count, cache_hit, true AS selection_observed FROM event_log",
-    "entries": "SELECT 'cache:' || lang || ':' || doc_id AS key, CASE WHEN doc_id % 11 <> 0 THEN 'ns' || (doc_id % 4) END AS namespace, CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 2 END AS schema_version, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'sig' || (doc_id % 2) END AS signature, doc_id % 13 = 0 AS invalidated, doc_id % 50 - 20 AS ttl_left_days, doc_id % 60 AS age_days, lang AS project_id FROM documents",
+    "entries": "SELECT 'cache:' || lang || ':' || doc_id AS key, CASE WHEN doc_id % 11 <> 0 THEN 'ns' || (doc_id % 4) END AS namespace, CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 2 END AS schema_version, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'sig' || (doc_id % 2) END AS signature, doc_id % 13 = 0 AS invalidated, doc_id % 50 - 20 AS ttl_left_days, doc_id % 60 AS age_days, lang AS project_id, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'b0' ELSE 'b1' END AS backend FROM documents",
     "refs": "SELECT 'ref_' || doc_id AS reference_id, source AS producer, text AS body, strlen(text) AS size_bytes, sha256(text) AS sha256, doc_id % 9 = 0 AS invalidated, doc_id % 30 - 10 AS hours_left, doc_id AS created_seq FROM documents",
     "marked_files": "SELECT * EXCLUDE (content), ([" + ", ".join(f"'{m}'" for m in MARKS) + f"])[doc_id % {len(MARKS)} + 1] || chr(10) || content AS content FROM files",
     "source_files": "SELECT doc_id, path, CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 20 = 3 THEN 'def (' || chr(10) ELSE '' END || array_to_string(list_transform(ts, lambda t, i: CASE (i - 1) % 4 WHEN 0 THEN 'import n_' || t || '.sub' WHEN 1 THEN 'def n_' || t || '(x):' || chr(10) || '    return x' WHEN 2 THEN 'class n_' || t || ':' || chr(10) || '    pass' || chr(10) ELSE 'from n_' || t || '.m import y' END), chr(10)) WHEN 1 THEN array_to_string(list_transform(ts, lambda t, i: CASE (i - 1) % 3 WHEN 0 THEN '  function n_' || t || '(a) {' WHEN 1 THEN 'struct n_' || t || ' {' ELSE 'export interface n_' || t END), chr(10)) ELSE text END AS content, ts FROM (SELECT doc_id, text, lang || '/s_' || doc_id || (['.py', '.js', '.txt'])[doc_id % 3 + 1] AS path, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{3,}'), lambda t: NOT regexp_matches(t, '^[0-9]+$')) AS ts FROM documents)",

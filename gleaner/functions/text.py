@@ -184,6 +184,13 @@ def canonical_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^(\./)+", "")
 
 
+def canonical_globs(globs: Column) -> Column:
+    """The different patterns of a list, trimmed, with forward slashes, sorted; blank
+    ones are left out and null is an empty list."""
+    clean = F.transform(F.coalesce(globs, F.array().cast("array<string>")), lambda g: F.regexp_replace(strip(g), r"\\", "/"))
+    return F.array_sort(F.array_distinct(F.filter(clean, lambda g: g != "")))
+
+
 def local_uri_path(uri: Column) -> Column:
     """Decoded path of a local file URI, else null."""
     return F.when(uri.rlike(r"^file://(localhost)?/"), F.url_decode(F.regexp_replace(uri, r"^file://(localhost)?", "")))

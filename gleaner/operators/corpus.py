@@ -77,11 +77,15 @@ def refresh_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("change").agg(F.count("*").alias("n"))
 
 
-def status(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Files, symbols and the newest change of each project."""
-    per = symbols.join(files.select("path", "project_id"), "path").groupBy("project_id").agg(F.count("*").alias("symbols"))
-    rows = files.groupBy("project_id").agg(F.count("*").alias("files"), F.max("mtime_ns").alias("newest"))
-    return rows.join(per, "project_id", "left").select("project_id", "files", F.coalesce("symbols", F.lit(0)).alias("symbols"), "newest")
+def status(files: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """Files, symbols, imports (if given) and the newest change of each project."""
+    out = files.groupBy("project_id").agg(F.count("*").alias("files"), F.max("mtime_ns").alias("newest"))
+    for name, rows in (("symbols", symbols), ("imports", imports)):
+        if rows is not None:
+            # a file's rows are counted before they meet the files
+            per = rows.groupBy("path").agg(F.count("*").alias("n")).join(files.select("path", "project_id"), "path").groupBy("project_id").agg(F.sum("n").alias(name))
+            out = out.join(per, "project_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out.select("project_id", "files", *[c for c in ("symbols", "imports") if c in out.columns], "newest")
 
 
 def refresh_diff(old: DataFrame, new: DataFrame, scope: str = "") -> DataFrame:

@@ -87,9 +87,13 @@ def memory_slice(requests: DataFrame, log: DataFrame, each: int = 2, most: int =
 
 
 def request_reason(lookups: DataFrame, key: str) -> DataFrame:
-    """A hit, the one reason of all misses, or a mixed miss."""
-    rows = lookups.groupBy(key).agg(F.bool_or("cache_hit").alias("hit"), F.min("cache_reason").alias("lo"), F.max("cache_reason").alias("hi"))
-    return rows.select(key, F.when(F.col("hit"), "fragment_hit").when(F.col("lo").isNull(), "no_fragments").when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("fragment_miss").alias("reason"))
+    """Why a request's fragments were or weren't found, by the first that holds: its
+    signature was unavailable (where ``lookups`` says so), a hit, nothing looked up, the
+    one reason of all misses, a mixed miss; and hit, miss or bypass as its status."""
+    known = F.bool_and(F.coalesce("signature_available", F.lit(True))) if "signature_available" in lookups.columns else F.lit(True)
+    rows = lookups.groupBy(key).agg(known.alias("known"), F.bool_or("cache_hit").alias("hit"), F.min("cache_reason").alias("lo"), F.max("cache_reason").alias("hi"))
+    reason = F.when(~F.col("known"), "signature_unavailable").when(F.col("hit"), "fragment_hit").when(F.col("lo").isNull(), "no_fragments").when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("fragment_miss")
+    return rows.select(key, reason.alias("reason"), F.when(~F.col("known"), "bypass").when(F.col("hit"), "hit").otherwise("miss").alias("status"))
 
 
 def create_references(rows: DataFrame, run_id: str, key: str, *fields: str) -> DataFrame:
@@ -107,10 +111,15 @@ def stage_latency(events: DataFrame) -> DataFrame:
     return each.groupBy("operation", "stage").agg(F.count("*").alias("n"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.max_by("ms", "event_id").alias("last_ms"), F.round(total, 3).cast("double").alias("total_ms"), F.round(total.cast("double") / F.count("*"), 3).alias("avg_ms"))
 
 
-def fragment_totals(events: DataFrame) -> DataFrame:
-    """Hits, misses and ratio by namespace of ``fragments``, a map of both."""
-    each = events.select(F.explode("fragments").alias("namespace", "f")).groupBy("namespace").agg(F.sum("f.hits").alias("hits"), F.sum("f.misses").alias("misses"))
-    return each.withColumn("ratio", T.hit_ratio(F.col("hits"), F.col("misses")))
+def fragment_totals(events: DataFrame, fixed: tuple[str, ...] = ()) -> DataFrame:
+    """Hits, misses and their ratio by namespace of ``fragments``, a map of
+    (hits, misses), with 0 for ``fixed`` namespaces that no event has, and over all as *."""
+    each = events.select(F.explode("fragments").alias("namespace", "f")).select("namespace", "f.hits", "f.misses")
+    if fixed:
+        each = each.unionByName(events.sparkSession.createDataFrame([(n, 0, 0) for n in fixed], "namespace string, hits long, misses long"))
+    rows = each.rollup("namespace").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
+    zero = rows.select(F.coalesce("namespace", F.lit("*")).alias("namespace"), F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("misses", F.lit(0)).alias("misses"))
+    return zero.withColumn("ratio", F.coalesce(F.round(F.try_divide(F.col("hits"), F.col("hits") + F.col("misses")), 4), F.lit(0.0)))
 
 
 def snapshot(totals: DataFrame) -> DataFrame:

@@ -98,8 +98,10 @@ def lean_content(content: Column, terms: Column, most: int = 140) -> Column:
 
 
 def selected_with_term(terms: DataFrame, items: DataFrame) -> DataFrame:
-    """How many of a request's selected items hold each of its terms."""
-    j = terms.join(items.select("request_id", F.lower(F.concat_ws(" ", "path", "content")).alias("h")), "request_id")
+    """How many of a request's selected items hold each of its terms in their path,
+    title, content or reasons (as far as ``items`` has them)."""
+    text = [F.array_join(c, " ") if c == "reason_codes" else F.col(c) for c in ("path", "title_hint", "content", "reason_codes") if c in items.columns]
+    j = terms.join(items.select("request_id", F.lower(F.concat_ws(" ", *text)).alias("h")), "request_id")
     return j.groupBy("request_id", "term").agg(F.count_if(F.contains("h", F.lower("term"))).alias("n"))
 
 

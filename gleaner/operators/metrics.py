@@ -108,8 +108,24 @@ def severity(matrix_rows: DataFrame) -> DataFrame:
 
 
 def across_projects(events: DataFrame) -> DataFrame:
-    """Sums by project and over all."""
-    return events.rollup("project_id").agg(*_sums()).withColumn("project_id", F.coalesce("project_id", F.lit("*")))
+    """Sums by project and over all, with the share of fragments that were hits."""
+    ratio = F.coalesce(F.round(F.try_divide(F.col("hits"), F.col("hits") + F.col("misses")), 4), F.lit(0.0))
+    return events.rollup("project_id").agg(*_sums()).withColumn("project_id", F.coalesce("project_id", F.lit("*"))).withColumn("fragment_ratio", ratio)
+
+
+def warmup(events: DataFrame, operation: str) -> DataFrame:
+    """One row about an operation's runs: counts by trigger, latencies, queries and
+    their average, the last run, and the status and time of the last automatic one."""
+    runs = events.where(F.col("operation") == operation)
+    last = lambda c, when=None: F.max_by(F.col(c), F.col("event_id") if when is None else F.when(when, F.col("event_id")))
+    auto, n = ~F.col("manual"), F.count("*")
+    total = F.coalesce(F.sum(F.col("elapsed_ms").cast("decimal(18,6)")), F.lit(0))
+    each = lambda a: F.coalesce(F.round(F.try_divide(a.cast("double"), n), 3), F.lit(0.0))
+    queries = F.coalesce(F.sum("results"), F.lit(0))
+    return runs.agg(
+        n.alias("n"), F.count_if("manual").alias("manual_count"), F.count_if(auto).alias("auto_count"), each(total).alias("avg_ms"), F.coalesce(F.min("elapsed_ms"), F.lit(0.0)).alias("min_ms"), F.coalesce(F.max("elapsed_ms"), F.lit(0.0)).alias("max_ms"), queries.alias("query_count"), each(queries).alias("avg_query_count"),
+        F.coalesce(last("elapsed_ms"), F.lit(0.0)).alias("last_ms"), F.coalesce(last("results"), F.lit(0)).alias("last_query_count"), F.when(last("manual"), "manual").otherwise(F.when(n > 0, "auto").otherwise("")).alias("last_trigger"),
+        F.coalesce(F.max_by("status", F.when(auto, F.col("event_id"))), F.lit("")).alias("last_auto_status"), F.max(F.when(auto, F.col("event_id"))).alias("last_auto_event"))
 
 
 def slowest(events: DataFrame) -> DataFrame:

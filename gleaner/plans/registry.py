@@ -716,11 +716,6 @@ def _(s, d):
     return metrics.severity(metrics.matrix(_values(s, d)))
 
 
-@add("a13_across_projects", _a(f"SELECT coalesce(project_id, '*') AS project_id, {_SUMS} FROM event_log GROUP BY ROLLUP (project_id)"))
-def _(s, d):
-    return metrics.across_projects(D.event_log(s, d))
-
-
 @add("a14_slowest_operation", _a("SELECT route, operation, avg_ms FROM (SELECT route, operation, round(CAST(sum(CAST(elapsed_ms AS DECIMAL(18,6))) AS DOUBLE) / count(*), 3) AS avg_ms FROM event_log GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY route ORDER BY avg_ms DESC, operation) = 1"))
 def _(s, d):
     return metrics.slowest(D.event_log(s, d))
@@ -910,11 +905,6 @@ def _(s, d):
     return entries.with_status(D.entries(s, d)).where(F.col("key").startswith("cache:en:1")).select("key", "status", "reason").orderBy("key").limit(50)
 
 
-@add("k07_request_reason", _a("SELECT event_id // 3 AS request_id, CASE WHEN bool_or(cache_hit) THEN 'fragment_hit' WHEN min(cache_reason) = max(cache_reason) THEN min(cache_reason) ELSE 'fragment_miss' END AS reason FROM event_log GROUP BY 1"))
-def _(s, d):
-    return evidence.request_reason(D.event_log(s, d).withColumn("request_id", F.expr("event_id div 3")), "request_id")
-
-
 @add("e01_create", """SELECT 'ref_' || left(sha256('run1:' || doc_id), 24) AS reference_id, sha256(b) AS sha256, strlen(b)::BIGINT AS size_bytes FROM (SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}' AS b FROM documents)""")
 def _(s, d):
     return evidence.create_references(_DOC(s, d), "run1", "doc_id", "source", "lang", "doc_id")
@@ -931,11 +921,6 @@ def _(s, d):
     return evidence.stage_latency(D.event_log(s, d).withColumn("stage_timings", F.expr("map('index', elapsed_ms, 'read', cast(candidates as double))")))
 
 
-@add("a06_a18_fragments", _a("SELECT namespace, sum(h)::BIGINT AS hits, sum(m)::BIGINT AS misses, coalesce(round(sum(h) / nullif(sum(h) + sum(m), 0), 4), 0) AS ratio FROM (SELECT 'file_summary' AS namespace, selected AS h, candidates AS m FROM event_log UNION ALL SELECT cache_namespace, candidates, selected FROM event_log) GROUP BY 1"))
-def _(s, d):
-    return evidence.fragment_totals(D.event_log(s, d).withColumn("fragments", F.expr("map('file_summary', struct(selected as hits, candidates as misses), cache_namespace, struct(candidates as hits, selected as misses))")))
-
-
 @add("a08_snapshot", _a(", t AS (SELECT " + _SUMS + " FROM event_log) SELECT coalesce(round(hits / nullif(hits + misses, 0), 4), 0) AS hit_ratio, round(saved_tokens / n, 4) AS avg_saved, round(candidates / greatest(selected, 1), 4) AS candidates_per_selected FROM t").replace(") , t AS", "), t AS"))
 def _(s, d):
     return evidence.snapshot(metrics.totals(D.event_log(s, d)))
@@ -1025,13 +1010,6 @@ def _(s, d):
     return D.files(s, d).select("path", lookup.lean_content(F.col("content"), T.query_terms(F.col("content"), 3)).alias("content"))
 
 
-@add("u12_selected_with_term", _BM25 + "SELECT request_id, term, count(*) FILTER (contains(lower(path || ' ' || content), term)) AS n FROM rq JOIN ranked USING (request_id) JOIN files USING (path) WHERE rank <= 5 GROUP BY ALL")
-def _(s, d):
-    files, requests = D.files(s, d), D.requests(s, d)
-    items = retrieve.search(files, requests, index=_index(s, d)).join(files.select("path", "content"), "path")
-    return lookup.selected_with_term(retrieve.request_terms(requests), items)
-
-
 @add("m11_skill_rows", with_tables("memory_log", query="SELECT seq, 'skills/' || namespace AS namespace FROM memory_log WHERE seq % 3 <> 0 AND written_s + ttl_days * 86400 > 1704200000"))
 def _(s, d):
     log = D.memory_log(s, d).withColumn("namespace", F.when(F.col("seq") % 3 != 0, F.concat(F.lit("skills/"), "namespace")).otherwise(F.col("namespace")))

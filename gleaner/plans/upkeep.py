@@ -6,12 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, evidence, extract, memory, retrieve, stage, upkeep
+from ..operators import corpus, evidence, extract, lookup, memory, metrics, retrieve, stage, upkeep
 from ..sources import derived as D
 from ..sources import textfiles
 from ..sources.derived import with_tables
 from ..sources.versions import Store
-from .registry import _HEADS, _SUMMARY, _TRIM, _TOKENS, _redacted, add
+from .registry import _BM25, _HEADS, _SUMMARY, _SUMS, _TOKENS, _TRIM, _a, _index, _redacted, add
 
 _MARKED_LINES = {"marked_lines": D.SQL["filelines"].replace("FROM files", "FROM marked_files")}
 
@@ -150,3 +150,51 @@ def _(s, d):
 def _(s, d):
     content = F.expr("case when doc_id % 9 = 0 then left(text, 50) || '\0' || substr(text, 51) when doc_id % 9 = 1 then repeat('é', 3000) || '\0' when doc_id % 9 = 2 then repeat('x', 5000) || '\0' else text end")
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", corpus.is_binary(content.cast("binary")).alias("is_binary"))
+
+
+# Rollups with their missing parts
+
+
+@add("a06_a18_fragments", _a("SELECT coalesce(namespace, '*') AS namespace, sum(h)::BIGINT AS hits, sum(m)::BIGINT AS misses, coalesce(round(sum(h) / nullif(sum(h) + sum(m), 0), 4), 0)::DOUBLE AS ratio FROM (SELECT 'file_summary' AS namespace, selected AS h, candidates AS m FROM event_log UNION ALL SELECT cache_namespace, candidates, selected FROM event_log UNION ALL SELECT 'unused', 0, 0) GROUP BY ROLLUP (namespace)"))
+def _(s, d):
+    rows = D.event_log(s, d).withColumn("fragments", F.expr("map('file_summary', struct(selected as hits, candidates as misses), cache_namespace, struct(candidates as hits, selected as misses))"))
+    return evidence.fragment_totals(rows, ("file_summary", "unused"))
+
+
+@add("a09_warmup_metrics", _a("SELECT count(*) AS n, count(*) FILTER (manual) AS manual_count, count(*) FILTER (NOT manual) AS auto_count, round(sum(elapsed_ms::DECIMAL(18,6))::DOUBLE / count(*), 3) AS avg_ms, min(elapsed_ms) AS min_ms, max(elapsed_ms) AS max_ms, sum(results)::BIGINT AS query_count, round(sum(results)::DOUBLE / count(*), 3) AS avg_query_count, arg_max(elapsed_ms, event_id) AS last_ms, arg_max(results, event_id) AS last_query_count, CASE WHEN arg_max(manual, event_id) THEN 'manual' ELSE 'auto' END AS last_trigger, arg_max(cache_reason, event_id) FILTER (NOT manual) AS last_auto_status, max(event_id) FILTER (NOT manual) AS last_auto_event FROM event_log WHERE operation = 'signup'"))
+def _(s, d):
+    return metrics.warmup(D.event_log(s, d).withColumnRenamed("cache_reason", "status"), "signup")
+
+
+@add("a13_across_projects", _a(f"SELECT *, coalesce(round(hits / nullif(hits + misses, 0), 4), 0)::DOUBLE AS fragment_ratio FROM (SELECT coalesce(project_id, '*') AS project_id, {_SUMS} FROM event_log GROUP BY ROLLUP (project_id))"))
+def _(s, d):
+    return metrics.across_projects(D.event_log(s, d))
+
+
+@add("k07_request_reason", _a("SELECT event_id // 3 AS request_id, CASE WHEN bool_or(event_id // 3 % 10 = 0) THEN 'signature_unavailable' WHEN bool_or(cache_hit) THEN 'fragment_hit' WHEN min(r) IS NULL THEN 'no_fragments' WHEN min(r) = max(r) THEN min(r) ELSE 'fragment_miss' END AS reason, CASE WHEN bool_or(event_id // 3 % 10 = 0) THEN 'bypass' WHEN bool_or(cache_hit) THEN 'hit' ELSE 'miss' END AS status FROM (SELECT *, CASE WHEN event_id // 3 % 7 > 0 THEN cache_reason END AS r FROM event_log) GROUP BY 1"))
+def _(s, d):
+    rows = D.event_log(s, d).withColumn("request_id", F.expr("event_id div 3")).withColumn("signature_available", F.col("request_id") % 10 != 0)
+    return evidence.request_reason(rows.withColumn("cache_reason", F.when(F.col("request_id") % 7 > 0, F.col("cache_reason"))), "request_id")
+
+
+@add("u12_selected_with_term", _BM25 + "SELECT request_id, term, count(*) FILTER (contains(lower(path || ' ' || 'Title ' || request_id || ' ' || content || ' lexical_match'), term)) AS n FROM (SELECT * FROM rq UNION ALL SELECT DISTINCT request_id, unnest(['title', 'lexical_match']) FROM rq) JOIN ranked USING (request_id) JOIN files USING (path) WHERE rank <= 5 GROUP BY ALL")
+def _(s, d):
+    files, requests = D.files(s, d), D.requests(s, d)
+    items = retrieve.search(files, requests, index=_index(s, d)).join(files.select("path", "content"), "path")
+    items = items.withColumn("title_hint", F.concat(F.lit("Title "), "request_id")).withColumn("reason_codes", F.array(F.lit("lexical_match")))
+    terms = retrieve.request_terms(requests)
+    more = terms.select("request_id").distinct().select("request_id", F.explode(F.array(F.lit("title"), F.lit("lexical_match"))).alias("term"))
+    return lookup.selected_with_term(terms.unionByName(more), items)
+
+
+@add("s12_status_whole", with_tables("source_files", ctes=_symbols_sql("source_files") | {"named": "SELECT path, 1 AS k FROM declared UNION ALL SELECT path, 1 FROM others UNION ALL SELECT path, 2 FROM imported", "per": "SELECT path, count(*) FILTER (k = 1) AS sy, count(*) FILTER (k = 2) AS im FROM named GROUP BY 1"}, query="SELECT split_part(f.path, '/', 1) AS project_id, count(*) AS files, coalesce(sum(sy), 0)::BIGINT AS symbols, coalesce(sum(im), 0)::BIGINT AS imports, max(doc_id * 1000) AS newest FROM source_files f LEFT JOIN per USING (path) GROUP BY 1"))
+def _(s, d):
+    files = D.source_files(s, d).withColumn("project_id", F.split_part("path", F.lit("/"), F.lit(1)))
+    made = upkeep.derived_tables(files)
+    return corpus.status(files, made["symbols"], made["imports"])
+
+
+@add("t15_canonical_globs", with_tables("files", query="SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform([' src\\*.py ', 'src/*.py', '', lang_glob, '**/*.md'], lambda g: replace(trim(g), '\\', '/')), lambda g: g <> ''))), '|') AS globs FROM (SELECT doc_id, project_id || '\\*' AS lang_glob FROM files)"))
+def _(s, d):
+    globs = F.array(F.lit(" src\\*.py "), F.lit("src/*.py"), F.lit(""), F.concat("project_id", F.lit("\\*")), F.lit("**/*.md"))
+    return D.files(s, d).select("doc_id", F.array_join(T.canonical_globs(globs), "|").alias("globs"))

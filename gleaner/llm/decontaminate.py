@@ -56,7 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def least_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+def least_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """The least edit distance of ``item`` to a part of ``text`` and where the first such
     part ends: a column of the alignment at a time, as the bits of two whole numbers
     (Myers, 1999)."""
@@ -81,6 +81,11 @@ def least_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return least, end
 
 
+def least_edits(item: np.ndarray, text: np.ndarray) -> int:
+    """The least edit distance of ``item`` to a part of ``text``."""
+    return least_match(item, text)[0]
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """The least edit distance of ``item`` to a part of ``text``, and that part's
     bounds (the first that ends earliest)."""
@@ -175,7 +180,7 @@ class Index:
             k, span = int(item[a]), int(self.span[item[a]])
             _, words, edits = self.items[k]
             left = max(0, int(block[a]) * span - edits)
-            d, end = least_edits(words, w[left : (int(block[b - 1]) + 2) * span + edits + 1])
+            d, end = least_match(words, w[left : (int(block[b - 1]) + 2) * span + edits + 1])
             if d <= edits and (d, left + end) < best.get(k, (edits, len(w) + 1)):
                 best[k] = (d, left + end)
         for k, (_, end) in best.items():

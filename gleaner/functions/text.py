@@ -191,9 +191,43 @@ def canonical_globs(globs: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(clean, lambda g: g != "")))
 
 
+def absolute_path(path: Column) -> Column:
+    """Forward slashes, one between names, without ``.`` and ``..``, from the root on.
+    Two leading slashes stay; what climbs out of a relative path stays in front."""
+    raw = F.regexp_replace(path, r"\\", "/")
+    rooted = raw.startswith("/")
+
+    def step(names: Column, name: Column) -> Column:
+        last = F.coalesce(F.try_element_at(names, F.lit(-1)), F.lit(""))
+        up = F.when((F.size(names) > 0) & (last != ".."), F.slice(names, F.lit(1), F.greatest(F.size(names) - 1, F.lit(0)))).when(rooted, names).otherwise(F.concat(names, F.array(name)))
+        return F.when(name.isin("", "."), names).when(name == "..", up).otherwise(F.concat(names, F.array(name)))
+
+    names = F.aggregate(F.split(raw, "/"), F.array().cast("array<string>"), step)
+    front = F.when(raw.rlike("^//[^/]") & (F.size(names) > 0), "//").otherwise("/")
+    # a relative path of no names is the folder itself, "."
+    return F.concat(front, F.when((F.size(names) == 0) & ~rooted, ".").otherwise(F.array_join(names, "/")))
+
+
 def local_uri_path(uri: Column) -> Column:
-    """Decoded path of a local file URI, else null."""
-    return F.when(uri.rlike(r"^file://(localhost)?/"), F.url_decode(F.regexp_replace(uri, r"^file://(localhost)?", "")))
+    """The normal path of a local file URI, with what is percent-encoded decoded (a
+    plus sign and a lone percent sign stay), or of a path without a scheme that begins at
+    the root.  Query and fragment don't count.  Null for other schemes and hosts, blank
+    texts and relative paths, which have no folder to begin at."""
+    raw = strip(uri)
+    scheme = F.lower(F.regexp_extract(raw, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    rest = F.regexp_replace(F.regexp_replace(raw, "^[A-Za-z][A-Za-z0-9+.-]*:", ""), "(?s)[?#].*$", "")
+    host = F.regexp_extract(rest, "^//([^/]*)", 1)
+    encoded = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, "^//[^/]*", ""), "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+    return F.when((scheme == "file") & host.isin("", "localhost"), absolute_path(F.url_decode(encoded))).when((scheme == "") & raw.startswith("/"), absolute_path(raw))
+
+
+def canonical_uri(uri: Column) -> Column:
+    """The local file URI of ``local_uri_path``, encoded again: all but letters,
+    digits, ``_.-~`` and slashes."""
+    encoded = F.url_encode(local_uri_path(uri))
+    for found, by in ((r"\+", "%20"), (r"\*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        encoded = F.regexp_replace(encoded, found, by)
+    return F.concat(F.lit("file://"), encoded)
 
 
 def slug(text: Column) -> Column:

@@ -139,6 +139,22 @@ def matches_globs(path: Column, globs: list[str]) -> Column:
     return out
 
 
+def glob_pattern(glob: Column) -> Column:
+    """``glob_regex`` of a column, with [seq] and [!seq]; an open [ is itself."""
+    out = F.regexp_replace(glob, r"([\\.^$+{}|()&])", r"\\$1")
+    out = F.regexp_replace(out, r"\[(?![^\]]+\])", r"\\[")
+    out = F.regexp_replace(F.regexp_replace(out, r"\*(?![^\[]*\])", ".*"), r"\?(?![^\[]*\])", ".")
+    return F.concat(F.lit("(?s)^"), F.regexp_replace(out, r"\[!", "[^"), F.lit(r"\z"))
+
+
+def within(path: Column, scope: Column, globs: Column) -> Column:
+    """P01 and P02 by columns: at or under ``scope`` (null, empty or . is everything) and
+    by any of ``globs`` (null or empty is everything)."""
+    root = F.coalesce(F.regexp_replace(scope, "/+$", ""), F.lit(""))
+    inside = root.isin("", ".") | (path == root) | path.startswith(F.concat(root, F.lit("/")))
+    return inside & (F.coalesce(F.size(globs), F.lit(0)).cast("int").isin(0, -1) | F.exists(globs, lambda g: F.regexp_like(path, glob_pattern(g))))
+
+
 def min_depth(path: Column) -> Column:
     """The least depth a path reaches; below 0 it leaves the root."""
     start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("low"))

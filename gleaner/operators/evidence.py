@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .extract import chunks
+from .extract import chunks, snippets
 
 PROFILES = ("lean", "minimal", "compact", "normal", "verbose")
 
@@ -58,6 +58,14 @@ def chunk_lookup(files: DataFrame, wanted: DataFrame, width: int = 80) -> DataFr
     return at.join(chunks(files, width), ["path", "start_line"]).where("line <= end_line").select("path", "line", "start_line", "end_line", "chunk_id")
 
 
+def chunk_texts(files: DataFrame, wanted: DataFrame, width: int = 80, most: int = 1200) -> DataFrame:
+    """``chunk_lookup`` with the chunk's text, cut to ``most`` characters, redacted."""
+    found = chunk_lookup(files, wanted, width)
+    texts = snippets(files, found.select("path", "start_line", "end_line").distinct(), most=most)
+    keys = ["path", "start_line", "end_line"]
+    return found.join(texts.select(*keys, "content", "truncated", "redactions"), keys).select("path", "line", "start_line", "end_line", "chunk_id", "content", "truncated", "redactions")
+
+
 def first_matching_line(content: Column, terms: list[str]) -> Column:
     """X11: number of the first line that holds any term, 1 if none does."""
     def holds(line: Column) -> Column:

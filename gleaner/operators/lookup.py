@@ -110,6 +110,15 @@ def skill_rows(log: DataFrame, as_of: Column) -> DataFrame:
     return log.where(F.col("namespace").startswith("skills/") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of)))
 
 
+def skill_memory(facts: DataFrame, summaries: DataFrame, as_of: Column) -> DataFrame:
+    """Live facts (by ``key``) and summaries (by ``focus``) of ``skills/`` namespaces
+    with their kind, sorted by namespace, name and last change."""
+    columns = ("record_kind", "namespace", "name", "seq", "text", "confidence", "updated_at")
+    parts = [rows.where(F.col("namespace").startswith("skills/") & F.coalesce(F.col("expires_at") >= as_of, F.lit(True))).withColumn("record_kind", F.lit(kind)).withColumn("name", F.col(name)).withColumn("text", F.col(text)).select(*columns)
+             for rows, kind, name, text in ((facts, "entry", "key", "value"), (summaries, "summary", "focus", "summary"))]
+    return parts[0].unionByName(parts[1]).orderBy("namespace", "name", "updated_at", "record_kind", "seq")
+
+
 def rank_skills(skills: DataFrame, requests: DataFrame, n: int = 3) -> DataFrame:
     """(request_id, skill_id, rank, score): 3 for each of a request's terms in a
     skill's text, 2 for each in its key, 2 for the route in its text, a half for each of
@@ -189,7 +198,7 @@ def retrieval_quality(anchors: DataFrame, items: DataFrame) -> DataFrame:
     """Recall of required anchors in the first 3 and 5 items, mean first rank,
     share of items that aren't anchors, required anchors left out; one row."""
     ranked = items.groupBy("task", "path").agg(F.min("rank").alias("rank"))
-    need = F.col("required")
+    need = F.coalesce("required", F.lit(True))  # required where nothing is said
     found = anchors.join(ranked, ["task", "path"], "left").agg(
         F.count_if(need).alias("n"), F.count_if(need & (F.col("rank") <= 3)).alias("h3"), F.count_if(need & (F.col("rank") <= 5)).alias("h5"),
         F.avg("rank").alias("mean"), F.count_if(need & F.col("rank").isNull()).alias("lost"))
@@ -199,6 +208,34 @@ def retrieval_quality(anchors: DataFrame, items: DataFrame) -> DataFrame:
     return found.crossJoin(noise).select(share("h3", "n").alias("anchor_recall_at_3"), share("h5", "n").alias("anchor_recall_at_5"), F.round("mean", 4).alias("first_anchor_rank_avg"), share("noise", "rows").alias("noise_ratio"), F.col("lost").alias("required_omissions"))
 
 
+def quality_report(fixtures: DataFrame, anchors: DataFrame, items: DataFrame, banned: DataFrame) -> DataFrame:
+    """``retrieval_quality`` with the share of items that have a detail pointer and
+    the number of ``banned(task, path, reason)`` paths that came, for each of
+    ``fixtures(task)``; one row.  ``items`` has ``detail``, null without a pointer."""
+    share = lambda a, b: F.round(F.col(a) / F.greatest(F.lit(1), F.col(b)), 4)
+    detail = items.agg(F.count("detail").alias("d"), F.count("*").alias("rows"))
+    stale = banned.join(items.select("task", "path").distinct(), ["task", "path"], "left_semi").agg(F.count("*").alias("stale"))
+    # each side is one row
+    rows = retrieval_quality(anchors, items).crossJoin(detail).crossJoin(stale).crossJoin(fixtures.agg(F.count("*").alias("fixtures")))
+    return rows.select("fixtures", "anchor_recall_at_3", "anchor_recall_at_5", F.coalesce("first_anchor_rank_avg", F.lit(0.0)).alias("first_anchor_rank_avg"), "noise_ratio", "required_omissions", share("d", "rows").alias("detail_lookup_rate"), share("stale", "fixtures").alias("stale_rate"))
+
+
+def quality_regressions(anchors: DataFrame, items: DataFrame, banned: DataFrame) -> DataFrame:
+    """(task, path, reason): required anchors that no item has, and banned paths that
+    one has (reason must_not_include where none is given)."""
+    came = items.select("task", "path").distinct()
+    lost = anchors.where(F.coalesce("required", F.lit(True))).join(came, ["task", "path"], "left_anti").select("task", "path", F.lit("required_anchor_omitted").alias("reason"))
+    return lost.unionByName(banned.join(came, ["task", "path"], "left_semi").select("task", "path", F.coalesce("reason", F.lit("must_not_include")).alias("reason")))
+
+
+def warm_recall(runs: DataFrame) -> DataFrame:
+    """(case_id, required_anchor_recall): the least share of a case's different
+    ``required`` paths among the ``selected`` of a warm run; 1 where none is required."""
+    need = F.array_distinct("required")
+    share = F.when(F.size(need) > 0, F.size(F.array_intersect(need, F.col("selected"))) / F.size(need)).otherwise(1.0)
+    return runs.groupBy("case_id").agg(F.round(F.coalesce(F.min(F.when(F.col("phase") == "warm", F.coalesce(share, F.lit(1.0)))), F.lit(1.0)), 4).alias("required_anchor_recall"))
+
+
 def cold_and_warm(runs: DataFrame) -> DataFrame:
     """Medians of cold and warm runs of a case, the improvement, the warm hit
     ratio, whether each repeat chose the same both times, and the verdict."""
@@ -211,6 +248,13 @@ def cold_and_warm(runs: DataFrame) -> DataFrame:
     return sums.join(same, "case_id").select("case_id", F.round("cold", 3).alias("cold_median_ms"), F.round("hot", 3).alias("warm_median_ms"), F.round(improvement, 4).alias("improvement"), F.round(ratio, 4).alias("fragment_hit_ratio"), "retained", verdict.alias("passed"))
 
 
+def warm_verdict(runs: DataFrame) -> DataFrame:
+    """``cold_and_warm`` of runs whose selection is the ordered list ``selected``,
+    with ``warm_recall``; a case passes only with all required paths in every warm run."""
+    rows = cold_and_warm(runs.withColumn("selection", F.col("selected"))).join(warm_recall(runs), "case_id")
+    return rows.withColumn("passed", F.col("passed") & (F.col("required_anchor_recall") >= 1))
+
+
 def resolve(requests: DataFrame, known: DataFrame) -> DataFrame:
     """The project of each request: its root, else its id (which must be
     known), else the only visible root, else the inferred one, else an error."""
@@ -222,6 +266,38 @@ def resolve(requests: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select("request_id", project.alias("project"), error.alias("error"))
 
 
+def resolve_projects(requests: DataFrame, visible: DataFrame, known: DataFrame, listing: DataFrame) -> DataFrame:
+    """J03 and J04 together: (request_id, project, source, error) for each of
+    ``requests(request_id, root_uri, project_id, hints)``.
+
+    ``visible(request_id, project_id, root)`` are its roots, ``known(project_id)`` all
+    others.  A root URI comes first (T16; else invalid_root_uri), then an id that is
+    visible or known (else unknown_project), then the only visible root, then the one
+    visible root that holds a hint: an absolute hint by its prefix, another by a file or
+    folder of ``listing(path)`` under the root (else ambiguous_project).  Without visible
+    roots it is project_selection_required.  Hints are bounded by the request, so the
+    candidates are few; the listing is met by a semi-join."""
+    uri = T.canonical_uri(F.nullif(F.col("root_uri"), F.lit("")))
+    asked = requests.select("request_id", F.nullif(F.col("root_uri"), F.lit("")).alias("raw"), uri.alias("uri"), F.nullif(F.col("project_id"), F.lit("")).alias("wanted"), "hints")
+    roots = visible.select("request_id", F.col("project_id").alias("pid"), T.absolute_path(F.col("root")).alias("root")).distinct()
+    seen = roots.groupBy("request_id").agg(F.count_distinct("pid").alias("n"), F.min("pid").alias("only"))
+    hints = asked.select("request_id", F.explode(F.array_distinct(F.transform("hints", T.strip))).alias("hint")).where("hint not in ('', '.')")
+    tried = hints.join(roots, "request_id").select("request_id", "pid", "root", F.col("hint").startswith("/").alias("given"), T.absolute_path(F.when(F.col("hint").startswith("/"), F.col("hint")).otherwise(F.concat("root", F.lit("/"), "hint"))).alias("at"))
+    tried = tried.where((F.col("at") == F.col("root")) | F.col("at").startswith(F.concat(F.regexp_replace("root", "/$", ""), F.lit("/"))))
+    paths = listing.select(T.absolute_path(F.col("path")).alias("p"))
+    up = paths.select(F.explode(F.sequence(F.lit(2), F.size(F.split("p", "/")))).alias("k"), F.split("p", "/").alias("s")).select(F.array_join(F.slice("s", F.lit(1), F.col("k")), "/").alias("at"))
+    there = tried.where("not given").join(up, "at", "left_semi").select("request_id", "pid")
+    held = tried.where("given").select("request_id", "pid").unionByName(there).groupBy("request_id").agg(F.count_distinct("pid").alias("held"), F.min("pid").alias("inferred"))
+    ids = known.select("project_id").distinct().select(F.col("project_id").alias("wanted"), F.lit(True).alias("_known"))
+    own = roots.select("request_id", F.col("pid").alias("wanted"), F.lit(True).alias("_own")).distinct()
+    j = asked.join(seen, "request_id", "left").join(held, "request_id", "left").join(ids, "wanted", "left").join(own, ["request_id", "wanted"], "left")
+    n, found = F.coalesce("n", F.lit(0)), F.coalesce("_own", "_known", F.lit(False))
+    rule = F.when(F.col("raw").isNotNull(), "root_uri").when(F.col("wanted").isNotNull(), "project_id").when(n == 1, "visible").when(n > 1, "inferred").otherwise("none")
+    project = F.when(rule == "root_uri", F.col("uri")).when((rule == "project_id") & found, F.col("wanted")).when(rule == "visible", F.col("only")).when((rule == "inferred") & (F.col("held") == 1), F.col("inferred"))
+    error = F.when((rule == "root_uri") & F.col("uri").isNull(), "invalid_root_uri").when((rule == "project_id") & ~found, "unknown_project").when((rule == "inferred") & ~(F.coalesce("held", F.lit(0)) == 1), "ambiguous_project").when(rule == "none", "project_selection_required")
+    return j.select("request_id", project.alias("project"), rule.alias("source"), error.alias("error"))
+
+
 def project_listing(known: DataFrame, discovered: DataFrame, visible: DataFrame) -> DataFrame:
     """One row a project: the visible one, else the known, else the discovered."""
     tagged = [df.select("project_id", "root", F.lit(k).alias("_k"), F.lit(origin).alias("origin")) for k, (df, origin) in enumerate([(visible, "visible"), (known, "known"), (discovered, "discovered")])]

@@ -83,17 +83,80 @@ def safe_writes(writes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, writes.where(bad).select("seq", F.lit("sensitive_identifier").alias("reason"))
 
 
+def upserts(writes: DataFrame, key: str = "key", content: str = "value", bounded: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The stored facts after all ``writes(seq, namespace, key, value, confidence,
+    source, tags, ttl_days, written_at)`` in order of ``seq``, and (seq, reason) of the
+    rejected ones.
+
+    Namespace and key are trimmed and must be there and hold nothing that redaction would
+    change; the confidence (null: 1) must lie in 0 to 1 where ``bounded``.  The last
+    accepted write of an identity gives its value, source (null: agent) and tags (null:
+    none), redacted; ``created_at`` is its first's time, ``first_seq`` its place among
+    insertions.  A null ``ttl_days`` never expires.  Values are redacted after the
+    aggregate, so only those that stay."""
+    space, name = (T.strip(F.coalesce(c, F.lit(""))) for c in ("namespace", key))
+    sure = F.coalesce(F.col("confidence").cast("double"), F.lit(1.0))
+    reason = F.when(space == "", "missing_namespace").when(T.is_sensitive(space), "sensitive_namespace").when(name == "", f"missing_{key}").when(T.is_sensitive(name), f"sensitive_{key}")
+    if bounded:
+        reason = reason.when((sure < 0) | (sure > 1) | F.isnan(sure), "confidence_out_of_range")
+    judged = writes.select("seq", space.alias("namespace"), name.alias(key), F.col(content).alias("_content"), sure.alias("confidence"), "source", "tags", "ttl_days", "written_at", reason.alias("_reason"))
+    last = F.max_by(F.struct("seq", "_content", "confidence", "source", "tags", "ttl_days", "written_at"), "seq")
+    rows = judged.where("_reason is null").groupBy("namespace", key).agg(last.alias("_last"), F.min(F.struct("seq", "written_at")).alias("_first")).select("namespace", key, "_last.*", F.col("_first.seq").alias("first_seq"), F.col("_first.written_at").alias("created_at"))
+    source, tags = F.coalesce("source", F.lit("agent")), F.coalesce("tags", F.array().cast("array<string>"))
+    rows = rows.withColumn("_v", sanitize_json(F.col("_content")))
+    seen = T.merge_categories(F.concat(F.array(F.coalesce("_v.categories", F.array().cast("array<string>")), T.redaction_categories(source)), F.transform(tags, T.redaction_categories)))
+    stored = rows.select(
+        "seq", "first_seq", "namespace", key, F.col("_v.json").alias(content), "confidence", T.redact(source).alias("source"), F.transform(tags, T.redact).alias("tags"), "created_at", F.col("written_at").alias("updated_at"),
+        (F.col("written_at") + F.make_dt_interval(F.col("ttl_days").cast("int"))).alias("expires_at"), seen.alias("categories"), (F.size(seen) > 0).alias("redacted"))
+    return stored, judged.where("_reason is not null").select("seq", F.col("_reason").alias("reason"))
+
+
+def summary_upserts(writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``upserts``, by namespace and ``focus``, of ``summary``; any confidence."""
+    return upserts(writes, "focus", "summary", bounded=False)
+
+
+def get(facts: DataFrame, summaries: DataFrame, decisions: DataFrame, as_of: Column, most: int = 100, include_expired: bool = False) -> DataFrame:
+    """(kind, namespace, place, name, seq, expired): of each namespace and kind the
+    first ``most`` rows that haven't expired (or all, flagged).  Facts and summaries, as
+    ``upserts`` stores them, come by insertion.  Of ``decisions(seq, namespace, topic,
+    decided_by, confidence, updated_at, expires_at)`` each topic's effective one comes, a
+    human's first, then by confidence, recency and arrival."""
+    def part(rows: DataFrame, kind: str, name: str) -> DataFrame:
+        out = F.coalesce(F.col("expires_at") < as_of, F.lit(False))
+        return rows.where(F.lit(include_expired) | ~out).withColumn("kind", F.lit(kind)).withColumn("name", F.col(name)).withColumn("expired", out)
+
+    columns = ("kind", "namespace", "name", "seq", "expired", "_order")
+    made = [part(rows, kind, name).withColumn("_order", F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("c"), F.col("first_seq").alias("d"))).select(*columns) for rows, kind, name in ((facts, "fact", "key"), (summaries, "summary", "focus"))]
+    order = F.struct(F.when(F.col("decided_by") == "human", 0).otherwise(1).alias("a"), (-F.coalesce("confidence", F.lit(0.0))).alias("b"), (-F.coalesce(F.unix_micros("updated_at"), F.lit(0))).alias("c"), F.col("seq").alias("d"))
+    live_ones = part(decisions, "decision", "topic").withColumn("_order", order)
+    best = live_ones.groupBy("namespace", "name").agg(F.min_by(F.struct("kind", "seq", "expired", "_order"), "_order").alias("_b"))
+    made.append(best.select(F.col("_b.kind"), "namespace", "name", F.col("_b.seq"), F.col("_b.expired"), F.col("_b._order")))
+    rows = made[0].unionByName(made[1]).unionByName(made[2])
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("namespace", "kind").orderBy("_order"))).where(F.col("place") <= most)
+    return placed.select("kind", "namespace", "place", "name", "seq", "expired")
+
+
 def compact(log: DataFrame, threshold: int = 40, keep: int = 12, most: int = 1200) -> DataFrame:
     """Namespaces with more than ``threshold`` facts: bullets of the best ``keep``."""
     # the count is an aggregate of its own, so that each task keeps its best ``keep`` rows before the exchange
     w = Window.partitionBy("namespace").orderBy(F.desc("confidence"), F.desc("written_at"), "seq")
     large = log.groupBy("namespace").agg(F.count("*").alias("_n")).where(F.col("_n") > threshold).select("namespace")
     best = log.select("namespace", "key", "value", "confidence", "written_at", "seq").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).join(large, "namespace", "left_semi")
-    bullet = F.concat(F.lit("- "), F.substring(F.concat("key", F.lit(": "), "value"), 1, 160))
+    bullet = F.concat(F.lit("- "), "key", F.lit(": "), F.substring("value", 1, 160))
     rows = best.groupBy("namespace").agg(F.array_sort(F.collect_list(F.struct("_r", bullet.alias("b")))).alias("bs"))
     return rows.select("namespace", F.substring(F.array_join(F.transform("bs", lambda x: x["b"]), "\n"), 1, most).alias("content"))
 
 
+def compaction_writes(log: DataFrame, as_of: Column, **limits) -> DataFrame:
+    """``compact``'s texts as writes for ``summary_upserts``: focus auto_compact, 60
+    days, confidence 0.9, after all else (the greatest ``seq``)."""
+    made = compact(log, **limits)
+    return made.select(
+        F.lit(2**62).alias("seq"), "namespace", F.lit("auto_compact").alias("focus"), F.col("content").alias("summary"), F.lit(0.9).alias("confidence"), F.lit("memory.compact").alias("source"),
+        F.array(F.lit("auto"), F.lit("compact")).alias("tags"), F.lit(60).alias("ttl_days"), as_of.alias("written_at"))
+
+
 def reference_status(invalidated: Column, hours_left: Column) -> Column:
     """E04."""
     return F.when(invalidated, "stale").when(hours_left < 0, "expired").otherwise("active")

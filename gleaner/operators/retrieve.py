@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from . import corpus
 from . import index as written
 from .index import SearchIndex
 
@@ -49,6 +50,15 @@ def search(files: DataFrame, requests: DataFrame, n: int = 5, index: SearchIndex
     return top(scores, n, "request_id")
 
 
+def scoped_search(scopes: DataFrame, requests: DataFrame, n: int, index: SearchIndex) -> DataFrame:
+    """The best ``n`` files of each request within its ``scopes(request_id, scope,
+    globs)``; a request without a row there has no bounds.  Bounds come before the cut,
+    so a list of ``n`` is full if enough files are within."""
+    about = requests.select("request_id").join(scopes, "request_id", "left")
+    lists = written.parts(index, request_terms(requests)).join(about, "request_id").where(corpus.within(F.col("path"), F.col("scope"), F.col("globs")))
+    return top(lists.groupBy("request_id", "path").agg(F.sum("part").alias("score")), n, "request_id")
+
+
 def occurrences(haystack: Column, term: Column) -> Column:
     """How often ``term`` occurs in ``haystack``, without overlaps."""
     return ((F.length(haystack) - F.length(F.replace(haystack, term, F.lit("")))) / F.length(term)).cast("long")

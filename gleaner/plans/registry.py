@@ -524,7 +524,7 @@ def _(s, d):
     return memory.stale_paths(facts, D.files(s, d)).select("key", "path")
 
 
-@add("m08_compaction", with_tables("memory_log", query="SELECT namespace, left(string_agg('- ' || left(key || ': ' || value, 160), chr(10) ORDER BY r), 1200) AS content FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY confidence DESC, written_s DESC, seq) AS r, count(*) OVER (PARTITION BY namespace) AS n FROM memory_log) WHERE n > 40 AND r <= 12 GROUP BY 1"))
+@add("m08_compaction", with_tables("memory_log", query="SELECT namespace, left(string_agg('- ' || key || ': ' || left(value, 160), chr(10) ORDER BY r), 1200) AS content FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY confidence DESC, written_s DESC, seq) AS r, count(*) OVER (PARTITION BY namespace) AS n FROM memory_log) WHERE n > 40 AND r <= 12 GROUP BY 1"))
 def _(s, d):
     return memory.compact(D.memory_log(s, d))
 
@@ -1100,4 +1100,4 @@ def _(s, d):
     return lookup.project_listing(docs.selectExpr("source as project_id", "concat('k/', lang) as root"), D.files(s, d).selectExpr("project_id", "concat('d/', project_id) as root"), docs.where("doc_id % 2 = 0").selectExpr("source as project_id", "concat('v/', source) as root"))
 
 
-from . import packs, respond, upkeep, warm  # noqa: E402, F401  register their queries
+from . import packs, respond, upkeep, warm, whole  # noqa: E402, F401  register their queries

@@ -30,6 +30,9 @@ MIN_REVISIT_BYTES = 1000
 #: Rows that one archive holds at most.
 ARCHIVE_ROWS = 20_000
 
+#: The table of a folder's archives.
+MANIFEST = "_archives"
+
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload string, archive string, record_offset long"
 
 
@@ -156,15 +159,18 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
 
 
 def write_warc(marked: DataFrame, path: str, archive_rows: int = ARCHIVE_ROWS) -> DataFrame:
-    """Write the records under ``path``, one or more archives a task, and return
-    (archive, records).  An archive is written under a name of its own attempt and
-    then moved, so a task that runs again leaves whole files only."""
+    """Write the records under ``path``, one or more archives a task, and return the
+    table of them (archive, records, bytes), which is written beside them.
+
+    Every attempt of a task writes archives of its own names.  Its rows of the table
+    count only if Spark commits the attempt, so of attempts that ran again, or side by
+    side, one's archives are all listed and the others' not at all; those stay unread."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        task, fs_root = TaskContext.get().partitionId(), _filesystem(path)
-        fs, root = fs_root
+        task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+        fs, root = _filesystem(path)
         fs.create_dir(root, recursive=True)
         part, rows, out, done = 0, 0, None, []
 
@@ -172,14 +178,14 @@ def write_warc(marked: DataFrame, path: str, archive_rows: int = ARCHIVE_ROWS) -
             nonlocal out, part, rows
             if out is not None:
                 out.close()
-                final = f"{root}/part-{task:05d}-{part:04d}.warc.gz"
-                if fs.get_file_info(final).type.name != "NotFound":
-                    fs.delete_file(final)  # of an attempt that failed later
-                fs.move(temp, final)
-                done.append((final.rsplit("/", 1)[-1], rows))
+                fs.move(temp, f"{root}/{name()}")
+                done.append((name(), rows, fs.get_file_info(f"{root}/{name()}").size))
                 out, part, rows = None, part + 1, 0
 
-        temp = f"{root}/_attempt-{uuid.uuid4().hex}"
+        def name():
+            return f"part-{task:05d}-{part:04d}-{attempt}.warc.gz"
+
+        temp = f"{root}/_attempt-{attempt}"
         for batch in batches:
             for page_id, url, html, digest, refers in zip(batch.page_id, batch.url, batch.html, batch.payload_digest, batch.refers_to, strict=True):
                 if out is None:
@@ -190,17 +196,27 @@ def write_warc(marked: DataFrame, path: str, archive_rows: int = ARCHIVE_ROWS) -
                 if rows >= archive_rows:
                     close()
         close()
-        yield pd.DataFrame(done, columns=["archive", "records"])
+        yield pd.DataFrame(done, columns=["archive", "records", "bytes"])
 
     # ids as text: pandas would turn nullable longs into doubles
     columns = marked.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "payload_digest", F.col("refers_to").cast("string").alias("refers_to"))
-    return columns.mapInPandas(write, "archive string, records long")
+    listed = f"{path}/{MANIFEST}"
+    columns.mapInPandas(write, "archive string, records long, bytes long").write.mode("overwrite").parquet(listed)
+    return marked.sparkSession.read.parquet(listed)
+
+
+def _archives(spark, path: str) -> DataFrame:
+    """(path, length) of the archives that ``write_warc`` listed, or of all where it
+    wrote no table."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}/_SUCCESS")
+    if mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        return spark.read.parquet(f"{path}/{MANIFEST}").select(F.concat(F.lit(path.rstrip("/") + "/"), "archive").alias("path"), F.col("bytes").alias("length"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length")
 
 
 def read_warc(spark, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """All records of the archives under ``path`` (columns: ``RECORD``)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length")
-    ranges = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("begin"))
+    ranges = _archives(spark, path).where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("begin"))
     # Many small files share a listing task; deal the ranges out evenly.
     n = max(1, min(100_000, ranges.count()))
     ranges = ranges.repartition(n, "path", "begin")

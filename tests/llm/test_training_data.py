@@ -168,6 +168,15 @@ def test_warc_round_trip(spark, tmp_path):
         assert got[3]["record_type"] == got[4]["record_type"] == "response" and got[5]["payload"] == ""
         assert got[7]["payload"] == "\x1f\x8b\x08 é\r\n\r\n" * 300 and got[1]["payload_bytes"] == 2000
         assert got[1]["payload_digest"] == hashlib.sha1(b"a" * 2000).hexdigest()
+    # archives of attempts that Spark didn't commit lie there too, and aren't read
+    listed = [r["archive"] for r in spark.read.parquet(f"{path}/_archives").collect()]
+    folder = tmp_path / "warc"
+    (folder / "part-00000-0000-zombie.warc.gz").write_bytes((folder / listed[0]).read_bytes())
+    (folder / "part-00001-0000-cut.warc.gz").write_bytes((folder / listed[0]).read_bytes()[:40])
+    again = [r["page_id"] for r in warc.read_warc(spark, path).collect()]
+    assert len(again) == 8 and set(again) == set(got)
+    warc.write_warc(warc.mark_revisits(pages.limit(3)), path)  # a folder written again holds the new records alone
+    assert warc.read_warc(spark, path).count() == 3
     assert warc.archive(pages.limit(0)).count() == 0
 
 

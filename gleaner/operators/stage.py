@@ -17,7 +17,10 @@ def folder(spark: SparkSession, name: str) -> str:
 def _checkpoints(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-gleaner-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-gleaner-"))
 
 
 def kept(df: DataFrame, name: str = "kept") -> DataFrame:

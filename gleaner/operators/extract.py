@@ -13,17 +13,19 @@ MAX_TERMS = 4000
 SUMMARY_CHARS = 480
 
 
-def postings(files: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
+def postings(files: DataFrame, max_terms: int | None = MAX_TERMS) -> DataFrame:
     """(path, term, first_line, tf).  A file's terms stop after the line in which
-    it reaches ``max_terms`` different ones; words of the path count at line 1."""
+    it reaches ``max_terms`` different ones (None: never); words of the path count at line 1."""
     each = files.select("path", F.posexplode(T.lines(F.col("content"))).alias("i", "line"))
     tokens = each.select("path", (F.col("i") + 1).alias("line_no"), F.explode(T.index_tokens(F.col("line"))).alias("term"))
     rows = tokens.groupBy("path", "term", "line_no").agg(F.count("*").alias("n"))
-    first = rows.groupBy("path", "term").agg(F.min("line_no").alias("first_line"))
-    # the line of the max_terms-th different term; later lines are left out
-    rank = F.row_number().over(Window.partitionBy("path").orderBy("first_line", "term"))
-    last = first.withColumn("r", rank).where(F.col("r") == max_terms).select("path", F.col("first_line").alias("last"))
-    kept = rows.join(last, "path", "left").where("last is null or line_no <= last")
+    kept = rows
+    if max_terms is not None:
+        first = rows.groupBy("path", "term").agg(F.min("line_no").alias("first_line"))
+        # the line of the max_terms-th different term; later lines are left out
+        rank = F.row_number().over(Window.partitionBy("path").orderBy("first_line", "term"))
+        last = first.withColumn("r", rank).where(F.col("r") == max_terms).select("path", F.col("first_line").alias("last"))
+        kept = rows.join(last, "path", "left").where("last is null or line_no <= last")
     named = files.select("path", F.explode(T.index_tokens(F.col("path"))).alias("term")).groupBy("path", "term").agg(F.lit(1).alias("line_no"), F.count("*").alias("n"))
     both = kept.select("path", "term", "line_no", "n").unionByName(named)
     return both.groupBy("path", "term").agg(F.min("line_no").alias("first_line"), F.sum("n").alias("tf"))

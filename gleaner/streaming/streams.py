@@ -53,15 +53,15 @@ def last_version(spark: SparkSession, path: str, table: str = "rows") -> DataFra
     return None if rows is None else rows.drop("_bucket")
 
 
-def refresh_corpus(stream: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
+def refresh_corpus(stream: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS, max_terms: int | None = extract.MAX_TERMS):
     """Postings of files as they change: those of the paths in a batch are taken out
     and made again from their last content (the greatest mtime_ns).  A path whose last
-    content is null was removed."""
+    content is null was removed.  ``max_terms`` as in X01."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         store = Store(batch.sparkSession, path, buckets)
         last = batch.groupBy("path").agg(F.max_by(F.struct("content"), "mtime_ns")["content"].alias("content"))
-        fresh = extract.postings(last.where("content is not null"))
+        fresh = extract.postings(last.where("content is not null"), max_terms)
 
         def apply(before):
             rows = before["rows"]

@@ -59,6 +59,12 @@ def words(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once a row: what stands in a lambda is
+    otherwise worked out for each element, what stands in several places in each."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def index_tokens(text: Column) -> Column:
     """Lower-case runs of three or more letters, digits or underscores that
     aren't digits alone, with repeats."""

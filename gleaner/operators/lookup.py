@@ -91,10 +91,13 @@ def lean_content(content: Column, terms: Column, most: int = 140) -> Column:
     """P10: content over ``most`` characters becomes its lines that hold a term of
     three or more characters (else its first two), joined and trimmed."""
     needles = F.transform(F.filter(terms, lambda t: F.length(t) > 2), F.lower)
-    lines = T.lines(content)
-    chosen = F.filter(lines, lambda x: F.exists(needles, lambda t: F.contains(F.lower(x), t)))
-    short = F.array_join(F.when(F.size(chosen) > 0, chosen).otherwise(F.slice(lines, 1, 2)), " … ")
-    return F.when(F.length(content) <= most, content).otherwise(T.trim_text(short, most))
+
+    def short(v: Column) -> Column:
+        chosen = F.filter(v["lines"], lambda x: T.bound(F.lower(x), lambda low: F.exists(v["needles"], lambda t: F.contains(low, t))))
+        return T.bound(chosen, lambda c: F.array_join(F.when(F.size(c) > 0, c).otherwise(F.slice(v["lines"], 1, 2)), " … "))
+
+    cut = T.bound(T.bound(F.struct(T.lines(content).alias("lines"), needles.alias("needles")), short), lambda s: T.trim_text(s, most))
+    return F.when(F.length(content) <= most, content).otherwise(cut)
 
 
 def selected_with_term(terms: DataFrame, items: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..operators import assemble, extract, index, lookup, pack
+from ..operators import assemble, extract, index, lookup, pack, stage
 from ..sources import derived as D
 from ..sources.derived import with_tables
 from .registry import _HEADS, _STRIP, _SUMMARY, _TRIM, _bm25, _fragments, _route_sql, _terms, add, selection_sql
@@ -90,7 +90,9 @@ def _sql(ctes, query, recursive=False):
 
 def _tables(s, d):
     files = D.pack_files(s, d)
-    return files, extract.generic_symbols(files), D.pack_requests(s, d)
+    # many steps read the symbols: the files are searched for them once
+    symbols = stage.kept_once(s, f"{d} pack symbols", lambda: extract.generic_symbols(files))
+    return files, symbols, stage.kept_once(s, f"{d} pack requests", lambda: D.pack_requests(s, d))
 
 
 def _index(s, d):

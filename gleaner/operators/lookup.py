@@ -30,6 +30,8 @@ def _grams(text: Column) -> Column:
 
 #: Different runs of three characters of requests' terms that are broadcast.
 BROADCAST_GRAMS = 200_000
+#: Terms of requests and of their prompts that are broadcast to the skills (about 100 bytes each).
+BROADCAST_SIDES = 300_000
 
 
 def rarest_grams(texts: DataFrame, key: str, terms: DataFrame) -> DataFrame:
@@ -126,20 +128,31 @@ def rank_skills(skills: DataFrame, requests: DataFrame, n: int = 3) -> DataFrame
     """(request_id, skill_id, rank, score): 3 for each of a request's terms in a
     skill's text, 2 for each in its key, 2 for the route in its text, a half for each of
     the text's first 24 terms in the prompt, and its confidence; above 1, the best ``n``.
-    Only pairs of which one side's text holds a term of the other are scored; terms find
-    texts by their rarest run of three characters."""
+    Points are added up by the terms that one side's text holds of the other, so no text
+    meets another; a skill's pairs are added up where its text lies and cut to each request's
+    best before they are exchanged."""
     text = F.lower(F.concat_ws(" ", "namespace", "key", "value"))
     known = skills.select("skill_id", F.lower("key").alias("key"), text.alias("h"), T.query_terms(text, 24).alias("own"), F.least("confidence", F.lit(1.0)).alias("confidence"))
+    known = kept(known, "skills")
     asked = requests.select("request_id", F.lower("prompt").alias("prompt"), T.query_terms(F.col("prompt")).alias("terms"), F.lower("route").alias("route"))
-    within = lambda terms, h: F.size(F.filter(terms, lambda t: F.contains(F.col(h), t)))
-    half = 6 * within("terms", "h") + 4 * within("terms", "key") + F.when((F.col("route") != "") & F.contains("h", F.col("route")), 4).otherwise(0) + within("own", "prompt")
-    each = lambda df, key, terms: df.select(key, F.explode(F.array_distinct(terms)).alias("term")).where(F.length("term") >= 3)
-    wanted, offered = each(asked, "request_id", F.concat("terms", F.array("route"))), each(known, "skill_id", F.col("own"))
+    terms, routes = asked.select("request_id", F.explode("terms").alias("term")), asked.where("route <> ''").select("request_id", F.col("route").alias("term"))
+    offered = known.select(F.explode("own").alias("term")).distinct()
     prompts = asked.select("request_id", F.col("prompt").alias("h"))
-    sought = rarest_grams(known, "skill_id", wanted).join(known.select("skill_id", "h"), "skill_id").where(F.contains("h", F.col("term"))).select("skill_id", "term")
+    sought = terms.union(routes).select("term").distinct()
+    found = rarest_grams(known, "skill_id", sought.where(F.length("term") >= 3))
+    short = sought.where(F.length("term") < 3)  # a route may be
+    found = found.union(known.join(F.broadcast(short), F.contains("h", F.col("term"))).select("term", "skill_id"))
     named = rarest_grams(prompts, "request_id", offered).join(prompts, "request_id").where(F.contains("h", F.col("term"))).select("request_id", "term")
-    met = sought.join(wanted, "term").select("request_id", "skill_id").union(named.join(offered, "term").select("request_id", "skill_id")).distinct()
-    pairs = met.join(asked, "request_id").join(known, "skill_id").select("request_id", "skill_id", F.round(half * 0.5 + F.col("confidence"), 4).alias("score")).where("score > 1")
+    sides = kept(terms.withColumn("kind", F.lit("term")).unionByName(routes.withColumn("kind", F.lit("route"))).unionByName(named.withColumn("kind", F.lit("own"))), "skill-sides")
+    if sides.count() <= BROADCAST_SIDES:
+        sides = F.broadcast(sides)
+    point = lambda kind, t, n: F.struct(F.lit(kind).alias("kind"), t.alias("term"), n.cast("long").alias("halves"))
+    by_skill = known.join(found.groupBy("skill_id").agg(F.collect_list("term").alias("found")), "skill_id", "left")
+    held = T.bound(F.struct("key", "h", F.coalesce("found", F.array().cast("array<string>")).alias("found")), lambda v: F.filter(v["found"], lambda t: F.contains(v["h"], t)))
+    in_text = F.transform(held, lambda t: F.array(point("term", t, 6 + F.when(F.contains(F.col("key"), t), 4).otherwise(0)), point("route", t, F.lit(4))))
+    each = by_skill.select("skill_id", "confidence", F.explode(F.concat(F.flatten(in_text), F.transform("own", lambda t: point("own", t, F.lit(1))))).alias("p")).select("skill_id", "confidence", "p.*")
+    pairs = each.join(sides, ["kind", "term"]).groupBy("skill_id", "confidence", "request_id").agg(F.sum("halves").alias("halves"))
+    pairs = pairs.select("request_id", "skill_id", F.round(F.col("halves") * 0.5 + F.col("confidence"), 4).alias("score")).where("score > 1")
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), "skill_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("request_id", "skill_id", "rank", "score")
 

@@ -83,7 +83,7 @@ def symbol_candidates(files: DataFrame, symbols: DataFrame, requests: DataFrame,
     early for a request that has enough candidates and paths before (an omitted row)."""
     skipped = before.groupBy("request_id").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"))
     skipped = skipped.where((F.lit(profile in EARLY_STOP)) & (F.col("n") >= 2 * max_items) & (F.col("paths") >= max_items)).select("request_id")
-    hits = lookup.first_symbols(lookup.symbol_hits(symbols, retrieve.request_terms(requests.join(skipped, "request_id", "left_anti"))), max(max_items, 2))
+    hits = lookup.first_symbol_hits(symbols, retrieve.request_terms(requests.join(skipped, "request_id", "left_anti")), max(max_items, 2))
     kinds = symbols.groupBy("path", "name", "line_start").agg(F.min("kind").alias("kind"))
     wanted = hits.join(kinds, ["path", "name", "line_start"]).select("request_id", "path", F.greatest(F.lit(1), F.col("line_start")).cast("int").alias("anchor"), F.lit(8.0).alias("score"), "kind")
     found = candidate_row(_anchored(files, symbols, wanted), F.lit("symbol_index"), F.array(F.lit("symbol_match"), F.col("kind")))

@@ -30,6 +30,8 @@ def _grams(text: Column) -> Column:
 
 #: Different runs of three characters of requests' terms that are broadcast.
 BROADCAST_GRAMS = 200_000
+#: One file of so many is searched first; what it gives bounds the search of all and replaces none of it.
+SLICE = 64
 #: Terms of requests and of their prompts that are broadcast to the skills (about 100 bytes each).
 BROADCAST_SIDES = 300_000
 
@@ -49,18 +51,66 @@ def rarest_grams(texts: DataFrame, key: str, terms: DataFrame) -> DataFrame:
     return least.where("least.n > 0").select("term", "least.gram").join(lists, "gram").select("term", key)
 
 
+def _searched(symbols: DataFrame) -> DataFrame:
+    return symbols.select("path", "name", "line_start", F.lower(F.concat_ws(" ", "path", "name", "signature")).alias("h"))
+
+
+def _in_slice() -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(SLICE)) == 0
+
+
+def _runs(text: Column) -> Column:
+    """``_grams`` in one pass over a long text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+
+
+def _chosen_runs(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, gram): the run of three characters of each different term by which it is
+    looked up.  Any does; that which a slice of the files has in fewest texts costs least."""
+    sought = terms.select("term").distinct().select("term", F.explode(_grams(F.col("term"))).alias("gram"))
+    wanted = sought.select("gram").distinct()
+    if wanted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+        wanted = F.broadcast(wanted)
+    spread = rows.where(_in_slice()).select(F.explode(_runs(F.col("h"))).alias("gram")).join(wanted, "gram").groupBy("gram").agg(F.count("*").alias("n"))
+    least = sought.join(spread, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    return kept(least.select("term", "least.gram"), "runs")
+
+
+def _holding(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``rows(path, name, line_start, h)`` with each term of ``chosen(term, gram, last)``
+    that their text holds, up to the term's last path (null: all).  Runs that no term has
+    chosen are left where they are read."""
+    near = F.broadcast(chosen) if chosen.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS else chosen
+    met = rows.withColumn("gram", F.explode(_runs(F.col("h")))).join(near, "gram")
+    return met.where(F.contains("h", F.col("term")) & F.coalesce(F.col("path") <= F.col("last"), F.lit(True))).select("term", "path", "name", "line_start")
+
+
 def symbol_hits(symbols: DataFrame, terms: DataFrame) -> DataFrame:
     """(request_id, path, name, line_start) of symbols whose path, name or
-    signature contains a term of the request.  A term is looked up by its rarest run of
-    three characters among the different texts of symbols; terms have three at least."""
-    h = F.lower(F.concat_ws(" ", "path", "name", "signature"))
-    rows = symbols.select("path", "name", "line_start", h.alias("h")).withColumn("place", F.xxhash64("h"))
-    texts = rows.select("place", "h").distinct()
-    near = rarest_grams(texts, "place", terms).join(texts, "place").where(F.contains("h", F.col("term"))).select("term", "place", "h")
-    found = near.join(rows, ["place", "h"]).select("term", "path", "name", "line_start").distinct()
+    signature contains a term of the request; terms have three characters at least."""
+    rows = _searched(symbols)
+    found = _holding(rows, _chosen_runs(rows, terms).withColumn("last", F.lit(None).cast("string")))
     return found.join(terms, "term").select("request_id", "path", "name", "line_start").distinct()
 
 
+def first_symbol_hits(symbols: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` of ``symbol_hits`` of each request by path, line and name, with
+    their rank, without making the others.
+
+    They are among the first ``n`` of its terms.  A slice of the files is searched first:
+    a term's n-th hit there can't lie before its n-th hit of all, so of all files only those
+    up to its path are kept for the term.  A term with fewer hits in the slice has no bound.
+    """
+    place = F.dense_rank().over(Window.partitionBy("term").orderBy("path", "line_start", "name"))
+    first = lambda hits: hits.withColumn("place", place).where(F.col("place") <= n)
+    rows = _searched(symbols)
+    chosen = _chosen_runs(rows, terms)
+    free = chosen.withColumn("last", F.lit(None).cast("string"))
+    last = first(_holding(rows.where(_in_slice()), free)).where(F.col("place") == n).groupBy("term").agg(F.max("path").alias("last"))
+    found = first(_holding(rows, kept(chosen.join(last, "term", "left"), "bounds")))
+    return first_symbols(found.join(terms, "term").select("request_id", "path", "name", "line_start").distinct(), n)
+
+
 def first_symbols(hits: DataFrame, n: int) -> DataFrame:
     """R09's limit: the first ``n`` of a request by path, line and name."""
     w = Window.partitionBy("request_id").orderBy("path", "line_start", "name")

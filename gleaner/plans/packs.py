@@ -158,7 +158,7 @@ def _(s, d):
     files, symbols, requests = _tables(s, d)
     owners = assemble.owner_paths(assemble.prompt_paths(requests, files), files, 10)
     targets = requests.select("request_id", F.col("changed_files")[0].alias("path"))
-    hits = lookup.symbol_hits(symbols, targets.select("request_id", F.concat(F.lit("doc_"), "request_id").alias("term")))
+    hits = lookup.first_symbol_hits(symbols, targets.select("request_id", F.concat(F.lit("doc_"), "request_id").alias("term")), 40).drop("rank")
     return assemble.impact(owners, lookup.related_symbols(targets, hits, 10), 10)
 
 

@@ -60,8 +60,8 @@ def _in_slice() -> Column:
 
 
 def _runs(text: Column) -> Column:
-    """``_grams`` in one pass over a long text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+    """``_grams`` without white space, in one pass over a long text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?=(\S{3}))"), F.lit(1)))
 
 
 def _chosen_runs(rows: DataFrame, terms: DataFrame) -> DataFrame:
@@ -87,7 +87,8 @@ def _holding(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def symbol_hits(symbols: DataFrame, terms: DataFrame) -> DataFrame:
     """(request_id, path, name, line_start) of symbols whose path, name or
-    signature contains a term of the request; terms have three characters at least."""
+    signature contains a term of the request; terms have three characters at least and no
+    white space."""
     rows = _searched(symbols)
     found = _holding(rows, _chosen_runs(rows, terms).withColumn("last", F.lit(None).cast("string")))
     return found.join(terms, "term").select("request_id", "path", "name", "line_start").distinct()

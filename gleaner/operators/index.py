@@ -1,9 +1,9 @@
-"""Search over written postings: BM25 parts are worked out when a corpus is written, and
-a query reads the lists of its terms alone.
+"""Search over written postings: a corpus's tokens are counted once, by file, and a query
+takes the counts of its terms alone.
 
-Two tables: ``postings`` (term, path, part), in folders by hash of the term and sorted
-within, and ``terms`` (term, df, best), the best parts of each term.  A query's terms
-prune the folders; thresholds from ``best`` cut the lists before they meet requests.
+Two tables: ``counts`` (path, dl, counts), a row for each file, and ``terms`` (term, df), in
+folders by hash of the term.  Counts never meet an exchange as a whole: those of other terms
+are left where they are read.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ from ..functions import text as T
 from .stage import folder
 
 K1, B = 1.2, 0.75
-#: Folders of postings, and best parts that are kept for each term.
+#: Folders of terms, and the longest pool of a term.
 BUCKETS, BEST = 64, 40
 #: Terms of requests that are broadcast (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_TERMS = 50_000
-#: Different terms of a corpus whose frequencies are broadcast (about 100 bytes each).
-BROADCAST_FREQUENCIES = 400_000
+#: One file of so many is scored first; its scores bound those of all and replace none.
+SLICE = 16
 PART = "decimal(18,9)"
 
 
@@ -33,44 +33,43 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 @dataclass
 class SearchIndex:
-    postings: DataFrame
+    counts: DataFrame
     terms: DataFrame
+    totals: DataFrame
     buckets: int
 
-    def of(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Lists and statistics of the different ``terms``, as (postings, terms)."""
-        wanted = terms.select("term").distinct().withColumn("bucket", _bucket(F.col("term"), self.buckets))
-        if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-            wanted = F.broadcast(wanted)
-        key = ["bucket", "term"]
-        return self.postings.join(wanted, key).drop("bucket"), self.terms.join(wanted, key).drop("bucket")
+    @property
+    def postings(self) -> DataFrame:
+        """(term, path, part) of all terms."""
+        return self._weighed(self.terms.drop("bucket"))
+
+    def _weighed(self, known: DataFrame) -> DataFrame:
+        tf = self.counts.select("path", "dl", F.explode("counts").alias("c")).select("path", "dl", "c.term", "c.tf")
+        part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        return tf.join(known, "term").crossJoin(F.broadcast(self.totals)).select("term", "path", part.cast(PART).alias("part"))  # totals: one row
+
+    def of(self, terms: DataFrame) -> DataFrame:
+        """Lists of the different ``terms``, as (term, path, part)."""
+        wanted = near(terms.select("term").distinct().withColumn("bucket", _bucket(F.col("term"), self.buckets)), terms)
+        return self._weighed(near(self.terms.join(wanted, ["bucket", "term"]).drop("bucket"), terms))
+
+
+def near(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows``, of which a term of a request has one at most, broadcast while the terms are few."""
+    return F.broadcast(rows) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else rows
 
 
 def write_index(files: DataFrame, path: str, buckets: int = BUCKETS) -> SearchIndex:
     """Write the search tables of ``files(path, content)`` under ``path``.  A file's tokens
-    are counted in its own row, so the counts need no exchange; the lists are exchanged once,
-    by folder, and a term of any number of files is spread over tasks."""
+    are counted in its own row; only the terms' numbers of files are exchanged."""
     spark = files.sparkSession
     counted = files.select("path", T.bound(T.index_tokens(F.col("content")), lambda ts: F.struct(F.size(ts).alias("dl"), T.token_counts(ts).alias("counts"))).alias("c"))
     counted.select("path", "c.dl", "c.counts").where("dl > 0").write.mode("overwrite").parquet(f"{path}/counts")
     counted = spark.read.parquet(f"{path}/counts")
-    lengths = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = counted.select("path", "dl", F.explode("counts").alias("c")).select("path", "dl", "c.term", "c.tf")
-    tf.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
-    df = spark.read.parquet(f"{path}/frequencies")
-    near = F.broadcast(df) if df.count() <= BROADCAST_FREQUENCIES else df
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = tf.join(near, "term").crossJoin(F.broadcast(lengths))  # lengths: one row
-    weighed = weighed.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "path", part.cast(PART).alias("part"))
-    order = ["bucket", "term", F.desc("part"), "path"]
-    # tasks of like sizes, however large a folder is
-    weighed.hint("rebalance", "bucket").sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    # ranks are cut in each task before the exchange
-    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("part"), "path"))
-    best = postings.withColumn("r", rank).where(F.col("r") <= BEST).groupBy("term").agg(F.sort_array(F.collect_list(F.struct("r", "path", "part"))).alias("best"))
-    best.join(near, "term").withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    return SearchIndex(postings, spark.read.parquet(f"{path}/terms"), buckets)
+    counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
+    df = counted.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).withColumn("bucket", _bucket(F.col("term"), buckets))
+    df.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    return SearchIndex(counted, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/totals"), buckets)
 
 
 _WRITTEN: dict[tuple[str, str], SearchIndex] = {}
@@ -86,36 +85,34 @@ def index_of(spark: SparkSession, name: str, files) -> SearchIndex:
 
 def parts(index: SearchIndex, terms: DataFrame) -> DataFrame:
     """(request_id, path, term, part) of all files with a term of a request."""
-    lists, _ = index.of(terms)
-    return lists.join(terms, "term").select("request_id", "path", "term", "part")
+    return index.of(terms).join(near(terms, terms), "term").select("request_id", "path", "term", "part")
+
+
+def scores(index: SearchIndex, terms: DataFrame) -> DataFrame:
+    """(request_id, path, score) of all files with a term of a request.  Lists are dealt
+    by file before they meet the requests, so that requests multiply nothing that is exchanged."""
+    return index.of(terms).repartition("path").join(near(terms, terms), "term").groupBy("request_id", "path").agg(F.sum("part").alias("score"))
+
+
+def reaching(rows: DataFrame, n: int, key: str, terms: DataFrame) -> DataFrame:
+    """``rows(key, path, score)`` without most that aren't among the best ``n`` of their key:
+    the n-th score of a slice of the files is reached by n files, so what lies below it can't be."""
+    some = rows.where(F.pmod(F.xxhash64("path"), F.lit(SLICE)) == 0)
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "path"))
+    floors = some.withColumn("place", nth).where(F.col("place") <= n).where(F.col("place") == n).select(key, F.col("score").alias("floor"))
+    return rows.join(near(floors, terms), key, "left").where(F.col("floor").isNull() | (F.col("score") >= F.col("floor"))).drop("floor")
 
 
 def pools(index: SearchIndex, terms: DataFrame, n: int) -> DataFrame:
-    """(term, rank, path, score): the ``n`` best files of each term."""
+    """(term, rank, path, score): the ``n`` best files of each different term."""
     if n > BEST:
-        raise ValueError(f"{BEST} files a term are kept")
-    _, known = index.of(terms)
-    return known.select("term", F.explode(F.slice("best", 1, n)).alias("b")).select("term", F.col("b.r").alias("rank"), "b.path", F.col("b.part").alias("score"))
+        raise ValueError(f"pools hold {BEST} files a term at most")
+    rows = reaching(index.of(terms).select("term", "path", F.col("part").alias("score")), n, "term", terms)
+    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "path"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= n).select("term", "rank", "path", "score")
 
 
 def search(index: SearchIndex, terms: DataFrame, n: int) -> DataFrame:
     """(request_id, path, score) of files among which are the best ``n`` of each
-    request, with their whole scores.
-
-    The n-th best part of any one term is reached by n files, so the greatest of them is
-    a floor of the n-th score.  Terms whose best parts, added up from the least, stay
-    below the floor name no file alone, and a file whose part of a term is below the
-    floor less the other terms' best parts can't reach it: only the rest of the lists
-    gives candidates, and only they are scored.
-    """
-    _, known = index.of(terms)
-    zero = F.lit(0).cast(PART)
-    about = terms.select("request_id", "term").distinct().join(known.select("term", F.col("best")[0]["part"].alias("most"), F.coalesce(F.try_element_at("best", F.lit(n))["part"], zero).alias("nth")), "term")
-    request = Window.partitionBy("request_id")  # a request has a few terms
-    so_far = F.sum("most").over(request.orderBy("most", "term"))
-    about = about.withColumns({"floor": F.max("nth").over(request), "so_far": so_far, "others": F.sum("most").over(request) - F.col("most")})
-    about = about.select("request_id", "term", (F.col("so_far") >= F.col("floor")).alias("leads"), (F.col("floor") - F.col("others")).alias("least"))
-    lists, _ = index.of(terms)
-    met = lists.join(about, "term")
-    candidates = met.where(F.col("leads") & (F.col("part") >= F.col("least"))).select("request_id", "path").distinct()
-    return met.join(candidates, ["request_id", "path"], "left_semi").groupBy("request_id", "path").agg(F.sum("part").alias("score"))
+    request, with their whole scores."""
+    return reaching(scores(index, terms), n, "request_id", terms)

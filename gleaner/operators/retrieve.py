@@ -54,9 +54,10 @@ def scoped_search(scopes: DataFrame, requests: DataFrame, n: int, index: SearchI
     """The best ``n`` files of each request within its ``scopes(request_id, scope,
     globs)``; a request without a row there has no bounds.  Bounds come before the cut,
     so a list of ``n`` is full if enough files are within."""
-    about = requests.select("request_id").join(scopes, "request_id", "left")
-    lists = written.parts(index, request_terms(requests)).join(about, "request_id").where(corpus.within(F.col("path"), F.col("scope"), F.col("globs")))
-    return top(lists.groupBy("request_id", "path").agg(F.sum("part").alias("score")), n, "request_id")
+    terms = request_terms(requests)
+    about = written.near(requests.select("request_id").join(scopes, "request_id", "left"), terms)
+    within = written.scores(index, terms).join(about, "request_id").where(corpus.within(F.col("path"), F.col("scope"), F.col("globs"))).select("request_id", "path", "score")
+    return top(written.reaching(within, n, "request_id", terms), n, "request_id")
 
 
 def occurrences(haystack: Column, term: Column) -> Column:

@@ -65,10 +65,19 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: The least characters of a token.
+TOKEN_CHARS = 3
+
+
+def lower_tokens(text: Column) -> Column:
+    """``index_tokens`` of a text in lower case."""
+    return F.regexp_extract_all(text, F.lit(f"(?=[0-9]*[a-z_])[a-z0-9_]{{{TOKEN_CHARS},}}"), F.lit(0))
+
+
 def index_tokens(text: Column) -> Column:
     """Lower-case runs of three or more letters, digits or underscores that
     aren't digits alone, with repeats."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{3,}"), F.lit(0)), lambda t: ~t.rlike("^[0-9]+$"))
+    return lower_tokens(F.lower(text))
 
 
 def token_counts(tokens: Column) -> Column:

@@ -15,31 +15,30 @@ SUMMARY_CHARS = 480
 PYTHON_ROWS = 10_000
 
 
-def postings(files: DataFrame, max_terms: int | None = MAX_TERMS) -> DataFrame:
+def postings(files: DataFrame, max_terms: int | None = MAX_TERMS, by_path: bool = False) -> DataFrame:
     """(path, term, first_line, tf).  A file's terms stop after the line in which
-    it reaches ``max_terms`` different ones (None: never); words of the path count at line 1."""
-    token = lambda term, line: F.struct(term.alias("term"), line.cast("int").alias("line_no"))
-
-    def counted(tokens: Column) -> Column:
-        """Runs of equal terms of the sorted (term, line_no), in the file's own row."""
-        def runs(s: Column) -> Column:
-            starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
-            return T.bound(starts, lambda b: F.transform(b, lambda p, k: F.struct(F.get(s, p)["term"].alias("term"), F.get(s, p)["line_no"].alias("first_line"), (F.coalesce(F.get(b, k + 1), F.size(s)) - p).cast("long").alias("tf"))))
-
-        return F.when(F.size(tokens) > 0, T.bound(F.array_sort(tokens), runs))
-
-    def within(tokens: Column) -> Column:
-        """The tokens up to the line of the max_terms-th different term; later lines are left out."""
-        firsts = F.array_sort(F.transform(counted(tokens), lambda r: F.struct(r["first_line"].alias("line"), r["term"].alias("term"))))
-        last = F.when(F.size(F.array_distinct(F.transform(tokens, lambda x: x["term"]))) >= max_terms, F.get(firsts, F.lit(max_terms - 1))["line"])
-        return T.bound(F.struct(last.alias("last"), tokens.alias("ts")), lambda v: F.when(v["last"].isNull(), v["ts"]).otherwise(F.filter(v["ts"], lambda x: x["line_no"] <= v["last"])))
-
-    in_lines = F.flatten(F.transform(T.lines(F.col("content")), lambda line, i: F.transform(T.index_tokens(line), lambda t: token(t, i + 1))))
-    in_lines = F.coalesce(in_lines, F.array().cast("array<struct<term:string,line_no:int>>"))
-    kept = in_lines if max_terms is None else T.bound(in_lines, within)
-    both = F.concat(kept, F.transform(T.index_tokens(F.col("path")), lambda t: token(t, F.lit(1))))
-    rows = files.select("path", F.explode(T.bound(both, counted)).alias("p"))
-    return rows.select("path", "p.term", "p.first_line", "p.tf")
+    it reaches ``max_terms`` different ones (None: never); words of the path count at line 1.
+    Texts are exchanged by path, not their terms; ``by_path``: they already were."""
+    lines = F.coalesce(F.split(F.lower("content"), T.LINE_BREAK, -1), F.array().cast("array<string>"))
+    if max_terms is not None:
+        # fewer characters can't hold so many terms
+        lines = T.bound(lines, lambda ls: F.when(F.length("content") < T.TOKEN_CHARS * max_terms + max_terms - 1, ls).otherwise(_until(ls, max_terms)))
+    # the path stands before the first line
+    rows = (files if by_path else files.repartition("path")).select("path", F.posexplode(F.concat(F.array(F.lower("path")), lines)).alias("line_no", "line"))
+    rows = rows.select("path", F.greatest("line_no", F.lit(1)).alias("line_no"), F.explode(T.lower_tokens(F.col("line"))).alias("term"))
+    return rows.groupBy("path", "term").agg(F.min("line_no").alias("first_line"), F.count("*").alias("tf"))
+
+
+def _until(lines: Column, most: int) -> Column:
+    """The lines up to that of the ``most``-th different term, in the file's own row."""
+    tokens = F.flatten(F.transform(lines, lambda line, i: F.transform(T.lower_tokens(line), lambda t: F.struct(t.alias("term"), i.alias("i")))))
+
+    def cut(s: Column) -> Column:
+        """``s``: the tokens sorted, so the first of equal terms stands in its first line."""
+        firsts = F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (F.get(s, k)["term"] != F.get(s, k - 1)["term"])), lambda k: F.get(s, k)["i"]))
+        return T.bound(firsts, lambda f: F.when(F.size(f) < most, lines).otherwise(F.slice(lines, 1, F.get(f, F.lit(most - 1)) + 1)))
+
+    return T.bound(F.sort_array(tokens), lambda s: F.when(F.size(s) < most, lines).otherwise(cut(s)))
 
 
 def with_excerpts(rows: DataFrame, files: DataFrame) -> DataFrame:

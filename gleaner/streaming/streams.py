@@ -1,7 +1,7 @@
 """Structured Streaming forms (W operators); each equals its batch twin.
 
 Tables that a stream keeps up to date are stores of hash buckets (``sources.versions``):
-a batch rewrites the buckets of its own keys and commits them as one version.  A batch
+a batch rewrites the buckets of its own keys, or adds to them, and commits one version.  A batch
 that is run again after a failure writes the same version again; readers take the last
 version that was committed.
 """
@@ -54,20 +54,15 @@ def last_version(spark: SparkSession, path: str, table: str = "rows") -> DataFra
 
 
 def refresh_corpus(stream: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS, max_terms: int | None = extract.MAX_TERMS):
-    """Postings of files as they change: those of the paths in a batch are taken out
-    and made again from their last content (the greatest mtime_ns).  A path whose last
-    content is null was removed.  ``max_terms`` as in X01."""
+    """Postings of files as they change: those of the paths in a batch are made again
+    from their last content (the greatest mtime_ns) and replace older ones; a batch writes
+    its own alone.  A path whose last content is null was removed.  ``max_terms`` as in X01."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         store = Store(batch.sparkSession, path, buckets)
-        last = batch.groupBy("path").agg(F.max_by(F.struct("content"), "mtime_ns")["content"].alias("content"))
-        fresh = extract.postings(last.where("content is not null"), max_terms)
-
-        def apply(before):
-            rows = before["rows"]
-            return {"rows": fresh if rows is None else rows.drop("_bucket").join(last.select("path"), "path", "left_anti").unionByName(fresh)}
-
-        store.update(batch_id, last, ["path"], apply, ["rows"])
+        last = store.dealt(batch, "path").groupBy("path").agg(F.max_by(F.struct("content"), "mtime_ns")["content"].alias("content")).persist()
+        store.replace(batch_id, last, ["path"], {"rows": extract.postings(last.where("content is not null"), max_terms, by_path=True)})
+        last.unpersist()
 
     return _run(stream, checkpoint, step)
 

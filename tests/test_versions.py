@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import corpus, extract, upkeep
-from gleaner.sources import textfiles
+from gleaner.sources import textfiles, versions
 from gleaner.sources.versions import Store
 from gleaner.streaming import streams
 
@@ -76,6 +76,30 @@ def test_corpus_stream_takes_removed_paths_out(spark, tmp_path):
     assert sum(now[k] != written.get(k) for k in now) == 1
 
 
+def test_corpus_stream_writes_a_batch_alone(spark, tmp_path, monkeypatch):
+    """Batches that touch all buckets leave older rows where they are, until FOLD versions lie there."""
+    monkeypatch.setattr(versions, "FOLD", 4)
+    schema, now = "path string, mtime_ns long, content string", {}
+    for k in range(7):
+        batch = [(f"p{i}", k, f"word{k} other") for i in range(k * 20, k * 20 + 40)] + ([("p3", k, None)] if k == 5 else [])
+        now |= {p: c for p, _, c in batch}
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.refresh_corpus(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "mark"), 4).awaitTermination()
+        written = spark.read.parquet(str(tmp_path / f"out/rows/_version={k}"))
+        assert written.select("path").distinct().count() == 40  # the whole table before
+        want = extract.postings(spark.createDataFrame(list(now.items()), "path string, content string").where("content is not null"))
+        assert rows(streams.last_version(spark, str(tmp_path / "out")).select(want.columns)) == rows(want)
+    held = Store(spark, str(tmp_path / "out"), 4).manifest()
+    assert all(sum("_keys" not in p for p in ps) == 4 for ps in held.values())  # folded by the fifth, two more since
+
+
+def test_tables_without_keys_are_not_replaced_by_key(spark, tmp_path):
+    store, one = Store(spark, str(tmp_path), 4), spark.createDataFrame([("a", 1)], "path string, n int")
+    store.commit(0, {"t": (one, store.bucket("path"))}, None)
+    with pytest.raises(ValueError):
+        store.replace(1, one, ["path"], {"t": one})
+
+
 def test_memory_stream_removes_keys(spark, tmp_path):
     schema = "seq long, namespace string, key string, value string, written_at timestamp"
     for part in ([(1, "n", "a", "x", 10), (2, "n", "b", "y", 20)], [(3, "n", "a", "z", 30), (4, "n", "b", None, 40)]):

@@ -41,6 +41,19 @@ def test_joint_update_equals_a_rebuild(spark, tmp_path):
     assert all(v != before.get(k) for k, v in after.items() if k[1] in touched)
 
 
+def test_joint_update_writes_changes_alone(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}", 2)  # all buckets are touched
+    upkeep.apply_changes(store, 0, source(spark, FIRST))
+    later = [r for r in FIRST if r[0] not in {p for p, _, _ in CHANGES}] + [r for r in CHANGES if r[2] is not None]
+    diff = corpus.refresh_diff(store.read("files"), source(spark, later))
+    upkeep.apply_changes(store, 1, upkeep.changes_of(diff, source(spark, later)))
+    for table in upkeep.TABLES:  # earlier the rows of all 33 files
+        written = {r["path"] for r in spark.read.parquet(f"{tmp_path}/{table}/_version=1").select("path").distinct().collect()}
+        assert written <= {"src/f3.py", "new.py"}, table
+    for table, want in upkeep.derived_tables(source(spark, later)).items():
+        assert rows(store.read(table).select(want.columns)) == rows(want), table
+
+
 def test_a_version_without_its_mark_is_not_read(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}", 4)
     upkeep.apply_changes(store, 0, source(spark, FIRST))
